@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from geofeat.llm.bpe import op1_byte_bpe
+from geofeat.llm.chat import op3_chat_format
+from geofeat.llm.secrets import op10_secrets
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_chat_format": op3_chat_format,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {}
