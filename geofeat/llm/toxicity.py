@@ -37,28 +37,29 @@ from geofeat.llm.common import held_out, read, slices
 #: Labelled rows that a model may learn from, and learned lexicon entries, at most.
 SAMPLE, LEXICON = 24_000, 2_000
 THRESHOLD = 0.3
-#: Lexicon entries need this many toxic documents, this log-likelihood weight and this lift.
-MIN_DOCS, MIN_WEIGHT, MIN_LIFT = 4, 9.0, 12
+#: Lexicon entries need this many toxic documents and this share of them, this log-likelihood weight and this lift.
+MIN_DOCS, MIN_SHARE, MIN_WEIGHT, MIN_LIFT = 4, 0.01, 9.0, 12
 FOLDS, N_TREES, DEPTH = 3, 40, 3
 NEAR = 5
 
 # Abuse words and second-person words.
 ABUSE = frozenset(
     "idiot idiots moron morons stupid dumb loser losers trash scum clown worthless pathetic disgusting garbage filth vermin imbecile jerk creep "
-    "ugly fool fools hate bastard bitch crap damn shit fuck fucking asshole whore slut retard retarded kill die "
+    "bastard bitch crap shit fuck fucking asshole whore slut retard retarded "
     "idiotisch dumm dummkopf arschloch scheisse scheiße abschaum hurensohn wertlos ekelhaft "
-    "idiote imbécile connard connasse salaud merde crétin ordure abruti dégoûtant "
-    "idiota imbécil estúpido estupido basura mierda cabrón puta asqueroso inútil".split()
+    "idiote imbécile connard connasse salaud merde crétin abruti dégoûtant "
+    "idiota imbécil estúpido estupido mierda cabrón puta asqueroso".split()
 )
-SECOND = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch euer sie tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros".split())
+SECOND = frozenset("you your yours yourself du dich dir dein deine ihr euch euer tu toi vous votre vos tú ti usted ustedes vosotros".split())
 LEET = str.maketrans("013457@$!", "oieastasi")
 
-HIT, YOU, MIXED, STRETCHED, CAPS, STEM = 1, 2, 4, 8, 16, 32
+FIXED, YOU, MIXED, STRETCHED, CAPS, STEM, LEARNED = 1, 2, 4, 8, 16, 32, 64
+HIT = FIXED | STEM | LEARNED
 STRIP = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "…“”‘’«»¿¡–—"
 INNER = re.compile(r"[^\W\d_][\d@$!*#%+]+[^\W\d_]")
 AGAIN = re.compile(r"([^\W\d_])\1\1")
 REMEMBERED = 300_000
-FEATURES = 14
+FEATURES = 17
 
 
 def stems(word: str) -> list[str]:
@@ -84,12 +85,15 @@ class ToxicityModel:
         word = bare.lower()
         plain = word.translate(LEET) if not word.isalpha() else word
         code = 0
-        if word in ABUSE or word in self.lexicon:
-            code |= HIT
-        elif plain != word and (plain in ABUSE or plain in self.lexicon):
-            code |= HIT | MIXED
-        elif any(s in self.lexicon for s in stems(word)):
-            code |= HIT | STEM
+        for form, odd in ((word, 0), (plain, MIXED)):
+            if form in ABUSE:
+                code |= FIXED | odd
+            if form in self.lexicon:
+                code |= LEARNED | odd
+            if odd == 0 and any(s in self.lexicon for s in stems(form)):
+                code |= STEM
+            if code & HIT or plain == word:
+                break
         if word in SECOND:
             code |= YOU
         if INNER.search(bare):
@@ -128,7 +132,7 @@ class ToxicityModel:
             near = int((gap <= NEAR).sum())
         rate = lambda bit: np.count_nonzero(codes & bit) / n
         out[:] = (
-            len(hits) / n, np.log1p(len(hits)), rate(STEM), near / max(len(hits), 1), np.log1p(near), len(you) / n, upper / letters, rate(CAPS),
+            len(hits) / n, np.log1p(len(hits)), rate(FIXED), rate(STEM), rate(LEARNED), np.count_nonzero((codes & (STEM | LEARNED)) == STEM | LEARNED) / n, near / max(len(hits), 1), np.log1p(near), len(you) / n, upper / letters, rate(CAPS),
             counts[33] / size, counts[63] / size, (counts[35:39].sum() + counts[42]) / size, rate(MIXED), rate(STRETCHED), np.log1p(n),
         )
         return out
@@ -164,8 +168,9 @@ def lexicon_counts(rows: DataFrame, limit: int = LEXICON) -> tuple[list[tuple[st
     if not sum(t):
         return [], t, n
     ct, cn = (sum((F.col(f"c{i}") for i in range(j, j + FOLDS)), F.lit(0)) for j in (0, FOLDS))
+    least = max(MIN_DOCS, int(MIN_SHARE * sum(t) * (FOLDS - 1) / FOLDS))
     weight = ct * F.log((ct + 0.5) / (sum(t) + 1) / ((cn - ct + 0.5) / (sum(n) - sum(t) + 1)))
-    top = entries.groupBy("entry").agg(*named).where((ct >= MIN_DOCS) & (weight >= MIN_WEIGHT)).orderBy(weight.desc(), "entry").limit(2 * limit).collect()
+    top = entries.groupBy("entry").agg(*named).where((ct >= least) & (weight >= MIN_WEIGHT)).orderBy(weight.desc(), "entry").limit(2 * limit).collect()
     return [(r.entry, list(r[1 : FOLDS + 1]), list(r[FOLDS + 1 :])) for r in top], t, n
 
 
@@ -177,7 +182,7 @@ def chosen(counts, t: list[int], n: list[int], without: int | None = None, limit
     for entry, ts, ns in counts:
         a, b = sum(ts[k] for k in keep), sum(ns[k] for k in keep)
         lift = (a + 0.5) / (all_t + 1) / ((b - a + 0.5) / (all_n - all_t + 1))
-        if a >= MIN_DOCS and lift > MIN_LIFT and a * np.log(lift) >= MIN_WEIGHT:
+        if a >= max(MIN_DOCS, MIN_SHARE * all_t) and lift > MIN_LIFT and a * np.log(lift) >= MIN_WEIGHT:
             found.append((-a * np.log(lift), entry))
     return frozenset(e for _, e in sorted(found)[:limit])
 
@@ -188,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> ToxicityMode
     Trees see each row with a lexicon that the other folds gave, and the calibration
     sees each row with trees that the other folds gave.
     """
-    rows = sampled(docs, labels, limit)
+    rows = sampled(docs, labels, limit).dropDuplicates(["text", "toxic", "part"])
     counts, t, n = lexicon_counts(rows)
     model = ToxicityModel(chosen(counts, t, n))
     folds = [ToxicityModel(chosen(counts, t, n, k)) for k in range(FOLDS)]
