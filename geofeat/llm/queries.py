@@ -5,12 +5,14 @@ from __future__ import annotations
 from geofeat.llm.bpe import op1_byte_bpe
 from geofeat.llm.chat import op3_chat_format
 from geofeat.llm.langid import op9_language_id
+from geofeat.llm.quality import OP2_SQL, op2_quality_rules
 from geofeat.llm.secrets import op10_secrets
 from geofeat.llm.toxicity import op5_toxicity
 from geofeat.llm.urls import op8_url_filter
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_quality_rules": op2_quality_rules,
     "op3_chat_format": op3_chat_format,
     "op5_toxicity": op5_toxicity,
     "op8_url_filter": op8_url_filter,
@@ -18,4 +20,6 @@ QUERIES = {
     "op10_secrets": op10_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": OP2_SQL,
+}
