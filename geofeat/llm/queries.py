@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from geofeat.llm.bpe import op1_byte_bpe
 from geofeat.llm.chat import op3_chat_format
+from geofeat.llm.decontaminate import OP6_SQL, op6_decontaminate
 from geofeat.llm.langid import op9_language_id
 from geofeat.llm.quality import OP2_SQL, op2_quality_rules
 from geofeat.llm.secrets import op10_secrets
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_chat_format": op3_chat_format,
     "op5_toxicity": op5_toxicity,
+    "op6_decontaminate": op6_decontaminate,
     "op8_url_filter": op8_url_filter,
     "op9_language_id": op9_language_id,
     "op10_secrets": op10_secrets,
@@ -22,4 +24,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": OP2_SQL,
+    "op6_decontaminate": OP6_SQL,
 }
