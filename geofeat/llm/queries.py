@@ -8,6 +8,7 @@ from geofeat.llm.decontaminate import OP6_SQL, op6_decontaminate
 from geofeat.llm.langid import op9_language_id
 from geofeat.llm.quality import OP2_SQL, op2_quality_rules
 from geofeat.llm.secrets import op10_secrets
+from geofeat.llm.similar import op7_similar
 from geofeat.llm.toxicity import op5_toxicity
 from geofeat.llm.urls import op8_url_filter
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_chat_format": op3_chat_format,
     "op5_toxicity": op5_toxicity,
     "op6_decontaminate": op6_decontaminate,
+    "op7_similar": op7_similar,
     "op8_url_filter": op8_url_filter,
     "op9_language_id": op9_language_id,
     "op10_secrets": op10_secrets,
