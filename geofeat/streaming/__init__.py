@@ -1 +1 @@
-
+"""Column expressions here also run inside Structured Streaming; see ``time_bucket``."""
