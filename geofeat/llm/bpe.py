@@ -3,8 +3,8 @@
 A text is split by a pattern into pre-tokens; each is merged on its own, lowest
 rank first and leftmost among equal ranks. The pairs of a pre-token wait in a
 rank queue: one bucket of linked-list positions per merge rank, and over the
-buckets a hierarchy of 64-bit bitmaps in which find-first-set gives the next
-rank. Entries that a merge has made stale are skipped when they come up, so a
+buckets a hierarchy of bitmaps in which find-first-set gives the next rank.
+Entries that a merge has made stale are skipped when they come up, so a
 pre-token of n bytes takes O(n) queue steps however long it is.
 
 Spark only moves the texts: every document is encoded in the task that reads
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import base64
 from heapq import heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,56 +30,31 @@ from pyspark.sql import types as T
 from geofeat.llm.common import read, slices
 
 #: Pre-tokens up to this many characters are remembered, at most so many of them.
-CACHED_CHARS, CACHED_TOKENS = 48, 400_000
-WORD = 64
-
-
-class RankQueue:
-    """Positions by rank: push(rank, position), and pop() of the lowest rank's leftmost position."""
-
-    def __init__(self, n_ranks: int):
-        self.levels = []
-        n = n_ranks
-        while True:
-            n = -(-n // WORD)
-            self.levels.append([0] * n)
-            if n == 1:
-                break
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        for level in self.levels:
-            word, bit = divmod(rank, WORD)
-            seen = level[word]
-            level[word] = seen | 1 << bit
-            if seen:
-                break
-            rank = word
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.levels[-1][0]:
-            return None
-        rank = 0
-        for level in reversed(self.levels):
-            bits = level[rank]
-            rank = rank * WORD + (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            at = rank
-            for level in self.levels:
-                word, bit = divmod(at, WORD)
-                level[word] &= ~(1 << bit)
-                if level[word]:
-                    break
-                at = word
-        return rank, position
+CACHED_CHARS, CACHED_TOKENS = 48, 600_000
+#: A bitmap word spans 2 ** BITS ranks.
+BITS = 8
+MASK = (1 << BITS) - 1
+BIT = [1 << i for i in range(4_096)]
+
+
+class Pieces(dict):
+    """Pre-token to its ids as packed 32-bit integers; short ones are remembered, in a younger and an older generation."""
+
+    def __init__(self, own: Codec):
+        super().__init__()
+        self.own, self.old = own, {}
+
+    def __missing__(self, text: str) -> bytes:
+        found = self.old.get(text)
+        if found is None:
+            packed = self.own.packed
+            found = b"".join([packed[i] for i in self.own.merge(text.encode("utf-8", "surrogatepass"))])
+        if len(text) <= CACHED_CHARS:
+            if len(self) >= CACHED_TOKENS:
+                self.old = dict(self)
+                self.clear()
+            self[text] = found
+        return found
 
 
 class Codec:
@@ -90,69 +64,101 @@ class Codec:
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
+        if max(self.tokens) >> BITS >= len(BIT):
+            raise ValueError(f"ranks go up to {len(BIT) << BITS}")
+        self.packed = {rank: rank.to_bytes(4, "little") for rank in self.tokens}
         self.pattern = regex.compile(pattern)
-        self.queue = RankQueue(max(self.tokens) + 1)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.pieces = Pieces(self)
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        whole = self.ranks.get(piece)
+        """Ids of one pre-token.
+
+        ``buckets`` holds the positions that wait under a rank, ``low`` the bitmap
+        words over the ranks and ``top`` the bitmap over those words.
+        """
+        rank_of, longest = self.ranks.get, self.longest
+        whole = rank_of(piece)
         if whole is not None:
             return [whole]
-        ranks, longest, queue = self.ranks, self.longest, self.queue
         n = len(piece)
         after = list(range(1, n + 1))  # of a live node: where the next one starts
         before = list(range(-1, n - 1))
-        waiting = [-1] * n  # rank under which a node's pair waits; another entry is stale
-        for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2], -1)
-            if rank >= 0:
-                waiting[i] = rank
-                queue.push(rank, i)
-        while (top := queue.pop()) is not None:
-            rank, i = top
+        waiting: list[int | None] = [rank_of(piece[i : i + 2]) for i in range(n - 1)]  # rank under which a node's pair waits; other entries are stale
+        waiting.append(None)
+        buckets: dict[int, list[int]] = {}
+        low: dict[int, int] = {}
+        top = 0
+        for i, rank in enumerate(waiting):
+            if rank is not None:
+                if rank in buckets:
+                    buckets[rank].append(i)
+                else:
+                    buckets[rank] = [i]
+                    word = rank >> BITS
+                    if word in low:
+                        low[word] |= BIT[rank & MASK]
+                    else:
+                        low[word] = BIT[rank & MASK]
+                        top |= BIT[word]
+        while top:
+            word = (top & -top).bit_length() - 1
+            bits = low[word]
+            rank = (word << BITS) + (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                bits &= bits - 1
+                if bits:
+                    low[word] = bits
+                else:
+                    del low[word]
+                    top &= top - 1
             if waiting[i] != rank:
                 continue
             j = after[i]
             k = after[i] = after[j]
-            waiting[i] = waiting[j] = -1
+            waiting[i] = waiting[j] = None
             if k < n:
                 before[k] = i
-                if after[k] - i <= longest:
-                    joined = ranks.get(piece[i : after[k]], -1)
-                    if joined >= 0:
-                        waiting[i] = joined
-                        queue.push(joined, i)
+                right = after[k]
+                rank = rank_of(piece[i:right]) if right - i <= longest else None
+                if rank is not None:
+                    waiting[i] = rank
+                    if rank in buckets:
+                        heappush(buckets[rank], i)
+                    else:
+                        buckets[rank] = [i]
+                        word = rank >> BITS
+                        if word in low:
+                            low[word] |= BIT[rank & MASK]
+                        else:
+                            low[word] = BIT[rank & MASK]
+                            top |= BIT[word]
             h = before[i]
             if h >= 0:
-                joined = ranks.get(piece[h:k], -1) if k - h <= longest else -1
-                waiting[h] = joined
-                if joined >= 0:
-                    queue.push(joined, h)
+                rank = waiting[h] = rank_of(piece[h:k]) if k - h <= longest else None
+                if rank is not None:
+                    if rank in buckets:
+                        heappush(buckets[rank], h)
+                    else:
+                        buckets[rank] = [h]
+                        word = rank >> BITS
+                        if word in low:
+                            low[word] |= BIT[rank & MASK]
+                        else:
+                            low[word] = BIT[rank & MASK]
+                            top |= BIT[word]
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : after[i]]])
+            out.append(self.ranks[piece[i : after[i]]])
             i = after[i]
         return out
 
-    def piece(self, text: str) -> tuple[int, ...]:
-        """Ids of one pre-token, remembered while there is room."""
-        ids = self.cache.get(text)
-        if ids is None:
-            ids = tuple(self.merge(text.encode("utf-8", "surrogatepass")))
-            if len(text) <= CACHED_CHARS:
-                if len(self.cache) >= CACHED_TOKENS:
-                    self.cache.clear()
-                self.cache[text] = ids
-        return ids
-
     def encode(self, text: str) -> np.ndarray:
-        pieces = self.pattern.findall(text)
-        known = self.cache
-        try:
-            return np.fromiter(chain.from_iterable(map(known.__getitem__, pieces)), np.int32)
-        except KeyError:
-            return np.fromiter(chain.from_iterable(map(self.piece, pieces)), np.int32)
+        return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.pattern.findall(text))), np.int32)
 
     def decode(self, ids) -> bytes:
         try:
@@ -178,19 +184,23 @@ def load_ranks(path: str) -> bytes:
         return f.read()
 
 
-def encode(df: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """Adds the token ids of ``text_col`` as ``array<int>``."""
+def encode(df: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """Adds the token ids of ``text_col`` as ``array<int>``; with ``decoded_col`` also the bytes that the ids decode to."""
     shared = df.sparkSession.sparkContext.broadcast(ranks)
-    rest = df.drop(ids_col) if ids_col != text_col else df
+    rest = df.drop(*(c for c in (ids_col, decoded_col) if c and c != text_col))
     at = rest.columns.index(text_col)
-    schema = T.StructType([*rest.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))])
+    new = [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False)), T.StructField(decoded_col or "", T.BinaryType())]
+    schema = T.StructType([*rest.schema.fields, *new[: 1 + bool(decoded_col)]])
 
     def run(batches):
         own = codec(shared.value, pattern)
         for batch in batches:
             for part in slices(batch):
                 found = [None if t is None else own.encode(t) for t in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, _lists(found)], names=schema.names)
+                columns = [*part.columns, _lists(found)]
+                if decoded_col:
+                    columns.append(pa.array([None if ids is None else own.decode(ids.tolist()) for ids in found], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return rest.mapInArrow(run, schema)
 
@@ -232,7 +242,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    coded = decode(encode(docs, ranks, public_tokenizers.PATTERN).drop("text"), ranks)
+    coded = encode(docs, ranks, public_tokenizers.PATTERN, decoded_col="decoded").drop("text")
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -73,12 +73,12 @@ class Aligner:
     def piece(self, text: str) -> tuple[list[int], list[int], list[int]]:
         found = self.cache.get(text)
         if found is None:
-            ids = self.own.piece(text)
+            ids = np.frombuffer(self.own.pieces[text], np.int32).tolist()
             ends = np.cumsum([len(self.own.tokens[i]) for i in ids])
             starts = np.concatenate([[0], ends[:-1]])
             raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
             point = np.cumsum((raw & 0xC0) != 0x80) - 1  # of each byte
-            found = list(ids), point[starts].tolist(), (point[ends - 1] + 1).tolist()
+            found = ids, point[starts].tolist(), (point[ends - 1] + 1).tolist()
             if len(text) <= CACHED_CHARS:
                 if len(self.cache) >= CACHED_TOKENS:
                     self.cache.clear()

@@ -34,15 +34,6 @@ def test_very_long_pretoken():
     assert OWN.encode(text).tolist() == LIB.encode_ordinary(text)
 
 
-def test_rank_queue_order():
-    queue = bpe.RankQueue(70_000)
-    entries = [(69_999, 1), (5, 9), (5, 3), (4_096, 0), (64, 2), (0, 7)]
-    for e in entries:
-        queue.push(*e)
-    assert [queue.pop() for _ in entries] == sorted(entries)
-    assert queue.pop() is None
-
-
 def test_frame_cases(spark):
     rows = [(1, "Hello  world\n", "x"), (2, None, "y"), (3, "", "z"), (4, "Hello  world\n", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
@@ -53,6 +44,9 @@ def test_frame_cases(spark):
     assert bytes(got[1].decoded) == b"Hello  world\n"
     assert got[2].ids is None and got[2].decoded is None
     assert got[3].ids == [] and bytes(got[3].decoded) == b""
+    both = bpe.encode(df, DATA, public_tokenizers.PATTERN, decoded_col="x")
+    assert both.columns == ["doc_id", "text", "ids", "x"]
+    assert {r.doc_id: r.x and bytes(r.x) for r in both.collect()} == {r.doc_id: r.decoded and bytes(r.decoded) for r in out.collect()}
     assert bpe.encode(df.where("false"), DATA, public_tokenizers.PATTERN).count() == 0
 
 
