@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geofeat.functions import geo
+from geofeat.sources.shared import written
 
 #: Metres of a degree of latitude at least, so that a cell row is never lower than the radius.
 MIN_M_PER_LAT, MIN_M_PER_LON = 110_500.0, 111_300.0
@@ -116,10 +117,12 @@ def k_nearest(q: DataFrame, t: DataFrame, k: int, start_m: float = 250.0, max_ro
     order = W.partitionBy("geom_id").orderBy("dist_m", "obj_id")
     for i in range(max_rounds):
         pairs = dwithin_points(rest, t, radius).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        pairs = written(pairs)
         done = pairs.groupBy("geom_id").agg(F.count("*").alias("n")).where(F.col("n") >= k) if i < max_rounds - 1 else pairs.select("geom_id").distinct()
-        ready = pairs.join(done.select("geom_id"), "geom_id", "left_semi")
+        done = written(done.select("geom_id"))
+        ready = pairs.join(done, "geom_id", "left_semi")
         found = ready if found is None else found.unionByName(ready)
-        rest = rest.join(done.select("geom_id"), "geom_id", "left_anti")
+        rest = written(rest.join(done, "geom_id", "left_anti"))
         if not rest.limit(1).count():
             break
         radius *= 2

@@ -611,3 +611,6 @@ def _(t):
 def _(t):
     frames = t("events_geo").groupBy(tb.time_bucket(F.col("ts"), "day").alias("frame"))
     return frames.agg(F.count("*").alias("n"), r(F.avg("lat"), 6).alias("lat"), r(F.avg("lon"), 6).alias("lon"))
+
+
+from geofeat.plans import learning  # noqa: E402,F401  registers its queries
