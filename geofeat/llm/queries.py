@@ -6,6 +6,7 @@ from geofeat.llm.bpe import op1_byte_bpe
 from geofeat.llm.chat import op3_chat_format
 from geofeat.llm.decontaminate import OP6_SQL, op6_decontaminate
 from geofeat.llm.langid import op9_language_id
+from geofeat.llm.lm import op4_lm_score
 from geofeat.llm.quality import OP2_SQL, op2_quality_rules
 from geofeat.llm.secrets import op10_secrets
 from geofeat.llm.similar import op7_similar
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op3_chat_format": op3_chat_format,
+    "op4_lm_score": op4_lm_score,
     "op5_toxicity": op5_toxicity,
     "op6_decontaminate": op6_decontaminate,
     "op7_similar": op7_similar,
