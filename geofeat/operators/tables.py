@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geofeat.functions import geo
+from geofeat.sources.shared import written
 
 # --- scans, sinks, versions
 
@@ -34,10 +35,11 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], update_cols:
 def stage_inputs(df: DataFrame, order_by: list[str]) -> DataFrame:
     """Gives every row a dense geom_id 0..n-1 in the given order.
 
-    Rows are dealt out by ranges of the order; each range counts its own rows, and a
-    table of one row per range gives the offsets, so no task sees all rows.
+    Rows are dealt out by ranges of the order, once, into a written table, as ranges
+    drawn a second time could differ; each range counts its own rows, and a table of
+    one row per range gives the offsets, so no task sees all rows.
     """
-    dealt = df.repartitionByRange(*order_by).withColumn("_part", F.spark_partition_id())
+    dealt = written(df.repartitionByRange(*order_by).withColumn("_part", F.spark_partition_id()))
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     offsets = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
     own = F.row_number().over(W.partitionBy("_part").orderBy(*order_by)) - 1
