@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geofeat.sources.shared import written
+
+__all__ = ["SLICE", "held_out", "read", "slices", "written"]
+
 #: Rows of one Arrow batch which Python handles at once; bounds the memory of a task.
 SLICE = 256
 
@@ -25,23 +26,3 @@ def slices(batch, size: int = SLICE):
     """Cuts an Arrow batch into smaller ones."""
     for i in range(0, batch.num_rows, size):
         yield batch.slice(i, size)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where that setting is unset, as in tests on one machine, a local
-    temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: writes the frame as Parquet to the shared folder and reads it again."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
