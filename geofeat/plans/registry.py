@@ -40,6 +40,11 @@ def r(c, digits: int = 3):
     return F.round(c, digits)
 
 
+def nudged(c, digits: int = 3):
+    """Rounds means of short decimals, which often end in 5 just behind the digits, the same way in all engines."""
+    return F.round(c + 1e-9, digits)
+
+
 D = geo.distance_sql("q.lon", "q.lat", "t.lon", "t.lat")
 BOX_D = geo.box_distance_sql("q.lon", "q.lat", "t.min_lon", "t.min_lat", "t.max_lon", "t.max_lat")
 BOX_AREA = f"radians(t.max_lon-t.min_lon)*({geo.authalic_sql('t.max_lat')}-{geo.authalic_sql('t.min_lat')})"
@@ -109,13 +114,13 @@ def _building_sql() -> str:
     names = [n for f in BUILDING_FEATURES for n in f.names()]
     return f""", p AS (SELECT q.geom_id, t.obj_id, height, ground, {BOX_D} AS dist, {BOX_AREA} AS area FROM q_points q, buildings t WHERE building IS NOT NULL AND {BOX_D} <= 250),
 n AS (SELECT *, row_number() OVER (PARTITION BY geom_id ORDER BY dist, obj_id) AS nth FROM p)
-SELECT q.geom_id, {', '.join(f'round({c}, 3) AS {n}' for c, n in zip(cols, names))} FROM q_points q LEFT JOIN n ON q.geom_id = n.geom_id GROUP BY q.geom_id"""
+SELECT q.geom_id, {', '.join(f'round({c} + 1e-9, 3) AS {n}' for c, n in zip(cols, names))} FROM q_points q LEFT JOIN n ON q.geom_id = n.geom_id GROUP BY q.geom_id"""
 
 
 @query("f2_f5_f6_building_features", _building_sql(), ("q_points", "buildings"))
 def _(t):
     out = ft.FeatureBuilder(BUILDING_FEATURES, {"polygons": buildings(t)}).transform(t("q_points"))
-    return out.select("geom_id", *[r(F.col(c)).alias(c) for c in out.columns[1:]])
+    return out.select("geom_id", *[nudged(F.col(c)).alias(c) for c in out.columns[1:]])
 
 
 KX, KY = geo.m_per_lon("q.lat"), geo.m_per_lat("q.lat")
@@ -260,10 +265,10 @@ def _(t):
     return roads(t).select("obj_id", r(geo.length_m(F.col("geom"))).alias("length_m"))
 
 
-@query("g11_centroid", "SELECT obj_id, round((min_lon + max_lon) / 2, 6) AS lon, round((min_lat + max_lat) / 2, 6) AS lat FROM buildings", ("buildings",))
+@query("g11_centroid", "SELECT obj_id, round((min_lon + max_lon) / 2 + 1e-9, 6) AS lon, round((min_lat + max_lat) / 2 + 1e-9, 6) AS lat FROM buildings", ("buildings",))
 def _(t):
     c = geo.centroid(F.col("geom"))
-    return buildings(t).select("obj_id", r(c["lon"], 6).alias("lon"), r(c["lat"], 6).alias("lat"))
+    return buildings(t).select("obj_id", nudged(c["lon"], 6).alias("lon"), nudged(c["lat"], 6).alias("lat"))
 
 
 @query("g13_bbox", "SELECT obj_id, round(min(lon), 6) AS min_lon, round(max(lon), 6) AS max_lon, round(min(lat), 6) AS min_lat, round(max(lat), 6) AS max_lat FROM road_vertices GROUP BY obj_id HAVING count(*) > 1", ("road_vertices",))
