@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# WGS84, and the angle that the reference system takes for a metre.
+# WGS84, and the angle that stands for a metre in plain conversions.
 A, E2 = 6378137.0, 0.0066943799901413165
 DEGREES_PER_METRE = 1e-5 / 1.11
 BASE32 = "0123456789bcdefghjkmnpqrstuvwxyz"
