@@ -6,15 +6,18 @@ document's connected component. It is exact (but for collisions of 64-bit hashes
 
 1. Documents of equal sets become one representative.
 2. Representatives are put into groups: those that agree on a band of minhashes are
-   compared with the band's smallest member, and verified links are joined up. A
-   group is connected already, so nothing inside it is compared again; thousands of
-   near copies cost one comparison each.
+   compared with a few of the band's most central members, the ones whose bands are
+   the fullest, and verified links are joined up. A group is connected already, so
+   nothing inside it is compared again; thousands of near copies cost a comparison
+   or two each.
 3. The token-group matrix: with the shingles of each set in hash order, the first
    ``share`` of them are its prefix, and a group's token union is that of its
    members' prefixes. If two sets of at most n shingles link, their prefixes have at
    least ``(share - 1/4) * n`` shingles in common. So a document's overlap with a
-   group's union bounds it: only groups that reach the bound are opened, and their
-   members compared with the document.
+   group's union bounds it: only groups that reach the bound are opened. Of two
+   groups, the documents of the smaller one ask. Members of small groups are compared
+   pair by pair; large groups in blocks of ``BLOCK`` documents against ``BLOCK``
+   members, which return one link for each document, as one is enough to join it.
 4. Shingles in more than ``MANY`` groups (common lines and passages) are not expanded.
    The bound makes up for it: a document with fewer of them in its prefix than the
    bound shares another shingle with any partner. A pair is left out only if both
@@ -42,11 +45,15 @@ from pyspark.sql import functions as F
 
 from geofeat.llm.common import read, slices, written
 from geofeat.llm.graph import components
+from geofeat.sources.shared import Scratch
 
 WORDS, NUM, DEN = 5, 75, 100
-SHARES = (0.3, 0.6, 1.0)
+SHARES = (0.4, 1.0)
 MANY = 64
-BANDS, ROWS = 4, 3
+BANDS, ROWS = 8, 2
+#: Central members that a band's others are compared with, in so many rounds; the best few are tried, if enough minhashes agree.
+LEADERS, ROUNDS, TRIED, AGREE = 8, 2, 2, 9
+SMALL_GROUP, BLOCK = 16, 256
 #: A frame of ids is sent to all tasks while it is counted to be at most this long.
 BROADCAST_ROWS = 500_000
 
@@ -76,9 +83,14 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
-def bands(found: np.ndarray) -> list[int]:
+def signature(found: np.ndarray) -> np.ndarray:
+    """Minhashes of a set."""
+    return (found[None, :] * MINHASH[:, None]).min(1)
+
+
+def bands(minhashes: np.ndarray) -> list[int]:
     """Keys which similar sets are likely to share."""
-    least = (found[None, :] * MINHASH[:, None]).min(1).reshape(BANDS, ROWS)
+    least = minhashes.reshape(BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for j in range(ROWS):
         key = _mixed(key ^ least[:, j])
@@ -90,12 +102,13 @@ def prefix(found: np.ndarray, share: float) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, text -> doc_id, n, digest, bands, prefix."""
+    """doc_id, text -> doc_id, n, digest, marks (minhashes), bands, prefix."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 sets = [shingles(t) for t in part.column(1).to_pylist()]
+                marks = [signature(s) if len(s) else None for s in sets]
                 heads = [prefix(s, SHARES[0]) for s in sets]
                 ends = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -103,13 +116,14 @@ def _profiles(docs: DataFrame) -> DataFrame:
                         part.column(0),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                        pa.array([bands(s) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+                        pa.array([[] if m is None else (m >> np.uint64(32)).astype(np.uint32).view(np.int32) for m in marks], pa.list_(pa.int32())),
+                        pa.array([[] if m is None else bands(m) for m in marks], pa.list_(pa.int64())),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.uint64), *heads]).view(np.int64))),
                     ],
-                    names=["doc_id", "n", "digest", "bands", "prefix"],
+                    names=["doc_id", "n", "digest", "marks", "bands", "prefix"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, bands array<long>, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, digest binary, marks array<int>, bands array<long>, prefix array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, share: float = 1.0) -> DataFrame:
@@ -128,23 +142,59 @@ def _sets(docs: DataFrame, ids: DataFrame, share: float = 1.0) -> DataFrame:
 
 def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets share enough of their union."""
-    pairs = written(pairs)
-    sets = written(_sets(docs, pairs.select("a").union(pairs.select("b")).distinct()))
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("found").alias("found_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("found").alias("found_b")), "b")
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                keep = []
+                linked = []
                 for x, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                     merged = np.concatenate([x, y])
                     merged.sort(kind="stable")
                     shared = int(np.count_nonzero(merged[1:] == merged[:-1]))
-                    keep.append(DEN * shared >= NUM * (len(x) + len(y) - shared))
-                yield pa.RecordBatch.from_arrays([part.column(2), part.column(3)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return written(both.select("found_a", "found_b", "a", "b").mapInArrow(run, "a long, b long"))
+                    linked.append(DEN * shared >= NUM * (len(x) + len(y) - shared))
+                yield pa.RecordBatch.from_arrays([part.column(2), part.column(3)], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    with Scratch(docs.sparkSession) as keep:
+        pairs = keep(pairs)
+        sets = keep(_sets(docs, pairs.select("a").union(pairs.select("b")).distinct()))
+        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("found").alias("found_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("found").alias("found_b")), "b")
+        return written(both.select("found_a", "found_b", "a", "b").mapInArrow(run, "a long, b long"))
+
+
+def _block_links(docs: DataFrame, opened: DataFrame, groups: DataFrame) -> DataFrame:
+    """opened (a, other): documents and large groups to compare them with. One link (a, b) of each document in each block."""
+
+    def run(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_pylist()
+        ids, found = table.column("doc_id").to_pylist(), [np.frombuffer(x, np.uint64) for x in table.column("found").to_pylist()]
+        member = [i for i, x in enumerate(asks) if not x]
+        sizes = np.array([len(found[i]) for i in member])
+        tokens, own = np.concatenate([np.empty(0, np.uint64), *(found[i] for i in member)]), np.repeat(np.arange(len(member)), sizes)
+        order = np.argsort(tokens, kind="stable")
+        tokens, own, a, b = tokens[order], own[order], [], []
+        for i in (i for i, x in enumerate(asks) if x):
+            low, high = np.searchsorted(tokens, found[i], "left"), np.searchsorted(tokens, found[i], "right")
+            width = high - low
+            at = np.repeat(high - width.cumsum(), width) + np.arange(width.sum())  # places of all matches
+            shared = np.bincount(own[at], minlength=len(member))
+            links = np.flatnonzero(DEN * shared >= NUM * (len(found[i]) + sizes - shared))
+            if len(links):
+                a.append(ids[i])
+                b.append(ids[member[links[0]]])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    with Scratch(docs.sparkSession) as keep:
+        opened = keep(opened)
+        sizes = opened.groupBy("other").agg(F.count("*").alias("k")).join(groups.groupBy(F.col("grp").alias("other")).agg(F.count("*").alias("size")), "other")
+        chunks = sizes.select("other", F.ceil(F.col("k") / BLOCK).alias("rows"), F.ceil(F.col("size") / BLOCK).alias("columns"))
+        cell = lambda own, n: F.pmod(F.xxhash64(own), n)
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+        asking = opened.join(chunks, "other").select("other", cell("a", F.col("rows")).alias("row"), every(F.col("columns")).alias("column"), F.lit(True).alias("asks"), F.col("a").alias("doc_id"))
+        members = groups.select(F.col("grp").alias("other"), F.col("rep").alias("b")).join(chunks, "other").select("other", every(F.col("rows")).alias("row"), cell("b", F.col("columns")).alias("column"), F.lit(False).alias("asks"), F.col("b").alias("doc_id"))
+        rows = keep(asking.unionByName(members))
+        sets = keep(_sets(docs, rows.select("doc_id").distinct()))
+        return written(rows.join(sets, "doc_id").groupBy("other", "row", "column").applyInArrow(run, "a long, b long"))
 
 
 def _alike(a: str, b: str):
@@ -152,6 +202,35 @@ def _alike(a: str, b: str):
     return (F.col(a) * NUM <= F.col(b) * DEN) & (F.col(b) * NUM <= F.col(a) * DEN)
 
 
+def _grouped(docs: DataFrame, full: DataFrame, groups: DataFrame) -> DataFrame:
+    """Joins up representatives with central members of their bands."""
+    if not BANDS:
+        return groups
+    with Scratch(docs.sparkSession) as keep:
+        keys = full.select("doc_id", "n", "marks", F.explode("bands").alias("band"))
+        keys = keys.join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+        shared = keys.groupBy("band").agg(F.count("*").alias("k")).where("k > 1")
+        keys = keep(keys.join(shared, "band").dropDuplicates(["band", "doc_id"]))
+        central = keep(keys.groupBy("doc_id").agg(F.sum("k").alias("central")))
+        tried = None
+        for _ in range(ROUNDS):
+            sized = groups.join(groups.groupBy("grp").agg(F.count("*").alias("size")), "grp")
+            placed = keep(keys.join(central, "doc_id").join(sized.select(F.col("rep").alias("doc_id"), "grp", "size"), "doc_id"))
+            order = W.partitionBy("band").orderBy(F.col("size").desc(), F.col("central").desc(), "doc_id")
+            lead = placed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= LEADERS)
+            lead = lead.select("band", F.col("doc_id").alias("a"), F.col("n").alias("m"), F.col("grp").alias("other"), F.col("marks").alias("theirs"))
+            agree = F.size(F.filter(F.zip_with("marks", "theirs", lambda x, y: x == y), lambda x: x))
+            met = placed.join(lead, "band").where("doc_id <> a AND grp <> other").where(_alike("n", "m")).withColumn("agree", agree).where(F.col("agree") >= AGREE)
+            met = met.select(F.col("doc_id").alias("b"), "a", "agree").distinct()
+            if tried is not None:
+                met = met.join(tried, ["a", "b"], "left_anti")
+            best = met.withColumn("r", F.row_number().over(W.partitionBy("b").orderBy(F.col("agree").desc(), "a"))).where(F.col("r") <= TRIED).select("a", "b")
+            best = keep(best)
+            tried = best if tried is None else tried.unionByName(best)
+            groups = _regrouped(groups, _links(docs, best))
+    return groups
+
+
 def _regrouped(groups: DataFrame, links: DataFrame) -> DataFrame:
     """groups (rep, n, grp), with the groups of linked representatives joined up."""
     if not links.limit(1).count():
@@ -163,23 +242,28 @@ def _regrouped(groups: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _opened(tokens: DataFrame, groups: DataFrame, share: float, many: int | None) -> tuple[DataFrame, DataFrame]:
-    """tokens (token, rep): prefixes. Pairs (a, b) to compare, and the representatives (rep) with too many common shingles."""
+    """tokens (token, rep): prefixes. Documents and the groups that they open (a, n, other, others, overlap), and the documents (rep) with too many common shingles."""
+    groups = groups.join(groups.groupBy("grp").agg(F.count("*").alias("size")), "grp")
     of_token = W.partitionBy("token")
     shared = tokens.withColumn("low", F.min("rep").over(of_token)).withColumn("high", F.max("rep").over(of_token)).where("low < high").select("token", "rep")
-    placed = written(shared.join(groups, "rep"))  # token, rep, n, grp
-    union = placed.select("token", "grp").distinct()
-    width = union.groupBy("token").agg(F.count("*").alias("width"))
-    common = width.where(F.col("width") > many) if many else width.where("false")
-    usable = width.where((F.col("width") > 1) & ((F.col("width") <= many) if many else F.lit(True))).select("token")
-    bound = F.lit(share - (1 - NUM / DEN)) * F.col("n") - F.lit(1e-6)
-    laden = placed.join(common.select("token"), "token", "left_semi").groupBy("rep").agg(F.count("*").alias("laden"))
-    matrix = union.join(usable, "token").select("token", F.col("grp").alias("other"))
-    overlap = placed.join(matrix, "token").where("grp < other").groupBy("rep", "n", "other").agg(F.count("*").alias("overlap"))
-    opened = overlap.join(laden, "rep", "left").where(F.col("overlap") + F.coalesce("laden", F.lit(0)) >= bound).select(F.col("rep").alias("a"), "n", "other")
-    members = groups.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("grp").alias("other"))
-    pairs = opened.join(members, "other").where(_alike("n", "m")).select("a", "b")
-    heavy = laden.join(groups, "rep").where(F.col("laden") >= bound).select("rep")
-    return pairs, heavy
+    with Scratch(groups.sparkSession) as keep:
+        placed = keep(shared.join(groups, "rep").select("token", "rep", "n", "grp", "size"))
+        union = placed.select("token", "grp", "size").distinct()
+        width = union.groupBy("token").agg(F.count("*").alias("width"))
+        common = width.where(F.col("width") > many) if many else width.where("false")
+        usable = width.where((F.col("width") > 1) & ((F.col("width") <= many) if many else F.lit(True))).select("token")
+        bound = F.lit(share - (1 - NUM / DEN)) * F.col("n") - F.lit(1e-6)
+        counted = placed.join(common.select("token"), "token", "left_semi").groupBy("rep").agg(F.count("*").alias("laden"))
+        laden = keep(groups.join(counted, "rep", "left").select("rep", "n", "grp", F.coalesce("laden", F.lit(0).cast("long")).alias("laden")).withColumn("heavy", (F.col("laden") > 0) & (F.col("laden") >= bound)))
+        lightest = laden.groupBy(F.col("grp").alias("other")).agg(F.min("laden").alias("least"), F.min("heavy").alias("all_heavy"))
+        matrix = union.join(usable, "token").select("token", F.col("grp").alias("other"), F.col("size").alias("others"))
+        asks = "size < others OR (size = others AND grp < other)"
+        overlap = placed.join(matrix, "token").where(asks).groupBy("rep", "n", "other", "others").agg(F.count("*").alias("overlap"))
+        # common shingles that a pair may share are at most those of its member with fewer; if both are heavy, the next step has them
+        met = overlap.join(laden.select("rep", "laden", "heavy"), "rep").join(lightest, "other").where(~(F.col("heavy") & F.col("all_heavy")))
+        opened = met.where(F.col("overlap") + F.least("laden", "least") >= bound).select(F.col("rep").alias("a"), "n", "other", "others", "overlap")
+        heavy = laden.where("heavy").select("rep")
+        return written(opened), written(heavy.distinct())
 
 
 def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -191,21 +275,24 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     member = written(full.select("doc_id", "digest").join(copies, "digest").select("doc_id", "rep", "n").distinct())
     groups = written(member.select("rep", "n").distinct().withColumn("grp", F.col("rep")))
 
-    keys = full.join(groups.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "n", F.explode("bands").alias("band"))
-    first = keys.groupBy("band").agg(F.min_by(F.struct("doc_id", "n"), "doc_id").alias("first"), F.count("*").alias("k")).where("k > 1")
-    near = keys.join(first, "band").where("doc_id <> first.doc_id").select(F.col("first.doc_id").alias("a"), F.col("doc_id").alias("b"), "n", F.col("first.n").alias("m"))
-    groups = _regrouped(groups, _links(docs, near.where(_alike("n", "m")).select("a", "b").distinct()))
-
+    groups = _grouped(docs, full, groups)
     tokens = full.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("rep"))
     for level, share in enumerate(SHARES):
         last = level == len(SHARES) - 1
-        pairs, heavy = _opened(tokens, groups, share, None if last else MANY)
-        links = _links(docs, pairs.distinct())
-        heavy = written(heavy.distinct())
+        opened, heavy = _opened(tokens, groups, share, None if last else MANY)
+        members = groups.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("grp").alias("other"))
+        pairs = opened.where(F.col("others") <= SMALL_GROUP).join(members, "other").where(_alike("n", "m"))
+        links = _links(docs, pairs.where((F.col("others") > 1) | F.lit(not last)).select("a", "b").distinct())
+        if last:  # whole sets, all expanded: the overlap with a group of one is that of the pair
+            exact = pairs.where((F.col("others") == 1) & (DEN * F.col("overlap") >= NUM * (F.col("n") + F.col("m") - F.col("overlap"))))
+            links = links.unionByName(exact.select("a", "b"))
+        large = opened.where(F.col("others") > SMALL_GROUP)
+        if large.limit(1).count():
+            links = links.unionByName(_block_links(docs, large.select("a", "other"), groups))
         groups = _regrouped(groups, links)
         if last or heavy.limit(2).count() < 2:
             break
-        tokens = _exploded(_sets(docs, heavy, SHARES[level + 1]))
+        tokens = _exploded(_sets(docs, heavy))
 
     # rows that share an id tie the sets they have together
     placed = member.join(groups.select("rep", "grp").distinct(), "rep")

@@ -56,7 +56,9 @@ def test_equals_brute_force(spark, seed, many, monkeypatch):
     monkeypatch.setattr(S, "MANY", many)
     if many == 1:
         monkeypatch.setattr(S, "BANDS", 0)  # no groups beforehand: the matrix alone has to find all
-        monkeypatch.setattr(S, "bands", lambda found: [])
+        monkeypatch.setattr(S, "bands", lambda marks: [])
+        monkeypatch.setattr(S, "SMALL_GROUP", 0)
+        monkeypatch.setattr(S, "BLOCK", 2)
     rows = corpus(seed, 150)
     got = S.similar_components(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, got.collect())) == brute(rows)
