@@ -255,13 +255,13 @@ def _opened(tokens: DataFrame, groups: DataFrame, share: float, many: int | None
         bound = F.lit(share - (1 - NUM / DEN)) * F.col("n") - F.lit(1e-6)
         counted = placed.join(common.select("token"), "token", "left_semi").groupBy("rep").agg(F.count("*").alias("laden"))
         laden = keep(groups.join(counted, "rep", "left").select("rep", "n", "grp", F.coalesce("laden", F.lit(0).cast("long")).alias("laden")).withColumn("heavy", (F.col("laden") > 0) & (F.col("laden") >= bound)))
-        lightest = laden.groupBy(F.col("grp").alias("other")).agg(F.min("laden").alias("least"), F.min("heavy").alias("all_heavy"))
+        heaviest = laden.groupBy(F.col("grp").alias("other")).agg(F.max("laden").alias("most"), F.min("heavy").alias("all_heavy"))
         matrix = union.join(usable, "token").select("token", F.col("grp").alias("other"), F.col("size").alias("others"))
         asks = "size < others OR (size = others AND grp < other)"
         overlap = placed.join(matrix, "token").where(asks).groupBy("rep", "n", "other", "others").agg(F.count("*").alias("overlap"))
-        # common shingles that a pair may share are at most those of its member with fewer; if both are heavy, the next step has them
-        met = overlap.join(laden.select("rep", "laden", "heavy"), "rep").join(lightest, "other").where(~(F.col("heavy") & F.col("all_heavy")))
-        opened = met.where(F.col("overlap") + F.least("laden", "least") >= bound).select(F.col("rep").alias("a"), "n", "other", "others", "overlap")
+        # common shingles that a pair may share are at most those of its member with fewer, and any member of the group may be that partner; if both are heavy, the next step has them
+        met = overlap.join(laden.select("rep", "laden", "heavy"), "rep").join(heaviest, "other").where(~(F.col("heavy") & F.col("all_heavy")))
+        opened = met.where(F.col("overlap") + F.least("laden", "most") >= bound).select(F.col("rep").alias("a"), "n", "other", "others", "overlap")
         heavy = laden.where("heavy").select("rep")
         return written(opened), written(heavy.distinct())
 

@@ -82,3 +82,31 @@ def test_query_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
     got = sorted(map(tuple, S.op7_similar(spark, "/root/testdata/sf0.01").collect()))
     assert got == brute([(r.doc_id, r.text) for r in docs])
+
+
+def partly_laden(seed):
+    """A group of two, of which one lacks the common passage, and a document that only the other links to through few shingles."""
+    for k in range(seed, seed + 100_000):
+        rng = random.Random(k)
+        word = lambda: f"v{rng.randrange(10_000)}"
+        passage, base = [word() for _ in range(6)], [word() for _ in range(12)]
+        holds = base + passage
+        asks, lacks = [word(), word(), *holds[2:]], holds[:-2]
+        x, full, less, common = (S.shingles(" ".join(w)) for w in (asks, holds, lacks, passage))
+        agree = lambda a, b: int((S.signature(a) == S.signature(b)).sum())
+        of = lambda found: set(S.prefix(found, S.SHARES[0]).tolist())
+        laden = set(common.tolist())
+        if laden <= of(x) & of(full) and len((of(x) & (of(full) | of(less))) - laden) == 2 and agree(full, less) >= 14 > max(agree(x, full), agree(x, less)):
+            texts = [asks, holds, lacks] + [[word() for _ in range(5)] + passage + [word() for _ in range(5)] for _ in range(30)]
+            return [(i, " ".join(t)) for i, t in enumerate(texts)]
+    raise AssertionError
+
+
+@pytest.mark.parametrize("seed", [0, 500_000])
+def test_group_that_partly_lacks_the_common_passage(spark, seed, monkeypatch):
+    monkeypatch.setattr(S, "MANY", 3)
+    monkeypatch.setattr(S, "AGREE", 14)
+    rows = partly_laden(seed)
+    assert brute(rows)[:3] == [(0, 14, 0), (1, 14, 0), (2, 12, 0)]
+    got = S.similar_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == brute(rows)
