@@ -1,17 +1,25 @@
 """Masked pseudo-likelihood: a bidirectional window network scores documents.
 
 Every word of a text is predicted from ``SIDE`` words on each side of it, itself
-masked; the sum of the conditional log-probabilities is the text's score. Words are
-classes of a bounded alphabet: the ``KNOWN`` most frequent words of the corpus, and
-``BUCKETS`` hash buckets of word endings for all others. The network: an embedding
-for each context word, weighted by its place, summed, and a softmax over classes.
-
-The corpus makes the model. Word counts are a Spark aggregation over all texts. For
-training, every task starts from the same weights, runs stochastic gradient descent
-in numpy over a fixed share of the positions of all its texts (``SHARE``, by place),
-and a Spark aggregation averages the tasks' weights, each by the positions it saw;
-``ROUNDS`` such rounds. Both grow with the corpus. The weights (about 9,000 numbers)
-and the known words are all that the driver holds and sends out.
+masked; the sum of the conditional log-probabilities is the text's score. A word's
+probability is P(class | both sides) * P(word | class). Classes are the ``KNOWN`` most
+frequent words of the corpus, and ``BUCKETS`` hash buckets of word endings, which
+share out all other words. The network gives the first factor: an embedding for each
+context word, weighted by its place, summed, and a softmax over classes. The second
+is the word's share of its class in the counts of all words of the corpus; one
+occurrence is set aside for words that the corpus does not have, and shared by as many
+of them as the class has words.
+
+The corpus makes the model, and the model grows with it: the counts have every
+distinct word, and the square root of the corpus' words is the number of further
+words with an embedding of their own (others have their class's). Word counts are a
+Spark aggregation over all texts. For training, every task starts from the same
+weights and runs stochastic gradient descent in numpy over its texts, and a Spark
+aggregation averages the tasks' weights, each by the positions it saw; ``ROUNDS`` such
+rounds, which take turns so that every position trains once. The driver holds and
+sends out the weights, the words with an embedding and two numbers for each bucket;
+the counts of all other words stay in Spark, which joins them by a 64-bit key (its
+collisions aside, exactly).
 
 Cases: null and empty texts have no words, a log-probability of 0 and a null mean; a
 word alone is predicted from the edges; an empty table gives no rows; extra columns
@@ -30,33 +38,66 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geofeat.llm.common import read, slices
+from geofeat.llm.common import read, slices, written
 
 KNOWN, BUCKETS, DIM, SIDE = 192, 64, 16, 2
 CLASSES = KNOWN + BUCKETS
 EDGE = CLASSES  # the context class beyond either end
 OFFSETS = tuple(d for d in range(-SIDE, SIDE + 1) if d)
-#: One in so many positions trains in a round.
-SHARE, ROUNDS, BATCH, RATE = 16, 2, 512, 0.5
+#: Every position trains in one of the rounds.
+ROUNDS, BATCH, RATE = 2, 512, 0.5
 SCORED_AT_ONCE = 1_024
-REMEMBERED, COUNTED_AT_ONCE = 300_000, 200_000
+REMEMBERED, COUNTED_AT_ONCE, SENT_AT_ONCE = 300_000, 200_000, 10_000
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def bucket(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word[-3:]) % BUCKETS
+
+
+def key_of(word: bytes) -> int:
+    """Key of a word in a bucket: negative, the bucket in its last bits."""
+    return (xxhash.xxh3_64_intdigest(word) | 1 << 63) // BUCKETS * BUCKETS + bucket(word) - (1 << 64)
+
+
 @dataclass
 class Alphabet:
-    """Word to class."""
+    """Word to class, to row of the embeddings, and to its share of its class."""
 
     known: dict[bytes, int]
+    #: Further words with an embedding, and what they occur, in the order of their rows after EDGE.
+    further: dict[bytes, int] = field(default_factory=dict)
+    #: Occurrences and distinct words of each bucket; without them only classes are scored.
+    totals: np.ndarray | None = None
+    distinct: np.ndarray | None = None
+    counts: DataFrame | None = None  # key, n: every word in a bucket; stays with the driver
     memo: dict[bytes, int] = field(default_factory=dict)
 
+    def __post_init__(self):
+        self.rows = {w: EDGE + 1 + i for i, w in enumerate(self.further)} | self.known
+        ends = np.array([bucket(w) for w in self.further], np.int64)
+        self.class_of = np.concatenate([np.arange(CLASSES + 1), KNOWN + ends])
+        self.of_row = np.zeros(len(self.class_of))
+        if self.totals is not None:
+            self.of_row[KNOWN:CLASSES] = -np.log(self.totals + 1)
+            self.of_row[CLASSES + 1 :] = np.log(np.array(list(self.further.values()), float)) - np.log(self.totals[ends] + 1)
+
     def __getstate__(self):
-        return {"known": self.known, "memo": {}}
+        return self.__dict__ | {"counts": None, "memo": {}}
 
     def classes(self, text: str | None) -> np.ndarray:
+        return self.class_of[self.placed(text)[0]]
+
+    def placed(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of a text's words, and the keys of those words that have no row of their own."""
+        codes = self._codes(text)
+        other = codes < 0
+        return np.where(other, KNOWN + (codes & (BUCKETS - 1)), codes), codes[other]
+
+    def _codes(self, text: str | None) -> np.ndarray:
         words, memo = words_of(text), self.memo
         try:
             return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
@@ -65,31 +106,33 @@ class Alphabet:
                 memo.clear()
             for w in words:
                 if w not in memo:
-                    found = self.known.get(w)
-                    memo[w] = KNOWN + xxhash.xxh3_64_intdigest(w[-3:]) % BUCKETS if found is None else found
+                    found = self.rows.get(w)
+                    memo[w] = key_of(w) if found is None else found
             return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
 
 
 @dataclass
 class WindowNetwork:
-    embed: np.ndarray  # CLASSES + 1 by DIM
+    embed: np.ndarray  # CLASSES + 1 and further words by DIM
     place: np.ndarray  # offsets by DIM
     out: np.ndarray  # DIM by CLASSES
     bias: np.ndarray  # CLASSES
 
     @staticmethod
-    def start(share: np.ndarray, seed: int = 5) -> "WindowNetwork":
-        """share: relative frequency of each class."""
+    def start(share: np.ndarray, seed: int = 5, class_of: np.ndarray | None = None) -> "WindowNetwork":
+        """share: relative frequency of each class; class_of: rows of further words start as their class's."""
         rng = np.random.default_rng(seed)
         draw = lambda *shape: ((rng.random(shape) - 0.5) / np.sqrt(DIM)).astype(np.float32)
-        return WindowNetwork(draw(CLASSES + 1, DIM), np.ones((len(OFFSETS), DIM), np.float32), draw(DIM, CLASSES), np.log(share + 1e-6).astype(np.float32))
+        embed = draw(CLASSES + 1, DIM)
+        return WindowNetwork(embed if class_of is None else embed[class_of], np.ones((len(OFFSETS), DIM), np.float32), draw(DIM, CLASSES), np.log(share + 1e-6).astype(np.float32))
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.embed.ravel(), self.place.ravel(), self.out.ravel(), self.bias])
 
     @staticmethod
     def of(flat: np.ndarray) -> "WindowNetwork":
-        shapes = [(CLASSES + 1, DIM), (len(OFFSETS), DIM), (DIM, CLASSES), (CLASSES,)]
+        fixed = [(len(OFFSETS), DIM), (DIM, CLASSES), (CLASSES,)]
+        shapes = [((len(flat) - sum(int(np.prod(s)) for s in fixed)) // DIM, DIM), *fixed]
         cuts = np.cumsum([int(np.prod(s)) for s in shapes])[:-1]
         return WindowNetwork(*(part.reshape(s).astype(np.float32) for part, s in zip(np.split(np.asarray(flat), cuts), shapes)))
 
@@ -100,19 +143,32 @@ class WindowNetwork:
         z -= z.max(1, keepdims=True)
         return z - np.log(np.exp(z).sum(1, keepdims=True))
 
-    def log_likelihood(self, found: np.ndarray) -> float:
-        """Sum over all places of a text's classes, each given those around it."""
-        placed, total, one = self.embed * self.place[:, None, :], 0.0, np.ones(CLASSES, np.float32)
-        padded = np.concatenate([np.full(SIDE, EDGE), found, np.full(SIDE, EDGE)])
+    def bounded(self, hidden: np.ndarray) -> bool:
+        """Whether no logit of these rows can overflow in exp, so that their maximum need not be taken off."""
+        longest = np.sqrt(np.einsum("ij,ij->i", hidden, hidden).max() * np.einsum("ij,ij->j", self.out, self.out).max())
+        return bool(longest + np.abs(self.bias).max() < 60)
+
+    def log_likelihood(self, found: np.ndarray, rows: np.ndarray | None = None) -> float:
+        """Sum over all places of a text's classes, each given the words around it (rows; without them, their classes)."""
+        placed, total, one = self.embed * self.place[:, None, :] if rows is None else None, 0.0, np.ones(CLASSES, np.float32)
+        rows = found if rows is None else rows
+        padded = np.concatenate([np.full(SIDE, EDGE), rows, np.full(SIDE, EDGE)])
         for a in range(0, len(found), SCORED_AT_ONCE):
             target = found[a : a + SCORED_AT_ONCE]
             n = len(target)
-            hidden = placed[0].take(padded[a : a + n], 0)
-            for j, d in enumerate(OFFSETS[1:], 1):
-                hidden += placed[j].take(padded[a + SIDE + d : a + SIDE + d + n], 0)
+            if placed is None:
+                seen = self.embed.take(padded[a : a + n + 2 * SIDE], 0)
+                hidden = seen[:n] * self.place[0]
+                for j, d in enumerate(OFFSETS[1:], 1):
+                    hidden += seen[SIDE + d : SIDE + d + n] * self.place[j]
+            else:
+                hidden = placed[0].take(padded[a : a + n], 0)
+                for j, d in enumerate(OFFSETS[1:], 1):
+                    hidden += placed[j].take(padded[a + SIDE + d : a + SIDE + d + n], 0)
             z = hidden @ self.out
             z += self.bias
-            z -= z.max(1, keepdims=True)
+            if not self.bounded(hidden):
+                z -= z.max(1, keepdims=True)
             own = z[np.arange(n), target].sum(dtype=np.float64)
             total += float(own - np.log(np.exp(z, out=z) @ one).sum(dtype=np.float64))
         return total
@@ -121,11 +177,13 @@ class WindowNetwork:
         """One step over a batch."""
         seen = self.embed[context]
         hidden = (seen * self.place).sum(1)
-        z = hidden @ self.out + self.bias
-        z = np.exp(z - z.max(1, keepdims=True))
-        grad = z / z.sum(1, keepdims=True)
-        grad[np.arange(len(target)), target] -= 1
-        grad *= rate / len(target)
+        grad = hidden @ self.out
+        grad += self.bias
+        if not self.bounded(hidden):
+            grad -= grad.max(1, keepdims=True)
+        np.exp(grad, out=grad)
+        grad *= (rate / len(target)) / grad.sum(1, keepdims=True)
+        grad[np.arange(len(target)), target] -= rate / len(target)
         back = grad @ self.out.T
         self.out -= hidden.T @ grad
         self.bias -= grad.sum(0)
@@ -133,7 +191,7 @@ class WindowNetwork:
         self.place -= (back[:, None, :] * seen).sum(0)
         # sum of the changes of each embedding row
         rows = context.ravel()
-        spread = np.zeros((len(rows), CLASSES + 1), np.float32) if len(rows) <= 64 else None
+        spread = np.zeros((len(rows), len(self.embed)), np.float32) if len(rows) <= 64 else None
         if spread is not None:
             spread[np.arange(len(rows)), rows] = 1
             self.embed -= spread.T @ change.reshape(-1, DIM)
@@ -172,74 +230,122 @@ def count_words(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def alphabet(df: DataFrame, text_col: str = "text") -> Alphabet:
-    top = count_words(df, text_col).orderBy(F.col("n").desc(), "word").limit(KNOWN).collect()
-    return Alphabet({bytes(r.word): i for i, r in enumerate(top)})
+    """Every word of the frame: classes, words with an embedding, and the counts of all others."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([key_of(w) for w in part.column(0).to_pylist()], pa.int64())], names=["word", "n", "key"])
+
+    counts = written(count_words(df, text_col).mapInArrow(run, "word binary, n long, key long"))
+    occurs = counts.agg(F.sum("n")).first()[0] or 0
+    top = counts.orderBy(F.col("n").desc(), "word").limit(KNOWN + int(occurs**0.5)).select("word", "n", "key").collect()
+    known = {bytes(r.word): i for i, r in enumerate(top[:KNOWN])}
+    totals, distinct = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for r in counts.groupBy(F.col("key").bitwiseAND(BUCKETS - 1).alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
+        totals[r.b], distinct[r.b] = r.n, r.k
+    for r in top[:KNOWN]:
+        totals[bucket(bytes(r.word))] -= r.n
+        distinct[bucket(bytes(r.word))] -= 1
+    return Alphabet(known, {bytes(r.word): r.n for r in top[KNOWN:]}, totals, distinct, counts.groupBy("key").agg(F.sum("n").alias("n")))
+
+
+def places(n: int, turn: int) -> np.ndarray:
+    """The places of a text of n words that train in a round."""
+    return np.arange((n + turn) % ROUNDS, n, ROUNDS)
 
 
 def fit(df: DataFrame, text_col: str = "text") -> tuple[Alphabet, WindowNetwork]:
     """Learns from every text of the frame."""
     spark = df.sparkSession
     words = alphabet(df, text_col)
-    network = WindowNetwork.start(np.full(CLASSES, 1 / CLASSES))
+    network = WindowNetwork.start(np.full(CLASSES, 1 / CLASSES), class_of=words.class_of)
     for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast((words, network.flat(), turn))
 
         def run(batches):
             own, flat, turn = shared.value
-            net, seen = WindowNetwork.of(flat), 0
+            net, seen = WindowNetwork.of(flat.copy()), 0
             contexts, targets, waiting = [], [], 0
             for batch in batches:
                 for part in slices(batch):
                     for text in part.column(0).to_pylist():
-                        found = own.classes(text)
-                        at = np.arange((len(found) * 7 + turn * SHARE // 2) % SHARE, len(found), SHARE)
-                        if len(at):
-                            contexts.append(windows(found, at))
-                            targets.append(found[at])
-                            waiting += len(at)
-                        if waiting >= BATCH:
-                            net.train(np.concatenate(contexts), np.concatenate(targets), RATE / (1 + seen / 200_000) ** 0.5)
-                            seen += waiting
-                            contexts, targets, waiting = [], [], 0
+                        rows = own.placed(text)[0]
+                        at = places(len(rows), turn)
+                        for a in range(0, len(at), BATCH):
+                            contexts.append(windows(rows, at[a : a + BATCH]))
+                            targets.append(own.class_of[rows[at[a : a + BATCH]]])
+                            waiting += len(targets[-1])
+                            if waiting >= BATCH:
+                                net.train(np.concatenate(contexts), np.concatenate(targets), RATE / (1 + seen / 200_000) ** 0.5)
+                                seen += waiting
+                                contexts, targets, waiting = [], [], 0
             if waiting:
                 net.train(np.concatenate(contexts), np.concatenate(targets), RATE / (1 + seen / 200_000) ** 0.5)
                 seen += waiting
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([net.flat()], pa.list_(pa.float32()))], names=["seen", "weights"])
-
-        tasks = df.select(text_col).mapInArrow(run, "seen long, weights array<float>").where("seen > 0")
-        means = tasks.select("seen", F.posexplode("weights").alias("i", "w")).groupBy("i").agg((F.sum(F.col("w").cast("double") * F.col("seen")) / F.sum("seen")).alias("w")).orderBy("i").collect()
-        if not means:
+            change = (net.flat() - flat).reshape(-1, DIM)
+            moved = np.flatnonzero(change.any(1))
+            at = np.concatenate([[-1], moved])
+            change = np.concatenate([np.zeros((1, DIM), np.float32), change[moved]])
+            for a in range(0, len(at), SENT_AT_ONCE):
+                part = change[a : a + SENT_AT_ONCE]
+                ends = np.arange(0, part.size + 1, DIM, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(at[a : a + SENT_AT_ONCE]), pa.array(np.full(len(part), seen)), pa.ListArray.from_arrays(pa.array(ends), pa.array(part.ravel()))], names=["i", "seen", "change"])
+
+        # mean of the tasks' weights, by the positions they saw; line -1 has the positions of all
+        tasks = df.select(text_col).mapInArrow(run, "i long, seen long, change array<float>").where("seen > 0")
+        sums = tasks.groupBy("i").agg(F.sum("seen").alias("seen"), *(F.sum(F.col("change")[j].cast("double") * F.col("seen")).alias(f"c{j}") for j in range(DIM))).collect()
+        if not sums:
             break
-        network = WindowNetwork.of(np.array([r.w for r in means]))
+        seen = next(r.seen for r in sums if r.i < 0)
+        lines = network.flat().reshape(-1, DIM).astype(np.float64)
+        for r in sums:
+            if r.i >= 0:
+                lines[r.i] += np.array(r[2:]) / seen
+        network = WindowNetwork.of(lines.ravel())
     return words, network
 
 
 def score_text(text: str | None, words: Alphabet, network: WindowNetwork) -> tuple[int, float]:
-    """Number of words and the sum of their conditional log-probabilities."""
-    found = words.classes(text)
-    return len(found), network.log_likelihood(found)
+    """Number of words and the sum of their conditional log-probabilities, those without a row of their own as if they occurred once."""
+    return _scored(text, words, network)[:2]
+
+
+def _scored(text: str | None, words: Alphabet, network: WindowNetwork) -> tuple[int, float, np.ndarray]:
+    rows, others = words.placed(text)
+    return len(rows), network.log_likelihood(words.class_of[rows], rows) + float(words.of_row[rows].sum()), others
 
 
-def scored(df: DataFrame, words: Alphabet, network: WindowNetwork, text_col: str = "text") -> DataFrame:
+def scored(df: DataFrame, words: Alphabet, network: WindowNetwork, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """Adds ``n_words``, ``log_prob`` (the sum) and ``mean_log_prob``."""
     shared = df.sparkSession.sparkContext.broadcast((words, network.flat()))
-    new = [T.StructField("n_words", T.LongType()), T.StructField("log_prob", T.DoubleType())]
-    rest = df.drop(*(c for c in ("n_words", "log_prob", "mean_log_prob") if c != text_col))
+    new = [T.StructField("n_words", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("_others", T.ArrayType(T.LongType()))]
+    rest = df.drop(*(c for c in ("n_words", "log_prob", "mean_log_prob") if c != text_col)).withColumn("_row", F.monotonically_increasing_id())
     at = rest.columns.index(text_col)
-    schema = T.StructType([*rest.schema.fields, *new])
+    passed = [i for i in range(len(rest.columns)) if keep_text or i != at]
+    schema = T.StructType([*(rest.schema.fields[i] for i in passed), *new])
 
     def run(batches):
         own, flat = shared.value
         net = WindowNetwork.of(flat)
         for batch in batches:
             for part in slices(batch):
-                found = [score_text(t, own, net) for t in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([n for n, _ in found], pa.int64()), pa.array([x for _, x in found], pa.float64())], names=schema.names)
+                found = [_scored(t, own, net) for t in part.column(at).to_pylist()]
+                ends = np.concatenate([[0], np.cumsum([len(x) for *_, x in found])]).astype(np.int32)
+                others = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *(x for *_, x in found)])))
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in passed), pa.array([n for n, *_ in found], pa.int64()), pa.array([x for _, x, _ in found], pa.float64()), others], names=schema.names)
 
-    return rest.mapInArrow(run, schema).withColumn("mean_log_prob", F.col("log_prob") / F.nullif(F.col("n_words"), F.lit(0)))
+    out = written(rest.mapInArrow(run, schema))
+    if words.counts is not None:
+        # what a word occurs, for the words without a row; those that the corpus does not have share one occurrence
+        absent = F.element_at(F.array(*(F.lit(-float(np.log(k + 1))) for k in words.distinct)), (F.col("key").bitwiseAND(BUCKETS - 1) + 1).cast("int"))
+        others = out.select("_row", F.explode("_others").alias("key")).join(words.counts, "key", "left")
+        more = others.groupBy("_row").agg(F.sum(F.coalesce(F.log("n"), absent)).alias("_more"))
+        out = out.join(more, "_row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("_more", F.lit(0.0)))
+    return out.select(*(rest.columns[i] for i in passed if rest.columns[i] != "_row"), "n_words", "log_prob", (F.col("log_prob") / F.nullif(F.col("n_words"), F.lit(0))).alias("mean_log_prob"))
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudo-likelihood of every document under a network that all of them train."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return scored(docs, *fit(docs)).select("doc_id", "n_words", "log_prob", "mean_log_prob")
+    return scored(docs, *fit(docs), keep_text=False).select("doc_id", "n_words", "log_prob", "mean_log_prob")

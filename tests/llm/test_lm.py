@@ -62,3 +62,30 @@ def test_cases(spark):
 def test_query(spark):
     got = lm.op4_lm_score(spark, "/root/testdata/sf0.001").collect()
     assert len(got) == 200 and all(r.log_prob <= 0 for r in got)
+
+
+def test_words_of_one_bucket_score_by_their_counts(spark):
+    spread = [f"w{i}" for i in range(400)] * 3  # as many words as take all classes and rows of their own
+    words = spread + ["xxabc"] * 2 + ["yyabc"]
+    df = spark.createDataFrame([(0, " ".join(words))], "doc_id long, text string")
+    model = lm.fit(df)
+    assert len(model[0].known) == lm.KNOWN and "xxabc".encode() not in model[0].rows
+    asked = spark.createDataFrame([(0, "xxabc"), (1, "yyabc"), (2, "zzabc")], "doc_id long, text string")
+    twice, once, never = (r.log_prob for r in lm.scored(asked, *model).orderBy("doc_id").collect())
+    assert abs(twice - once - np.log(2)) < 1e-6 and never < once - 1e-6
+    plain = lm.Alphabet(model[0].known)
+    b = lm.bucket(b"xxabc")
+    members = [w for w in set(words) if w.encode() not in model[0].known and lm.bucket(w.encode()) == b]
+    share = 2 / (sum(words.count(w) for w in members) + 1)
+    assert abs(twice - lm.score_text("xxabc", plain, model[1])[1] - np.log(share)) < 1e-5
+
+
+def test_alphabet_grows_with_the_corpus(spark):
+    rows = [(i, " ".join(f"w{i}x{j % 100}" for j in range(1_000))) for i in range(40)]
+    sizes = [len(lm.alphabet(spark.createDataFrame(rows[:n], "doc_id long, text string")).rows) for n in (4, 40)]
+    assert sizes[0] == lm.KNOWN + 63 and sizes[1] == lm.KNOWN + 200
+
+
+def test_every_position_trains_once():
+    for n in range(9):
+        assert sorted(np.concatenate([lm.places(n, turn) for turn in range(lm.ROUNDS)]).tolist()) == list(range(n))
