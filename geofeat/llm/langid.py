@@ -6,8 +6,9 @@ Table and softmax are trained together by stochastic gradient descent in numpy.
 A part of the sample set aside gives the temperature of the softmax and the score
 below which a prediction should be rejected (column ``accepted``).
 
-Training takes a bounded sample of the labelled rows (``SAMPLE``, drawn by a hash
-of the text, so copies do not lean on their ids). Prediction reads each whole text
+Training takes a bounded sample of each language (``SAMPLE`` distinct texts with the
+smallest hashes), so a rare language keeps its texts at any input size and copies take
+no one's place. Prediction reads each whole text
 once in the task which reads it, without a shuffle; the softmax is folded into the
 table, so a text costs one lookup for each subword. The model (2 MB at most for 8
 languages) is the only broadcast.
@@ -25,13 +26,15 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geofeat.llm.common import held_out, read, slices
 
-#: Labelled rows that a model may learn from, at most (about: rows are drawn by hash).
+#: Distinct labelled texts of each language that a model may learn from, at most.
 SAMPLE = 2_000
+PARTS = 1_000_000_007
 BUCKETS, DIM = 1 << 16, 16
 SIZES = (2, 3, 4)
 #: Bytes of a text that make one training example; a text gives several, over its whole length.
@@ -134,13 +137,14 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> LanguageModel:
 
 
 def sample(df: DataFrame, limit: int = SAMPLE) -> list[tuple[str, str]]:
-    """About ``limit`` labelled rows at most, drawn by a hash of the text."""
-    labelled = df.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    n = labelled.count()
-    if n == 0:
-        return []
-    part = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1e6 * min(1.0, 0.9 * limit / n))
-    rows = (labelled.where(part) if n > limit else labelled).select("text", "lang").limit(limit).collect()
+    """Of every language the ``limit`` distinct texts with the smallest hashes, or all; any order and partitioning of the rows gives the same."""
+    hashed = df.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang", F.xxhash64("text").alias("h"))
+    sizes = hashed.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    # a little more than the bound passes by its hash, so that ranking has few rows however large a language is
+    near = F.pmod("h", F.lit(PARTS)) * F.col("n") < F.lit(float(PARTS)) * (limit + 8 * limit**0.5 + 50)
+    few = hashed.join(F.broadcast(sizes), "lang").where(near).dropDuplicates(["lang", "h", "text"])
+    order = W.partitionBy("lang").orderBy(F.pmod("h", F.lit(PARTS)), "h", "text")
+    rows = few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= limit).select("text", "lang").collect()
     return sorted((r.text, r.lang) for r in rows)
 
 

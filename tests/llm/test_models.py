@@ -68,3 +68,13 @@ def test_toxicity_cases(spark):
     none = toxicity.fit(df.select("doc_id", "text"), spark.createDataFrame([], "doc_id long, toxic int"))
     assert none.trees is None
     assert toxicity.scored(df.where(F.lit(False)), model).count() == 0
+
+
+def test_language_sample_is_stratified_and_distinct(spark):
+    rows = [("the same text", "en")] * 300 + [(f"text number {i}", "en") for i in range(300)] + [(f"Wort {i}", "de") for i in range(5)] + [("the same text", "fr"), (None, "en"), ("x", None)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    got = langid.sample(df, 50)
+    assert len(set(got)) == len(got)
+    assert {lang: sum(x == lang for _, x in got) for lang in ("en", "de", "fr")} == {"en": 50, "de": 5, "fr": 1}
+    assert got == langid.sample(df.repartition(7), 50) == langid.sample(df.orderBy(F.desc("text")).coalesce(1), 50)
+    assert len(langid.sample(df.where("false"))) == 0
