@@ -111,22 +111,26 @@ def k_nearest(q: DataFrame, t: DataFrame, k: int, start_m: float = 250.0, max_ro
     """The k nearest points of ``t`` for each of ``q``, ranked by metres, then obj_id.
 
     The search radius doubles for the inputs that found fewer than k; a found set is
-    final because every point within the radius has been seen.
+    final because every point within the radius has been seen. Inputs that have fewer
+    than k after all rounds are compared with every point, at any distance.
     """
     found, rest, radius = None, q, start_m
     order = W.partitionBy("geom_id").orderBy("dist_m", "obj_id")
-    for i in range(max_rounds):
+    for _ in range(max_rounds):
         pairs = dwithin_points(rest, t, radius).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         pairs = written(pairs)
-        done = pairs.groupBy("geom_id").agg(F.count("*").alias("n")).where(F.col("n") >= k) if i < max_rounds - 1 else pairs.select("geom_id").distinct()
+        done = pairs.groupBy("geom_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
         done = written(done.select("geom_id"))
         ready = pairs.join(done, "geom_id", "left_semi")
         found = ready if found is None else found.unionByName(ready)
         rest = written(rest.join(done, "geom_id", "left_anti"))
         if not rest.limit(1).count():
-            break
+            return found
         radius *= 2
-    return found
+    dist = geo.distance_m(F.col("q_lon"), F.col("q_lat"), F.col("t_lon"), F.col("t_lat"))
+    every = rest.withColumnsRenamed({"lon": "q_lon", "lat": "q_lat"}).crossJoin(t.withColumnsRenamed({"lon": "t_lon", "lat": "t_lat"})).withColumn("dist_m", dist)
+    last = written(every.where(F.col("dist_m").isNotNull()).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+    return last if found is None else found.unionByName(last.select(*found.columns))
 
 
 def closest(pairs: DataFrame, by: str = "geom_id") -> DataFrame:
