@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -255,6 +257,35 @@ def vector_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), 2)), F.lit(0.0), lambda s, x: s + x))
 
 
+def distance_correlation(df: DataFrame, key: str, a: str, b: str, block: int = 1_024) -> DataFrame:
+    """Pearson correlation of the two full pairwise distance matrices of vectors ``a`` and ``b`` (both orders and the diagonal included).
+
+    Rows are dealt into blocks of about ``block``; each pair of blocks is a task's
+    group, which returns the sums of its distances, and the sums add up.
+    """
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("array<double>").alias("a"), F.col(b).cast("array<double>").alias("b"), key)
+    n = -(-rows.count() // block)
+    sums = ("k", "u", "v", "uu", "vv", "uv")
+
+    def run(table: pa.Table) -> pa.Table:
+        left = np.array(table.column("left").to_pylist(), bool)
+        found = []
+        for name in ("a", "b"):
+            x = np.array(table.column(name).to_pylist(), float).reshape(len(left), -1)
+            x, y = x[left], x[~left]
+            found.append(np.stack([np.sqrt(((y - row) ** 2).sum(1)) for row in x]).ravel() if len(x) else np.empty(0))
+        u, v = found
+        return pa.table(dict(zip(sums, ([float(s)] for s in (len(u), u.sum(), v.sum(), u @ u, v @ v, u @ v)))))
+
+    own = F.pmod(F.xxhash64(key), F.lit(max(n, 1)))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n, 1) - 1).cast("long")))
+    sides = [rows.select(own.alias("row"), every.alias("column"), F.lit(True).alias("left"), "a", "b"), rows.select(every.alias("row"), own.alias("column"), F.lit(False).alias("left"), "a", "b")]
+    parts = sides[0].unionByName(sides[1]).groupBy("row", "column").applyInArrow(run, ", ".join(f"{s} double" for s in sums))
+    k, u, v, uu, vv, uv = (F.sum(s) for s in sums)
+    spread = F.sqrt((k * uu - u * u) * (k * vv - v * v))
+    return parts.agg(((k * uv - u * v) / F.nullif(spread, F.lit(0.0))).alias("correlation"))
+
+
 def scaled_loss(pred: Column, y: Column) -> Column:
     return F.abs(F.log((pred + 1) / (y + 1)))
 

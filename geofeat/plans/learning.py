@@ -146,10 +146,8 @@ def _(t):
 
 @query("x6_distance_correlation", ", s AS (SELECT vec_id, embedding AS a, list_transform(embedding[1:8], lambda x: x * 2) AS b FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 500)), d AS (SELECT list_distance(x.a, y.a) AS u, list_distance(x.b, y.b) AS v FROM s x, s y) SELECT round(corr(u, v), 4) AS correlation FROM d".replace(", s AS", "WITH s AS", 1))
 def _(t):
-    sample = t("embeddings").orderBy("vec_id").limit(500).select(F.col("embedding").alias("a"), F.transform(F.slice("embedding", 1, 8), lambda x: x * 2).alias("b"))
-    other = F.broadcast(sample.select(F.col("a").alias("a2"), F.col("b").alias("b2")))
-    both = sample.join(other).select(tb.vector_distance(F.col("a"), F.col("a2")).alias("u"), tb.vector_distance(F.col("b"), F.col("b2")).alias("v"))
-    return both.agg(r(F.corr("u", "v"), 4).alias("correlation"))
+    rows = t("embeddings").select("vec_id", F.col("embedding").alias("a"), F.transform(F.slice("embedding", 1, 8), lambda x: x * 2).alias("b"))
+    return tb.distance_correlation(rows, "vec_id", "a", "b").select(r(F.col("correlation"), 4).alias("correlation"))
 
 
 @query("b2_feature_image", ", f AS (SELECT obj_id, min_lon AS lon, min_lat AS lat, height AS v, 'height' AS channel FROM buildings UNION ALL SELECT obj_id, min_lon, min_lat, ground, 'ground' FROM buildings), m AS (SELECT channel, min(lon) AS x, min(lat) AS y, min(v) AS a, max(v) AS b FROM f GROUP BY channel), c AS (SELECT f.channel, CAST(round_even((lon - x) / (500 * (1e-5 / 1.11e0)), 0) AS INTEGER) AS ix, CAST(round_even((lat - y) / (500 * (1e-5 / 1.11e0)), 0) AS INTEGER) AS iy, obj_id, (v - a) / (b - a) AS v FROM f JOIN m ON f.channel = m.channel) SELECT channel, ix, iy, round(arg_max(v, obj_id), 6) AS value FROM c GROUP BY channel, ix, iy", ("buildings",))

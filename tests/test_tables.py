@@ -1,7 +1,9 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from geofeat.operators import tables as tb
+from geofeat.plans import registry
 
 
 def test_read_layer_and_append(spark, tmp_path):
@@ -55,3 +57,13 @@ def test_tiles(spark):
     assert tiles.groupBy("tile_row", "tile_col").count().collect() and tiles.count() == 50
     again = tb.tiles_to_image(tiles.drop("row", "col"), 5)
     assert again.where("row * 10 + col <> v").count() == 0
+
+
+def test_distance_correlation_of_all_rows(spark, tmp_path):
+    x = np.random.default_rng(3).random((620, 12)) * np.linspace(0.2, 3, 620)[:, None]
+    spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    far = lambda y: np.sqrt(((y[:, None] - y[None]) ** 2).sum(-1)).ravel()
+    expected = np.corrcoef(far(x), far(2 * x[:, :8]))[0, 1]
+    assert registry.queries()["x6_distance_correlation"](spark, str(tmp_path)).first()[0] == round(expected, 4)
+    rows = spark.read.parquet(str(tmp_path / "embeddings.parquet")).select("vec_id", F.col("embedding").alias("a"), F.transform(F.slice("embedding", 1, 8), lambda y: y * 2).alias("b"))
+    assert abs(tb.distance_correlation(rows, "vec_id", "a", "b", 150).first()[0] - expected) < 1e-9
