@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -129,10 +131,25 @@ def missing_features(inputs: DataFrame, store: DataFrame, names: list[str]) -> D
 
 
 def hash_geoms(df: DataFrame, wkt: str = "wkt") -> DataFrame:
-    """md5 of a set of geometries, the same for any order and any repetition."""
+    """md5 of a set of geometries, the same for any order and any repetition.
+
+    Tasks sort, number and write out the lines, each its own range. md5 itself takes
+    bytes in order only, so the driver runs it over the ranges one after another and
+    holds no more than one of them.
+    """
+    spark = df.sparkSession
     quoted = lambda x: F.when(x.contains(","), F.concat(F.lit('"'), x, F.lit('"'))).otherwise(x)
-    rows = F.transform(F.array_sort(F.collect_set(wkt)), lambda x, i: F.concat(i.cast("string"), F.lit(","), quoted(x), F.lit("\n")))
-    return df.agg(F.md5(F.array_join(rows, "")).alias("hash"))
+    numbered = stage_inputs(df.select(F.col(wkt).alias("wkt")).where("wkt IS NOT NULL").distinct(), ["wkt"])
+    lines = numbered.select("geom_id", F.concat(F.col("geom_id").cast("string"), F.lit(","), quoted(F.col("wkt")), F.lit("\n")).cast("binary").alias("line")).orderBy("geom_id").select("line")
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(batch.column(0).to_pylist())], pa.binary())], names=["bytes"])
+
+    digest = hashlib.md5()
+    for row in lines.mapInArrow(run, "bytes binary").toLocalIterator():
+        digest.update(row[0])
+    return spark.range(1).select(F.lit(digest.hexdigest()).alias("hash"))
 
 
 # --- folds, samples, labels

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -67,3 +69,12 @@ def test_distance_correlation_of_all_rows(spark, tmp_path):
     assert registry.queries()["x6_distance_correlation"](spark, str(tmp_path)).first()[0] == round(expected, 4)
     rows = spark.read.parquet(str(tmp_path / "embeddings.parquet")).select("vec_id", F.col("embedding").alias("a"), F.transform(F.slice("embedding", 1, 8), lambda y: y * 2).alias("b"))
     assert abs(tb.distance_correlation(rows, "vec_id", "a", "b", 150).first()[0] - expected) < 1e-9
+
+
+def test_hash_of_geometries_gathers_no_array(spark, monkeypatch):
+    monkeypatch.delattr(tb.F, "collect_set")
+    texts = [f"POINT ({i} 2)" for i in range(300)] + [f"LINESTRING ({i} 2, 3 4)" for i in range(300)]
+    df = spark.createDataFrame([(x,) for x in [*texts, *texts[::-3], None]], "wkt string")
+    lines = (f'{i},"{x}"\n' if "," in x else f"{i},{x}\n" for i, x in enumerate(sorted(texts)))
+    assert tb.hash_geoms(df.repartition(7)).collect() == [(hashlib.md5("".join(lines).encode()).hexdigest(),)]
+    assert tb.hash_geoms(df.where("false")).collect() == [(hashlib.md5(b"").hexdigest(),)]
