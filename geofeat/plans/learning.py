@@ -232,5 +232,5 @@ def _(t):
 def _(t):
     layer = buildings(t)
     score = lambda c: c.withColumn("score", cl.cluster_baseline_score(F.size("buildings"), geo.area_m2(F.col("hull")), F.lit(0.0), F.lit(0.0)))
-    grown = cl.grow_clusters(layer, layer, score, radius=60.0, beam=3, iterations=2)
+    grown = cl.grow_clusters(layer, layer, score, radius=60.0)
     return grown.select("start", F.size("buildings").alias("n"), r(F.col("score"), 6).alias("score"))
