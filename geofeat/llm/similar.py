@@ -10,28 +10,34 @@ document's connected component. It is exact (but for collisions of 64-bit hashes
    the fullest, and verified links are joined up. A group is connected already, so
    nothing inside it is compared again; thousands of near copies cost a comparison
    or two each.
-3. The token-group matrix: with the shingles of each set in hash order, the first
-   ``share`` of them are its prefix, and a group's token union is that of its
-   members' prefixes. If two sets of at most n shingles link, their prefixes have at
-   least ``(share - 1/4) * n`` shingles in common. So a document's overlap with a
-   group's union bounds it: only groups that reach the bound are opened. Of two
-   groups, the documents of the smaller one ask. Members of small groups are compared
-   pair by pair; large groups in blocks of ``BLOCK`` documents against ``BLOCK``
-   members, which return one link for each document, as one is enough to join it.
-4. Shingles in more than ``MANY`` groups (common lines and passages) are not expanded.
-   The bound makes up for it: a document with fewer of them in its prefix than the
-   bound shares another shingle with any partner. A pair is left out only if both
-   have too many, and such documents go through steps 3 and 4 again among themselves
-   with a longer prefix, at last with whole sets and every shingle expanded.
-
-Work moves as rows of (shingle, document) dealt by shingle; no list of a shingle's
-documents, group or component is gathered in one row or task, and nothing goes to
-the driver but counts. Written intermediate tables cut the lineage.
+3. A link to another group needs shingles that other groups have. With the shingles
+   of each set in hash order, the first ``SHARE`` of them are its prefix; if two sets
+   of at most n shingles link, their prefixes have at least ``(SHARE - 1/4) * n`` in
+   common. Documents with fewer shingles of other groups there are done. The others'
+   whole sets are counted in the same way: ``need``, three quarters, must stand in
+   other groups.
+4. The token-group matrix: the shingles of what is left are ordered by how many
+   groups have them, the rarest first. A group's token union is that of its members'
+   shingles up to the last ``need - 1``. What a document shares with a partner is at
+   most its overlap with the union of the partner's group and those last ones, so
+   only groups with an overlap are opened. Of two groups, the documents of the
+   smaller one ask.
+5. Shingles of more than ``MANY`` groups (common lines, families of texts that are
+   alike but do not link) would open groups one by one. Documents that have such ones
+   before the last ``need - 1`` are put into groups by the rarest of these, and ask
+   those groups: any two that share one there meet in one of them.
+
+Members of small groups are compared pair by pair; large groups in blocks of about
+``BLOCK_SHINGLES`` shingles against ``BLOCK_SHINGLES`` shingles, which return links that connect what
+links in the block. Work moves as rows of (shingle, document) dealt by shingle; no list
+of a shingle's documents, group or component is gathered in one row or task, and
+nothing goes to the driver but counts. Written intermediate tables cut the lineage.
 
 Cases: null and blank texts have the empty set, no links and themselves as
 component; fewer than five words are one shingle; rows that share an id are one
 document for links and keep their own size; a null id has no component; repeated
-rows stay; other columns are left out of the result.
+rows stay; very long texts are taken whole; other columns are left out of the result;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -48,12 +54,19 @@ from geofeat.llm.graph import components
 from geofeat.sources.shared import Scratch
 
 WORDS, NUM, DEN = 5, 75, 100
-SHARES = (0.4, 1.0)
+#: Part of a set, in hash order, that tells which documents can link at all.
+SHARE = 0.4
+#: Groups that a shingle opens one by one, at most; beyond, documents meet in the groups of their rarest common shingle.
 MANY = 64
 BANDS, ROWS = 8, 2
 #: Central members that a band's others are compared with, in so many rounds; the best few are tried, if enough minhashes agree.
 LEADERS, ROUNDS, TRIED, AGREE = 8, 2, 2, 9
-SMALL_GROUP, BLOCK = 16, 256
+#: Larger groups are compared in blocks of so many shingles on either side.
+SMALL_GROUP, BLOCK_SHINGLES = 16, 150_000
+#: Shingles which so many of a sample of documents have are known to be shared: at most a 20th of the sample's; they are sent to all tasks, so that their rows need not meet to find it out.
+KNOWN_SAMPLE, KNOWN_SEEN = 2_000, 20
+#: A digest with more than this part of all rows is hot; there are fewer than 200 such.
+HOT = 0.005
 #: A frame of ids is sent to all tasks while it is counted to be at most this long.
 BROADCAST_ROWS = 500_000
 
@@ -109,7 +122,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
             for part in slices(batch):
                 sets = [shingles(t) for t in part.column(1).to_pylist()]
                 marks = [signature(s) if len(s) else None for s in sets]
-                heads = [prefix(s, SHARES[0]) for s in sets]
+                heads = [prefix(s, SHARE) for s in sets]
                 ends = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -126,15 +139,15 @@ def _profiles(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, digest binary, marks array<int>, bands array<long>, prefix array<long>")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, share: float = 1.0) -> DataFrame:
-    """id -> its sorted shingles (or their prefix) as bytes; ids: one column, distinct."""
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id -> its sorted shingles as bytes; ids: one column, distinct."""
     ids = F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
     wanted = docs.join(ids.toDF("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                found = [prefix(shingles(t), share).tobytes() for t in part.column(1).to_pylist()]
+                found = [shingles(t).tobytes() for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["doc_id", "found"])
 
     return wanted.mapInArrow(run, "doc_id long, found binary")
@@ -162,37 +175,60 @@ def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
         return written(both.select("found_a", "found_b", "a", "b").mapInArrow(run, "a long, b long"))
 
 
-def _block_links(docs: DataFrame, opened: DataFrame, groups: DataFrame) -> DataFrame:
-    """opened (a, other): documents and large groups to compare them with. One link (a, b) of each document in each block."""
+def _forest(linked: list[np.ndarray], row_label: np.ndarray, column_label: np.ndarray) -> list[tuple[int, int]]:
+    """Links (row, column) that connect all that ``linked`` (the columns of each row) and equal labels connect."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            root[x] = x = root.get(root[x], root[x])
+        return x
+
+    out = []
+    for i, columns in enumerate(linked):
+        labels, first = np.unique(column_label[columns], return_index=True)
+        for label, at in zip(labels.tolist(), first):
+            x, y = find(int(row_label[i])), find(label)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((i, int(columns[at])))
+    return out
+
+
+def _block_links(docs: DataFrame, asks: DataFrame, members: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links of documents and the large groups they ask: asks (a, other), members (b, other), groups (rep, n, grp).
+
+    Of all links in a block come as many (a, b) as connect the same groups.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_pylist()
-        ids, found = table.column("doc_id").to_pylist(), [np.frombuffer(x, np.uint64) for x in table.column("found").to_pylist()]
-        member = [i for i, x in enumerate(asks) if not x]
-        sizes = np.array([len(found[i]) for i in member])
-        tokens, own = np.concatenate([np.empty(0, np.uint64), *(found[i] for i in member)]), np.repeat(np.arange(len(member)), sizes)
+        table = table.sort_by("doc_id")
+        asking = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+        ids, labels = table.column("doc_id").to_numpy(), table.column("grp").to_numpy()
+        found = [np.frombuffer(x, np.uint64) for x in table.column("found").to_pylist()]
+        rows, columns = np.flatnonzero(asking), np.flatnonzero(~asking)
+        sizes = np.array([len(found[i]) for i in columns], np.int64)
+        tokens, own = np.concatenate([np.empty(0, np.uint64), *(found[i] for i in columns)]), np.repeat(np.arange(len(columns)), sizes)
         order = np.argsort(tokens, kind="stable")
-        tokens, own, a, b = tokens[order], own[order], [], []
-        for i in (i for i, x in enumerate(asks) if x):
+        tokens, own, linked = tokens[order], own[order], []
+        for i in rows:
             low, high = np.searchsorted(tokens, found[i], "left"), np.searchsorted(tokens, found[i], "right")
             width = high - low
             at = np.repeat(high - width.cumsum(), width) + np.arange(width.sum())  # places of all matches
-            shared = np.bincount(own[at], minlength=len(member))
-            links = np.flatnonzero(DEN * shared >= NUM * (len(found[i]) + sizes - shared))
-            if len(links):
-                a.append(ids[i])
-                b.append(ids[member[links[0]]])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            shared = np.bincount(own[at], minlength=len(columns))
+            linked.append(np.flatnonzero(DEN * shared >= NUM * (len(found[i]) + sizes - shared)))
+        links = _forest(linked, labels[rows], labels[columns])
+        return pa.table({"a": pa.array([ids[rows[i]] for i, _ in links], pa.int64()), "b": pa.array([ids[columns[j]] for _, j in links], pa.int64())})
 
     with Scratch(docs.sparkSession) as keep:
-        opened = keep(opened)
-        sizes = opened.groupBy("other").agg(F.count("*").alias("k")).join(groups.groupBy(F.col("grp").alias("other")).agg(F.count("*").alias("size")), "other")
-        chunks = sizes.select("other", F.ceil(F.col("k") / BLOCK).alias("rows"), F.ceil(F.col("size") / BLOCK).alias("columns"))
+        asks, members = keep(asks.join(groups.select(F.col("rep").alias("a"), "n", "grp"), "a")), keep(members.join(groups.select(F.col("rep").alias("b"), "n", "grp"), "b"))
+        cuts = lambda name: F.ceil(F.sum("n") / BLOCK_SHINGLES).alias(name)
+        chunks = keep(asks.groupBy("other").agg(cuts("rows")).join(members.groupBy("other").agg(cuts("columns")), "other"))
         cell = lambda own, n: F.pmod(F.xxhash64(own), n)
         every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-        asking = opened.join(chunks, "other").select("other", cell("a", F.col("rows")).alias("row"), every(F.col("columns")).alias("column"), F.lit(True).alias("asks"), F.col("a").alias("doc_id"))
-        members = groups.select(F.col("grp").alias("other"), F.col("rep").alias("b")).join(chunks, "other").select("other", every(F.col("rows")).alias("row"), cell("b", F.col("columns")).alias("column"), F.lit(False).alias("asks"), F.col("b").alias("doc_id"))
-        rows = keep(asking.unionByName(members))
+        asking = asks.join(chunks, "other").select("other", cell("a", F.col("rows")).alias("row"), every(F.col("columns")).alias("column"), F.lit(True).alias("asks"), F.col("a").alias("doc_id"), "grp")
+        asked = members.join(chunks, "other").select("other", every(F.col("rows")).alias("row"), cell("b", F.col("columns")).alias("column"), F.lit(False).alias("asks"), F.col("b").alias("doc_id"), "grp")
+        rows = keep(asking.unionByName(asked))
         sets = keep(_sets(docs, rows.select("doc_id").distinct()))
         return written(rows.join(sets, "doc_id").groupBy("other", "row", "column").applyInArrow(run, "a long, b long"))
 
@@ -207,10 +243,9 @@ def _grouped(docs: DataFrame, full: DataFrame, groups: DataFrame) -> DataFrame:
     if not BANDS:
         return groups
     with Scratch(docs.sparkSession) as keep:
-        keys = full.select("doc_id", "n", "marks", F.explode("bands").alias("band"))
-        keys = keys.join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+        keys = full.select("doc_id", F.explode("bands").alias("band")).join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").distinct()
         shared = keys.groupBy("band").agg(F.count("*").alias("k")).where("k > 1")
-        keys = keep(keys.join(shared, "band").dropDuplicates(["band", "doc_id"]))
+        keys = keep(keep(keys.join(shared, "band")).join(full.select("doc_id", "n", "marks"), "doc_id"))
         central = keep(keys.groupBy("doc_id").agg(F.sum("k").alias("central")))
         tried = None
         for _ in range(ROUNDS):
@@ -241,29 +276,76 @@ def _regrouped(groups: DataFrame, links: DataFrame) -> DataFrame:
     return written(groups.join(found.toDF("grp", "component"), "grp", "left").select("rep", "n", F.coalesce("component", "grp").alias("grp")))
 
 
-def _opened(tokens: DataFrame, groups: DataFrame, share: float, many: int | None) -> tuple[DataFrame, DataFrame]:
-    """tokens (token, rep): prefixes. Documents and the groups that they open (a, n, other, others, overlap), and the documents (rep) with too many common shingles."""
-    groups = groups.join(groups.groupBy("grp").agg(F.count("*").alias("size")), "grp")
-    of_token = W.partitionBy("token")
-    shared = tokens.withColumn("low", F.min("rep").over(of_token)).withColumn("high", F.max("rep").over(of_token)).where("low < high").select("token", "rep")
-    with Scratch(groups.sparkSession) as keep:
-        placed = keep(shared.join(groups, "rep").select("token", "rep", "n", "grp", "size"))
-        union = placed.select("token", "grp", "size").distinct()
-        width = union.groupBy("token").agg(F.count("*").alias("width"))
-        common = width.where(F.col("width") > many) if many else width.where("false")
-        usable = width.where((F.col("width") > 1) & ((F.col("width") <= many) if many else F.lit(True))).select("token")
-        bound = F.lit(share - (1 - NUM / DEN)) * F.col("n") - F.lit(1e-6)
-        counted = placed.join(common.select("token"), "token", "left_semi").groupBy("rep").agg(F.count("*").alias("laden"))
-        laden = keep(groups.join(counted, "rep", "left").select("rep", "n", "grp", F.coalesce("laden", F.lit(0).cast("long")).alias("laden")).withColumn("heavy", (F.col("laden") > 0) & (F.col("laden") >= bound)))
-        heaviest = laden.groupBy(F.col("grp").alias("other")).agg(F.max("laden").alias("most"), F.min("heavy").alias("all_heavy"))
-        matrix = union.join(usable, "token").select("token", F.col("grp").alias("other"), F.col("size").alias("others"))
+def _able(full: DataFrame, groups: DataFrame) -> DataFrame:
+    """The representatives (rep, n, grp) whose prefixes have enough shingles of other groups."""
+    prefixes = full.select(F.col("doc_id").alias("rep"), "prefix").join(groups.select("rep", "grp"), "rep")
+    with Scratch(full.sparkSession) as keep:
+        some = prefixes.where(F.pmod(F.xxhash64("rep"), F.lit(max(1, full.count() // KNOWN_SAMPLE))) == 0)
+        seen = some.select(F.explode("prefix").alias("token"), "grp").groupBy("token").agg(F.count("*").alias("k"), F.min("grp").alias("low"), F.max("grp").alias("high"))
+        known = keep(seen.where((F.col("k") >= KNOWN_SEEN) & F.expr("low < high")).select("token"))
+        tokens = prefixes.select(F.explode("prefix").alias("token"), "rep", "grp").join(F.broadcast(known.withColumn("known", F.lit(True))), "token", "left")
+        # the rows of a known shingle need not meet; they are spread over tasks
+        of_token = W.partitionBy("token", F.when(F.col("known"), F.pmod(F.xxhash64("rep"), F.lit(1_000))))
+        several = tokens.withColumn("low", F.min("grp").over(of_token)).withColumn("high", F.max("grp").over(of_token)).where("known OR low < high")
+        counted = several.groupBy("rep", "grp").agg(F.count("*").alias("usable")).join(groups, ["rep", "grp"])
+        return written(counted.where(F.col("usable") >= F.lit(SHARE - (1 - NUM / DEN)) * F.col("n") - F.lit(1e-6)).select("rep", "n", "grp"))
+
+
+def _exploded(docs: DataFrame, able: DataFrame) -> DataFrame:
+    """(token, rep, n, grp): all shingles of the given representatives."""
+    ids = able.select("rep", "grp").distinct()
+    ids = F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                found = [shingles(t) for t in part.column(2).to_pylist()]
+                sizes = np.array([len(x) for x in found], np.int64)
+                repeated = [np.repeat(c, sizes) for c in (part.column(0).to_numpy(), sizes, part.column(1).to_numpy())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)), *map(pa.array, repeated)], names=["token", "rep", "n", "grp"])
+
+    return docs.join(ids, docs["doc_id"] == ids["rep"]).select("rep", "grp", "text").mapInArrow(run, "token long, rep long, n long, grp long")
+
+
+def _heads(docs: DataFrame, able: DataFrame) -> DataFrame:
+    """The shingles (token, rep, n, grp, width) of which any link to another group has one on both sides; width: how many groups have it."""
+    with Scratch(docs.sparkSession) as keep:
+        whole = keep(_exploded(docs, able))
+        width = whole.select("token", "grp").distinct().groupBy("token").agg(F.count("*").alias("width")).where("width > 1")
+        of = W.partitionBy("rep", "n")
+        met = whole.join(width, "token").withColumn("usable", F.count("*").over(of)).withColumn("r", F.row_number().over(of.orderBy("width", "token")))
+        need = F.ceil(F.col("n") * NUM / DEN)
+        return written(met.where(F.col("r") <= F.col("usable") - need + 1).select("token", "rep", "n", "grp", "width"))
+
+
+def _group_links(docs: DataFrame, heads: DataFrame, groups: DataFrame) -> DataFrame:
+    """Links through shingles of few groups."""
+    with Scratch(docs.sparkSession) as keep:
+        narrow = heads.where(F.col("width") <= MANY)
+        sized = keep(narrow.join(groups.groupBy("grp").agg(F.count("*").alias("size")), "grp").select("token", "rep", "n", "grp", "size"))
+        matrix = sized.select("token", F.col("grp").alias("other"), F.col("size").alias("others")).distinct()
         asks = "size < others OR (size = others AND grp < other)"
-        overlap = placed.join(matrix, "token").where(asks).groupBy("rep", "n", "other", "others").agg(F.count("*").alias("overlap"))
-        # common shingles that a pair may share are at most those of its member with fewer, and any member of the group may be that partner; if both are heavy, the next step has them
-        met = overlap.join(laden.select("rep", "laden", "heavy"), "rep").join(heaviest, "other").where(~(F.col("heavy") & F.col("all_heavy")))
-        opened = met.where(F.col("overlap") + F.least("laden", "most") >= bound).select(F.col("rep").alias("a"), "n", "other", "others", "overlap")
-        heavy = laden.where("heavy").select("rep")
-        return written(opened), written(heavy.distinct())
+        opened = keep(sized.join(matrix, "token").where(asks).select(F.col("rep").alias("a"), "n", "other", "others").distinct())
+        members = groups.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("grp").alias("other"))
+        few = opened.where(F.col("others") <= SMALL_GROUP).join(members, "other").where(_alike("n", "m")).select("a", "b").distinct()
+        links, large = _links(docs, few), opened.where(F.col("others") > SMALL_GROUP)
+        if not large.limit(1).count():
+            return links
+        asked = large.select("other").distinct()
+        return links.unionByName(_block_links(docs, large.select("a", "other").distinct(), members.join(asked, "other", "left_semi").select("b", "other"), groups))
+
+
+def _family_links(docs: DataFrame, heads: DataFrame, groups: DataFrame) -> DataFrame | None:
+    """Links through shingles of many groups: documents meet in the groups of their rarest such shingle."""
+    with Scratch(docs.sparkSession) as keep:
+        wide = heads.where(F.col("width") > MANY)
+        home = keep(wide.groupBy("rep").agg(F.min(F.struct("width", "token"))["token"].alias("home")))
+        if home.limit(2).count() < 2:
+            return None
+        placed = keep(wide.select("token", "rep").distinct().join(home, "rep"))
+        matrix = placed.select("token", F.col("home").alias("other")).distinct()
+        asks = placed.join(matrix, "token").where("home <= other").select(F.col("rep").alias("a"), "other").distinct()
+        return _block_links(docs, asks, home.select(F.col("rep").alias("b"), F.col("home").alias("other")), groups)
 
 
 def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -271,28 +353,18 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     profiles = written(_profiles(docs))
     full = profiles.where("n > 0 and doc_id is not null")
-    copies = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    member = written(full.select("doc_id", "digest").join(copies, "digest").select("doc_id", "rep", "n").distinct())
+    copies = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("k"))
+    copies = written(copies)
+    hot = F.broadcast(copies.where(F.col("k") > F.lit(HOT * full.count())).drop("k"))
+    ids = full.select("doc_id", "digest")
+    placed = ids.join(hot, "digest").unionByName(ids.join(hot, "digest", "left_anti").join(copies.drop("k"), "digest"))
+    member = written(placed.select("doc_id", "rep", "n").distinct())
     groups = written(member.select("rep", "n").distinct().withColumn("grp", F.col("rep")))
 
     groups = _grouped(docs, full, groups)
-    tokens = full.select(F.explode("prefix").alias("token"), F.col("doc_id").alias("rep"))
-    for level, share in enumerate(SHARES):
-        last = level == len(SHARES) - 1
-        opened, heavy = _opened(tokens, groups, share, None if last else MANY)
-        members = groups.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("grp").alias("other"))
-        pairs = opened.where(F.col("others") <= SMALL_GROUP).join(members, "other").where(_alike("n", "m"))
-        links = _links(docs, pairs.where((F.col("others") > 1) | F.lit(not last)).select("a", "b").distinct())
-        if last:  # whole sets, all expanded: the overlap with a group of one is that of the pair
-            exact = pairs.where((F.col("others") == 1) & (DEN * F.col("overlap") >= NUM * (F.col("n") + F.col("m") - F.col("overlap"))))
-            links = links.unionByName(exact.select("a", "b"))
-        large = opened.where(F.col("others") > SMALL_GROUP)
-        if large.limit(1).count():
-            links = links.unionByName(_block_links(docs, large.select("a", "other"), groups))
-        groups = _regrouped(groups, links)
-        if last or heavy.limit(2).count() < 2:
-            break
-        tokens = _exploded(_sets(docs, heavy))
+    heads = _heads(docs, _able(full, groups))
+    links, more = _group_links(docs, heads, groups), _family_links(docs, heads, groups)
+    groups = _regrouped(groups, links if more is None else links.unionByName(more))
 
     # rows that share an id tie the sets they have together
     placed = member.join(groups.select("rep", "grp").distinct(), "rep")
@@ -305,17 +377,6 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return profiles.select("doc_id", "n").join(found, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _exploded(sets: DataFrame) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch):
-                found = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
-                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(x) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *found])), pa.array(ids.astype(np.int64))], names=["token", "rep"])
-
-    return sets.mapInArrow(run, "token long, rep long")
-
-
 def op7_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under shingle similarity."""
     return similar_components(read(spark, sf_dir, "documents"))

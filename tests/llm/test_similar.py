@@ -58,7 +58,7 @@ def test_equals_brute_force(spark, seed, many, monkeypatch):
         monkeypatch.setattr(S, "BANDS", 0)  # no groups beforehand: the matrix alone has to find all
         monkeypatch.setattr(S, "bands", lambda marks: [])
         monkeypatch.setattr(S, "SMALL_GROUP", 0)
-        monkeypatch.setattr(S, "BLOCK", 2)
+        monkeypatch.setattr(S, "BLOCK_SHINGLES", 150)
     rows = corpus(seed, 150)
     got = S.similar_components(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, got.collect())) == brute(rows)
@@ -94,7 +94,7 @@ def partly_laden(seed):
         asks, lacks = [word(), word(), *holds[2:]], holds[:-2]
         x, full, less, common = (S.shingles(" ".join(w)) for w in (asks, holds, lacks, passage))
         agree = lambda a, b: int((S.signature(a) == S.signature(b)).sum())
-        of = lambda found: set(S.prefix(found, S.SHARES[0]).tolist())
+        of = lambda found: set(S.prefix(found, S.SHARE).tolist())
         laden = set(common.tolist())
         if laden <= of(x) & of(full) and len((of(x) & (of(full) | of(less))) - laden) == 2 and agree(full, less) >= 14 > max(agree(x, full), agree(x, less)):
             texts = [asks, holds, lacks] + [[word() for _ in range(5)] + passage + [word() for _ in range(5)] for _ in range(30)]
@@ -110,3 +110,58 @@ def test_group_that_partly_lacks_the_common_passage(spark, seed, monkeypatch):
     assert brute(rows)[:3] == [(0, 14, 0), (1, 14, 0), (2, 12, 0)]
     got = S.similar_components(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, got.collect())) == brute(rows)
+
+
+def test_link_to_a_member_with_more_common_shingles(spark):
+    a = "lkcmef leclnh langhp lcmnmj cgbjgk coakic bfhphf alpha beta gamma delta omega"
+    b2 = " ".join(a.split()[-10:])
+    rng = random.Random(4)
+    fillers = ["alpha beta gamma delta omega " + " ".join(f"f{rng.randrange(10**6)}" for _ in range(6)) for _ in range(90)]
+    rows = list(enumerate([a, b2.rsplit(" ", 1)[0], b2, *fillers]))
+    got = S.similar_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == brute(rows)
+    assert brute(rows)[:3] == [(0, 8, 0), (1, 5, 0), (2, 6, 0)]
+
+
+@pytest.mark.parametrize("seed,many", [(11, 1), (12, 4), (13, 64)])
+def test_short_texts_with_common_phrases(spark, seed, many, monkeypatch):
+    monkeypatch.setattr(S, "MANY", many)
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(10_000)}"
+    phrases = [[word() for _ in range(rng.randrange(5, 10))] for _ in range(4)]
+    rows = []
+    for i in range(220):
+        text = [word() for _ in range(rng.randrange(0, 3))] + rng.choice(phrases) + [word() for _ in range(rng.randrange(0, 3))]
+        if rng.random() < 0.3:
+            text = text + rng.choice(phrases)
+        rows.append((i, " ".join(text)))
+    got = S.similar_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == brute(rows)
+
+
+@pytest.mark.parametrize("edits,block", [(5, 1_000), (9, 4_000)])
+def test_family_of_which_few_link(spark, edits, block, monkeypatch):
+    monkeypatch.setattr(S, "MANY", 8)
+    monkeypatch.setattr(S, "BLOCK_SHINGLES", block)
+    rng = random.Random(edits)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        text = list(base)
+        for _ in range(rng.randrange(edits)):
+            text[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    got = S.similar_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == brute(rows)
+    assert len({c for _, _, c in brute(rows)}) > 1
+
+
+def test_very_long_text_and_its_copy(spark):
+    rng = random.Random(6)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    near = list(long)
+    for k in range(0, 60_000, 50):
+        near[k] = "changed"
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long[:50_000])), (4, " ".join(long[:40_000])), (5, "x" * 300_000)]
+    got = S.similar_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == brute(rows)
