@@ -5,11 +5,12 @@ three-word windows, word lengths. A text fails outright when it has few words or
 mostly repeats itself. The others are held against thresholds which mergeable
 quantile sketches give for their (language, source): per group and figure, counts
 in buckets of two significant digits, so that any two sketches merge by adding
-counts, in any order, with the same result. From each sketch come the median and
-the upper quartile; a figure is an outlier beyond the upper quartile plus ``REACH``
-times their distance plus a slack. Groups of fewer than ``ENOUGH`` texts
-take the merged sketch of their language, and languages that are too small the
-merged sketch of all.
+counts, in any order, with the same result. A group's sketch is merged with that of
+its language and that of all texts, each weighing as much as ``PRIOR`` texts: a small
+group leans on them, a large one speaks for itself. A figure is an outlier beyond its
+upper quantile (``FIGURES``) plus ``REACH`` times that quantile's distance from the
+median plus a small slack, the step which a single odd line or word makes in a short
+text; word lengths are held from below in the same way.
 
 DataFrame functions only. Each text is reduced to its figures in the task that
 reads it; the shuffles carry bucket counts (partial sums first, so that a hot
@@ -31,9 +32,14 @@ from geofeat.llm.common import read, written
 
 SPACE = r"[\x20\x09-\x0D]"
 MIN_WORDS, MAX_REPEATED = 50, 50  # words; percent of words in repeated windows
-ENOUGH, REACH = 30, 3
-#: Figures per text that must not be outliers, and the slack above the fence.
-FIGURES = {"symbols_per_1000_words": 200, "dup_lines_per_1000": 400, "repeated_per_1000_words": 430, "chars_per_100_words": 80}
+#: Texts that the sketches of the language and of all texts weigh in a group's; spreads beyond the upper quantile.
+PRIOR, REACH = 20, 2
+#: Figures per text that must not be outliers: the upper quantile in percent, and the slack.
+FIGURES = {"symbols_per_1000_words": (90, 100), "dup_lines_per_1000": (99, 100), "repeated_per_1000_words": (99, 50), "chars_per_100_words": (90, 20)}
+#: The figure that is held from below too, by the quantile as far from the other end.
+BOTH_SIDES = "chars_per_100_words"
+#: Weight of one text; priors weigh whole parts of it, so that sums are exact.
+ONE = 1_000
 
 
 def base_figures(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
@@ -88,39 +94,44 @@ def sketches(df: DataFrame, by: list[str]) -> DataFrame:
     return long.groupBy(*by, "figure", bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def merged(sketch: DataFrame, by: list[str]) -> DataFrame:
-    return sketch.groupBy(*by, "figure", "bucket").agg(F.sum("n").alias("n"))
-
-
-def fences(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Per group: its texts, and the highest value of each figure that is no outlier."""
-    group = W.partitionBy(*by, "figure")
-    upto = F.sum("n").over(group.orderBy("bucket"))
-    total = F.sum("n").over(group)
+def blended(sketch: DataFrame) -> DataFrame:
+    """lang, source, figure, bucket, weight: each group's sketch with those of its language and of all texts."""
+    total = lambda *by: F.sum("n").over(W.partitionBy(*by, "figure"))
+    prior = lambda n, all: F.expr(f"{PRIOR * ONE} * {n} div {all}").alias("weight")
+    by_lang = sketch.groupBy("lang", "figure", "bucket").agg(F.sum("n").alias("n"))
+    of_all = by_lang.groupBy("figure", "bucket").agg(F.sum("n").alias("n")).withColumn("total", total()).select(F.col("figure").alias("f"), "bucket", prior("n", "total"))
+    of_lang = by_lang.withColumn("total", total("lang")).select(F.col("lang").alias("l"), F.col("figure").alias("f"), "bucket", prior("n", "total"))
+    groups = sketch.select("lang", "source", "figure").distinct()
+    columns = ["lang", "source", "figure", "bucket", "weight"]
+    parts = [
+        sketch.withColumn("weight", F.col("n") * ONE),
+        groups.join(of_lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("figure") == F.col("f"))),
+        groups.join(F.broadcast(of_all), F.col("figure") == F.col("f")),  # at most 90 buckets for each figure and power of ten
+    ]
+    return parts[0].select(columns).union(parts[1].select(columns)).union(parts[2].select(columns)).groupBy(*columns[:-1]).agg(F.sum("weight").alias("weight"))
+
+
+def thresholds(sketch: DataFrame) -> DataFrame:
+    """Per (t_lang, t_source): the highest value of each figure that is no outlier, and the lowest of the one held on both sides."""
+    group = W.partitionBy("lang", "source", "figure")
+    placed = blended(sketch).select("lang", "source", "figure", "bucket", F.sum("weight").over(group.orderBy("bucket")).alias("upto"), F.sum("weight").over(group).alias("total"))
     at = lambda p: F.min(F.when(100 * F.col("upto") >= p * F.col("total"), F.col("bucket")))
-    quantiles = sketch.select(*by, "figure", "bucket", upto.alias("upto"), total.alias("total")).groupBy(*by, "figure").agg(at(50).alias("q50"), at(75).alias("q75"), F.max("total").alias("texts"))
-    slack = F.create_map(*[F.lit(x) for kv in FIGURES.items() for x in kv])
-    fenced = quantiles.select(*by, "figure", "texts", (F.col("q75") + REACH * (F.col("q75") - F.col("q50")) + slack[F.col("figure")]).cast("long").alias("fence"))
-    return fenced.groupBy(*by).agg(F.max("texts").alias("texts"), *[F.max(F.when(F.col("figure") == f, F.col("fence"))).alias(f"max_{f}") for f in FIGURES])
+    of = lambda f: F.col("figure") == f
+    upper = {f: at(q) for f, (q, _) in FIGURES.items()}
+    figure = placed.groupBy("lang", "source", "figure").agg(at(50).alias("q50"), F.coalesce(*(F.when(F.first("figure") == f, x) for f, x in upper.items())).alias("high"), at(100 - FIGURES[BOTH_SIDES][0]).alias("low"))
+    top = {f: F.max(F.when(of(f), F.col("high") + REACH * (F.col("high") - F.col("q50")) + slack)).alias(f"max_{f}") for f, (_, slack) in FIGURES.items()}
+    bottom = F.max(F.when(of(BOTH_SIDES), F.col("low") - REACH * (F.col("q50") - F.col("low")) - FIGURES[BOTH_SIDES][1])).alias(f"min_{BOTH_SIDES}")
+    return figure.groupBy(F.col("lang").alias("t_lang"), F.col("source").alias("t_source")).agg(*top.values(), bottom)
 
 
 def judged(figures: DataFrame) -> DataFrame:
     """Adds base_failed and kept; figures: columns of ``base_figures`` with lang and source."""
     df = with_ratios(figures).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
-    by_source = sketches(df.where(~F.col("base_failed")), ["lang", "source"])
-    by_lang = merged(by_source, ["lang"])
-    levels = [(fences(by_source, ["lang", "source"]), "s"), (fences(by_lang, ["lang"]), "l")]
-    named = [level.select(*[F.col(c).alias(c if c in ("lang", "source") else f"{k}_{c}") for c in level.columns]) for level, k in levels]
-    everything = fences(merged(by_lang.withColumn("all", F.lit(0)), ["all"]), ["all"]).select(F.lit(1).alias("one"), *[F.col(f"max_{f}").alias(f"a_max_{f}") for f in FIGURES])
-    source, lang = named
-    pick = lambda f: F.when(F.col("s_texts") >= ENOUGH, F.col(f"s_max_{f}")).when(F.col("l_texts") >= ENOUGH, F.col(f"l_max_{f}")).otherwise(F.col(f"a_max_{f}")).alias(f"max_{f}")
-    lang = lang.withColumnRenamed("lang", "l_lang")
-    thresholds = source.join(lang, F.col("lang").eqNullSafe(F.col("l_lang"))).withColumn("one", F.lit(1)).join(everything, "one").select(F.col("lang").alias("t_lang"), F.col("source").alias("t_source"), *[pick(f) for f in FIGURES])
-    joined = df.join(thresholds, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
-    inside = [F.col(f) <= F.coalesce(F.col(f"max_{f}"), F.col(f)) for f in FIGURES]
-    good = inside[0]
-    for x in inside[1:]:
-        good = good & x
+    fences = thresholds(sketches(df.where(~F.col("base_failed")), ["lang", "source"]))
+    joined = df.join(fences, F.col("lang").eqNullSafe(F.col("t_lang")) & F.col("source").eqNullSafe(F.col("t_source")), "left")
+    good = F.col(BOTH_SIDES) >= F.coalesce(F.col(f"min_{BOTH_SIDES}"), F.col(BOTH_SIDES))
+    for f in FIGURES:
+        good = good & (F.col(f) <= F.coalesce(F.col(f"max_{f}"), F.col(f)))
     return joined.withColumn("kept", ~F.col("base_failed") & good)
 
 
@@ -136,27 +147,15 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     ws = "[^\\x20\\x09-\\x0D]+"
     longs = " UNION ALL ".join(f"SELECT lang, source, '{f}' AS figure, {f} AS value FROM r WHERE NOT base_failed" for f in FIGURES)
-    slack = " ".join(f"WHEN '{f}' THEN {s}" for f, s in FIGURES.items())
-
-    def level(by: str, name: str) -> str:
-        keys = f"{by}, " if by else ""
-        over = f"PARTITION BY {keys}figure"
-        on = f"GROUP BY {keys}figure"
-        picks = ", ".join(f"max(CASE WHEN figure = '{f}' THEN fence END) AS max_{f}" for f in FIGURES)
-        return f"""
-{name}_k AS (SELECT {keys}figure, bucket, count(*) AS n FROM b GROUP BY {keys}figure, bucket),
-{name}_c AS (SELECT {keys}figure, bucket, sum(n) OVER ({over} ORDER BY bucket) AS upto, sum(n) OVER ({over}) AS total FROM {name}_k),
-{name}_q AS (SELECT {keys}figure, min(CASE WHEN 100 * upto >= 50 * total THEN bucket END) AS q50, min(CASE WHEN 100 * upto >= 75 * total THEN bucket END) AS q75, max(total) AS texts FROM {name}_c {on}),
-{name}_f AS (SELECT {keys}figure, texts, q75 + {REACH} * (q75 - q50) + CASE figure {slack} END AS fence FROM {name}_q),
-{name}_t AS (SELECT {keys}max(texts) AS texts, {picks} FROM {name}_f {f'GROUP BY {by}' if by else ''})"""
-
-    fence = lambda f: f"CASE WHEN s.texts >= {ENOUGH} THEN s.max_{f} WHEN l.texts >= {ENOUGH} THEN l.max_{f} ELSE a.max_{f} END"
-    good = " AND ".join(f"r.{f} <= coalesce({fence(f)}, r.{f})" for f in FIGURES)
+    case = lambda i: " ".join(f"WHEN '{f}' THEN {v[i]}" for f, v in FIGURES.items())
+    picks = ", ".join(f"max(CASE WHEN figure = '{f}' THEN fence END) AS max_{f}" for f in FIGURES)
+    good = " AND ".join(f"r.{f} <= coalesce(t.max_{f}, r.{f})" for f in FIGURES) + f" AND r.{BOTH_SIDES} >= coalesce(t.min_{BOTH_SIDES}, r.{BOTH_SIDES})"
+    at = lambda p: f"min(CASE WHEN 100 * upto >= {p} * total THEN bucket END)"
     return f"""
 WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{ws}') AS words,
                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{ws}')) AS lines FROM documents),
-g AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
-d AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM g) x WHERE n > 1),
+x3 AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+d AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM x3) x WHERE n > 1),
 p AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM d, (SELECT unnest(range(3)) AS k) GROUP BY doc_id),
 f AS (SELECT w.doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
              CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines,
@@ -166,9 +165,20 @@ r AS (SELECT *, 1000 * n_symbols // greatest(n_words, 1) AS symbols_per_1000_wor
              n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEATED} * n_words AS base_failed FROM f),
 v AS ({longs}),
 b AS (SELECT lang, source, figure, CASE WHEN value < 100 THEN value ELSE value // CAST(pow(10, length(CAST(value AS VARCHAR)) - 2) AS BIGINT) * CAST(pow(10, length(CAST(value AS VARCHAR)) - 2) AS BIGINT) END AS bucket FROM v),
-{level('lang, source', 's')}, {level('lang', 'l')}, {level('', 'a')}
+k AS (SELECT lang, source, figure, bucket, count(*) AS n FROM b GROUP BY ALL),
+l AS (SELECT lang, figure, bucket, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang, figure) AS total FROM k GROUP BY lang, figure, bucket),
+a AS (SELECT figure, bucket, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY figure) AS total FROM k GROUP BY figure, bucket),
+g AS (SELECT DISTINCT lang, source, figure FROM k),
+m AS (SELECT lang, source, figure, bucket, {ONE} * n AS weight FROM k
+      UNION ALL SELECT g.lang, g.source, g.figure, l.bucket, {PRIOR * ONE} * l.n // l.total FROM g JOIN l ON g.lang IS NOT DISTINCT FROM l.lang AND g.figure = l.figure
+      UNION ALL SELECT g.lang, g.source, g.figure, a.bucket, {PRIOR * ONE} * a.n // a.total FROM g JOIN a ON g.figure = a.figure),
+s AS (SELECT lang, source, figure, bucket, sum(weight) AS weight FROM m GROUP BY ALL),
+c AS (SELECT lang, source, figure, bucket, sum(weight) OVER (PARTITION BY lang, source, figure ORDER BY bucket) AS upto, sum(weight) OVER (PARTITION BY lang, source, figure) AS total FROM s),
+q AS (SELECT lang, source, figure, {at(50)} AS q50, {at("CASE figure " + case(0) + " END")} AS high, {at(100 - FIGURES[BOTH_SIDES][0])} AS low FROM c GROUP BY lang, source, figure),
+e AS (SELECT lang, source, figure, high + {REACH} * (high - q50) + CASE figure {case(1)} END AS fence, low - {REACH} * (q50 - low) - {FIGURES[BOTH_SIDES][1]} AS least FROM q),
+t AS (SELECT lang, source, {picks}, max(CASE WHEN figure = '{BOTH_SIDES}' THEN least END) AS min_{BOTH_SIDES} FROM e GROUP BY lang, source)
 SELECT r.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {good} AS kept
-FROM r LEFT JOIN s_t s ON r.lang IS NOT DISTINCT FROM s.lang AND r.source IS NOT DISTINCT FROM s.source LEFT JOIN l_t l ON r.lang IS NOT DISTINCT FROM l.lang CROSS JOIN a_t a"""
+FROM r LEFT JOIN t ON r.lang IS NOT DISTINCT FROM t.lang AND r.source IS NOT DISTINCT FROM t.source"""
 
 
 OP2_SQL = _sql()
