@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geofeat.llm.common import read, slices
+from geofeat.llm.common import passing, place, read, slices
 
 #: Pre-tokens up to this many characters are remembered, at most so many of them.
-CACHED_CHARS, CACHED_TOKENS = 48, 600_000
+CACHED_CHARS, CACHED_TOKENS = 48, 250_000
 #: A bitmap word spans 2 ** BITS ranks.
 BITS = 8
 MASK = (1 << BITS) - 1
@@ -187,22 +187,21 @@ def load_ranks(path: str) -> bytes:
 def encode(df: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """Adds the token ids of ``text_col`` as ``array<int>``; with ``decoded_col`` also the bytes that the ids decode to."""
     shared = df.sparkSession.sparkContext.broadcast(ranks)
-    rest = df.drop(*(c for c in (ids_col, decoded_col) if c and c != text_col))
-    at = rest.columns.index(text_col)
+    at, kept = place(df, text_col), passing(df, [c for c in (ids_col, decoded_col) if c])
     new = [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False)), T.StructField(decoded_col or "", T.BinaryType())]
-    schema = T.StructType([*rest.schema.fields, *new[: 1 + bool(decoded_col)]])
+    schema = T.StructType([*(df.schema.fields[i] for i in kept), *new[: 1 + bool(decoded_col)]])
 
     def run(batches):
         own = codec(shared.value, pattern)
         for batch in batches:
             for part in slices(batch):
                 found = [None if t is None else own.encode(t) for t in part.column(at).to_pylist()]
-                columns = [*part.columns, _lists(found)]
+                columns = [*(part.column(i) for i in kept), _lists(found)]
                 if decoded_col:
                     columns.append(pa.array([None if ids is None else own.decode(ids.tolist()) for ids in found], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return rest.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def _lists(found: list) -> pa.Array:
@@ -215,18 +214,17 @@ def _lists(found: list) -> pa.Array:
 def decode(df: DataFrame, ranks: bytes, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds the bytes which the ids in ``ids_col`` stand for, as ``binary``."""
     shared = df.sparkSession.sparkContext.broadcast(ranks)
-    rest = df.drop(out_col)
-    at = rest.columns.index(ids_col)
-    schema = T.StructType([*rest.schema.fields, T.StructField(out_col, T.BinaryType())])
+    at, kept = place(df, ids_col), passing(df, [out_col])
+    schema = T.StructType([*(df.schema.fields[i] for i in kept), T.StructField(out_col, T.BinaryType())])
 
     def run(batches):
         own = codec(shared.value, "")
         for batch in batches:
             for part in slices(batch):
                 found = [None if ids is None else own.decode(ids) for ids in _each(part.column(at))]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), pa.array(found, pa.binary())], names=schema.names)
 
-    return rest.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def _each(lists: pa.ListArray):

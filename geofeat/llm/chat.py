@@ -7,10 +7,12 @@ A conversation is rendered whole, one turn after another, as
 with a line end after each turn. Inside roles and texts a backslash stands
 before every backslash, ``###`` and ``</turn>`` (in roles also before ``:``), so
 no text can close its turn or open another, and dropping those backslashes gives
-the text back. The rendered string is encoded once, with the code point span of
-every token; no token crosses an edge between template and text. The spans of the
-trained turns and the spans of the tokens are both sorted, so binary search gives
-the tokens of each turn, which make up the loss mask.
+the text back. The rendered string is encoded once and whole, with the code point span
+of every token. The spans of the trained turns and the spans of the tokens are both
+sorted, so binary search gives the tokens that overlap each turn, which make up the
+loss mask. A token may straddle the edge of a turn (a space of the template and the
+first word make one token); it counts as trained, and its text under the mask is what
+lies inside the turn.
 
 Spark groups the turns of a conversation (one shuffle on its key, the rows of a
 conversation being one output row by nature); rendering, encoding and masking run
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geofeat.llm.bpe import CACHED_CHARS, CACHED_TOKENS, Codec, codec, load_ranks
+from geofeat.llm.bpe import Codec, codec, load_ranks
 from geofeat.llm.common import read, slices
 
 TURN = re.compile(r"### ((?:\\.|[^\\:])*): ((?:\\.|[^\\])*?)</turn>\n", re.S)
@@ -65,59 +67,49 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 class Aligner:
-    """Encodes a text with the code point span of each token."""
+    """Encodes a text with the code point span of each token; a character cut by tokens belongs to all of them."""
 
     def __init__(self, own: Codec):
-        self.own, self.cache = own, {}
-
-    def piece(self, text: str) -> tuple[list[int], list[int], list[int]]:
-        found = self.cache.get(text)
-        if found is None:
-            ids = np.frombuffer(self.own.pieces[text], np.int32).tolist()
-            ends = np.cumsum([len(self.own.tokens[i]) for i in ids])
-            starts = np.concatenate([[0], ends[:-1]])
-            raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-            point = np.cumsum((raw & 0xC0) != 0x80) - 1  # of each byte
-            found = ids, point[starts].tolist(), (point[ends - 1] + 1).tolist()
-            if len(text) <= CACHED_CHARS:
-                if len(self.cache) >= CACHED_TOKENS:
-                    self.cache.clear()
-                self.cache[text] = found
-        return found
-
-    def encode(self, text: str, cuts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, starts and ends; no pre-token crosses one of the sorted cuts."""
-        ids, starts, ends = [], [], []
-        for a, b in zip([0, *cuts], [*cuts, len(text)]):
-            for m in self.own.pattern.finditer(text, a, b):
-                i, s, e = self.piece(m[0])
-                at = m.start()
-                ids += i
-                starts += [at + x for x in s]
-                ends += [at + x for x in e]
-        return np.array(ids, np.int32), np.array(starts, np.int32), np.array(ends, np.int32)
-
-
-def loss_mask(spans: list[tuple[int, int]], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        self.own = own
+        self.bytes_of = np.zeros(max(own.tokens) + 1, np.int64)
+        self.bytes_of[list(own.tokens)] = [len(x) for x in own.tokens.values()]
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, starts and ends."""
+        ids = self.own.encode(text)
+        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        ends = self.bytes_of[ids].cumsum()
+        if (ends[-1] if len(ends) else 0) != len(raw):
+            raise ValueError("the pattern leaves a part of the text out")
+        if len(raw) != len(text):
+            point = np.cumsum((raw & 0xC0) != 0x80)  # characters that have begun, up to each byte
+            return ids, (point[ends - self.bytes_of[ids]] - 1).astype(np.int32), point[ends - 1].astype(np.int32)
+        return ids, (ends - self.bytes_of[ids]).astype(np.int32), ends.astype(np.int32)
+
+
+def overlaps(spans: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the sorted spans (rows of start, end) the first token that overlaps it, and the one after the last; the same for an empty one."""
+    spans = np.asarray(spans, np.int64).reshape(-1, 2)
+    low, high = np.searchsorted(ends, spans[:, 0], "right"), np.searchsorted(starts, spans[:, 1], "left")
+    return low, np.where(spans[:, 0] < spans[:, 1], high, low)
+
+
+def loss_mask(spans: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Tokens which overlap one of the sorted spans."""
     mask = np.zeros(len(starts), bool)
-    if spans:
-        low = np.searchsorted(ends, [a for a, _ in spans], "right")
-        high = np.searchsorted(starts, [b for _, b in spans], "left")
-        for (a, b), i, j in zip(spans, low, high):
-            if a < b:
-                mask[i:j] = True
+    for i, j in zip(*overlaps(spans, starts, ends)):
+        mask[i:j] = True
     return mask
 
 
-FORMATTED = "formatted string, ids array<int>, starts array<int>, ends array<int>, loss array<boolean>"
+FORMATTED = "formatted string, ids array<int>, starts array<int>, ends array<int>, loss array<boolean>, trained array<int>"
 
 
 def format_chats(
     df: DataFrame, ranks: bytes, pattern: str, trained: tuple[str, ...] = ("assistant",),
     key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
 ) -> DataFrame:
-    """One row per conversation: ``key``, the rendered string, and per token id, start, end and loss flag."""
+    """One row per conversation: ``key``, the rendered string, per token id, start, end and loss flag, and start and end of each trained turn in ``trained``."""
     shared = df.sparkSession.sparkContext.broadcast(ranks)
     empty = F.lit("")
     whole = df.groupBy(F.col(key).alias("key")).agg(
@@ -132,22 +124,35 @@ def format_chats(
                 rows = []
                 for turns in part.column(1).to_pylist():
                     formatted, spans = render([(t["role"], t["text"]) for t in turns])
-                    cuts = sorted({x for s in spans for x in s})
-                    ids, starts, ends = aligner.encode(formatted, cuts)
-                    spans = [s for s, t in zip(spans, turns) if t["role"] in trained]
-                    rows.append((formatted, ids, starts, ends, loss_mask(spans, starts, ends)))
-                columns = list(zip(*rows)) if rows else [[]] * 5
-                types = [pa.string(), *[pa.list_(pa.int32())] * 3, pa.list_(pa.bool_())]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=schema.names)
+                    own = np.array([s for s, t in zip(spans, turns) if t["role"] in trained], np.int32).reshape(-1, 2)
+                    ids, starts, ends = aligner.encode(formatted)
+                    rows.append((formatted, ids, starts, ends, loss_mask(own, starts, ends), own.ravel()))
+                texts, *flat = zip(*rows) if rows else [[]] * 6
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), *map(lists, flat)], names=schema.names)
 
     return whole.mapInArrow(run, schema)
 
 
-def read_back(formatted: str, starts: np.ndarray, ends: np.ndarray, loss: np.ndarray) -> tuple[list[tuple[str, str]], str]:
-    """Turns of the rendered string, and its text under the loss mask."""
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], loss.astype(np.int8), [0]])))
-    masked = "".join(unescape(formatted[starts[a] : ends[b - 1]]) for a, b in zip(edges[::2], edges[1::2]))
-    return parse(formatted), masked
+def lists(arrays) -> pa.Array:
+    """A list column from the arrays of its rows."""
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays)))
+
+
+def each(column: pa.ListArray):
+    """The rows of a list column as arrays."""
+    flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return (flat[a:b] for a, b in zip(ends, ends[1:]))
+
+
+def read_back(formatted: str, starts: np.ndarray, ends: np.ndarray, loss: np.ndarray, trained: np.ndarray) -> tuple[list[tuple[str, str]], str]:
+    """Turns of the rendered string, and its text under the loss mask: of the masked tokens, what lies inside the trained turns."""
+    masked, spans = [], np.asarray(trained).reshape(-1, 2)
+    for (a, b), i, j in zip(spans.tolist(), *overlaps(spans, starts, ends)):
+        under = i + np.flatnonzero(loss[i:j])
+        if len(under):
+            masked.append(unescape(formatted[max(starts[under[0]], a) : min(ends[under[-1]], b)]))
+    return parse(formatted), "".join(masked)
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,18 +165,20 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hostile).alias("text"))
     chats = format_chats(rows.unionByName(extra), ranks, public_tokenizers.PATTERN)
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, n_loss_tokens long"
+    names = [field.split()[0] for field in schema.split(", ")]
 
     def digest(text: str) -> str:
         return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                loss = np.array(r["loss"], bool)
-                turns, masked = read_back(r["formatted"], np.array(r["starts"], int), np.array(r["ends"], int), loss)
-                rows.append({"conv_id": r["conv_id"], "n_turns": len(turns), "turns_sha256": digest("".join(f"{a}\n{b}\n" for a, b in turns)), "loss_chars": len(masked), "loss_sha256": digest(masked), "formatted_chars": len(r["formatted"]), "n_tokens": len(loss), "n_loss_tokens": int(loss.sum())})
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows)
+            for part in slices(batch):
+                found = []
+                for text, starts, ends, loss, trained in zip(part.column("formatted").to_pylist(), *(each(part.column(c)) for c in ("starts", "ends", "loss", "trained"))):
+                    turns, masked = read_back(text, starts, ends, loss, trained)
+                    found.append((len(turns), digest("".join(f"{a}\n{b}\n" for a, b in turns)), len(masked), digest(masked), len(text), len(loss), int(loss.sum())))
+                types = [pa.int64(), pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 3]
+                columns = list(zip(*found)) if found else [[]] * 7
+                yield pa.RecordBatch.from_arrays([part.column("conv_id"), *(pa.array(c, t) for c, t in zip(columns, types))], names=names)
 
     return chats.mapInArrow(run, schema)
