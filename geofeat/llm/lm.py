@@ -16,7 +16,7 @@ words with an embedding of their own (others have their class's). Word counts ar
 Spark aggregation over all texts. For training, every task starts from the same
 weights and runs stochastic gradient descent in numpy over its texts, and a Spark
 aggregation averages the tasks' weights, each by the positions it saw; ``ROUNDS`` such
-rounds, which take turns so that every position trains once. The driver holds and
+rounds, among which the texts are dealt by a hash, so that every position trains once. The driver holds and
 sends out the weights, the words with an embedding and two numbers for each bucket;
 the counts of all other words stay in Spark, which joins them by a 64-bit key (its
 collisions aside, exactly).
@@ -38,14 +38,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geofeat.llm.common import read, slices, written
+from geofeat.llm.common import passing, place, read, slices, written
 
-KNOWN, BUCKETS, DIM, SIDE = 192, 64, 16, 2
+KNOWN, BUCKETS, DIM, SIDE = 96, 32, 16, 2
 CLASSES = KNOWN + BUCKETS
 EDGE = CLASSES  # the context class beyond either end
 OFFSETS = tuple(d for d in range(-SIDE, SIDE + 1) if d)
-#: Every position trains in one of the rounds.
-ROUNDS, BATCH, RATE = 2, 512, 0.5
+#: Every text trains in one of the rounds.
+ROUNDS, BATCH, RATE = 2, 1_024, 0.5
 SCORED_AT_ONCE = 1_024
 REMEMBERED, COUNTED_AT_ONCE, SENT_AT_ONCE = 300_000, 200_000, 10_000
 
@@ -201,10 +201,14 @@ class WindowNetwork:
             self.embed[rows[order][starts]] -= np.add.reduceat(change.reshape(-1, DIM)[order], starts, 0)
 
 
-def windows(found: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Context classes of the given places."""
-    padded = np.concatenate([np.full(SIDE, EDGE), found, np.full(SIDE, EDGE)])
-    return padded[at[:, None] + SIDE + np.array(OFFSETS)]
+def windows(found: np.ndarray, start: int, n: int) -> np.ndarray:
+    """Contexts of n places from ``start`` on."""
+    around = found[max(0, start - SIDE) : start + n + SIDE]
+    n = min(n, len(found) - start)
+    padded = np.full(n + 2 * SIDE, EDGE)
+    first = max(0, SIDE - start)
+    padded[first : first + len(around)] = around
+    return np.stack([padded[SIDE + d : SIDE + d + n] for d in OFFSETS], 1)
 
 
 def count_words(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -250,9 +254,9 @@ def alphabet(df: DataFrame, text_col: str = "text") -> Alphabet:
     return Alphabet(known, {bytes(r.word): r.n for r in top[KNOWN:]}, totals, distinct, counts.groupBy("key").agg(F.sum("n").alias("n")))
 
 
-def places(n: int, turn: int) -> np.ndarray:
-    """The places of a text of n words that train in a round."""
-    return np.arange((n + turn) % ROUNDS, n, ROUNDS)
+def of_round(df: DataFrame, turn: int, text_col: str = "text") -> DataFrame:
+    """The texts that train in a round."""
+    return df.select(text_col).where(F.pmod(F.xxhash64(text_col), F.lit(ROUNDS)) == turn)
 
 
 def fit(df: DataFrame, text_col: str = "text") -> tuple[Alphabet, WindowNetwork]:
@@ -261,20 +265,19 @@ def fit(df: DataFrame, text_col: str = "text") -> tuple[Alphabet, WindowNetwork]
     words = alphabet(df, text_col)
     network = WindowNetwork.start(np.full(CLASSES, 1 / CLASSES), class_of=words.class_of)
     for turn in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((words, network.flat(), turn))
+        shared = spark.sparkContext.broadcast((words, network.flat()))
 
         def run(batches):
-            own, flat, turn = shared.value
+            own, flat = shared.value
             net, seen = WindowNetwork.of(flat.copy()), 0
             contexts, targets, waiting = [], [], 0
             for batch in batches:
                 for part in slices(batch):
                     for text in part.column(0).to_pylist():
                         rows = own.placed(text)[0]
-                        at = places(len(rows), turn)
-                        for a in range(0, len(at), BATCH):
-                            contexts.append(windows(rows, at[a : a + BATCH]))
-                            targets.append(own.class_of[rows[at[a : a + BATCH]]])
+                        for a in range(0, len(rows), BATCH):
+                            contexts.append(windows(rows, a, BATCH))
+                            targets.append(own.class_of[rows[a : a + BATCH]])
                             waiting += len(targets[-1])
                             if waiting >= BATCH:
                                 net.train(np.concatenate(contexts), np.concatenate(targets), RATE / (1 + seen / 200_000) ** 0.5)
@@ -293,10 +296,10 @@ def fit(df: DataFrame, text_col: str = "text") -> tuple[Alphabet, WindowNetwork]
                 yield pa.RecordBatch.from_arrays([pa.array(at[a : a + SENT_AT_ONCE]), pa.array(np.full(len(part), seen)), pa.ListArray.from_arrays(pa.array(ends), pa.array(part.ravel()))], names=["i", "seen", "change"])
 
         # mean of the tasks' weights, by the positions they saw; line -1 has the positions of all
-        tasks = df.select(text_col).mapInArrow(run, "i long, seen long, change array<float>").where("seen > 0")
+        tasks = of_round(df, turn, text_col).mapInArrow(run, "i long, seen long, change array<float>").where("seen > 0")
         sums = tasks.groupBy("i").agg(F.sum("seen").alias("seen"), *(F.sum(F.col("change")[j].cast("double") * F.col("seen")).alias(f"c{j}") for j in range(DIM))).collect()
         if not sums:
-            break
+            continue
         seen = next(r.seen for r in sums if r.i < 0)
         lines = network.flat().reshape(-1, DIM).astype(np.float64)
         for r in sums:
@@ -320,9 +323,11 @@ def scored(df: DataFrame, words: Alphabet, network: WindowNetwork, text_col: str
     """Adds ``n_words``, ``log_prob`` (the sum) and ``mean_log_prob``."""
     shared = df.sparkSession.sparkContext.broadcast((words, network.flat()))
     new = [T.StructField("n_words", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("_others", T.ArrayType(T.LongType()))]
-    rest = df.drop(*(c for c in ("n_words", "log_prob", "mean_log_prob") if c != text_col)).withColumn("_row", F.monotonically_increasing_id())
-    at = rest.columns.index(text_col)
-    passed = [i for i in range(len(rest.columns)) if keep_text or i != at]
+    row = "_" + max(df.columns, key=len)  # longer than any name there
+    at = place(df, text_col)
+    own_columns = [df.columns[i] for i in passing(df, ["n_words", "log_prob", "mean_log_prob", "_others"])]
+    rest = df.withColumn(row, F.monotonically_increasing_id())
+    passed = [i for i, c in enumerate(rest.columns) if (c in own_columns or c == row) and (keep_text or i != at)]
     schema = T.StructType([*(rest.schema.fields[i] for i in passed), *new])
 
     def run(batches):
@@ -339,10 +344,10 @@ def scored(df: DataFrame, words: Alphabet, network: WindowNetwork, text_col: str
     if words.counts is not None:
         # what a word occurs, for the words without a row; those that the corpus does not have share one occurrence
         absent = F.element_at(F.array(*(F.lit(-float(np.log(k + 1))) for k in words.distinct)), (F.col("key").bitwiseAND(BUCKETS - 1) + 1).cast("int"))
-        others = out.select("_row", F.explode("_others").alias("key")).join(words.counts, "key", "left")
-        more = others.groupBy("_row").agg(F.sum(F.coalesce(F.log("n"), absent)).alias("_more"))
-        out = out.join(more, "_row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("_more", F.lit(0.0)))
-    return out.select(*(rest.columns[i] for i in passed if rest.columns[i] != "_row"), "n_words", "log_prob", (F.col("log_prob") / F.nullif(F.col("n_words"), F.lit(0))).alias("mean_log_prob"))
+        others = out.select(row, F.explode("_others").alias("key")).join(words.counts, "key", "left")
+        more = others.groupBy(row).agg(F.sum(F.coalesce(F.log("n"), absent)).alias("_more"))
+        out = out.join(more, row, "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("_more", F.lit(0.0)))
+    return out.select(*(rest.columns[i] for i in passed if rest.columns[i] != row), "n_words", "log_prob", (F.col("log_prob") / F.nullif(F.col("n_words"), F.lit(0))).alias("mean_log_prob"))
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

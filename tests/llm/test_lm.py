@@ -86,6 +86,22 @@ def test_alphabet_grows_with_the_corpus(spark):
     assert sizes[0] == lm.KNOWN + 63 and sizes[1] == lm.KNOWN + 200
 
 
-def test_every_position_trains_once():
-    for n in range(9):
-        assert sorted(np.concatenate([lm.places(n, turn) for turn in range(lm.ROUNDS)]).tolist()) == list(range(n))
+def test_every_text_trains_once(spark):
+    df = spark.createDataFrame([(i, f"text {i % 30}") for i in range(40)] + [(99, None)], "doc_id long, text string")
+    dealt = [r.text for turn in range(lm.ROUNDS) for r in lm.of_round(df, turn).collect()]
+    assert sorted(map(str, dealt)) == sorted(str(r.text) for r in df.collect())
+
+
+def test_windows_of_a_part_are_those_of_the_whole():
+    found = np.arange(11)
+    padded = [lm.EDGE] * lm.SIDE + found.tolist() + [lm.EDGE] * lm.SIDE
+    whole = [[padded[i + lm.SIDE + d] for d in lm.OFFSETS] for i in range(11)]
+    for n in (1, 3, 20):
+        assert np.concatenate([lm.windows(found, a, n) for a in range(0, 11, n)]).tolist() == whole
+
+
+def test_long_text_and_columns_with_the_outputs_names(spark):
+    df = spark.createDataFrame([(1, "word " * 60_000, 5), (2, "word other", 6)], "doc_id long, text string, N_words int")
+    out = lm.scored(df, *lm.fit(df))
+    assert out.columns == ["doc_id", "text", "n_words", "log_prob", "mean_log_prob"]
+    assert {r.doc_id: r.n_words for r in out.collect()} == {1: 60_000, 2: 2}
