@@ -14,9 +14,9 @@ crossed over the folds, so each sees rows that did not make its inputs. Scoring
 the model (below 1 MB) is the only broadcast.
 
 Cases: null and empty texts have the features of no words and get the score which
-the model gives those; rows without a label do not train; a label table without
-usable rows leaves a model of the fixed lexicon alone (score 0.9 with a hit, else
-0.05); repeated labels of one id count as often as they occur; extra columns pass
+the model gives those; rows without a label do not train; where no usable row, or
+none of one of the two classes, is there to learn from, the fixed lexicon alone scores
+(0.9 with a hit, else 0.05), and any number of rows of both trains the trees; repeated labels of one id count as often as they occur; extra columns pass
 through, and those with an output's name are replaced.
 """
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geofeat.llm.boosting import BoostedTrees, Isotonic
-from geofeat.llm.common import held_out, read, slices
+from geofeat.llm.common import held_out, passing, place, read, slices
 
 #: Labelled rows that a model may learn from, and learned lexicon entries, at most.
 SAMPLE, LEXICON = 24_000, 2_000
@@ -58,7 +58,7 @@ HIT = FIXED | STEM | LEARNED
 STRIP = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum()) + "…“”‘’«»¿¡–—"
 INNER = re.compile(r"[^\W\d_][\d@$!*#%+]+[^\W\d_]")
 AGAIN = re.compile(r"([^\W\d_])\1\1")
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 FEATURES = 17
 
 
@@ -198,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> ToxicityMode
     model = ToxicityModel(chosen(counts, t, n))
     folds = [ToxicityModel(chosen(counts, t, n, k)) for k in range(FOLDS)]
     got = featured(rows, folds).orderBy("doc_id", "toxic").collect()
-    if min(sum(r.toxic for r in got), sum(1 - r.toxic for r in got)) < 5:
+    if not 0 < sum(r.toxic for r in got) < len(got):
         return model
     x, y, part = np.array([r.features for r in got]), np.array([r.toxic for r in got], float), np.array([r.part for r in got])
     margin = np.zeros(len(y))
@@ -227,18 +227,18 @@ def featured(rows: DataFrame, folds: list[ToxicityModel]) -> DataFrame:
 def scored(df: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """Adds the probability that a text is toxic."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    rest = df.drop(score_col) if score_col != text_col else df
-    at = rest.columns.index(text_col)
-    schema = T.StructType([*rest.schema.fields, T.StructField(score_col, T.DoubleType())])
+    at, kept = place(df, text_col), passing(df, [score_col])
+    schema = T.StructType([*(df.schema.fields[i] for i in kept), T.StructField(score_col, T.DoubleType())])
 
     def run(batches):
         own = shared.value
         for batch in batches:
             for part in slices(batch):
                 x = np.array([own.features(t) for t in part.column(at).to_pylist()]).reshape(-1, FEATURES)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(own.score(x), pa.float64())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), pa.array(own.score(x), pa.float64())], names=schema.names)
+        own.known.clear()  # the worker lives on
 
-    return rest.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
