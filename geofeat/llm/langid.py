@@ -20,6 +20,7 @@ through, and those with an output's name are replaced.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geofeat.llm.common import held_out, read, slices
+from geofeat.llm.common import held_out, passing, place, read, slices
 
 #: Distinct labelled texts of each language that a model may learn from, at most.
 SAMPLE = 2_000
@@ -96,13 +97,18 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> LanguageModel:
     languages = sorted({lang for _, lang in rows})
     where = {lang: i for i, lang in enumerate(languages)}
     train, check = [], []
+    rows = sorted(rows, key=lambda r: (r[1], r[0]))
+    first = {lang: k for k, (_, lang) in reversed([*enumerate(rows)])}
+    size = Counter(lang for _, lang in rows)
     for k, (text, lang) in enumerate(rows):
         raw = prepared(text)
+        # of each language a run of texts that are neighbours in order is set aside, so that copies with the same beginning do not stand on both sides
+        aside = len(rows) >= 50 and 5 * (k - first[lang] + 1) > 4 * size[lang]
         starts = [0] if len(raw) <= EXAMPLE else np.unique(np.linspace(0, len(raw) - EXAMPLE, EXAMPLES).astype(int))
         for a in starts:
             found = subwords(np.frombuffer(raw[a : a + EXAMPLE], np.uint8))
             if len(found):
-                (check if k % 5 == 0 and len(rows) >= 50 else train).append((found, where[lang]))
+                (check if aside else train).append((found, where[lang]))
     m = len(languages)
     if not m:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 1.0)
@@ -152,9 +158,8 @@ def predict(df: DataFrame, model: LanguageModel, text_col: str = "text") -> Data
     """Adds ``lang_pred``, ``score`` and ``accepted``."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())]
-    rest = df.drop(*(f.name for f in new if f.name != text_col))
-    at = rest.columns.index(text_col)
-    schema = T.StructType([*rest.schema.fields, *new])
+    at, kept = place(df, text_col), passing(df, [f.name for f in new])
+    schema = T.StructType([*(df.schema.fields[i] for i in kept), *new])
 
     def run(batches):
         own = shared.value
@@ -162,9 +167,9 @@ def predict(df: DataFrame, model: LanguageModel, text_col: str = "text") -> Data
             for part in slices(batch):
                 found = [own.predict(t) for t in part.column(at).to_pylist()]
                 columns = list(zip(*found)) if found else [[]] * 3
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.bool_())))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), *(pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.bool_())))], names=schema.names)
 
-    return rest.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
