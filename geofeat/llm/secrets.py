@@ -23,6 +23,8 @@ and one that has the output's name is replaced.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geofeat.llm.common import read, slices
+from geofeat.llm.common import passing, place, read, slices
 
 # The base patterns, their kinds in order, and the words around secrets.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -95,7 +97,8 @@ def scan(text: str, novelty: Novelty) -> list[tuple[int, int, int]]:
     found = base_spans(text, raw, low)
     if not any(word in low for word in SENSITIVE_WORDS):
         return found
-    base, end_of_last = list(found), -1
+    starts, ends = [a for a, *_ in found], list(accumulate((b for *_, b in found), max))  # of base spans up to each
+    end_of_last, known = -1, {}
     for context in SENSITIVE.finditer(text):
         if context.start() < end_of_last:
             continue
@@ -104,14 +107,17 @@ def scan(text: str, novelty: Novelty) -> list[tuple[int, int, int]]:
             if a > context.end() + NEAR:
                 break
             run = m[0]
-            if a < end_of_last or any(a < e and s < b for s, _, e in base):
+            before = bisect_left(starts, b)  # base spans that begin before the run ends
+            if a < end_of_last or before and ends[before - 1] > a:
                 continue
             if b == context.end() + NEAR + 256:  # the window cut it: take the whole run
                 b = RUN.match(text, a).end()
                 run = text[a:b]
             if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
                 continue
-            if novelty.ratio(text[max(0, a - BEFORE) : a], run, text[b : b + AFTER]) >= NOVELTY:
+            if (a, b) not in known:  # several context words may stand before one run
+                known[a, b] = novelty.ratio(text[max(0, a - BEFORE) : a], run, text[b : b + AFTER])
+            if known[a, b] >= NOVELTY:
                 found.append((a, 3, b))
                 end_of_last = b
     found.sort()
@@ -120,9 +126,8 @@ def scan(text: str, novelty: Novelty) -> list[tuple[int, int, int]]:
 
 def find_secrets(df: DataFrame, text_col: str = "text", out_col: str = "secrets") -> DataFrame:
     """Adds the spans of secrets as an array of (kind, start, end), sorted by start, then kind."""
-    rest = df.drop(out_col) if out_col != text_col else df
-    at = rest.columns.index(text_col)
-    schema = T.StructType([*rest.schema.fields, T.StructField(out_col, SPANS)])
+    at, kept = place(df, text_col), passing(df, [out_col])
+    schema = T.StructType([*(df.schema.fields[i] for i in kept), T.StructField(out_col, SPANS)])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
@@ -130,15 +135,14 @@ def find_secrets(df: DataFrame, text_col: str = "text", out_col: str = "secrets"
         for batch in batches:
             for part in slices(batch):
                 found = [None if t is None else [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in scan(t, novelty)] for t in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, kind)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in kept), pa.array(found, kind)], names=schema.names)
 
-    return rest.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """Replaces every secret of ``text_col`` by ``mark``; overlapping spans by one mark."""
-    at = df.columns.index(text_col)
-    schema = df.schema
+    at, schema = place(df, text_col), df.schema
 
     def clean(text: str | None, novelty: Novelty) -> str | None:
         if text is None or not (found := scan(text, novelty)):
