@@ -43,3 +43,20 @@ def test_run_is_the_stages_in_a_row(spark):
     out = P.run(spark, SF)
     assert [n for n, _ in P.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secrets", "tokens"]
     assert 0 < out.count() <= 200
+
+
+def test_cases_of_every_stage(spark):
+    long = " ".join(f"word{i}" for i in range(50_000))
+    rows = [(1, None, 1.0, "a", "x"), (2, "", 1.0, "a", "x"), (3, long, 1.0, "a", "x"), (3, long, 1.0, "a", "x"), (4, long, 1.0, "b", "x"), (None, long, 1.0, "b", "y"), (5, "api_key = abcdef123456", 2.0, "b", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxicity double, lang string, source string").withColumnRenamed("toxicity", "Toxicity")
+    kept = {"toxicity": [None, 1, 2, 3, 3, 4, 5], "near_duplicates": [None, 1, 2, 3, 3, 5], "decontamination": [None, 1, 2, 3, 3, 5], "secrets": [None, 1, 2, 3, 3, 5], "tokens": [None, 1, 2, 3, 3, 5]}
+    frame = docs
+    for name, stage in P.STAGES:
+        got = stage(spark, frame, SF)
+        if name != "tokens":
+            assert got.columns == docs.columns
+        assert stage(spark, frame.where("false"), SF).count() == 0
+        out = got.collect()
+        assert sorted((r.doc_id for r in out), key=lambda i: i or 0) == kept[name], name
+        frame = spark.createDataFrame(out, got.schema)
+    assert {r.doc_id: r.n_tokens for r in out}[1] == 0
