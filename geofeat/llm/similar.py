@@ -114,47 +114,68 @@ def prefix(found: np.ndarray, share: float) -> np.ndarray:
     return found[: int(np.ceil(share * len(found)))]
 
 
+def digest(found: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(found.tobytes())
+
+
 def _profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, text -> doc_id, n, digest, marks (minhashes), bands, prefix."""
+    """doc_id, text -> doc_id, n, digest, marks (minhashes), bands."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 sets = [shingles(t) for t in part.column(1).to_pylist()]
                 marks = [signature(s) if len(s) else None for s in sets]
-                heads = [prefix(s, SHARE) for s in sets]
-                ends = np.concatenate([[0], np.cumsum([len(h) for h in heads])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                        pa.array(map(digest, sets), pa.binary()),
                         pa.array([[] if m is None else (m >> np.uint64(32)).astype(np.uint32).view(np.int32) for m in marks], pa.list_(pa.int32())),
                         pa.array([[] if m is None else bands(m) for m in marks], pa.list_(pa.int64())),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.uint64), *heads]).view(np.int64))),
                     ],
-                    names=["doc_id", "n", "digest", "marks", "bands", "prefix"],
+                    names=["doc_id", "n", "digest", "marks", "bands"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, marks array<int>, bands array<long>, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, digest binary, marks array<int>, bands array<long>")
+
+
+def _prefixes(docs: DataFrame, hot: dict[bytes, int]) -> DataFrame:
+    """(token, rep): the prefixes of all sets; hot: digests of many copies, of which the representative alone counts."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                ids, sets = part.column(0).to_pylist(), [shingles(t) for t in part.column(1).to_pylist()]
+                if hot:
+                    sets = [s if hot.get(digest(s), i) == i else s[:0] for i, s in zip(ids, sets)]
+                heads = [prefix(s, SHARE) for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *heads]).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), [len(h) for h in heads]))], names=["token", "rep"])
+
+    return docs.where("doc_id is not null").mapInArrow(run, "token long, rep long")
+
+
+def _bounded(ids: DataFrame) -> DataFrame:
+    """Marks a frame of ids for broadcast while it is counted to be at most BROADCAST_ROWS long."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id -> its sorted shingles as bytes; ids: one column, distinct."""
-    ids = F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
-    wanted = docs.join(ids.toDF("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+    """ids (doc_id and other columns of long) -> the same with the sorted shingles as bytes in ``found``."""
+    others = [c for c in ids.columns if c != "doc_id"]
+    wanted = docs.join(_bounded(ids), "doc_id").select("doc_id", *others, "text")
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                found = [shingles(t).tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["doc_id", "found"])
+                *kept, texts = part.columns
+                yield pa.RecordBatch.from_arrays([*kept, pa.array([shingles(t).tobytes() for t in texts.to_pylist()], pa.binary())], names=["doc_id", *others, "found"])
 
-    return wanted.mapInArrow(run, "doc_id long, found binary")
+    return wanted.mapInArrow(run, "".join(f"{c} long, " for c in ["doc_id", *others]) + "found binary")
 
 
 def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets share enough of their union."""
+    """The pairs (a, b) whose sets share enough of their union; many pairs may have one a."""
 
     def run(batches):
         for batch in batches:
@@ -170,9 +191,9 @@ def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     with Scratch(docs.sparkSession) as keep:
         pairs = keep(pairs)
-        sets = keep(_sets(docs, pairs.select("a").union(pairs.select("b")).distinct()))
-        both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("found").alias("found_a")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("found").alias("found_b")), "b")
-        return written(both.select("found_a", "found_b", "a", "b").mapInArrow(run, "a long, b long"))
+        sets = _sets(docs, pairs.select(F.col("a").alias("doc_id")).distinct()).select(F.col("doc_id").alias("a"), F.col("found").alias("found_a"))
+        both = _sets(docs, pairs.withColumnRenamed("b", "doc_id")).withColumnRenamed("found", "found_b").join(sets, "a")
+        return written(both.select("found_a", "found_b", "a", F.col("doc_id").alias("b")).mapInArrow(run, "a long, b long"))
 
 
 def _forest(linked: list[np.ndarray], row_label: np.ndarray, column_label: np.ndarray) -> list[tuple[int, int]]:
@@ -276,25 +297,29 @@ def _regrouped(groups: DataFrame, links: DataFrame) -> DataFrame:
     return written(groups.join(found.toDF("grp", "component"), "grp", "left").select("rep", "n", F.coalesce("component", "grp").alias("grp")))
 
 
-def _able(full: DataFrame, groups: DataFrame) -> DataFrame:
+def _able(docs: DataFrame, groups: DataFrame, hot: dict[bytes, int]) -> DataFrame:
     """The representatives (rep, n, grp) whose prefixes have enough shingles of other groups."""
-    prefixes = full.select(F.col("doc_id").alias("rep"), "prefix").join(groups.select("rep", "grp"), "rep")
-    with Scratch(full.sparkSession) as keep:
-        some = prefixes.where(F.pmod(F.xxhash64("rep"), F.lit(max(1, full.count() // KNOWN_SAMPLE))) == 0)
-        seen = some.select(F.explode("prefix").alias("token"), "grp").groupBy("token").agg(F.count("*").alias("k"), F.min("grp").alias("low"), F.max("grp").alias("high"))
-        known = keep(seen.where((F.col("k") >= KNOWN_SEEN) & F.expr("low < high")).select("token"))
-        tokens = prefixes.select(F.explode("prefix").alias("token"), "rep", "grp").join(F.broadcast(known.withColumn("known", F.lit(True))), "token", "left")
-        # the rows of a known shingle need not meet; they are spread over tasks
-        of_token = W.partitionBy("token", F.when(F.col("known"), F.pmod(F.xxhash64("rep"), F.lit(1_000))))
-        several = tokens.withColumn("low", F.min("grp").over(of_token)).withColumn("high", F.max("grp").over(of_token)).where("known OR low < high")
-        counted = several.groupBy("rep", "grp").agg(F.count("*").alias("usable")).join(groups, ["rep", "grp"])
+    of = groups.select("rep", "grp").distinct()
+    with Scratch(docs.sparkSession) as keep:
+        some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.count() // KNOWN_SAMPLE))) == 0)
+        seen = _prefixes(some, hot).join(of, "rep").groupBy("token").agg(F.count("*").alias("k"), F.min("grp").alias("low"), F.max("grp").alias("high"))
+        known = keep(seen.where((F.col("k") >= KNOWN_SEEN) & F.expr("low < high")).select("token", F.lit(True).alias("known")))
+
+        def shared(tokens: DataFrame, what: str) -> DataFrame:
+            """Rows of the shingles that several ``what`` have; those of a known shingle need not meet and are spread over tasks."""
+            dealt = tokens.withColumn("salt", F.when(F.col("known"), F.pmod(F.xxhash64("rep"), F.lit(1_000))))
+            together = W.partitionBy("token", "salt")
+            return dealt.withColumns({"low": F.min(what).over(together), "high": F.max(what).over(together)}).where("known OR low < high").drop("salt", "low", "high")
+
+        tokens = shared(_prefixes(docs, hot).join(F.broadcast(known), "token", "left"), "rep")
+        counted = shared(tokens.join(of, "rep"), "grp").groupBy("rep", "grp").agg(F.count("*").alias("usable")).join(groups, ["rep", "grp"])
         return written(counted.where(F.col("usable") >= F.lit(SHARE - (1 - NUM / DEN)) * F.col("n") - F.lit(1e-6)).select("rep", "n", "grp"))
 
 
 def _exploded(docs: DataFrame, able: DataFrame) -> DataFrame:
     """(token, rep, n, grp): all shingles of the given representatives."""
     ids = able.select("rep", "grp").distinct()
-    ids = F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+    ids = _bounded(ids)
 
     def run(batches):
         for batch in batches:
@@ -355,14 +380,15 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     full = profiles.where("n > 0 and doc_id is not null")
     copies = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("k"))
     copies = written(copies)
-    hot = F.broadcast(copies.where(F.col("k") > F.lit(HOT * full.count())).drop("k"))
+    many = copies.where(F.col("k") > F.lit(HOT * full.count())).drop("k").collect()
+    hot = F.broadcast(docs.sparkSession.createDataFrame(many, "digest binary, rep long, n long"))
     ids = full.select("doc_id", "digest")
     placed = ids.join(hot, "digest").unionByName(ids.join(hot, "digest", "left_anti").join(copies.drop("k"), "digest"))
     member = written(placed.select("doc_id", "rep", "n").distinct())
     groups = written(member.select("rep", "n").distinct().withColumn("grp", F.col("rep")))
 
     groups = _grouped(docs, full, groups)
-    heads = _heads(docs, _able(full, groups))
+    heads = _heads(docs, _able(docs, groups, {bytes(r.digest): r.rep for r in many}))
     links, more = _group_links(docs, heads, groups), _family_links(docs, heads, groups)
     groups = _regrouped(groups, links if more is None else links.unionByName(more))
 
