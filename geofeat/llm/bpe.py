@@ -157,6 +157,11 @@ class Codec:
             i = after[i]
         return out
 
+    def forget(self) -> None:
+        """Frees what is remembered of pre-tokens; workers live longer than their tasks."""
+        self.pieces.clear()
+        self.pieces.old = {}
+
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.pattern.findall(text))), np.int32)
 
@@ -200,6 +205,7 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", id
                 if decoded_col:
                     columns.append(pa.array([None if ids is None else own.decode(ids.tolist()) for ids in found], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        own.forget()
 
     return df.mapInArrow(run, schema)
 

@@ -129,6 +129,7 @@ def format_chats(
                     rows.append((formatted, ids, starts, ends, loss_mask(own, starts, ends), own.ravel()))
                 texts, *flat = zip(*rows) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), *map(lists, flat)], names=schema.names)
+        aligner.own.forget()
 
     return whole.mapInArrow(run, schema)
 
