@@ -182,9 +182,9 @@ class FeatureBuilder:
     features: list[Feature]
     layers: dict[str, DataFrame] = field(default_factory=dict)
 
-    def transform(self, inputs: DataFrame, check: bool = False) -> DataFrame:
-        if check:
-            assert_distinct(inputs)
+    def transform(self, inputs: DataFrame) -> DataFrame:
+        """Refuses inputs of which two stand at one place."""
+        assert_distinct(inputs)
         out, defaults = inputs.select("geom_id"), {}
         for name in dict.fromkeys(f.layer for f in self.features):
             own = [f for f in self.features if f.layer == name]
@@ -204,15 +204,12 @@ def assert_distinct(inputs: DataFrame) -> None:
         raise ValueError("input geometries must be distinct")
 
 
-def feature_types(kind: str) -> list[type[Feature]]:
-    """Feature classes that suit a kind of object."""
-    upper = kind.upper()
-    found = [DistanceTo] if "LINE" in upper else [DistanceTo, NumberOf]
-    if "LINE" in upper:
-        found += [TotalLength, AreaOfNearest]
-    if "POLYGON" in upper:
-        found += [AreaOf, AreaOfNearest]
-    return found
+# The classes of features that suit points, ways and areas.
+SUITED: dict[str, list[type[Feature]]] = {
+    "point": [DistanceTo, NumberOf],
+    "way": [DistanceTo, TotalLength, AreaOfNearest],
+    "area": [DistanceTo, NumberOf, AreaOf, AreaOfNearest],
+}
 
 
 def bundle(elements: list[tuple], level: int = 10) -> list[Feature]:
@@ -221,9 +218,9 @@ def bundle(elements: list[tuple], level: int = 10) -> list[Feature]:
 
 
 DEFAULT_BUNDLE = [
-    (MAJOR_ROAD, "lines", "major_road", [r for r in RADII if 100 <= r <= 1000], feature_types("line_length"), 1),
-    (MINOR_ROAD, "lines", "minor_road", [r for r in RADII if 50 <= r <= 250], feature_types("line_length"), 1),
-    (BUILDING, "polygons", "building", [r for r in RADII if 50 <= r <= 250], feature_types("polygon_area"), 1),
+    (MAJOR_ROAD, "lines", "major_road", [r for r in RADII if 100 <= r <= 1000], SUITED["way"], 1),
+    (MINOR_ROAD, "lines", "minor_road", [r for r in RADII if 50 <= r <= 250], SUITED["way"], 1),
+    (BUILDING, "polygons", "building", [r for r in RADII if 50 <= r <= 250], SUITED["area"], 1),
     (BUILDING, "polygons", "building", [0], [AreaOf], 3),
 ]
 

@@ -51,24 +51,49 @@ def dwithin_points(q: DataFrame, t: DataFrame, radius: float) -> DataFrame:
 def dwithin_objects(q: DataFrame, t: DataFrame, radius: float, key: tuple[str, str] = ("geom_id", "obj_id")) -> DataFrame:
     """Points (lon, lat) and objects (geom) within ``radius`` metres; radius 0: the object covers the point.
 
-    An object of several cells can meet a point only in the cells around it, so a
-    pair may come up more than once and is reduced by its keys.
+    An object of several cells can meet a point in several of those around it. Of
+    these, one counts: the first column of the first row in which they meet. So pairs
+    come up once, and no shuffle has to make them distinct. ``key`` names the columns
+    that tell rows apart.
     """
-    cell = max(radius, 50.0)
-    left = _with_cells(q.withColumnsRenamed({"lon": "q_lon", "lat": "q_lat"}), F.col("q_lon"), F.col("q_lat"), F.col("q_lon"), F.col("q_lat"), cell, 1 if radius else 0)
+    cell, reach = max(radius, 50.0), 1 if radius else 0
+    up = (radius + 1e-6) / MIN_M_PER_LAT
+    turns = range(reach, -reach - 1, -1)
+    # what depends on one side alone is worked out before the join
+    points = q.withColumnsRenamed({"lon": "q_lon", "lat": "q_lat"}).withColumn("_row", _row(F.col("q_lat"), cell))
+    scales = {f"_scale{d + 1}": _columns_per_degree(F.col("_row") + d, cell) for d in turns}
+    aside = (radius + 1e-6) / MIN_M_PER_LON / F.cos(F.radians(F.least(F.lit(89.0), F.abs(F.col("q_lat")) + up)))
+    left = _with_cells(points.withColumns(scales | {"_aside": aside}), F.col("q_lon"), F.col("q_lat"), F.col("q_lon"), F.col("q_lat"), cell, reach)
     boxed = t.withColumn("_box", geo.bbox(F.col("geom")))
-    right = _with_cells(boxed, F.col("_box.min_lon"), F.col("_box.min_lat"), F.col("_box.max_lon"), F.col("_box.max_lat"), cell, 0).drop("_box")
-    met = left.join(right, ["gy", "gx"]).drop("gy", "gx").dropDuplicates(list(key))
+    boxed = boxed.withColumns({"_low": _row(F.col("_box.min_lat"), cell), "_high": _row(F.col("_box.max_lat"), cell)})
+    right = _with_cells(boxed, F.col("_box.min_lon"), F.col("_box.min_lat"), F.col("_box.max_lon"), F.col("_box.max_lat"), cell, 0)
+
+    west, east, at = F.col("_box.min_lon"), F.col("_box.max_lon"), lambda lon, d: F.floor(lon * F.col(f"_scale{d + 1}"))
+    first, column = F.lit(None).cast("long"), F.lit(None).cast("long")
+    for d in turns:  # the lowest row is asked last and wins
+        row = F.col("_row") + d
+        meets = row.between(F.col("_low"), F.col("_high")) & (at(west, d) <= at(F.col("q_lon"), d) + reach) & (at(east, d) >= at(F.col("q_lon"), d) - reach)
+        first, column = F.when(meets, row).otherwise(first), F.when(meets, F.greatest(at(F.col("q_lon"), d) - reach, at(west, d))).otherwise(column)
+    # cheaper than the distance: the box grown by the radius, at the latitude where a degree is shortest
+    near = F.col("q_lat").between(F.col("_box.min_lat") - up, F.col("_box.max_lat") + up) & F.col("q_lon").between(west - F.col("_aside"), east + F.col("_aside"))
+    once = (F.col("gy") == first) & (F.col("gx") == column)
+    met = left.join(right, ["gy", "gx"]).where(near & once).drop("gy", "gx", "_box", "_row", "_low", "_high", "_aside", *scales)
     dist = geo.point_distance_m(F.col("geom"), F.col("q_lon"), F.col("q_lat"))
     return met.withColumn("dist_m", dist).where(F.col("dist_m") <= radius)
 
 
 def box_join(a: DataFrame, b: DataFrame, cell: float, key: tuple[str, str]) -> DataFrame:
-    """Pairs whose boxes (a_min_lon ... and b_min_lon ...) touch, each once, by cells of ``cell`` metres."""
+    """Pairs whose boxes (a_min_lon ...) and (b_min_lon ...) touch, each once, by cells of ``cell`` metres.
+
+    Boxes that touch share the cell where the later of their first rows meets the later
+    of their first columns in it; they come up there alone, so no shuffle has to make the
+    pairs distinct. ``key`` names the columns that tell rows apart.
+    """
     left = _with_cells(a, F.col("a_min_lon"), F.col("a_min_lat"), F.col("a_max_lon"), F.col("a_max_lat"), cell, 0)
     right = _with_cells(b, F.col("b_min_lon"), F.col("b_min_lat"), F.col("b_max_lon"), F.col("b_max_lat"), cell, 0)
     touch = (F.col("a_min_lon") <= F.col("b_max_lon")) & (F.col("b_min_lon") <= F.col("a_max_lon")) & (F.col("a_min_lat") <= F.col("b_max_lat")) & (F.col("b_min_lat") <= F.col("a_max_lat"))
-    return left.join(right, ["gy", "gx"]).where(touch).drop("gy", "gx").dropDuplicates(list(key))
+    owner = (F.col("gy") == _row(F.greatest("a_min_lat", "b_min_lat"), cell)) & (F.col("gx") == _column(F.greatest("a_min_lon", "b_min_lon"), F.col("gy"), cell))
+    return left.join(right, ["gy", "gx"]).where(touch & owner).drop("gy", "gx")
 
 
 def boxed(df: DataFrame, prefix: str, geom: str = "geom") -> DataFrame:
