@@ -224,6 +224,20 @@ def closest_point(geom: Column, lon: Column, lat: Column) -> Column:
     return F.array_min(F.flatten(F.transform(geom["parts"], one)))
 
 
+def planar_distance_m(geom: Column, lon: Column, lat: Column, kx: Column, ky: Column) -> Column:
+    """``point_distance_m`` with the point's scales given as columns (``scale_lon``, ``scale_lat``), which then are not worked out for every edge."""
+    edge = lambda a, b: F.struct(((a["lon"] - lon) * kx).alias("x"), ((a["lat"] - lat) * ky).alias("y"), ((b["lon"] - lon) * kx).alias("x2"), ((b["lat"] - lat) * ky).alias("y2"))
+    ring = lambda r: F.coalesce(_segments(r, edge), F.transform(r, lambda c: edge(c, c)))
+    # one step binds what the next one uses more than once
+    step = F.transform(F.flatten(F.transform(geom["parts"], ring)), lambda e: F.struct(e["x"], e["y"], (e["x2"] - e["x"]).alias("u"), (e["y2"] - e["y"]).alias("v")))
+    step = F.transform(step, lambda e: F.struct(e["x"], e["y"], e["u"], e["v"], (e["u"] * e["u"] + e["v"] * e["v"]).alias("n")))
+    part = lambda e: F.when(e["n"] == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), -(e["x"] * e["u"] + e["y"] * e["v"]) / F.when(e["n"] != 0, e["n"]))))
+    step = F.transform(step, lambda e: F.struct(e["x"], e["y"], e["u"], e["v"], part(e).alias("t")))
+    step = F.transform(step, lambda e: F.struct((e["x"] + e["t"] * e["u"]).alias("x"), (e["y"] + e["t"] * e["v"]).alias("y")))
+    d2 = F.array_min(F.transform(step, lambda e: e["x"] * e["x"] + e["y"] * e["y"]))
+    return F.when(st_covers_point(geom, lon, lat), F.lit(0.0)).otherwise(F.sqrt(d2))
+
+
 def point_distance_m(geom: Column, lon: Column, lat: Column) -> Column:
     """Metres from a point to a geometry; 0 inside an area."""
     return F.when(st_covers_point(geom, lon, lat), F.lit(0.0)).otherwise(F.sqrt(closest_point(geom, lon, lat)["d2"]))

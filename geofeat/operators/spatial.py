@@ -40,12 +40,24 @@ def _with_cells(df: DataFrame, a: Column, b: Column, c: Column, d: Column, radiu
     return rows.withColumn("gx", F.explode(F.sequence(_column(a, F.col("gy"), radius) - reach, _column(c, F.col("gy"), radius) + reach)))
 
 
+def _up(radius: float) -> float:
+    """Degrees of latitude that cover the radius anywhere."""
+    return (radius + 1e-6) / MIN_M_PER_LAT
+
+
+def _aside(lat: Column, radius: float) -> Column:
+    """Degrees of longitude that cover the radius around a latitude."""
+    return (radius + 1e-6) / MIN_M_PER_LON / F.cos(F.radians(F.least(F.lit(89.0), F.abs(lat) + _up(radius))))
+
+
 def dwithin_points(q: DataFrame, t: DataFrame, radius: float) -> DataFrame:
     """All pairs of points (lon, lat) within ``radius`` metres, inclusive, with ``dist_m``; the sides' other columns must differ."""
-    left = _with_cells(q.withColumnsRenamed({"lon": "q_lon", "lat": "q_lat"}), F.col("q_lon"), F.col("q_lat"), F.col("q_lon"), F.col("q_lat"), radius, 1)
+    points = q.withColumnsRenamed({"lon": "q_lon", "lat": "q_lat"}).withColumn("_aside", _aside(F.col("q_lat"), radius))
+    left = _with_cells(points, F.col("q_lon"), F.col("q_lat"), F.col("q_lon"), F.col("q_lat"), radius, 1)
     right = t.withColumnsRenamed({"lon": "t_lon", "lat": "t_lat"}).withColumn("gy", _row(F.col("t_lat"), radius)).withColumn("gx", _column(F.col("t_lon"), F.col("gy"), radius))
     dist = geo.distance_m(F.col("q_lon"), F.col("q_lat"), F.col("t_lon"), F.col("t_lat"))
-    return left.join(right, ["gy", "gx"]).withColumn("dist_m", dist).where(F.col("dist_m") <= radius).drop("gy", "gx")
+    near = (F.abs(F.col("t_lat") - F.col("q_lat")) <= _up(radius)) & (F.abs(F.col("t_lon") - F.col("q_lon")) <= F.col("_aside"))
+    return left.join(right, ["gy", "gx"]).where(near).withColumn("dist_m", dist).where(F.col("dist_m") <= radius).drop("gy", "gx", "_aside")
 
 
 def dwithin_objects(q: DataFrame, t: DataFrame, radius: float, key: tuple[str, str] = ("geom_id", "obj_id")) -> DataFrame:
@@ -57,13 +69,11 @@ def dwithin_objects(q: DataFrame, t: DataFrame, radius: float, key: tuple[str, s
     that tell rows apart.
     """
     cell, reach = max(radius, 50.0), 1 if radius else 0
-    up = (radius + 1e-6) / MIN_M_PER_LAT
     turns = range(reach, -reach - 1, -1)
     # what depends on one side alone is worked out before the join
     points = q.withColumnsRenamed({"lon": "q_lon", "lat": "q_lat"}).withColumn("_row", _row(F.col("q_lat"), cell))
     scales = {f"_scale{d + 1}": _columns_per_degree(F.col("_row") + d, cell) for d in turns}
-    aside = (radius + 1e-6) / MIN_M_PER_LON / F.cos(F.radians(F.least(F.lit(89.0), F.abs(F.col("q_lat")) + up)))
-    left = _with_cells(points.withColumns(scales | {"_aside": aside}), F.col("q_lon"), F.col("q_lat"), F.col("q_lon"), F.col("q_lat"), cell, reach)
+    left = _with_cells(points.withColumns(scales | {"_aside": _aside(F.col("q_lat"), radius), "_kx": geo.scale_lon(F.col("q_lat")), "_ky": geo.scale_lat(F.col("q_lat"))}), F.col("q_lon"), F.col("q_lat"), F.col("q_lon"), F.col("q_lat"), cell, reach)
     boxed = t.withColumn("_box", geo.bbox(F.col("geom")))
     boxed = boxed.withColumns({"_low": _row(F.col("_box.min_lat"), cell), "_high": _row(F.col("_box.max_lat"), cell)})
     right = _with_cells(boxed, F.col("_box.min_lon"), F.col("_box.min_lat"), F.col("_box.max_lon"), F.col("_box.max_lat"), cell, 0)
@@ -75,11 +85,12 @@ def dwithin_objects(q: DataFrame, t: DataFrame, radius: float, key: tuple[str, s
         meets = row.between(F.col("_low"), F.col("_high")) & (at(west, d) <= at(F.col("q_lon"), d) + reach) & (at(east, d) >= at(F.col("q_lon"), d) - reach)
         first, column = F.when(meets, row).otherwise(first), F.when(meets, F.greatest(at(F.col("q_lon"), d) - reach, at(west, d))).otherwise(column)
     # cheaper than the distance: the box grown by the radius, at the latitude where a degree is shortest
-    near = F.col("q_lat").between(F.col("_box.min_lat") - up, F.col("_box.max_lat") + up) & F.col("q_lon").between(west - F.col("_aside"), east + F.col("_aside"))
+    near = F.col("q_lat").between(F.col("_box.min_lat") - _up(radius), F.col("_box.max_lat") + _up(radius)) & F.col("q_lon").between(west - F.col("_aside"), east + F.col("_aside"))
     once = (F.col("gy") == first) & (F.col("gx") == column)
     met = left.join(right, ["gy", "gx"]).where(near & once).drop("gy", "gx", "_box", "_row", "_low", "_high", "_aside", *scales)
-    dist = geo.point_distance_m(F.col("geom"), F.col("q_lon"), F.col("q_lat"))
-    return met.withColumn("dist_m", dist).where(F.col("dist_m") <= radius)
+    dist = geo.planar_distance_m(F.col("geom"), F.col("q_lon"), F.col("q_lat"), F.col("_kx"), F.col("_ky"))
+    # a filter on a generated column stays above it, so that the distance is worked out once
+    return met.select("*", F.explode(F.array(dist)).alias("dist_m")).where(F.col("dist_m") <= radius).drop("_kx", "_ky")
 
 
 def box_join(a: DataFrame, b: DataFrame, cell: float, key: tuple[str, str]) -> DataFrame:
