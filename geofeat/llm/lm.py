@@ -47,6 +47,8 @@ OFFSETS = tuple(d for d in range(-SIDE, SIDE + 1) if d)
 #: Every text trains in one of the rounds.
 ROUNDS, BATCH, RATE = 2, 1_024, 0.5
 SCORED_AT_ONCE = 1_024
+#: Rows of a matrix product at once: so few that the numerics library stays in the task's own thread, where it would else spin on the cores of others.
+ROWS_AT_ONCE = 128
 REMEMBERED, COUNTED_AT_ONCE, SENT_AT_ONCE = 300_000, 200_000, 10_000
 
 
@@ -58,6 +60,22 @@ def bucket(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word[-3:]) % BUCKETS
 
 
+def product(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """x @ weights in one thread."""
+    out = np.empty((len(x), weights.shape[1]), np.float32)
+    for a in range(0, len(x), ROWS_AT_ONCE):
+        np.matmul(x[a : a + ROWS_AT_ONCE], weights, out=out[a : a + ROWS_AT_ONCE])
+    return out
+
+
+def product_over_rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x.T @ y in one thread."""
+    out = np.zeros((x.shape[1], y.shape[1]), np.float32)
+    for a in range(0, len(x), ROWS_AT_ONCE):
+        out += x[a : a + ROWS_AT_ONCE].T @ y[a : a + ROWS_AT_ONCE]
+    return out
+
+
 def key_of(word: bytes) -> int:
     """Key of a word in a bucket: negative, the bucket in its last bits."""
     return (xxhash.xxh3_64_intdigest(word) | 1 << 63) // BUCKETS * BUCKETS + bucket(word) - (1 << 64)
@@ -150,7 +168,7 @@ class WindowNetwork:
 
     def log_likelihood(self, found: np.ndarray, rows: np.ndarray | None = None) -> float:
         """Sum over all places of a text's classes, each given the words around it (rows; without them, their classes)."""
-        placed, total, one = self.embed * self.place[:, None, :] if rows is None else None, 0.0, np.ones(CLASSES, np.float32)
+        placed, total = self.embed * self.place[:, None, :] if rows is None else None, 0.0
         rows = found if rows is None else rows
         padded = np.concatenate([np.full(SIDE, EDGE), rows, np.full(SIDE, EDGE)])
         for a in range(0, len(found), SCORED_AT_ONCE):
@@ -165,40 +183,38 @@ class WindowNetwork:
                 hidden = placed[0].take(padded[a : a + n], 0)
                 for j, d in enumerate(OFFSETS[1:], 1):
                     hidden += placed[j].take(padded[a + SIDE + d : a + SIDE + d + n], 0)
-            z = hidden @ self.out
+            z = product(hidden, self.out)
             z += self.bias
             if not self.bounded(hidden):
                 z -= z.max(1, keepdims=True)
             own = z[np.arange(n), target].sum(dtype=np.float64)
-            total += float(own - np.log(np.exp(z, out=z) @ one).sum(dtype=np.float64))
+            total += float(own - np.log(np.exp(z, out=z).sum(1)).sum(dtype=np.float64))
         return total
 
     def train(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One step over a batch."""
-        seen = self.embed[context]
-        hidden = (seen * self.place).sum(1)
-        grad = hidden @ self.out
+        seen = self.embed.take(context, 0)
+        hidden = seen[:, 0] * self.place[0]
+        for j in range(1, len(OFFSETS)):
+            hidden += seen[:, j] * self.place[j]
+        grad = product(hidden, self.out)
         grad += self.bias
         if not self.bounded(hidden):
             grad -= grad.max(1, keepdims=True)
         np.exp(grad, out=grad)
         grad *= (rate / len(target)) / grad.sum(1, keepdims=True)
         grad[np.arange(len(target)), target] -= rate / len(target)
-        back = grad @ self.out.T
-        self.out -= hidden.T @ grad
+        back = product(grad, self.out.T)
+        self.out -= product_over_rows(hidden, grad)
         self.bias -= grad.sum(0)
         change = back[:, None, :] * self.place
-        self.place -= (back[:, None, :] * seen).sum(0)
-        # sum of the changes of each embedding row
-        rows = context.ravel()
-        spread = np.zeros((len(rows), len(self.embed)), np.float32) if len(rows) <= 64 else None
-        if spread is not None:
-            spread[np.arange(len(rows)), rows] = 1
-            self.embed -= spread.T @ change.reshape(-1, DIM)
-        else:
-            order = np.argsort(rows, kind="stable")
-            starts = np.flatnonzero(np.diff(rows[order], prepend=-1))
-            self.embed[rows[order][starts]] -= np.add.reduceat(change.reshape(-1, DIM)[order], starts, 0)
+        self.place -= np.einsum("nd,njd->jd", back, seen)
+        # sum of the changes of each embedding row; numbers of 16 bits are sorted by counting
+        rows = context.ravel().astype(np.min_scalar_type(len(self.embed)))
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        self.embed[rows[starts]] -= np.add.reduceat(change.reshape(-1, DIM)[order], starts, 0)
 
 
 def windows(found: np.ndarray, start: int, n: int) -> np.ndarray:

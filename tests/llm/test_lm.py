@@ -8,7 +8,7 @@ from geofeat.llm import lm
 def test_step_follows_the_gradient():
     rng = np.random.default_rng(0)
     net = lm.WindowNetwork.start(np.full(lm.CLASSES, 1 / lm.CLASSES))
-    for rows in (8, 40):  # both ways of adding up the embeddings' changes
+    for rows in (8, 40):
         context, target = rng.integers(0, 7, (rows, len(lm.OFFSETS))), rng.integers(0, lm.CLASSES, rows)
         loss = lambda n: -n.log_probabilities(context)[np.arange(rows), target].mean()
         flat, step = net.flat().astype(np.float64), 1e-3
