@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from geofeat.functions import geo
 from geofeat.operators import spatial
+from geofeat.operators import tables as tb
+from geofeat.sources.shared import written
 
 # Named tag predicates.
 ROAD = "highway IS NOT NULL"
@@ -149,13 +151,18 @@ class BuildingScores(Feature):
 
 
 def pairs(inputs: DataFrame, layer: DataFrame, features: list[Feature]) -> DataFrame:
-    """The pair table of one layer: one join at the largest radius, with a flag column per predicate."""
+    """The pair table of one layer: one join at the largest radius, with a flag column per predicate.
+
+    ``same_geom`` marks an input's own geometry: the same place in a layer of points, the
+    same text (``geom_wkt`` and ``wkt``, where there are both) in one of lines and areas.
+    """
     filters = {f.object_name: f.filter for f in features}  # a later feature of the same name wins
     objects = height_columns(flag_columns(any_filter(layer, filters), filters)).withColumn("coverage", F.lit(1.0))
     radius = max(f.radius for f in features)
     if "geom" in layer.columns:
         measured = objects.withColumns({"area_m2": geo.area_m2(F.col("geom")), "length_m": geo.length_m(F.col("geom"))})
-        return spatial.dwithin_objects(inputs, measured, radius).withColumn("same_geom", F.lit(False))
+        same = F.coalesce(F.col("geom_wkt") == F.col("wkt"), F.lit(False)) if "geom_wkt" in inputs.columns and "wkt" in layer.columns else F.lit(False)
+        return spatial.dwithin_objects(inputs, measured, radius).withColumn("same_geom", same)
     flat = objects.withColumns({"area_m2": F.lit(0.0), "length_m": F.lit(0.0)})
     met = spatial.dwithin_points(inputs, flat, radius)
     return met.withColumn("same_geom", (F.col("q_lon") == F.col("t_lon")) & (F.col("q_lat") == F.col("t_lat")))
@@ -193,11 +200,37 @@ class FeatureBuilder:
             defaults |= f.defaults()
         return out.fillna(defaults).select("geom_id", *[n for f in self.features for n in f.names()])
 
+    def transform_stored(self, inputs: DataFrame, store: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+        """``transform`` of inputs with ``geom_wkt``, by way of a store; returns the frame and the store afterwards.
+
+        Features that are complete in the store are read from it, the others computed
+        and put in with the time ``now``.
+        """
+        assert_distinct(inputs)
+        cached, rest = split_cached(self.features, inputs, store)
+        stored, new = [n for f in cached for n in f.names()], [n for f in rest for n in f.names()]
+        out = inputs.select("geom_id")
+        if stored:
+            out = out.join(tb.load_features(inputs, store, stored), "geom_id", "left")
+        if new:
+            computed = written(FeatureBuilder(rest, self.layers).transform(inputs))
+            out = out.join(computed, "geom_id", "left")
+            store = tb.save_features(store, computed.join(inputs.select("geom_id", "geom_wkt"), "geom_id"), new, now)
+        return out.select("geom_id", *[n for f in self.features for n in f.names()]), store
+
     def extract_coordinates(self, coordinates: DataFrame) -> DataFrame:
         """From rows of (geom_id, lon, lat)."""
         return self.transform(coordinates.select("geom_id", F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat")))
 
 
+def split_cached(features: list[Feature], inputs: DataFrame, store: DataFrame) -> tuple[list[Feature], list[Feature]]:
+    """Features whose columns are all stored, and not null, for all inputs (geom_wkt), and those that must be computed."""
+    names = [n for f in features for n in f.names()]
+    missing = {r.feature_name for r in tb.missing_features(inputs, store, names).select("feature_name").collect()}
+    cached = [f for f in features if not missing & set(f.names())]
+    return cached, [f for f in features if f not in cached]
+
+
 def assert_distinct(inputs: DataFrame) -> None:
     n = inputs.groupBy("lon", "lat").count().where("count > 1").limit(1).count()
     if n:
@@ -217,6 +250,12 @@ def bundle(elements: list[tuple], level: int = 10) -> list[Feature]:
     return [cls(flt, layer, name, float(r)) for flt, layer, name, radii, classes, importance in elements if importance <= level for r in radii for cls in classes]
 
 
+def feature_filter(df: DataFrame, features: list[Feature], keys: list[str]) -> DataFrame:
+    """The keys and those columns that belong to the features of a bundle; features without a column are ignored."""
+    wanted = {n for f in features for n in f.names()}
+    return df.select(*keys, *[c for c in df.columns if c in wanted])
+
+
 DEFAULT_BUNDLE = [
     (MAJOR_ROAD, "lines", "major_road", [r for r in RADII if 100 <= r <= 1000], SUITED["way"], 1),
     (MINOR_ROAD, "lines", "minor_road", [r for r in RADII if 50 <= r <= 250], SUITED["way"], 1),

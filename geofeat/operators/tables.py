@@ -84,6 +84,15 @@ def existing_models(df: DataFrame) -> DataFrame:
     return df.select("model").distinct()
 
 
+def load_model_results(spark: SparkSession, path: str, ts: str | None = None) -> DataFrame:
+    """Results of all models of one time stamp, or of the latest; without any row where nothing is stored at the path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], "model string, experiment_ts string")
+    stored = spark.read.parquet(path)
+    return load_experiment(stored.withColumn("experiment_ts", F.col("experiment_ts").cast("string")), ts)
+
+
 def pair_tiles(images: DataFrame, features: DataFrame, on: str, values: str, nan_value: float = 1e3) -> DataFrame:
     """Image rows with their feature rows; NaN features become ``nan_value``."""
     return images.join(features, on).withColumn(values, nan_to(F.col(values), nan_value))
@@ -254,7 +263,7 @@ def soft_pr_curve(df: DataFrame, by: list[str] = [], y: str = "y", proba: str =
     cells = grid.join(binned.withColumnRenamed("at", "i"), [*by, "i"], "left").fillna(0, ["y", "n"])
     down = (W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy(F.col("i").desc())
     summed = cells.withColumn("both", F.sum("y").over(down)).withColumn("predicted", F.sum("n").over(down))
-    joined = summed.join(F.broadcast(total), by) if by else summed.crossJoin(F.broadcast(total))
+    joined = summed.join(total, by) if by else summed.crossJoin(F.broadcast(total))
     return joined.select(*by, "i", (F.col("i") * F.lit(0.005)).alias("threshold"), F.coalesce(F.col("both") / F.nullif(F.col("predicted"), F.lit(0)), F.lit(0.0)).alias("precision"), (F.col("both") / F.nullif(F.col("all_y"), F.lit(0.0))).alias("recall"))
 
 
@@ -307,6 +316,20 @@ def scaled_loss(pred: Column, y: Column) -> Column:
     return F.abs(F.log((pred + 1) / (y + 1)))
 
 
+def multihead_loss(df: DataFrame, weights: dict[str, float], s: dict[str, float]) -> DataFrame:
+    """Sum over heads (head, loss) of weight * exp(-s) * loss + s; heads without parameters are left out."""
+    given = df.sparkSession.createDataFrame([(h, float(weights[h]), float(s[h])) for h in weights], "head string, _w double, _s double")
+    terms = df.join(F.broadcast(given), "head")
+    return terms.agg(F.sum(F.col("_w") * F.exp(-F.col("_s")) * F.col("loss") + F.col("_s")).alias("loss"))
+
+
+def extreme_examples(df: DataFrame, by: str, key: str, pred: str, y: str) -> DataFrame:
+    """Per head the keys of the largest and smallest pred - y (over, under) and pred + y (high, low); ties go to the smaller key."""
+    gap, size = F.col(pred) - F.col(y), F.col(pred) + F.col(y)
+    first = lambda c, name: F.min_by(key, F.struct(c.alias("a"), F.col(key).alias("b"))).alias(name)
+    return df.groupBy(by).agg(first(-gap, "over"), first(gap, "under"), first(-size, "high"), first(size, "low"))
+
+
 def zscore(df: DataFrame, cols: list[str]) -> DataFrame:
     stats = df.agg(*[f(c).alias(f"_{k}_{c}") for c in cols for k, f in (("m", F.avg), ("s", F.stddev_samp))])
     joined = df.crossJoin(F.broadcast(stats))
@@ -315,8 +338,10 @@ def zscore(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def minmax(df: DataFrame, col: str) -> DataFrame:
+    """Values scaled to [0, 1]; 0 where all are one value, null where null."""
     stats = df.agg(F.min(col).alias("_a"), F.max(col).alias("_b"))
-    return df.crossJoin(F.broadcast(stats)).withColumn(col, (F.col(col) - F.col("_a")) / (F.col("_b") - F.col("_a"))).select(*df.columns)
+    scaled = (F.col(col) - F.col("_a")) / F.nullif(F.col("_b") - F.col("_a"), F.lit(0.0))
+    return df.crossJoin(F.broadcast(stats)).withColumn(col, F.when(F.col(col).isNotNull(), F.coalesce(scaled, F.lit(0.0)))).select(*df.columns)
 
 
 def sign_scale(df: DataFrame, col: str) -> DataFrame:
@@ -333,7 +358,7 @@ def score_histogram(df: DataFrame, label: str, value: str, bins: int = 20) -> Da
     binned = df.crossJoin(F.broadcast(stats)).withColumn("bin", F.least(F.floor((F.col(value) - F.col("_a")) / width), F.lit(bins - 1)).cast("int")).withColumn("_w", width)
     counts = binned.groupBy(label, "bin", "_w").agg(F.count("*").alias("n"))
     totals = df.groupBy(label).agg(F.count("*").alias("total"))
-    return counts.join(F.broadcast(totals), label).select(label, "bin", (F.col("n") / (F.col("total") * F.col("_w"))).alias("density"))
+    return counts.join(totals, label).select(label, "bin", (F.col("n") / (F.col("total") * F.col("_w"))).alias("density"))
 
 
 # --- rasters and time
