@@ -143,18 +143,25 @@ def points_outside(points: DataFrame, polys: DataFrame, key: str) -> DataFrame:
     return points.join(points_in(points, polys, key), key, "left_anti")
 
 
+#: No two places are farther apart in degrees times metres a degree.
+FARTHEST_M = 5e7
+
+
 def k_nearest(q: DataFrame, t: DataFrame, k: int, start_m: float = 250.0, max_rounds: int = 12) -> DataFrame:
     """The k nearest points of ``t`` for each of ``q``, ranked by metres, then obj_id.
 
     The search radius doubles for the inputs that found fewer than k; a found set is
-    final because every point within the radius has been seen. Inputs that have fewer
-    than k after all rounds are compared with every point, at any distance.
+    final because every point within the radius has been seen. After ``max_rounds``
+    rounds it grows by sixteen a round. It ends at a radius that has every point; inputs
+    that still have fewer than k then keep what they have.
     """
-    found, rest, radius = None, q, start_m
+    found, rest, radius, turn = None, q, start_m, 0
     order = W.partitionBy("geom_id").orderBy("dist_m", "obj_id")
-    for _ in range(max_rounds):
+    while True:
         pairs = dwithin_points(rest, t, radius).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         pairs = written(pairs)
+        if radius >= FARTHEST_M:
+            return pairs if found is None else found.unionByName(pairs)
         done = pairs.groupBy("geom_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
         done = written(done.select("geom_id"))
         ready = pairs.join(done, "geom_id", "left_semi")
@@ -162,11 +169,8 @@ def k_nearest(q: DataFrame, t: DataFrame, k: int, start_m: float = 250.0, max_ro
         rest = written(rest.join(done, "geom_id", "left_anti"))
         if not rest.limit(1).count():
             return found
-        radius *= 2
-    dist = geo.distance_m(F.col("q_lon"), F.col("q_lat"), F.col("t_lon"), F.col("t_lat"))
-    every = rest.withColumnsRenamed({"lon": "q_lon", "lat": "q_lat"}).crossJoin(t.withColumnsRenamed({"lon": "t_lon", "lat": "t_lat"})).withColumn("dist_m", dist)
-    last = written(every.where(F.col("dist_m").isNotNull()).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
-    return last if found is None else found.unionByName(last.select(*found.columns))
+        turn += 1
+        radius = min(FARTHEST_M, radius * (2 if turn < max_rounds else 16))
 
 
 def closest(pairs: DataFrame, by: str = "geom_id") -> DataFrame:

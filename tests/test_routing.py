@@ -22,3 +22,10 @@ def test_nearest_beyond_the_last_radius(spark):
     t = spark.createDataFrame([(7, 0.001, 0.0), (8, 30.0, 5.0), (9, 20.0, 5.0)], "obj_id long, lon double, lat double")
     got = sp.k_nearest(q, t, 2, max_rounds=2)
     assert sorted((r.geom_id, r["rank"], r.obj_id) for r in got.collect()) == [(1, 1, 7), (1, 2, 9), (2, 1, 8), (2, 2, 9)]
+
+
+def test_fewer_points_than_asked_for(spark):
+    q = spark.createDataFrame([(1, -170.0, -80.0)], "geom_id long, lon double, lat double")
+    t = spark.createDataFrame([(7, 170.0, 80.0), (8, 0.0, 0.0)], "obj_id long, lon double, lat double")
+    assert [r.obj_id for r in sp.k_nearest(q, t, 5, max_rounds=1).orderBy("rank").collect()] == [8, 7]
+    assert sp.k_nearest(q, t.where("false"), 5, max_rounds=1).count() == 0
