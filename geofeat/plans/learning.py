@@ -9,6 +9,7 @@ from geofeat.operators import clusters as cl
 from geofeat.operators import features as ft
 from geofeat.operators import models as ml
 from geofeat.operators import routing as rt
+from geofeat.operators import samples as sa
 from geofeat.operators import spatial as sp
 from geofeat.operators import tables as tb
 from geofeat.plans.registry import BOX_AREA, D, areas, buildings, pixels, query, r, store
@@ -82,9 +83,7 @@ def _(t):
 def _(t):
     positive = tb.grid_in_range(t("areas"), 1e-3).select("lon", "lat").withColumn("id", F.monotonically_increasing_id())
     n = positive.count()
-    spark = positive.sparkSession
-    drawn = tb.sample_in_range(spark, (34.482724, 34.583301, 31.492354, 31.585196), 3 * n, 9)
-    outside = tb.ranked(sp.points_outside(drawn, areas(t), "id"), [F.xxhash64("id")], ["id"]).where(F.col("rank") <= n)
+    outside = sa.random_outside(positive.sparkSession, (34.482724, 34.583301, 31.492354, 31.585196), areas(t), n, 9)
     both = positive.select("lon", "lat", F.lit(1).alias("label")).unionByName(outside.select("lon", "lat", F.lit(0).alias("label")))
     return both.groupBy("label").agg(F.count("*").alias("n"))
 
