@@ -164,6 +164,10 @@ class IntervalLists:
         if width == self.width:
             return
         held, self.blocks, self.width = self.items(), {}, width
+        if self.size == 1:
+            [(left, [start])] = held
+            self.blocks[start // width] = {left: [start]}
+            return
         for left, starts in held:
             for s in starts:
                 self.blocks.setdefault(s // width, {}).setdefault(left, []).append(s)
