@@ -7,6 +7,7 @@ from geofeat.llm.chat import op3_chat_format
 from geofeat.llm.decontaminate import OP6_SQL, op6_decontaminate
 from geofeat.llm.langid import op9_language_id
 from geofeat.llm.lm import op4_lm_score
+from geofeat.llm.merkle import OP12_SQL, op12_merkle_manifest
 from geofeat.llm.periodic import op11_periodic_runs
 from geofeat.llm.quality import OP2_SQL, op2_quality_rules
 from geofeat.llm.secrets import op10_secrets
@@ -26,9 +27,11 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_secrets": op10_secrets,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_quality_rules": OP2_SQL,
     "op6_decontaminate": OP6_SQL,
+    "op12_merkle_manifest": OP12_SQL,
 }
