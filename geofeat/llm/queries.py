@@ -9,6 +9,7 @@ from geofeat.llm.langid import op9_language_id
 from geofeat.llm.lm import op4_lm_score
 from geofeat.llm.merkle import OP12_SQL, op12_merkle_manifest
 from geofeat.llm.periodic import op11_periodic_runs
+from geofeat.llm.positive import op13_quality_classifier
 from geofeat.llm.quality import OP2_SQL, op2_quality_rules
 from geofeat.llm.secrets import op10_secrets
 from geofeat.llm.similar import op7_similar
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_secrets": op10_secrets,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_quality_classifier": op13_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {
