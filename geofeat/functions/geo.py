@@ -163,6 +163,26 @@ def _segments(ring: Column, f) -> Column:
     return F.when(n > 1, F.zip_with(F.slice(ring, F.lit(1), n - 1), F.slice(ring, F.lit(2), n - 1), f))
 
 
+def segments(geom: Column) -> Column:
+    """Edges (a, b) of all parts; a part of one coordinate is an edge from it to itself."""
+    edge = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    return F.flatten(F.transform(geom["parts"], lambda r: F.coalesce(_segments(r, edge), F.transform(r, lambda c: edge(c, c)))))
+
+
+def plane_segment_distance(a: tuple[Column, Column], b: tuple[Column, Column], c: tuple[Column, Column], d: tuple[Column, Column]) -> Column:
+    """Distance of the segments a-b and c-d in a plane; 0 where they cross."""
+
+    def to(p, s, e):
+        u, v = e[0] - s[0], e[1] - s[1]
+        n = u * u + v * v
+        t = F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((p[0] - s[0]) * u + (p[1] - s[1]) * v) / F.when(n != 0, n))))
+        return F.pow(s[0] + t * u - p[0], 2) + F.pow(s[1] + t * v - p[1], 2)
+
+    side = lambda s, e, p: (e[0] - s[0]) * (p[1] - s[1]) - (e[1] - s[1]) * (p[0] - s[0])
+    cross = (side(a, b, c) * side(a, b, d) < 0) & (side(c, d, a) * side(c, d, b) < 0)
+    return F.when(cross, F.lit(0.0)).otherwise(F.sqrt(F.least(to(a, c, d), to(b, c, d), to(c, a, b), to(d, a, b))))
+
+
 def _areal(geom: Column) -> Column:
     return geom["kind"].endswith("POLYGON")
 
@@ -246,11 +266,10 @@ def point_distance_m(geom: Column, lon: Column, lat: Column) -> Column:
 def st_intersects(g: Column, h: Column) -> Column:
     """Whether two geometries share a point: a vertex of one lies in the other, or edges cross."""
     side = lambda a, b, c: (b["lon"] - a["lon"]) * (c["lat"] - a["lat"]) - (b["lat"] - a["lat"]) * (c["lon"] - a["lon"])
-    edges = lambda x: F.flatten(F.transform(x["parts"], lambda r: F.coalesce(_segments(r, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), F.transform(r, lambda c: F.struct(c.alias("a"), c.alias("b"))))))
     apart = lambda s, t: (F.greatest(s["a"]["lon"], s["b"]["lon"]) < F.least(t["a"]["lon"], t["b"]["lon"])) | (F.greatest(t["a"]["lon"], t["b"]["lon"]) < F.least(s["a"]["lon"], s["b"]["lon"])) | (F.greatest(s["a"]["lat"], s["b"]["lat"]) < F.least(t["a"]["lat"], t["b"]["lat"])) | (F.greatest(t["a"]["lat"], t["b"]["lat"]) < F.least(s["a"]["lat"], s["b"]["lat"]))
     cross = lambda s, t: ~apart(s, t) & (side(s["a"], s["b"], t["a"]) * side(s["a"], s["b"], t["b"]) <= 0) & (side(t["a"], t["b"], s["a"]) * side(t["a"], t["b"], s["b"]) <= 0)
     first = lambda x: x["parts"][0][0]
-    return F.exists(edges(g), lambda s: F.exists(edges(h), lambda t: cross(s, t))) | st_covers_point(g, first(h)["lon"], first(h)["lat"]) | st_covers_point(h, first(g)["lon"], first(g)["lat"])
+    return F.exists(segments(g), lambda s: F.exists(segments(h), lambda t: cross(s, t))) | st_covers_point(g, first(h)["lon"], first(h)["lat"]) | st_covers_point(h, first(g)["lon"], first(g)["lat"])
 
 
 def st_within(g: Column, h: Column) -> Column:

@@ -153,12 +153,17 @@ class BuildingScores(Feature):
 def pairs(inputs: DataFrame, layer: DataFrame, features: list[Feature]) -> DataFrame:
     """The pair table of one layer: one join at the largest radius, with a flag column per predicate.
 
-    ``same_geom`` marks an input's own geometry: the same place in a layer of points, the
+    Inputs are points (lon, lat), or shapes of any kind (geom). ``same_geom`` marks an input's
+    own geometry: the same shape; of points the same place in a layer of points, the
     same text (``geom_wkt`` and ``wkt``, where there are both) in one of lines and areas.
     """
     filters = {f.object_name: f.filter for f in features}  # a later feature of the same name wins
     objects = height_columns(flag_columns(any_filter(layer, filters), filters)).withColumn("coverage", F.lit(1.0))
     radius = max(f.radius for f in features)
+    if "geom" in inputs.columns:
+        shapes = objects if "geom" in layer.columns else objects.withColumn("geom", geo.point(F.col("lon"), F.col("lat"))).drop("lon", "lat")
+        measured = shapes.withColumns({"area_m2": geo.area_m2(F.col("geom")), "length_m": geo.length_m(F.col("geom"))})
+        return spatial.dwithin_shapes(inputs, shapes, radius).join(measured.drop("geom", "wkt"), "obj_id")
     if "geom" in layer.columns:
         measured = objects.withColumns({"area_m2": geo.area_m2(F.col("geom")), "length_m": geo.length_m(F.col("geom"))})
         same = F.coalesce(F.col("geom_wkt") == F.col("wkt"), F.lit(False)) if "geom_wkt" in inputs.columns and "wkt" in layer.columns else F.lit(False)
@@ -184,13 +189,13 @@ def fill_defaults(inputs: DataFrame, frame: DataFrame, defaults: dict[str, float
 
 @dataclass
 class FeatureBuilder:
-    """Features over named layers: ``transform`` gives one row per input, columns in declared order."""
+    """Features over named layers: ``transform`` gives one row per input (geom_id, with lon and lat or geom), columns in declared order."""
 
     features: list[Feature]
     layers: dict[str, DataFrame] = field(default_factory=dict)
 
     def transform(self, inputs: DataFrame) -> DataFrame:
-        """Refuses inputs of which two stand at one place."""
+        """Refuses inputs of which two are the same."""
         assert_distinct(inputs)
         out, defaults = inputs.select("geom_id"), {}
         for name in dict.fromkeys(f.layer for f in self.features):
@@ -232,7 +237,8 @@ def split_cached(features: list[Feature], inputs: DataFrame, store: DataFrame) -
 
 
 def assert_distinct(inputs: DataFrame) -> None:
-    n = inputs.groupBy("lon", "lat").count().where("count > 1").limit(1).count()
+    same = ["geom"] if "geom" in inputs.columns else ["lon", "lat"]
+    n = inputs.groupBy(*same).count().where("count > 1").limit(1).count()
     if n:
         raise ValueError("input geometries must be distinct")
 

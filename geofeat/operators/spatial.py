@@ -4,7 +4,8 @@ A theta join on distance would be a nested loop. Here both sides get the cells o
 grid whose rows are as high as the search radius and whose columns are as wide at
 the row's latitude; inputs are copied to the cells within reach, the join is an
 equi-join on the cell, and the exact distance is a residual filter. Spark deals
-cells out by hash, and splits hot ones at run time.
+cells out by hash, and splits hot ones at run time. Inputs near the line of 180 degrees also
+look from the other side of it (``_both_ways``).
 """
 
 from __future__ import annotations
@@ -50,14 +51,31 @@ def _aside(lat: Column, radius: float) -> Column:
     return (radius + 1e-6) / MIN_M_PER_LON / F.cos(F.radians(F.least(F.lit(89.0), F.abs(lat) + _up(radius))))
 
 
+def _both_ways(points: DataFrame) -> DataFrame:
+    """Points (q_lon, _aside) with ``_lon``: as they are, and those within reach of the line of 180 degrees once more, a turn away.
+
+    ``_alt`` is the longitude of the other copy, if there are two; ``_copy`` marks the second.
+    """
+    lon = F.col("q_lon")
+    turn = F.when(180 - F.abs(lon) <= F.col("_aside"), F.when(lon < 0, lon + 360).otherwise(lon - 360))
+    seen = F.when(turn.isNull(), F.array(F.struct(lon.alias("lon"), turn.alias("alt")))).otherwise(F.array(F.struct(lon.alias("lon"), turn.alias("alt")), F.struct(turn.alias("lon"), lon.alias("alt"))))
+    return points.select("*", F.explode(seen).alias("_seen")).select("*", F.col("_seen.lon").alias("_lon"), F.col("_seen.alt").alias("_alt"), (F.col("_seen.lon") != lon).alias("_copy")).drop("_seen")
+
+
+def _near(q: DataFrame, t: DataFrame, radius: float) -> DataFrame:
+    """``dwithin_points`` with ``_lon``, the longitude from which the pair was seen."""
+    points = _both_ways(q.withColumnsRenamed({"lon": "q_lon", "lat": "q_lat"}).withColumn("_aside", _aside(F.col("q_lat"), radius)))
+    left = _with_cells(points, F.col("_lon"), F.col("q_lat"), F.col("_lon"), F.col("q_lat"), radius, 1)
+    right = t.withColumnsRenamed({"lon": "t_lon", "lat": "t_lat"}).withColumn("gy", _row(F.col("t_lat"), radius)).withColumn("gx", _column(F.col("t_lon"), F.col("gy"), radius))
+    dist, apart = geo.distance_m(F.col("_lon"), F.col("q_lat"), F.col("t_lon"), F.col("t_lat")), F.col("t_lon") - F.col("_lon")
+    # the shorter way round counts, so a pair is seen from one of two copies
+    near = (F.abs(F.col("t_lat") - F.col("q_lat")) <= _up(radius)) & (F.abs(apart) <= F.col("_aside")) & (apart > -180) & (apart <= 180)
+    return left.join(right, ["gy", "gx"]).where(near).withColumn("dist_m", dist).where(F.col("dist_m") <= radius).drop("gy", "gx", "_aside", "_alt", "_copy")
+
+
 def dwithin_points(q: DataFrame, t: DataFrame, radius: float) -> DataFrame:
     """All pairs of points (lon, lat) within ``radius`` metres, inclusive, with ``dist_m``; the sides' other columns must differ."""
-    points = q.withColumnsRenamed({"lon": "q_lon", "lat": "q_lat"}).withColumn("_aside", _aside(F.col("q_lat"), radius))
-    left = _with_cells(points, F.col("q_lon"), F.col("q_lat"), F.col("q_lon"), F.col("q_lat"), radius, 1)
-    right = t.withColumnsRenamed({"lon": "t_lon", "lat": "t_lat"}).withColumn("gy", _row(F.col("t_lat"), radius)).withColumn("gx", _column(F.col("t_lon"), F.col("gy"), radius))
-    dist = geo.distance_m(F.col("q_lon"), F.col("q_lat"), F.col("t_lon"), F.col("t_lat"))
-    near = (F.abs(F.col("t_lat") - F.col("q_lat")) <= _up(radius)) & (F.abs(F.col("t_lon") - F.col("q_lon")) <= F.col("_aside"))
-    return left.join(right, ["gy", "gx"]).where(near).withColumn("dist_m", dist).where(F.col("dist_m") <= radius).drop("gy", "gx", "_aside")
+    return _near(q, t, radius).drop("_lon")
 
 
 def dwithin_objects(q: DataFrame, t: DataFrame, radius: float, key: tuple[str, str] = ("geom_id", "obj_id")) -> DataFrame:
@@ -71,9 +89,9 @@ def dwithin_objects(q: DataFrame, t: DataFrame, radius: float, key: tuple[str, s
     cell, reach = max(radius, 50.0), 1 if radius else 0
     turns = range(reach, -reach - 1, -1)
     # what depends on one side alone is worked out before the join
-    points = q.withColumnsRenamed({"lon": "q_lon", "lat": "q_lat"}).withColumn("_row", _row(F.col("q_lat"), cell))
+    points = _both_ways(q.withColumnsRenamed({"lon": "q_lon", "lat": "q_lat"}).withColumn("_aside", _aside(F.col("q_lat"), radius))).withColumn("_row", _row(F.col("q_lat"), cell))
     scales = {f"_scale{d + 1}": _columns_per_degree(F.col("_row") + d, cell) for d in turns}
-    left = _with_cells(points.withColumns(scales | {"_aside": _aside(F.col("q_lat"), radius), "_kx": geo.scale_lon(F.col("q_lat")), "_ky": geo.scale_lat(F.col("q_lat"))}), F.col("q_lon"), F.col("q_lat"), F.col("q_lon"), F.col("q_lat"), cell, reach)
+    left = _with_cells(points.withColumns(scales | {"_kx": geo.scale_lon(F.col("q_lat")), "_ky": geo.scale_lat(F.col("q_lat"))}), F.col("_lon"), F.col("q_lat"), F.col("_lon"), F.col("q_lat"), cell, reach)
     boxed = t.withColumn("_box", geo.bbox(F.col("geom")))
     boxed = boxed.withColumns({"_low": _row(F.col("_box.min_lat"), cell), "_high": _row(F.col("_box.max_lat"), cell)})
     right = _with_cells(boxed, F.col("_box.min_lon"), F.col("_box.min_lat"), F.col("_box.max_lon"), F.col("_box.max_lat"), cell, 0)
@@ -82,15 +100,68 @@ def dwithin_objects(q: DataFrame, t: DataFrame, radius: float, key: tuple[str, s
     first, column = F.lit(None).cast("long"), F.lit(None).cast("long")
     for d in turns:  # the lowest row is asked last and wins
         row = F.col("_row") + d
-        meets = row.between(F.col("_low"), F.col("_high")) & (at(west, d) <= at(F.col("q_lon"), d) + reach) & (at(east, d) >= at(F.col("q_lon"), d) - reach)
-        first, column = F.when(meets, row).otherwise(first), F.when(meets, F.greatest(at(F.col("q_lon"), d) - reach, at(west, d))).otherwise(column)
+        meets = row.between(F.col("_low"), F.col("_high")) & (at(west, d) <= at(F.col("_lon"), d) + reach) & (at(east, d) >= at(F.col("_lon"), d) - reach)
+        first, column = F.when(meets, row).otherwise(first), F.when(meets, F.greatest(at(F.col("_lon"), d) - reach, at(west, d))).otherwise(column)
     # cheaper than the distance: the box grown by the radius, at the latitude where a degree is shortest
-    near = F.col("q_lat").between(F.col("_box.min_lat") - _up(radius), F.col("_box.max_lat") + _up(radius)) & F.col("q_lon").between(west - F.col("_aside"), east + F.col("_aside"))
+    beside = lambda lon: lon.between(west - F.col("_aside"), east + F.col("_aside"))
+    near = F.col("q_lat").between(F.col("_box.min_lat") - _up(radius), F.col("_box.max_lat") + _up(radius)) & beside(F.col("_lon"))
     once = (F.col("gy") == first) & (F.col("gx") == column)
-    met = left.join(right, ["gy", "gx"]).where(near & once).drop("gy", "gx", "_box", "_row", "_low", "_high", "_aside", *scales)
-    dist = geo.planar_distance_m(F.col("geom"), F.col("q_lon"), F.col("q_lat"), F.col("_kx"), F.col("_ky"))
+    to = lambda lon: geo.planar_distance_m(F.col("geom"), F.col(lon), F.col("q_lat"), F.col("_kx"), F.col("_ky"))
+    other = F.when(F.col("_alt").isNotNull() & beside(F.col("_alt")), to("_alt"))
+    met = left.join(right, ["gy", "gx"]).where(near & once)
     # a filter on a generated column stays above it, so that the distance is worked out once
-    return met.select("*", F.explode(F.array(dist)).alias("dist_m")).where(F.col("dist_m") <= radius).drop("_kx", "_ky")
+    found = met.select("*", F.explode(F.array(to("_lon"))).alias("_own")).where(F.col("_own") <= radius)
+    # an object on both sides of the line: the point as it is answers for both copies
+    found = found.where(~(F.col("_copy") & F.coalesce(other <= radius, F.lit(False))))
+    dist = F.when(F.col("_alt").isNull(), F.col("_own")).otherwise(F.least(F.col("_own"), other))
+    return found.withColumn("dist_m", dist).drop("gy", "gx", "_box", "_row", "_low", "_high", "_aside", "_kx", "_ky", "_lon", "_alt", "_copy", "_own", *scales)
+
+
+def _pieces(df: DataFrame, key: str, length: float, side: str) -> DataFrame:
+    """Every edge of the shapes (key, geom), cut into pieces of ``length`` metres at most: ends, and the middle as lon, lat."""
+    edges = df.select(key, F.xxhash64("geom.kind", "geom.parts").alias(f"_{side}_shape"), F.explode(geo.segments(F.col("geom"))).alias("_e"))
+    a, b = F.col("_e.a"), F.col("_e.b")
+    n = F.greatest(F.lit(1), F.ceil(geo.distance_m(a["lon"], a["lat"], b["lon"], b["lat"]) / length).cast("int"))
+    cut = edges.withColumn("_n", n).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    end = lambda k, i: F.when(i == F.col("_n"), b[k]).otherwise(a[k] + (b[k] - a[k]) * (i / F.col("_n")))
+    out = cut.select(key, f"_{side}_shape", *[end(k, F.col("_i") + j).alias(f"_{side}{k}{j}") for j in (0, 1) for k in ("lon", "lat")])
+    return out.select("*", *[((F.col(f"_{side}{k}0") + F.col(f"_{side}{k}1")) / 2).alias(k) for k in ("lon", "lat")])
+
+
+def _inside(areas: DataFrame, key: str, shapes: DataFrame, other: str) -> DataFrame:
+    """Keys of areas and of shapes which have a part that starts in the area."""
+    starts = shapes.select(*shapes.drop("geom").columns, F.explode(F.transform("geom.parts", lambda p: p[0])).alias("_v"))
+    points = starts.select("*", F.col("_v.lon").alias("a_min_lon"), F.col("_v.lat").alias("a_min_lat"), F.col("_v.lon").alias("a_max_lon"), F.col("_v.lat").alias("a_max_lat")).drop("_v")
+    met = box_join(points, boxed(areas.where(F.col("geom.kind").endswith("POLYGON")), "b"), 500.0, (other, key))
+    return met.where(geo.st_covers_point(F.col("geom"), F.col("a_min_lon"), F.col("a_min_lat"))).select(key, other, "_q_shape", "_t_shape")
+
+
+def dwithin_shapes(q: DataFrame, t: DataFrame, radius: float, key: tuple[str, str] = ("geom_id", "obj_id")) -> DataFrame:
+    """Pairs of shapes of any kind (key, geom) within ``radius`` metres: both keys, ``dist_m`` and ``same_geom``.
+
+    The distance is that of the closest edges, in the plane local to the input's piece, and 0
+    where edges cross or one shape starts in the other's area. Both sides are cut
+    into pieces no longer than the radius; the middles of two near pieces are within twice the radius,
+    so a piece of ``q`` looks into nine cells of that size, one of ``t`` stands in one, and
+    no two pieces meet twice, however many cells their shapes cover. The least
+    distance of a pair is taken with partial sums; shapes themselves are never copied or shuffled
+    but for the test of starts in areas. Null shapes have no pairs.
+    """
+    a, b = key
+    length = max(radius, 50.0)
+    q, t = q.where(F.col("geom").isNotNull()).select(a, "geom"), t.where(F.col("geom").isNotNull()).select(b, "geom")
+    left = _pieces(q, a, length, "q").withColumns({"_kx": geo.scale_lon(F.col("lat")), "_ky": geo.scale_lat(F.col("lat"))})
+    met = _near(left, _pieces(t, b, length, "t"), 1.001 * (radius + length) + 0.01)
+    turn = F.col("_lon") - F.col("q_lon")  # of a copy seen from beyond the line of 180 degrees
+    plane = lambda side, j, shift: ((F.col(f"_{side}lon{j}") + shift - F.col("_lon")) * F.col("_kx"), (F.col(f"_{side}lat{j}") - F.col("q_lat")) * F.col("_ky"))
+    ends = {f"_{side}{j}{k}": v for side, shift in (("q", turn), ("t", F.lit(0.0))) for j in (0, 1) for k, v in zip("xy", plane(side, j, shift))}
+    met = met.select(a, b, "_q_shape", "_t_shape", *[v.alias(n) for n, v in ends.items()])
+    at = lambda name: (F.col(f"_{name}x"), F.col(f"_{name}y"))
+    apart = met.select(a, b, "_q_shape", "_t_shape", F.explode(F.array(geo.plane_segment_distance(at("q0"), at("q1"), at("t0"), at("t1")))).alias("dist_m")).where(F.col("dist_m") <= radius + 1e-7)
+    marked = lambda df, side: df.withColumn(f"_{side}_shape", F.xxhash64("geom.kind", "geom.parts"))
+    held = _inside(marked(q, "q"), a, marked(t, "t"), b).unionByName(_inside(marked(t, "t"), b, marked(q, "q"), a)).withColumn("dist_m", F.lit(0.0))
+    both = apart.unionByName(held)
+    return both.groupBy(a, b).agg(F.least(F.min("dist_m"), F.lit(float(radius))).alias("dist_m"), F.max(F.col("_q_shape") == F.col("_t_shape")).alias("same_geom"))
 
 
 def box_join(a: DataFrame, b: DataFrame, cell: float, key: tuple[str, str]) -> DataFrame:

@@ -618,4 +618,4 @@ def _(t):
     return frames.agg(F.count("*").alias("n"), r(F.avg("lat"), 6).alias("lat"), r(F.avg("lon"), 6).alias("lon"))
 
 
-from geofeat.plans import learning  # noqa: E402,F401  registers its queries
+from geofeat.plans import joins, learning  # noqa: E402,F401  register their queries
