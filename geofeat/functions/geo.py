@@ -169,20 +169,6 @@ def segments(geom: Column) -> Column:
     return F.flatten(F.transform(geom["parts"], lambda r: F.coalesce(_segments(r, edge), F.transform(r, lambda c: edge(c, c)))))
 
 
-def plane_segment_distance(a: tuple[Column, Column], b: tuple[Column, Column], c: tuple[Column, Column], d: tuple[Column, Column]) -> Column:
-    """Distance of the segments a-b and c-d in a plane; 0 where they cross."""
-
-    def to(p, s, e):
-        u, v = e[0] - s[0], e[1] - s[1]
-        n = u * u + v * v
-        t = F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((p[0] - s[0]) * u + (p[1] - s[1]) * v) / F.when(n != 0, n))))
-        return F.pow(s[0] + t * u - p[0], 2) + F.pow(s[1] + t * v - p[1], 2)
-
-    side = lambda s, e, p: (e[0] - s[0]) * (p[1] - s[1]) - (e[1] - s[1]) * (p[0] - s[0])
-    cross = (side(a, b, c) * side(a, b, d) < 0) & (side(c, d, a) * side(c, d, b) < 0)
-    return F.when(cross, F.lit(0.0)).otherwise(F.sqrt(F.least(to(a, c, d), to(b, c, d), to(c, a, b), to(d, a, b))))
-
-
 def _areal(geom: Column) -> Column:
     return geom["kind"].endswith("POLYGON")
 

@@ -70,7 +70,7 @@ def _near(q: DataFrame, t: DataFrame, radius: float) -> DataFrame:
     dist, apart = geo.distance_m(F.col("_lon"), F.col("q_lat"), F.col("t_lon"), F.col("t_lat")), F.col("t_lon") - F.col("_lon")
     # the shorter way round counts, so a pair is seen from one of two copies
     near = (F.abs(F.col("t_lat") - F.col("q_lat")) <= _up(radius)) & (F.abs(apart) <= F.col("_aside")) & (apart > -180) & (apart <= 180)
-    return left.join(right, ["gy", "gx"]).where(near).withColumn("dist_m", dist).where(F.col("dist_m") <= radius).drop("gy", "gx", "_aside", "_alt", "_copy")
+    return left.hint("merge").join(right, ["gy", "gx"]).where(near).withColumn("dist_m", dist).where(F.col("dist_m") <= radius).drop("gy", "gx", "_aside", "_alt", "_copy")
 
 
 def dwithin_points(q: DataFrame, t: DataFrame, radius: float) -> DataFrame:
@@ -125,7 +125,32 @@ def _pieces(df: DataFrame, key: str, length: float, side: str) -> DataFrame:
     cut = edges.withColumn("_n", n).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     end = lambda k, i: F.when(i == F.col("_n"), b[k]).otherwise(a[k] + (b[k] - a[k]) * (i / F.col("_n")))
     out = cut.select(key, f"_{side}_shape", *[end(k, F.col("_i") + j).alias(f"_{side}{k}{j}") for j in (0, 1) for k in ("lon", "lat")])
-    return out.select("*", *[((F.col(f"_{side}{k}0") + F.col(f"_{side}{k}1")) / 2).alias(k) for k in ("lon", "lat")])
+    half = geo.distance_m(F.col(f"_{side}lon0"), F.col(f"_{side}lat0"), F.col(f"_{side}lon1"), F.col(f"_{side}lat1")) / 2
+    return out.select("*", half.alias(f"_{side}half"), *[((F.col(f"_{side}{k}0") + F.col(f"_{side}{k}1")) / 2).alias(k) for k in ("lon", "lat")])
+
+
+def _segment_gap(pairs: DataFrame) -> DataFrame:
+    """Adds ``_gap``, the distance of two segments in a plane: _q0x .. _q1y and _t0x .. _t1y.
+
+    It goes by small steps, each a projection of its own, because one large
+    expression makes a method that the JVM does not compile.
+    """
+    c = {n: F.col(f"_{n}") for n in ("q0x", "q0y", "q1x", "q1y", "t0x", "t0y", "t1x", "t1y")}
+    step = pairs.select("*", (c["q1x"] - c["q0x"]).alias("_qu"), (c["q1y"] - c["q0y"]).alias("_qv"), (c["t1x"] - c["t0x"]).alias("_tu"), (c["t1y"] - c["t0y"]).alias("_tv"))
+    u, v = ({k: F.col(f"_{k}{x}") for k in "qt"} for x in "uv")
+    step = step.select("*", *[F.greatest(u[k] * u[k] + v[k] * v[k], F.lit(1e-300)).alias(f"_{k}n") for k in "qt"])
+    ends = [("q", "t", j) for j in (0, 1)] + [("t", "q", j) for j in (0, 1)]  # an end of the first beside the second
+    x = lambda k, j: (F.col(f"_{k}{j}x"), F.col(f"_{k}{j}y"))
+    off = lambda k, o, j: (x(k, j)[0] - x(o, 0)[0], x(k, j)[1] - x(o, 0)[1])
+    step = step.select("*", *[((off(k, o, j)[0] * u[o] + off(k, o, j)[1] * v[o]) / F.col(f"_{o}n")).alias(f"_{k}{j}at") for k, o, j in ends])
+    step = step.select("*", *[(off(k, o, j)[1] * u[o] - off(k, o, j)[0] * v[o]).alias(f"_{k}{j}side") for k, o, j in ends])
+    at = lambda k, j: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(f"_{k}{j}at")))
+    for k, o, j in ends:
+        step = step.select("*", (off(k, o, j)[0] - at(k, j) * u[o]).alias(f"_{k}{j}dx"), (off(k, o, j)[1] - at(k, j) * v[o]).alias(f"_{k}{j}dy"))
+    for k, o, j in ends:
+        step = step.select("*", (F.col(f"_{k}{j}dx") * F.col(f"_{k}{j}dx") + F.col(f"_{k}{j}dy") * F.col(f"_{k}{j}dy")).alias(f"_{k}{j}d2"))
+    cross = (F.col("_q0side") * F.col("_q1side") < 0) & (F.col("_t0side") * F.col("_t1side") < 0)
+    return step.select(*pairs.columns, F.when(cross, 0.0).otherwise(F.sqrt(F.least(*[F.col(f"_{k}{j}d2") for k, _, j in ends]))).alias("_gap"))
 
 
 def _inside(areas: DataFrame, key: str, shapes: DataFrame, other: str) -> DataFrame:
@@ -141,23 +166,25 @@ def dwithin_shapes(q: DataFrame, t: DataFrame, radius: float, key: tuple[str, st
 
     The distance is that of the closest edges, in the plane local to the input's piece, and 0
     where edges cross or one shape starts in the other's area. Both sides are cut
-    into pieces no longer than the radius; the middles of two near pieces are within twice the radius,
+    into pieces of a quarter of the radius at most; the middles of two near pieces are within 5/4 of it,
     so a piece of ``q`` looks into nine cells of that size, one of ``t`` stands in one, and
-    no two pieces meet twice, however many cells their shapes cover. The least
+    no two pieces meet twice, however many cells their shapes cover. Pieces whose own
+    lengths do not bridge the gap of their middles go before distances are worked out. The least
     distance of a pair is taken with partial sums; shapes themselves are never copied or shuffled
     but for the test of starts in areas. Null shapes have no pairs.
     """
     a, b = key
-    length = max(radius, 50.0)
+    length = max(radius / 4, 25.0)
     q, t = q.where(F.col("geom").isNotNull()).select(a, "geom"), t.where(F.col("geom").isNotNull()).select(b, "geom")
     left = _pieces(q, a, length, "q").withColumns({"_kx": geo.scale_lon(F.col("lat")), "_ky": geo.scale_lat(F.col("lat"))})
     met = _near(left, _pieces(t, b, length, "t"), 1.001 * (radius + length) + 0.01)
+    met = met.where(F.col("dist_m") <= (radius + F.col("_qhalf") + F.col("_thalf")) * 1.001 + 0.01)
     turn = F.col("_lon") - F.col("q_lon")  # of a copy seen from beyond the line of 180 degrees
     plane = lambda side, j, shift: ((F.col(f"_{side}lon{j}") + shift - F.col("_lon")) * F.col("_kx"), (F.col(f"_{side}lat{j}") - F.col("q_lat")) * F.col("_ky"))
     ends = {f"_{side}{j}{k}": v for side, shift in (("q", turn), ("t", F.lit(0.0))) for j in (0, 1) for k, v in zip("xy", plane(side, j, shift))}
     met = met.select(a, b, "_q_shape", "_t_shape", *[v.alias(n) for n, v in ends.items()])
-    at = lambda name: (F.col(f"_{name}x"), F.col(f"_{name}y"))
-    apart = met.select(a, b, "_q_shape", "_t_shape", F.explode(F.array(geo.plane_segment_distance(at("q0"), at("q1"), at("t0"), at("t1")))).alias("dist_m")).where(F.col("dist_m") <= radius + 1e-7)
+    # a filter on a generated column stays above it, so that the distance is worked out once
+    apart = _segment_gap(met).select(a, b, "_q_shape", "_t_shape", F.explode(F.array("_gap")).alias("dist_m")).where(F.col("dist_m") <= radius + 1e-7)
     marked = lambda df, side: df.withColumn(f"_{side}_shape", F.xxhash64("geom.kind", "geom.parts"))
     held = _inside(marked(q, "q"), a, marked(t, "t"), b).unionByName(_inside(marked(t, "t"), b, marked(q, "q"), a)).withColumn("dist_m", F.lit(0.0))
     both = apart.unionByName(held)

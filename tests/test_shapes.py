@@ -50,7 +50,7 @@ def between(g, h, radius):
         if a[0].endswith("POLYGON") and any(covers(a[1], part[0]) for part in b[1]):
             return 0.0
     best = math.inf
-    for a, b in pieces(g[1], max(radius, 50)):
+    for a, b in pieces(g[1], max(radius / 4, 25)):
         kx, ky = scales((a[1] + b[1]) / 2)
         flat = lambda p: ((p[0] - a[0]) * kx, (p[1] - a[1]) * ky)  # noqa: B023, E731
         for c, d in edges(h[1]):
