@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geofeat.functions import geo
-from geofeat.operators import spatial
+from geofeat.operators import pyramid, spatial
 from geofeat.operators import tables as tb
 from geofeat.sources.shared import written
 
@@ -182,6 +182,49 @@ def aggregate(met: DataFrame, features: list[Feature]) -> DataFrame:
     return met.groupBy("geom_id").agg(*columns)
 
 
+#: Pairs of an input on average up to which they cost less than the cells of a pyramid and the
+#: rounds of a search (measured: with 4,300 pairs each, 15,000 inputs take 22 s by pairs, 30 s without).
+FEW_PAIRS = 5_000
+
+
+def around_points(inputs: DataFrame, layer: DataFrame, features: list[Feature]) -> DataFrame:
+    """``NumberOf`` and ``DistanceTo`` of a layer of points.
+
+    Radii with few pairs (``FEW_PAIRS``, from counts of cells) go by pairs, the others
+    without: counts from a pyramid of cells, and the nearest objects by growing radii
+    for the inputs which have none among the pairs. Both ways give the same.
+    """
+    filters = {f.object_name: f.filter for f in features}  # a later feature of the same name wins
+    flagged = flag_columns(any_filter(layer, filters), filters)
+    q, out = inputs.select("geom_id", "lon", "lat"), inputs.select("geom_id")
+    radii = sorted({f.radius for f in features})
+    expected = pyramid.pairs_per_input(q, flagged, radii)
+    near = max((r for r in radii if expected[r] <= FEW_PAIRS), default=0.0)
+    close, far = [f for f in features if f.radius <= near], [f for f in features if f.radius > near]
+    asked = {f.object_name: f.radius for f in sorted(far, key=lambda f: f.radius) if isinstance(f, DistanceTo)}  # the largest radius of each
+    found = {n: DistanceTo(filters[n], "", n, near) for n in asked}
+    if near:
+        made = list(dict.fromkeys([(type(f), f.object_name, f.radius) for f in [*close, *found.values()]]))
+        made = [cls(filters[n], "", n, r) for cls, n, r in made]
+        paired = aggregate(pairs(inputs, layer, made), made)
+        paired = written(paired) if far else paired
+        out = out.join(paired, "geom_id", "left")
+    counted = [f for f in far if isinstance(f, NumberOf)]
+    if counted:
+        sums = pyramid.counts_around(q, flagged.select("lon", "lat", *filters), sorted({f.radius for f in counted}), sorted({f.object_name for f in counted}))
+        columns = [F.max(F.when(F.col("radius") == f.radius, F.when(F.col(f.object_name) > 0, F.col(f.object_name).cast("double")))).alias(f.names()[0]) for f in counted]
+        out = out.join(sums.groupBy("geom_id").agg(*columns), "geom_id", "left")
+    for name, radius in asked.items():
+        have = found[name].names()[0]
+        rest = q.join(paired.where(F.col(have).isNotNull()).select("geom_id"), "geom_id", "left_anti") if near else q
+        first = 2 * near if near else min(radii)
+        more = pyramid.nearest_within(rest, flagged.where(F.col(name) == 1).select("lon", "lat"), radius, first).withColumnRenamed("dist_m", "_d")
+        dist = F.coalesce(F.col(have), F.col("_d")) if near else F.col("_d")
+        names = {f.names()[0]: F.when(dist <= f.radius, dist) for f in far if isinstance(f, DistanceTo) and f.object_name == name}
+        out = out.join(more, "geom_id", "left").withColumns(names).drop("_d")
+    return out.select("geom_id", *dict.fromkeys(n for f in features for n in f.names()))
+
+
 def fill_defaults(inputs: DataFrame, frame: DataFrame, defaults: dict[str, float]) -> DataFrame:
     """One row per input; missing rows and nulls take the defaults."""
     return inputs.select("geom_id").join(frame, "geom_id", "left").fillna(defaults)
@@ -200,7 +243,11 @@ class FeatureBuilder:
         out, defaults = inputs.select("geom_id"), {}
         for name in dict.fromkeys(f.layer for f in self.features):
             own = [f for f in self.features if f.layer == name]
-            out = out.join(aggregate(pairs(inputs, self.layers[name], own), own), "geom_id", "left")
+            if all(type(f) in (NumberOf, DistanceTo) and f.radius > 0 for f in own) and not {"geom"} & {*inputs.columns, *self.layers[name].columns}:
+                found = around_points(inputs, self.layers[name], own)
+            else:
+                found = aggregate(pairs(inputs, self.layers[name], own), own)
+            out = out.join(found, "geom_id", "left")
         for f in self.features:
             defaults |= f.defaults()
         return out.fillna(defaults).select("geom_id", *[n for f in self.features for n in f.names()])
