@@ -28,6 +28,26 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Rounds:
+    """Writes the table of each round of an iteration, as ``written`` does, and deletes the one before it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, None
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path = shared_dir(self.spark)
+        df.write.parquet(path)
+        if self.path:
+            delete(self.spark, self.path)
+        self.path = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 class Scratch:
     """Written tables which are deleted when the block ends; what outlives it has to be written elsewhere."""
 
@@ -44,7 +64,5 @@ class Scratch:
         return self
 
     def __exit__(self, *_) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for path in self.paths:
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(conf).delete(place, True)
+            delete(self.spark, path)
