@@ -198,8 +198,8 @@ def area_m2(geom: Column) -> Column:
     return F.when(_areal(geom), F.aggregate(signed, F.lit(0.0), lambda s, x: s + x)).otherwise(F.when(geom.isNotNull(), F.lit(0.0)))
 
 
-def st_covers_point(geom: Column, lon: Column, lat: Column) -> Column:
-    """Even-odd test of a point against the rings of an area; points on an edge count as inside."""
+def _ring_test(geom: Column, lon: Column, lat: Column) -> tuple[Column, Column]:
+    """Whether a point is inside the rings by the even-odd rule, and whether it lies on an edge."""
 
     def crosses(a: Column, b: Column) -> Column:
         span = (a["lat"] > lat) != (b["lat"] > lat)
@@ -212,7 +212,18 @@ def st_covers_point(geom: Column, lon: Column, lat: Column) -> Column:
 
     crossings = F.flatten(F.transform(geom["parts"], lambda r: F.coalesce(_segments(r, crosses), F.array().cast("array<int>"))))
     edges = F.flatten(F.transform(geom["parts"], lambda r: F.coalesce(_segments(r, touches), F.array().cast("array<boolean>"))))
-    return _areal(geom) & ((F.aggregate(crossings, F.lit(0), lambda s, x: s + x) % 2 == 1) | F.exists(edges, lambda x: x))
+    return F.aggregate(crossings, F.lit(0), lambda s, x: s + x) % 2 == 1, F.exists(edges, lambda x: x)
+
+
+def st_covers_point(geom: Column, lon: Column, lat: Column) -> Column:
+    """Even-odd test of a point against the rings of an area; points on an edge count as inside."""
+    odd, touches = _ring_test(geom, lon, lat)
+    return _areal(geom) & (odd | touches)
+
+
+def _strictly_covers(geom: Column, lon: Column, lat: Column) -> Column:
+    odd, touches = _ring_test(geom, lon, lat)
+    return _areal(geom) & odd & ~touches
 
 
 def _closest_on(lon: Column, lat: Column, a: Column, b: Column) -> Column:
@@ -259,21 +270,34 @@ def st_intersects(g: Column, h: Column) -> Column:
 
 
 def st_within(g: Column, h: Column) -> Column:
-    """Whether every vertex of ``g`` lies in the area ``h`` (exact for convex ``h``)."""
-    return F.forall(F.flatten(g["parts"]), lambda c: st_covers_point(h, c["lon"], c["lat"]))
+    """Whether the area ``h`` covers ``g``, be it concave or with holes.
+
+    The vertices and the middles of the edges of ``g`` lie in ``h``, no edges of the two cross, and no
+    boundary of ``h`` starts inside ``g``. What is left out: an edge which leaves ``h`` and comes back through
+    vertices of ``h`` exactly, with its middle inside.
+    """
+    side = lambda a, b, c: (b["lon"] - a["lon"]) * (c["lat"] - a["lat"]) - (b["lat"] - a["lat"]) * (c["lon"] - a["lon"])
+    cross = lambda s, t: (side(s["a"], s["b"], t["a"]) * side(s["a"], s["b"], t["b"]) < 0) & (side(t["a"], t["b"], s["a"]) * side(t["a"], t["b"], s["b"]) < 0)
+    corners = F.forall(F.flatten(g["parts"]), lambda c: st_covers_point(h, c["lon"], c["lat"]))
+    middles = F.forall(segments(g), lambda s: st_covers_point(h, (s["a"]["lon"] + s["b"]["lon"]) / 2, (s["a"]["lat"] + s["b"]["lat"]) / 2))
+    apart = ~F.exists(segments(g), lambda s: F.exists(segments(h), lambda t: cross(s, t)))
+    return corners & middles & apart & ~F.exists(F.flatten(h["parts"]), lambda c: _strictly_covers(g, c["lon"], c["lat"]))
 
 
 def centroid(geom: Column) -> Column:
-    """(lon, lat): a point itself, the mean of a line's vertices, the centre of an area's first shell."""
-    ring, flat = geom["parts"][0], F.flatten(geom["parts"])
-    o = ring[0]
+    """(lon, lat): a point itself, the mean of a line's vertices, the centre of an area over all its parts, holes taken out."""
+    flat = F.flatten(geom["parts"])
+    o = geom["parts"][0][0]
     mean = lambda k: F.aggregate(flat, F.lit(0.0), lambda s, c: s + c[k]) / F.size(flat)
+    twice = lambda a, b: (a["lon"] - o["lon"]) * (b["lat"] - o["lat"]) - (b["lon"] - o["lon"]) * (a["lat"] - o["lat"])
+    total = lambda values: F.aggregate(F.coalesce(values, F.array(F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
 
     def moment(k: str) -> Column:
-        terms = _segments(ring, lambda a, b: ((a["lon"] - o["lon"]) * (b["lat"] - o["lat"]) - (b["lon"] - o["lon"]) * (a["lat"] - o["lat"])) * (a[k] + b[k] - 2 * o[k]))
-        twice = _segments(ring, lambda a, b: (a["lon"] - o["lon"]) * (b["lat"] - o["lat"]) - (b["lon"] - o["lon"]) * (a["lat"] - o["lat"]))
-        total = F.aggregate(twice, F.lit(0.0), lambda s, x: s + x)
-        return F.when(total != 0, o[k] + F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / (3 * total)).otherwise(mean(k))
+        ring = lambda r: F.struct(total(_segments(r, twice)).alias("area"), total(_segments(r, lambda a, b: twice(a, b) * (a[k] + b[k] - 2 * o[k]))).alias("moment"))
+        # shells count for, holes against, whichever way round their vertices go
+        signed = F.zip_with(F.transform(geom["parts"], ring), geom["outer"], lambda r, outer: F.struct(*[(r[x] * F.signum(r["area"]) * F.when(outer, 1.0).otherwise(-1.0)).alias(x) for x in ("area", "moment")]))
+        area, first = (F.aggregate(F.transform(signed, lambda r: r[x]), F.lit(0.0), lambda s, v: s + v) for x in ("area", "moment"))  # noqa: B023
+        return F.when(area != 0, o[k] + first / (3 * area)).otherwise(mean(k))
 
     return F.struct(*[F.when(_areal(geom), moment(k)).otherwise(mean(k)).alias(k) for k in ("lon", "lat")])
 

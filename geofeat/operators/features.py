@@ -120,13 +120,13 @@ class DistanceTo(Feature):
 
 
 class AreaOfNearest(Feature):
-    """Size of the nearest object: its area, or its length if it is no area."""
+    """Size of the nearest object: its area if it is a single polygon, else its length (of several polygons, as of points, 0)."""
 
     def names(self):
         return [self.named(f"area_of_nearest_{self.object_name}")]
 
     def aggregates(self, hit):
-        return [F.min_by(F.when(hit, F.when(F.col("area_m2") > 0, F.col("area_m2")).otherwise(F.col("length_m"))), F.when(hit, F.struct("dist_m", "obj_id")))]
+        return [F.min_by(F.when(hit, F.col("size_m")), F.when(hit, F.struct("dist_m", "obj_id")))]
 
 
 STATISTICS = {"avg": F.avg, "min": F.min, "max": F.max, "stddev": F.stddev_samp}
@@ -158,17 +158,19 @@ def pairs(inputs: DataFrame, layer: DataFrame, features: list[Feature]) -> DataF
     same text (``geom_wkt`` and ``wkt``, where there are both) in one of lines and areas.
     """
     filters = {f.object_name: f.filter for f in features}  # a later feature of the same name wins
+    sizes = {"area_m2": geo.area_m2(F.col("geom")), "length_m": geo.length_m(F.col("geom"))}
+    sizes |= {"size_m": F.when(F.col("geom.kind") == "POLYGON", sizes["area_m2"]).otherwise(sizes["length_m"])}
     objects = height_columns(flag_columns(any_filter(layer, filters), filters)).withColumn("coverage", F.lit(1.0))
     radius = max(f.radius for f in features)
     if "geom" in inputs.columns:
         shapes = objects if "geom" in layer.columns else objects.withColumn("geom", geo.point(F.col("lon"), F.col("lat"))).drop("lon", "lat")
-        measured = shapes.withColumns({"area_m2": geo.area_m2(F.col("geom")), "length_m": geo.length_m(F.col("geom"))})
+        measured = shapes.withColumns(sizes)
         return spatial.dwithin_shapes(inputs, shapes, radius).join(measured.drop("geom", "wkt"), "obj_id")
     if "geom" in layer.columns:
-        measured = objects.withColumns({"area_m2": geo.area_m2(F.col("geom")), "length_m": geo.length_m(F.col("geom"))})
+        measured = objects.withColumns(sizes)
         same = F.coalesce(F.col("geom_wkt") == F.col("wkt"), F.lit(False)) if "geom_wkt" in inputs.columns and "wkt" in layer.columns else F.lit(False)
         return spatial.dwithin_objects(inputs, measured, radius).withColumn("same_geom", same)
-    flat = objects.withColumns({"area_m2": F.lit(0.0), "length_m": F.lit(0.0)})
+    flat = objects.withColumns({"area_m2": F.lit(0.0), "length_m": F.lit(0.0), "size_m": F.lit(0.0)})
     met = spatial.dwithin_points(inputs, flat, radius)
     return met.withColumn("same_geom", (F.col("q_lon") == F.col("t_lon")) & (F.col("q_lat") == F.col("t_lat")))
 

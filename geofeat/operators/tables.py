@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,12 +26,21 @@ def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> N
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def upsert(target: DataFrame, updates: DataFrame, keys: list[str], update_cols: list[str]) -> DataFrame:
-    """Rows of both; where the keys are in both, ``update_cols`` come from ``updates``."""
-    new = updates.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in update_cols], F.lit(True).alias("_new"))
-    inserted = updates.join(target.select(*keys), keys, "left_anti")
-    kept = target.join(new, keys, "left").select(*[F.when(F.col("_new"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in update_cols else F.col(c) for c in target.columns])
-    return kept.unionByName(inserted)
+def upsert(target: DataFrame, updates: DataFrame, keys: list[str], update_cols: list[str], order: list[str] | None = None) -> DataFrame:
+    """One row for each key of both: ``update_cols`` from its last write, the other columns from its first.
+
+    Rows of ``updates`` are later than those of ``target``, and among themselves go by
+    ``order``, or else by the values written, of which the largest counts as the last.
+    One aggregation over both tables; null keys are one key.
+    """
+    order = order or update_cols
+    rest = [c for c in target.columns if c not in {*keys, *update_cols}]
+    both = target.withColumn("_later", F.lit(0)).unionByName(updates.select(*target.columns, F.lit(1).alias("_later")))
+    at = F.struct("_later", *order)
+    last = F.max_by(F.struct(*update_cols), at).alias("_last")
+    first = [F.min_by(F.struct(*rest), at).alias("_first")] if rest else []
+    out = both.groupBy(*keys).agg(last, *first)
+    return out.select(*[F.col(f"_last.{c}") if c in update_cols else F.col(f"_first.{c}") if c in rest else F.col(c) for c in target.columns])
 
 
 def stage_inputs(df: DataFrame, order_by: list[str]) -> DataFrame:
@@ -139,26 +146,27 @@ def missing_features(inputs: DataFrame, store: DataFrame, names: list[str]) -> D
     return asked.join(full, "feature_name", "left_anti")
 
 
+#: Lines, or digests, under one digest of ``hash_geoms``.
+HASHED = 1_024
+
+
 def hash_geoms(df: DataFrame, wkt: str = "wkt") -> DataFrame:
     """md5 of a set of geometries, the same for any order and any repetition.
 
-    Tasks sort, number and write out the lines, each its own range. md5 itself takes
-    bytes in order only, so the driver runs it over the ranges one after another and
-    holds no more than one of them.
+    The distinct texts are sorted and numbered, each a line. Up to ``HASHED`` lines give
+    the md5 of all of them; more give a tree, in which each ``HASHED`` neighbours are
+    hashed and their digests are the next level's lines. Every level is an aggregation, so no task
+    and not the driver holds more than one node's lines.
     """
-    spark = df.sparkSession
     quoted = lambda x: F.when(x.contains(","), F.concat(F.lit('"'), x, F.lit('"'))).otherwise(x)
     numbered = stage_inputs(df.select(F.col(wkt).alias("wkt")).where("wkt IS NOT NULL").distinct(), ["wkt"])
-    lines = numbered.select("geom_id", F.concat(F.col("geom_id").cast("string"), F.lit(","), quoted(F.col("wkt")), F.lit("\n")).cast("binary").alias("line")).orderBy("geom_id").select("line")
-
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([b"".join(batch.column(0).to_pylist())], pa.binary())], names=["bytes"])
-
-    digest = hashlib.md5()
-    for row in lines.mapInArrow(run, "bytes binary").toLocalIterator():
-        digest.update(row[0])
-    return spark.range(1).select(F.lit(digest.hexdigest()).alias("hash"))
+    rows = numbered.select(F.col("geom_id").alias("at"), F.concat(F.col("geom_id").cast("string"), F.lit(","), quoted(F.col("wkt")), F.lit("\n")).alias("line"))
+    n = numbered.count()
+    while True:
+        block = rows.groupBy(F.floor(F.col("at") / HASHED).alias("at")).agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("lines"))
+        rows, n = block.select("at", F.md5(F.array_join(F.col("lines.line"), "")).alias("line")), -(-n // HASHED)
+        if n <= 1:
+            return rows.agg(F.coalesce(F.max("line"), F.md5(F.lit(""))).alias("hash"))
 
 
 # --- folds, samples, labels
@@ -188,7 +196,10 @@ def top_percent(df: DataFrame, score: str, pct: float, key: str) -> DataFrame:
 
 
 def latest_version(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
-    return df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(F.col(ts).desc()))).where("_r = 1").drop("_r")
+    """The row of the latest time of each key; of several of one time that with the largest values, column by column."""
+    rest = [c for c in df.columns if c not in keys]
+    newest = df.groupBy(*keys).agg(F.max(F.struct(F.col(ts).alias("_ts"), *rest)).alias("_x"))
+    return newest.select(*[F.col(f"_x.{c}") if c in rest else F.col(c) for c in df.columns])
 
 
 def random_rank(key: str, seed: int) -> list[Column]:

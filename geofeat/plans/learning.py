@@ -143,7 +143,7 @@ def _(t):
     return tb.ranked(weights, [-F.abs("weight")], ["feature"]).select("feature", "rank")
 
 
-@query("x6_distance_correlation", ", s AS (SELECT vec_id, embedding AS a, list_transform(embedding[1:8], lambda x: x * 2) AS b FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 500)), d AS (SELECT list_distance(x.a, y.a) AS u, list_distance(x.b, y.b) AS v FROM s x, s y) SELECT round(corr(u, v), 4) AS correlation FROM d".replace(", s AS", "WITH s AS", 1))
+@query("x6_distance_correlation", ", s AS (SELECT vec_id, embedding AS a, list_transform(embedding[1:8], lambda x: x * 2) AS b FROM embeddings), d AS (SELECT list_distance(x.a, y.a) AS u, list_distance(x.b, y.b) AS v FROM s x, s y) SELECT round(corr(u, v), 4) AS correlation FROM d".replace(", s AS", "WITH s AS", 1))
 def _(t):
     rows = t("embeddings").select("vec_id", F.col("embedding").alias("a"), F.transform(F.slice("embedding", 1, 8), lambda x: x * 2).alias("b"))
     return tb.distance_correlation(rows, "vec_id", "a", "b").select(r(F.col("correlation"), 4).alias("correlation"))

@@ -311,7 +311,11 @@ def _(t):
     return t("o_points").agg(*[r(f(c), 7).alias(f"{n}_{c}") for c in ("lon", "lat") for n, f in (("min", F.min), ("max", F.max))])
 
 
-@query("a4_hash_geoms", """SELECT md5(string_agg(i || ',"' || wkt || '"' || chr(10), '' ORDER BY i)) AS hash FROM (SELECT wkt, row_number() OVER (ORDER BY wkt) - 1 AS i FROM (SELECT DISTINCT wkt FROM buildings) x) y""", ("buildings",))
+A4 = "SELECT CAST(floor(i / 1024) AS BIGINT) AS i, md5(string_agg(line, '' ORDER BY i)) AS line FROM {} GROUP BY 1"
+
+
+@query("a4_hash_geoms", f""", l0 AS (SELECT i, i || ',"' || wkt || '"' || chr(10) AS line FROM (SELECT wkt, row_number() OVER (ORDER BY wkt) - 1 AS i FROM (SELECT DISTINCT wkt FROM buildings) x) y),
+l1 AS ({A4.format('l0')}), l2 AS ({A4.format('l1')}), l3 AS ({A4.format('l2')}) SELECT CASE WHEN (SELECT count(*) FROM l1) <= 1 THEN (SELECT max(line) FROM l1) WHEN (SELECT count(*) FROM l2) <= 1 THEN (SELECT max(line) FROM l2) ELSE (SELECT max(line) FROM l3) END AS hash""", ("buildings",))
 def _(t):
     return tb.hash_geoms(t("buildings"))
 

@@ -95,3 +95,41 @@ def test_time_bucket_unit():
 def test_empty_range(spark):
     with pytest.raises(ValueError):
         tables.sample_in_range(spark, (1.0, 1.0, 0.0, 1.0), 3, 1)
+
+
+@pytest.mark.parametrize(
+    "wkt,within",
+    [
+        ("POLYGON ((0.2 3, 3.8 3, 3.8 3.5, 0.2 3.5, 0.2 3))", False),  # all vertices in the arms of the U
+        ("POLYGON ((0.2 0.2, 3.8 0.2, 3.8 0.8, 0.2 0.8, 0.2 0.2))", True),
+        ("LINESTRING (0.5 3, 3.5 3)", False),
+        ("LINESTRING (0.5 3, 0.5 0.5, 3.5 0.5)", True),
+        ("POINT (2 2)", False),
+        ("POINT (1 2)", True),
+    ],
+)
+def test_within_a_concave_area(spark, wkt, within):
+    u = geo.from_wkt(F.lit("POLYGON ((0 0, 4 0, 4 4, 3 4, 3 1, 1 1, 1 4, 0 4, 0 0))"))
+    assert one(spark, geo.st_within(geo.from_wkt(F.lit(wkt)), u).alias("x")).x is within
+
+
+def test_within_an_area_with_a_hole(spark):
+    h = geo.from_wkt(F.lit(WKT["square with hole"]))
+    around = geo.from_wkt(F.lit("POLYGON ((0.5 0.5, 3.5 0.5, 3.5 3.5, 0.5 3.5, 0.5 0.5))"))
+    beside = geo.from_wkt(F.lit("POLYGON ((0.1 0.1, 0.9 0.1, 0.9 3.9, 0.1 3.9, 0.1 0.1))"))
+    row = one(spark, geo.st_within(around, h).alias("a"), geo.st_within(beside, h).alias("b"), geo.st_within(h, h).alias("c"))
+    assert (row.a, row.b, row.c) == (False, True, True)
+
+
+def test_centroid_over_all_parts(spark):
+    two = geo.centroid(geo.from_wkt(F.lit("MULTIPOLYGON (((0 0, 1 0, 1 1, 0 1, 0 0)), ((4 0, 4 1, 7 1, 7 0, 4 0)))")))
+    hole = geo.centroid(geo.from_wkt(F.lit("POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (0 0, 2 0, 2 4, 0 4, 0 0))")))
+    row = one(spark, two.alias("a"), hole.alias("b"))
+    assert (row.a.lon, row.a.lat) == pytest.approx(((0.5 + 3 * 5.5) / 4, 0.5)) and (row.b.lon, row.b.lat) == pytest.approx((3, 2))
+
+
+def test_nearest_of_several_polygons_has_no_area(spark):
+    layer = spark.createDataFrame([(1, "MULTIPOLYGON (((0 0, 0.001 0, 0.001 0.001, 0 0.001, 0 0)), ((0.002 0, 0.003 0, 0.003 0.001, 0.002 0.001, 0.002 0)))", "yes")], "obj_id long, wkt string, building string").withColumn("geom", geo.from_wkt(F.col("wkt")))
+    q = spark.createDataFrame([(1, 0.0005, 0.0005)], "geom_id long, lon double, lat double")
+    f = ft.AreaOfNearest(ft.BUILDING, "b", "building", 100.0)
+    assert ft.FeatureBuilder([f], {"b": layer}).transform(q).first()[1] == 0.0

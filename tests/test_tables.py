@@ -40,6 +40,31 @@ def test_upsert(spark):
     assert sorted(map(tuple, tb.upsert(target, updates.where("false"), ["k"], ["v"]).collect())) == sorted(map(tuple, target.collect()))
 
 
+def test_upsert_keeps_one_row_of_a_key(spark):
+    """The last of several updates, by its order or its value, whatever the partitions; the columns that are not updated are those of the first write."""
+    target = spark.createDataFrame([(1, "a", 1.0), (None, "n", 0.0)], "k long, name string, v double")
+    updates = spark.createDataFrame([(1, "x", 2.0), (1, "y", 3.0), (2, "p", 5.0), (2, "q", 4.0), (None, "z", 9.0)], "k long, name string, v double")
+    for parts in (1, 4):
+        got = tb.upsert(target, updates.repartition(parts), ["k"], ["v"], ["name"])
+        assert sorted(map(tuple, got.collect()), key=str) == [(1, "a", 3.0), (2, "p", 4.0), (None, "n", 9.0)]
+    assert sorted(map(tuple, tb.upsert(target, updates, ["k"], ["v"]).collect()), key=str) == [(1, "a", 3.0), (2, "q", 5.0), (None, "n", 9.0)]
+
+
+def test_latest_version_breaks_ties(spark):
+    rows = spark.createDataFrame([(1, 5, "a"), (1, 5, "b"), (1, 4, "c"), (2, 1, None)], "k long, ts long, v string")
+    for parts in (1, 3):
+        assert sorted(map(tuple, tb.latest_version(rows.repartition(parts), ["k"], "ts").collect())) == [(1, 5, "b"), (2, 1, None)]
+
+
+def test_hash_of_more_geometries_is_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(tb, "HASHED", 8)
+    texts = sorted(f"POINT ({i} 2)" for i in range(100))
+    rows = [f"{i},{x}\n" for i, x in enumerate(texts)]
+    while len(rows) > 1:
+        rows = [hashlib.md5("".join(rows[i : i + 8]).encode()).hexdigest() for i in range(0, len(rows), 8)]
+    assert tb.hash_geoms(spark.createDataFrame([(x,) for x in texts[::-1]], "wkt string").repartition(5)).collect() == [(rows[0],)]
+
+
 @pytest.mark.parametrize("n,k", [(10, 3), (7, 7), (3, 5), (0, 2)])
 def test_kfold_sizes(spark, n, k):
     folds = [r.fold for r in tb.kfold(spark.range(n), k, ["id"]).orderBy("id").collect()]
