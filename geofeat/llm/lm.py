@@ -13,10 +13,12 @@ of them as the class has words.
 The corpus makes the model, and the model grows with it: the counts have every
 distinct word, and the square root of the corpus' words is the number of further
 words with an embedding of their own (others have their class's). Word counts are a
-Spark aggregation over all texts. For training, every task starts from the same
-weights and runs stochastic gradient descent in numpy over its texts, and a Spark
-aggregation averages the tasks' weights, each by the positions it saw; ``ROUNDS`` such
-rounds, among which the texts are dealt by a hash, so that every position trains once. The driver holds and
+Spark aggregation over all texts; the network starts from the classes' frequencies. It
+trains in ``ROUNDS`` rounds, among which the texts are dealt by a hash, so that every
+position trains once: tasks sum up the gradient of their positions in numpy, all at the
+same weights, a Spark aggregation adds up the sums, and the driver makes one step with
+momentum. How the texts are split into tasks only changes the order in which sums are
+added. The driver holds and
 sends out the weights, the words with an embedding and two numbers for each bucket;
 the counts of all other words stay in Spark, which joins them by a 64-bit key (its
 collisions aside, exactly).
@@ -39,15 +41,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geofeat.llm.common import passing, place, read, slices, written
+from geofeat.sources.shared import Scratch
 
 KNOWN, BUCKETS, DIM, SIDE = 96, 32, 16, 2
 CLASSES = KNOWN + BUCKETS
 EDGE = CLASSES  # the context class beyond either end
 ONES = np.ones((CLASSES, 1), np.float32)  # its product sums up rows faster than sum does
 OFFSETS = tuple(d for d in range(-SIDE, SIDE + 1) if d)
-#: Every text trains in one of the rounds.
-ROUNDS, BATCH, RATE = 2, 1_024, 0.5
-SCORED_AT_ONCE = 1_024
+#: Every text trains in one of the rounds; each makes one step, and the last ones are shorter.
+ROUNDS, RATE, LAST_RATE = 16, 0.15, 0.03
+MOMENTUM, SPREAD = 0.6, 0.95
+#: An embedding moves as far as others when its word was met this often, by half then.
+HALFWAY = 30
+SCORED_AT_ONCE, SUMMED_AT_ONCE = 1_024, 1_024
 #: Rows of a matrix product at once: so few that the numerics library stays in the task's own thread, where it would else spin on the cores of others.
 ROWS_AT_ONCE = 128
 REMEMBERED, COUNTED_AT_ONCE, SENT_AT_ONCE = 300_000, 200_000, 10_000
@@ -92,6 +98,7 @@ class Alphabet:
     #: Occurrences and distinct words of each bucket; without them only classes are scored.
     totals: np.ndarray | None = None
     distinct: np.ndarray | None = None
+    share: np.ndarray | None = None  # relative frequency of each class
     counts: DataFrame | None = None  # key, n: every word in a bucket; stays with the driver
     memo: dict[bytes, int] = field(default_factory=dict)
 
@@ -189,8 +196,12 @@ class WindowNetwork:
             total += float(own - np.log(product(np.exp(z, out=z), ONES)).sum(dtype=np.float64))
         return total
 
-    def train(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
-        """One step over a batch."""
+    def lines(self) -> int:
+        """Lines of DIM weights in ``flat``."""
+        return len(self.embed) + len(OFFSETS) + CLASSES + CLASSES // DIM
+
+    def gradient(self, context: np.ndarray, target: np.ndarray, total: np.ndarray, met: np.ndarray) -> None:
+        """Adds the gradient of the negative log-likelihood of these places to total (lines by DIM, as in ``flat``), and what each embedding was met to met."""
         seen = self.embed.take(context, 0)
         hidden = np.einsum("njd,jd->nd", seen, self.place)
         grad = product(hidden, self.out)
@@ -198,19 +209,42 @@ class WindowNetwork:
         if not self.bounded(hidden):
             grad -= grad.max(1, keepdims=True)
         np.exp(grad, out=grad)
-        grad *= (rate / len(target)) / product(grad, ONES)
-        grad[np.arange(len(target)), target] -= rate / len(target)
+        grad /= product(grad, ONES)
+        grad[np.arange(len(target)), target] -= 1
         back = product(grad, self.out.T)
-        self.out -= product_over_rows(hidden, grad)
-        self.bias -= grad.sum(0)
-        change = back[:, None, :] * self.place
-        self.place -= np.einsum("nd,njd->jd", back, seen)
         # sum of the changes of each embedding row; numbers of 16 bits are sorted by counting
         rows = context.ravel().astype(np.min_scalar_type(len(self.embed)))
         order = np.argsort(rows, kind="stable")
         rows = rows[order]
         starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        self.embed[rows[starts]] -= np.add.reduceat(change.reshape(-1, DIM).take(order, 0), starts, 0)
+        change = (back[:, None, :] * self.place).reshape(-1, DIM)
+        total[rows[starts]] += np.add.reduceat(change.take(order, 0), starts, 0)
+        met[rows[starts]] += np.diff(np.append(starts, len(rows)))
+        k = len(self.embed)
+        total[k : k + len(OFFSETS)] += np.einsum("nd,njd->jd", back, seen)
+        total[k + len(OFFSETS) : k + len(OFFSETS) + CLASSES] += product_over_rows(hidden, grad).reshape(CLASSES, DIM)
+        total[-(CLASSES // DIM) :] += grad.sum(0, dtype=np.float64).reshape(-1, DIM)
+
+
+@dataclass
+class Descent:
+    """Steps of all weights by running means of their gradients and of its squares; lines by DIM."""
+
+    first: np.ndarray
+    second: np.ndarray
+    steps: int = 0
+
+    def step(self, network: WindowNetwork, total: np.ndarray, met: np.ndarray, places: int, rate: float) -> WindowNetwork:
+        """total: gradient summed over all places; met: what each embedding was met. Embeddings seldom met move less."""
+        weight = np.full(len(total), float(places))
+        weight[: len(met)] = met + HALFWAY
+        grad = total / weight[:, None]
+        self.steps += 1
+        self.first = MOMENTUM * self.first + (1 - MOMENTUM) * grad
+        self.second = SPREAD * self.second + (1 - SPREAD) * grad * grad
+        move = self.first / (1 - MOMENTUM**self.steps) / (np.sqrt(self.second / (1 - SPREAD**self.steps)) + 1e-5)
+        move[: len(met)] *= (met / (met + HALFWAY))[:, None]
+        return WindowNetwork.of(network.flat() - rate * move.ravel())
 
 
 def windows(found: np.ndarray, start: int, n: int) -> np.ndarray:
@@ -257,67 +291,81 @@ def alphabet(df: DataFrame, text_col: str = "text") -> Alphabet:
     occurs = counts.agg(F.sum("n")).first()[0] or 0
     top = counts.orderBy(F.col("n").desc(), "word").limit(KNOWN + int(occurs**0.5)).select("word", "n", "key").collect()
     known = {bytes(r.word): i for i, r in enumerate(top[:KNOWN])}
-    totals, distinct = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    totals, distinct, own = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(KNOWN)
+    own[: len(known)] = [r.n for r in top[:KNOWN]]
     for r in counts.groupBy(F.col("key").bitwiseAND(BUCKETS - 1).alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
         totals[r.b], distinct[r.b] = r.n, r.k
     for r in top[:KNOWN]:
         totals[bucket(bytes(r.word))] -= r.n
         distinct[bucket(bytes(r.word))] -= 1
-    return Alphabet(known, {bytes(r.word): r.n for r in top[KNOWN:]}, totals, distinct, counts.groupBy("key").agg(F.sum("n").alias("n")))
+    share = np.concatenate([own, totals]) + 0.5
+    return Alphabet(known, {bytes(r.word): r.n for r in top[KNOWN:]}, totals, distinct, share / share.sum(), counts.groupBy("key").agg(F.sum("n").alias("n")))
+
+
+def dealt(df: DataFrame, words: Alphabet, text_col: str = "text") -> DataFrame:
+    """(turn, codes): the rows of all texts' words as 32-bit numbers, several texts of a round in one string, with edges around each."""
+    shared = df.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches):
+        own = shared.value
+        for batch in batches:
+            for part in slices(batch):
+                turns: dict[int, list[np.ndarray]] = {}
+                for text, turn in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    rows = own.placed(text)[0]
+                    if len(rows):
+                        turns.setdefault(turn, [np.full(SIDE, EDGE)]).extend((rows, np.full(SIDE, EDGE)))
+                yield pa.RecordBatch.from_arrays([pa.array(list(turns), pa.int32()), pa.array([np.concatenate(x).astype(np.int32).tobytes() for x in turns.values()], pa.binary())], names=["turn", "codes"])
+
+    turn = F.pmod(F.xxhash64(text_col), F.lit(ROUNDS)).cast("int")
+    return df.select(text_col, turn.alias("turn")).mapInArrow(run, "turn int, codes binary")
 
 
-def of_round(df: DataFrame, turn: int, text_col: str = "text") -> DataFrame:
-    """The texts that train in a round."""
-    return df.select(text_col).where(F.pmod(F.xxhash64(text_col), F.lit(ROUNDS)) == turn)
+def gradients(coded: DataFrame, words: Alphabet, network: WindowNetwork) -> DataFrame:
+    """(i, met, g0, ...): sums over all places of the coded texts, by line of the weights; met of other lines than embeddings are the places."""
+    shared = coded.sparkSession.sparkContext.broadcast((words.class_of, network.flat()))
+
+    def run(batches):
+        class_of, flat = shared.value
+        net, k = WindowNetwork.of(flat), len(class_of)
+        total, met, places = np.zeros((net.lines(), DIM)), np.zeros(k, np.int64), 0
+        for batch in batches:
+            for codes in batch.column(0):
+                rows = np.frombuffer(codes.as_buffer(), np.int32)
+                at = np.flatnonzero(rows != EDGE)
+                for a in range(0, len(at), SUMMED_AT_ONCE):
+                    of = at[a : a + SUMMED_AT_ONCE]
+                    net.gradient(rows[np.stack([of + d for d in OFFSETS], 1)], class_of[rows[of]], total, met)
+                places += len(at)
+        met = np.concatenate([met, np.full(len(total) - k, places)])
+        moved = np.flatnonzero(met)
+        for a in range(0, len(moved), SENT_AT_ONCE):
+            part = moved[a : a + SENT_AT_ONCE]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(met[part]), *(pa.array(total[part, j]) for j in range(DIM))], names=["i", "met", *(f"g{j}" for j in range(DIM))])
+
+    columns = [f"g{j}" for j in range(DIM)]
+    sums = coded.select("codes").mapInArrow(run, "i long, met long, " + ", ".join(f"{c} double" for c in columns))
+    return sums.groupBy("i").agg(F.sum("met").alias("met"), *(F.sum(c).alias(c) for c in columns))
 
 
 def fit(df: DataFrame, text_col: str = "text") -> tuple[Alphabet, WindowNetwork]:
     """Learns from every text of the frame."""
-    spark = df.sparkSession
     words = alphabet(df, text_col)
-    network = WindowNetwork.start(np.full(CLASSES, 1 / CLASSES), class_of=words.class_of)
-    for turn in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((words, network.flat()))
-
-        def run(batches):
-            own, flat = shared.value
-            net, seen = WindowNetwork.of(flat.copy()), 0
-            contexts, targets, waiting = [], [], 0
-            for batch in batches:
-                for part in slices(batch):
-                    for text in part.column(0).to_pylist():
-                        rows = own.placed(text)[0]
-                        for a in range(0, len(rows), BATCH):
-                            contexts.append(windows(rows, a, BATCH))
-                            targets.append(own.class_of[rows[a : a + BATCH]])
-                            waiting += len(targets[-1])
-                            if waiting >= BATCH:
-                                net.train(np.concatenate(contexts), np.concatenate(targets), RATE / (1 + seen / 200_000) ** 0.5)
-                                seen += waiting
-                                contexts, targets, waiting = [], [], 0
-            if waiting:
-                net.train(np.concatenate(contexts), np.concatenate(targets), RATE / (1 + seen / 200_000) ** 0.5)
-                seen += waiting
-            change = (net.flat() - flat).reshape(-1, DIM)
-            moved = np.flatnonzero(change.any(1))
-            at = np.concatenate([[-1], moved])
-            change = np.concatenate([np.zeros((1, DIM), np.float32), change[moved]])
-            for a in range(0, len(at), SENT_AT_ONCE):
-                part = change[a : a + SENT_AT_ONCE]
-                ends = np.arange(0, part.size + 1, DIM, dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(at[a : a + SENT_AT_ONCE]), pa.array(np.full(len(part), seen)), pa.ListArray.from_arrays(pa.array(ends), pa.array(part.ravel()))], names=["i", "seen", "change"])
-
-        # mean of the tasks' weights, by the positions they saw; line -1 has the positions of all
-        tasks = of_round(df, turn, text_col).mapInArrow(run, "i long, seen long, change array<float>").where("seen > 0")
-        sums = tasks.groupBy("i").agg(F.sum("seen").alias("seen"), *(F.sum(F.col("change")[j].cast("double") * F.col("seen")).alias(f"c{j}") for j in range(DIM))).collect()
-        if not sums:
-            continue
-        seen = next(r.seen for r in sums if r.i < 0)
-        lines = network.flat().reshape(-1, DIM).astype(np.float64)
-        for r in sums:
-            if r.i >= 0:
-                lines[r.i] += np.array(r[2:]) / seen
-        network = WindowNetwork.of(lines.ravel())
+    network, k = WindowNetwork.start(words.share, class_of=words.class_of), len(words.class_of)
+    descent = Descent(np.zeros((network.lines(), DIM)), np.zeros((network.lines(), DIM)))
+    with Scratch(df.sparkSession) as scratch:
+        # in order of the rounds, so that each reads its own pages only
+        coded = scratch(dealt(df, words, text_col).sortWithinPartitions("turn"))
+        for turn in range(ROUNDS):
+            sums = gradients(coded.where(F.col("turn") == turn), words, network).toArrow()
+            if not sums.num_rows:
+                continue
+            i, met = sums.column("i").to_numpy(), sums.column("met").to_numpy()
+            total, all_met = np.zeros((network.lines(), DIM)), np.zeros(network.lines())
+            all_met[i] = met
+            total[i] = np.stack([sums.column(f"g{j}").to_numpy() for j in range(DIM)], 1)
+            rate = RATE + (LAST_RATE - RATE) * turn / (ROUNDS - 1)
+            network = descent.step(network, total, all_met[:k], int(all_met[-1]), rate)
     return words, network
 
 

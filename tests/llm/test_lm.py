@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -11,10 +12,11 @@ def test_step_follows_the_gradient():
     for rows in (8, 40):
         context, target = rng.integers(0, 7, (rows, len(lm.OFFSETS))), rng.integers(0, lm.CLASSES, rows)
         loss = lambda n: -n.log_probabilities(context)[np.arange(rows), target].mean()
-        flat, step = net.flat().astype(np.float64), 1e-3
-        moved = lm.WindowNetwork.of(net.flat())
-        moved.train(context, target, step)
-        grad = (flat - moved.flat()) / step
+        flat = net.flat().astype(np.float64)
+        total, met = np.zeros((net.lines(), lm.DIM)), np.zeros(len(net.embed), int)
+        net.gradient(context, target, total, met)
+        grad = total.ravel() / rows
+        assert met.tolist() == np.bincount(context.ravel(), minlength=len(met)).tolist()
         for i in rng.choice(np.flatnonzero(np.abs(grad) > 1e-3), 12):
             up, down = flat.copy(), flat.copy()
             up[i] += 1e-2
@@ -86,10 +88,66 @@ def test_alphabet_grows_with_the_corpus(spark):
     assert sizes[0] == lm.KNOWN + 63 and sizes[1] == lm.KNOWN + 200
 
 
-def test_every_text_trains_once(spark):
-    df = spark.createDataFrame([(i, f"text {i % 30}") for i in range(40)] + [(99, None)], "doc_id long, text string")
-    dealt = [r.text for turn in range(lm.ROUNDS) for r in lm.of_round(df, turn).collect()]
-    assert sorted(map(str, dealt)) == sorted(str(r.text) for r in df.collect())
+def test_every_place_trains_once(spark):
+    rows = [(i, f"text {i % 30} " * (i + 1)) for i in range(40)] + [(98, ""), (99, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    words = lm.alphabet(df)
+    coded = [(r.turn, np.frombuffer(bytes(r.codes), np.int32)) for r in lm.dealt(df, words).collect()]
+    assert all(0 <= turn < lm.ROUNDS for turn, _ in coded)
+    texts = [tuple(x) for _, codes in coded for x in split_at_edges(codes.tolist())]
+    assert sorted(texts) == sorted(tuple(words.placed(t)[0].tolist()) for _, t in rows if t)
+
+
+def split_at_edges(codes):
+    found, text = [], []
+    assert codes[: lm.SIDE] == codes[-lm.SIDE :] == [lm.EDGE] * lm.SIDE
+    for c in codes:
+        if c != lm.EDGE:
+            text.append(c)
+        elif text:
+            found, text = [*found, text], []
+    return found
+
+
+def test_model_and_query_do_not_depend_on_the_split(spark):
+    """1, 8 and 64 tasks give one model, which beats the classes' frequencies by far."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = [r.text for r in docs.orderBy("doc_id").limit(60).collect()]
+    means, plain = [], None
+    for tasks in (1, 8, 64):
+        words, net = lm.fit(docs.repartition(tasks, "doc_id"))
+        scores = [lm.score_text(t, words, net) for t in texts]
+        n = sum(s[0] for s in scores)
+        means.append(sum(s[1] for s in scores) / n)
+        bare = lm.WindowNetwork(np.zeros_like(net.embed), net.place, net.out, np.log(words.share).astype(np.float32))
+        plain = sum(lm.score_text(t, words, bare)[1] for t in texts) / n
+    assert max(means) - min(means) < 0.02
+    assert min(means) > plain + 0.1
+
+
+def test_query_equals_a_plain_loop(spark):
+    """Every document's score from the definition: its words' classes by a plain softmax, their shares from plain counts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    words, net = lm.fit(docs)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    counts = Counter(w for t in texts.values() for w in lm.words_of(t))
+    class_of = {w: words.known.get(w, lm.KNOWN + lm.bucket(w)) for w in counts}
+    totals = Counter()
+    for w, n in counts.items():
+        totals[class_of[w]] += n
+    got = {r.doc_id: r for r in lm.op4_lm_score(spark, "/root/testdata/sf0.001").collect()}
+    assert got.keys() == texts.keys()
+    for doc_id in sorted(texts)[::7]:
+        own = lm.words_of(texts[doc_id])
+        rows = [words.rows.get(w, class_of[w]) for w in own]
+        total = 0.0
+        for i, w in enumerate(own):
+            hidden = sum(net.embed[rows[i + d] if 0 <= i + d < len(own) else lm.EDGE] * net.place[j] for j, d in enumerate(lm.OFFSETS))
+            z = (hidden @ net.out + net.bias).astype(float)
+            total += z[class_of[w]] - np.logaddexp.reduce(z)
+            if w not in words.known:
+                total += np.log(counts[w] / (totals[class_of[w]] + 1))
+        assert got[doc_id].n_words == len(own) and abs(got[doc_id].log_prob - total) < 1e-3 * max(1, abs(total)) + 1e-2
 
 
 def test_windows_of_a_part_are_those_of_the_whole():
