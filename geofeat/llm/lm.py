@@ -53,7 +53,7 @@ ROUNDS, RATE, LAST_RATE = 16, 0.15, 0.03
 MOMENTUM, SPREAD = 0.6, 0.95
 #: An embedding moves as far as others when its word was met this often, by half then.
 HALFWAY = 30
-SCORED_AT_ONCE, SUMMED_AT_ONCE = 1_024, 1_024
+SCORED_AT_ONCE, SUMMED_AT_ONCE = 1_024, 2_048
 #: Rows of a matrix product at once: so few that the numerics library stays in the task's own thread, where it would else spin on the cores of others.
 ROWS_AT_ONCE = 128
 REMEMBERED, COUNTED_AT_ONCE, SENT_AT_ONCE = 300_000, 200_000, 10_000
@@ -67,6 +67,13 @@ def bucket(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word[-3:]) % BUCKETS
 
 
+def with_one(x: np.ndarray) -> np.ndarray:
+    """x with a one behind each row."""
+    out = np.ones((len(x), x.shape[1] + 1), np.float32)
+    out[:, :-1] = x
+    return out
+
+
 def product(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """x @ weights in one thread."""
     out = np.empty((len(x), weights.shape[1]), np.float32)
@@ -169,15 +176,21 @@ class WindowNetwork:
         z -= z.max(1, keepdims=True)
         return z - np.log(np.exp(z).sum(1, keepdims=True))
 
-    def bounded(self, hidden: np.ndarray) -> bool:
-        """Whether no logit of these rows can overflow in exp, so that their maximum need not be taken off."""
-        longest = np.sqrt(np.einsum("ij,ij->i", hidden, hidden).max() * np.einsum("ij,ij->j", self.out, self.out).max())
-        return bool(longest + np.abs(self.bias).max() < 60)
+    def exp_logits(self, hidden: np.ndarray) -> tuple[np.ndarray, np.ndarray | float]:
+        """exp of the logits less what the second result says; hidden: with a one behind each row, for the bias."""
+        last = np.vstack([self.out, self.bias])
+        z, top = product(hidden, last), 0.0
+        # where no logit can overflow in exp, the maximum need not be taken off
+        if np.einsum("ij,ij->i", hidden, hidden).max() * np.einsum("ij,ij->j", last, last).max() > 60**2:
+            top = z.max(1)
+            z -= top[:, None]
+        return np.exp(z, out=z), top
 
     def log_likelihood(self, found: np.ndarray, rows: np.ndarray | None = None) -> float:
         """Sum over all places of a text's classes, each given the words around it (rows; without them, their classes)."""
         placed, total = self.embed * self.place[:, None, :] if rows is None else None, 0.0
         rows = found if rows is None else rows
+        last = np.ascontiguousarray(np.vstack([self.out, self.bias]).T)
         padded = np.concatenate([np.full(SIDE, EDGE), rows, np.full(SIDE, EDGE)])
         for a in range(0, len(found), SCORED_AT_ONCE):
             target = found[a : a + SCORED_AT_ONCE]
@@ -188,12 +201,10 @@ class WindowNetwork:
                 hidden = placed[0].take(padded[a : a + n], 0)
                 for j, d in enumerate(OFFSETS[1:], 1):
                     hidden += placed[j].take(padded[a + SIDE + d : a + SIDE + d + n], 0)
-            z = product(hidden, self.out)
-            z += self.bias
-            if not self.bounded(hidden):
-                z -= z.max(1, keepdims=True)
-            own = z[np.arange(n), target].sum(dtype=np.float64)
-            total += float(own - np.log(product(np.exp(z, out=z), ONES)).sum(dtype=np.float64))
+            hidden = with_one(hidden)
+            z, top = self.exp_logits(hidden)
+            own = np.einsum("nd,nd->n", hidden, last.take(target, 0)) - top
+            total += float((own - np.log(product(z, ONES)[:, 0])).sum(dtype=np.float64))
         return total
 
     def lines(self) -> int:
@@ -203,15 +214,14 @@ class WindowNetwork:
     def gradient(self, context: np.ndarray, target: np.ndarray, total: np.ndarray, met: np.ndarray) -> None:
         """Adds the gradient of the negative log-likelihood of these places to total (lines by DIM, as in ``flat``), and what each embedding was met to met."""
         seen = self.embed.take(context, 0)
-        hidden = np.einsum("njd,jd->nd", seen, self.place)
-        grad = product(hidden, self.out)
-        grad += self.bias
-        if not self.bounded(hidden):
-            grad -= grad.max(1, keepdims=True)
-        np.exp(grad, out=grad)
-        grad /= product(grad, ONES)
-        grad[np.arange(len(target)), target] -= 1
-        back = product(grad, self.out.T)
+        hidden = with_one(np.einsum("njd,jd->nd", seen, self.place))
+        z, _ = self.exp_logits(hidden)
+        sums = product(z, ONES)
+        z[np.arange(len(target)), target] -= sums[:, 0]  # the gradient of the logits, but for the division by sums
+        back = product(z, self.out.T)
+        back /= sums
+        hidden /= sums
+        last = product_over_rows(hidden, z)
         # sum of the changes of each embedding row; numbers of 16 bits are sorted by counting
         rows = context.ravel().astype(np.min_scalar_type(len(self.embed)))
         order = np.argsort(rows, kind="stable")
@@ -222,8 +232,7 @@ class WindowNetwork:
         met[rows[starts]] += np.diff(np.append(starts, len(rows)))
         k = len(self.embed)
         total[k : k + len(OFFSETS)] += np.einsum("nd,njd->jd", back, seen)
-        total[k + len(OFFSETS) : k + len(OFFSETS) + CLASSES] += product_over_rows(hidden, grad).reshape(CLASSES, DIM)
-        total[-(CLASSES // DIM) :] += grad.sum(0, dtype=np.float64).reshape(-1, DIM)
+        total[k + len(OFFSETS) :] += last.reshape(-1, DIM)
 
 
 @dataclass

@@ -40,6 +40,20 @@ def test_scores_equal_a_plain_loop():
     assert n == 8 and abs(got - total) < 1e-3
 
 
+def test_large_weights_neither_overflow_nor_vanish():
+    net = lm.WindowNetwork.start(np.full(lm.CLASSES, 1 / lm.CLASSES))
+    net.out = net.out * 4_000
+    words = lm.Alphabet({b"the": 0, b"cat": 1})
+    found = words.classes("the cat sat on the mat the end of the cat")
+    context = lm.windows(found, 0, len(found))
+    expected = net.log_probabilities(context)[np.arange(len(found)), found].sum()
+    got = net.log_likelihood(found)
+    assert expected < -300 and abs(got - expected) < 1e-4 * abs(expected)
+    total, met = np.zeros((net.lines(), lm.DIM)), np.zeros(len(net.embed), int)
+    net.gradient(context, found, total, met)
+    assert np.isfinite(total).all()
+
+
 def test_trained_network_prefers_the_corpus_order(spark):
     rng = random.Random(0)
     line = "a b c d e f g h".split()
