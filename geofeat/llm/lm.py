@@ -311,23 +311,30 @@ def alphabet(df: DataFrame, text_col: str = "text") -> Alphabet:
     return Alphabet(known, {bytes(r.word): r.n for r in top[KNOWN:]}, totals, distinct, share / share.sum(), counts.groupBy("key").agg(F.sum("n").alias("n")))
 
 
-def dealt(df: DataFrame, words: Alphabet, text_col: str = "text") -> DataFrame:
-    """(turn, codes): the rows of all texts' words as 32-bit numbers, several texts of a round in one string, with edges around each."""
+def coded(df: DataFrame, words: Alphabet, text_col: str = "text", keep: list[str] = ()) -> DataFrame:
+    """The kept columns, turn (the round that trains the text), codes (rows of its words as 32-bit numbers) and others (keys of words without a row)."""
     shared = df.sparkSession.sparkContext.broadcast(words)
+    names = [f"p{i}" for i in range(len(keep))]
+    turn = F.pmod(F.xxhash64(text_col), F.lit(ROUNDS)).cast("int")
+    asked = df.select(*(F.col(c).alias(n) for c, n in zip(keep, names)), turn.alias("turn"), F.col(text_col).alias("text"))
+    schema = T.StructType([*asked.schema.fields[:-1], T.StructField("codes", T.BinaryType()), T.StructField("others", T.ArrayType(T.LongType()))])
 
     def run(batches):
-        own = shared.value
+        own, n = shared.value, len(schema) - 2
         for batch in batches:
             for part in slices(batch):
-                turns: dict[int, list[np.ndarray]] = {}
-                for text, turn in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    rows = own.placed(text)[0]
-                    if len(rows):
-                        turns.setdefault(turn, [np.full(SIDE, EDGE)]).extend((rows, np.full(SIDE, EDGE)))
-                yield pa.RecordBatch.from_arrays([pa.array(list(turns), pa.int32()), pa.array([np.concatenate(x).astype(np.int32).tobytes() for x in turns.values()], pa.binary())], names=["turn", "codes"])
+                found = [own.placed(t) for t in part.column(n).to_pylist()]
+                ends = np.concatenate([[0], np.cumsum([len(x) for _, x in found])]).astype(np.int32)
+                others = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *(x for _, x in found)])))
+                codes = pa.array([rows.astype(np.int32).tobytes() for rows, _ in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n)), codes, others], names=schema.names)
 
-    turn = F.pmod(F.xxhash64(text_col), F.lit(ROUNDS)).cast("int")
-    return df.select(text_col, turn.alias("turn")).mapInArrow(run, "turn int, codes binary")
+    # in order of the rounds, so that each reads its own pages only
+    return asked.mapInArrow(run, schema).sortWithinPartitions("turn")
+
+
+def _rows(codes: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(c.as_buffer(), np.int32) for c in codes]
 
 
 def gradients(coded: DataFrame, words: Alphabet, network: WindowNetwork) -> DataFrame:
@@ -339,8 +346,9 @@ def gradients(coded: DataFrame, words: Alphabet, network: WindowNetwork) -> Data
         net, k = WindowNetwork.of(flat), len(class_of)
         total, met, places = np.zeros((net.lines(), DIM)), np.zeros(k, np.int64), 0
         for batch in batches:
-            for codes in batch.column(0):
-                rows = np.frombuffer(codes.as_buffer(), np.int32)
+            for part in slices(batch):
+                edges = np.full(SIDE, EDGE, np.int32)
+                rows = np.concatenate([edges, *(x for codes in _rows(part.column(0)) for x in (codes, edges))])
                 at = np.flatnonzero(rows != EDGE)
                 for a in range(0, len(at), SUMMED_AT_ONCE):
                     of = at[a : a + SUMMED_AT_ONCE]
@@ -357,69 +365,91 @@ def gradients(coded: DataFrame, words: Alphabet, network: WindowNetwork) -> Data
     return sums.groupBy("i").agg(F.sum("met").alias("met"), *(F.sum(c).alias(c) for c in columns))
 
 
-def fit(df: DataFrame, text_col: str = "text") -> tuple[Alphabet, WindowNetwork]:
-    """Learns from every text of the frame."""
-    words = alphabet(df, text_col)
+def trained(table: DataFrame, words: Alphabet) -> WindowNetwork:
+    """The network that all texts of a coded table give."""
     network, k = WindowNetwork.start(words.share, class_of=words.class_of), len(words.class_of)
     descent = Descent(np.zeros((network.lines(), DIM)), np.zeros((network.lines(), DIM)))
-    with Scratch(df.sparkSession) as scratch:
-        # in order of the rounds, so that each reads its own pages only
-        coded = scratch(dealt(df, words, text_col).sortWithinPartitions("turn"))
-        for turn in range(ROUNDS):
-            sums = gradients(coded.where(F.col("turn") == turn), words, network).toArrow()
-            if not sums.num_rows:
-                continue
-            i, met = sums.column("i").to_numpy(), sums.column("met").to_numpy()
-            total, all_met = np.zeros((network.lines(), DIM)), np.zeros(network.lines())
-            all_met[i] = met
-            total[i] = np.stack([sums.column(f"g{j}").to_numpy() for j in range(DIM)], 1)
+    for turn in range(ROUNDS):
+        sums = gradients(table.where(F.col("turn") == turn), words, network).toArrow()
+        if not sums.num_rows:
+            continue
+        i, met = sums.column("i").to_numpy(), sums.column("met").to_numpy()
+        total, all_met = np.zeros((network.lines(), DIM)), np.zeros(network.lines())
+        all_met[i] = met
+        total[i] = np.stack([sums.column(f"g{j}").to_numpy() for j in range(DIM)], 1)
+        if all_met[-1]:
             rate = RATE + (LAST_RATE - RATE) * turn / (ROUNDS - 1)
             network = descent.step(network, total, all_met[:k], int(all_met[-1]), rate)
-    return words, network
+    return network
+
+
+def fit(df: DataFrame, text_col: str = "text") -> tuple[Alphabet, WindowNetwork]:
+    """Learns from every text of the frame."""
+    words = alphabet(df, text_col)
+    with Scratch(df.sparkSession) as scratch:
+        return words, trained(scratch(coded(df, words, text_col)), words)
 
 
 def score_text(text: str | None, words: Alphabet, network: WindowNetwork) -> tuple[int, float]:
     """Number of words and the sum of their conditional log-probabilities, those without a row of their own as if they occurred once."""
-    return _scored(text, words, network)[:2]
+    rows = words.placed(text)[0]
+    return len(rows), _log_probability(rows, words, network)
 
 
-def _scored(text: str | None, words: Alphabet, network: WindowNetwork) -> tuple[int, float, np.ndarray]:
-    rows, others = words.placed(text)
-    return len(rows), network.log_likelihood(words.class_of[rows], rows) + float(words.of_row[rows].sum()), others
+def _log_probability(rows: np.ndarray, words: Alphabet, network: WindowNetwork) -> float:
+    return network.log_likelihood(words.class_of[rows], rows) + float(words.of_row[rows].sum())
 
 
-def scored(df: DataFrame, words: Alphabet, network: WindowNetwork, text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """Adds ``n_words``, ``log_prob`` (the sum) and ``mean_log_prob``."""
-    shared = df.sparkSession.sparkContext.broadcast((words, network.flat()))
-    new = [T.StructField("n_words", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("_others", T.ArrayType(T.LongType()))]
+def _numbered(df: DataFrame, text_col: str, keep_text: bool) -> tuple[DataFrame, list[str]]:
+    """The frame with numbered rows, and the columns to keep; the numbers' column is the last of both."""
+    own = [df.columns[i] for i in passing(df, ["n_words", "log_prob", "mean_log_prob"])]
     row = "_" + max(df.columns, key=len)  # longer than any name there
-    at = place(df, text_col)
-    own_columns = [df.columns[i] for i in passing(df, ["n_words", "log_prob", "mean_log_prob", "_others"])]
-    rest = df.withColumn(row, F.monotonically_increasing_id())
-    passed = [i for i, c in enumerate(rest.columns) if (c in own_columns or c == row) and (keep_text or i != at)]
-    schema = T.StructType([*(rest.schema.fields[i] for i in passed), *new])
+    kept = [c for c in own if keep_text or c.lower() != text_col.lower()]
+    return df.withColumn(row, F.monotonically_increasing_id()), [*kept, row]
+
+
+def _scored_table(table: DataFrame, kept: list[str], words: Alphabet, network: WindowNetwork) -> DataFrame:
+    """Scores the texts of a written ``coded`` table whose kept columns these are, row numbers last."""
+    shared = table.sparkSession.sparkContext.broadcast((words, network.flat()))
+    fields, n = table.schema.fields, len(kept)
+    schema = T.StructType([*fields[:n], T.StructField("n_words", T.LongType()), T.StructField("log_prob", T.DoubleType())])
 
     def run(batches):
         own, flat = shared.value
         net = WindowNetwork.of(flat)
         for batch in batches:
             for part in slices(batch):
-                found = [_scored(t, own, net) for t in part.column(at).to_pylist()]
-                ends = np.concatenate([[0], np.cumsum([len(x) for *_, x in found])]).astype(np.int32)
-                others = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *(x for *_, x in found)])))
-                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in passed), pa.array([n for n, *_ in found], pa.int64()), pa.array([x for _, x, _ in found], pa.float64()), others], names=schema.names)
+                found = _rows(part.column(n))
+                sums = [_log_probability(x, own, net) for x in found]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n)), pa.array([len(x) for x in found], pa.int64()), pa.array(sums, pa.float64())], names=schema.names)
 
-    out = written(rest.mapInArrow(run, schema))
+    row = f"p{n - 1}"
+    out = table.select(*(f.name for f in fields[:n]), "codes").mapInArrow(run, schema)
     if words.counts is not None:
         # what a word occurs, for the words without a row; those that the corpus does not have share one occurrence
         absent = F.element_at(F.array(*(F.lit(-float(np.log(k + 1))) for k in words.distinct)), (F.col("key").bitwiseAND(BUCKETS - 1) + 1).cast("int"))
-        others = out.select(row, F.explode("_others").alias("key")).join(words.counts, "key", "left")
-        more = others.groupBy(row).agg(F.sum(F.coalesce(F.log("n"), absent)).alias("_more"))
-        out = out.join(more, row, "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("_more", F.lit(0.0)))
-    return out.select(*(rest.columns[i] for i in passed if rest.columns[i] != row), "n_words", "log_prob", (F.col("log_prob") / F.nullif(F.col("n_words"), F.lit(0))).alias("mean_log_prob"))
+        others = table.select(row, F.explode("others").alias("key")).join(words.counts, "key", "left")
+        more = others.groupBy(row).agg(F.sum(F.coalesce(F.log("n"), absent)).alias("more"))
+        out = out.join(more, row, "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
+    mean = F.col("log_prob") / F.nullif(F.col("n_words"), F.lit(0))
+    return out.select(*(F.col(f"p{i}").alias(c) for i, c in enumerate(kept[:-1])), "n_words", "log_prob", mean.alias("mean_log_prob"))
+
+
+def scored(df: DataFrame, words: Alphabet, network: WindowNetwork, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """Adds ``n_words``, ``log_prob`` (the sum) and ``mean_log_prob``."""
+    rows, kept = _numbered(df, text_col, keep_text)
+    return _scored_table(written(coded(rows, words, text_col, kept)), kept, words, network)
+
+
+def fit_scored(df: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """``scored`` by the network that the frame's own texts train; every text is coded once."""
+    words = alphabet(df, text_col)
+    rows, kept = _numbered(df, text_col, keep_text)
+    table = written(coded(rows, words, text_col, kept))
+    return _scored_table(table, kept, words, trained(table, words))
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudo-likelihood of every document under a network that all of them train."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return scored(docs, *fit(docs), keep_text=False).select("doc_id", "n_words", "log_prob", "mean_log_prob")
+    return fit_scored(docs, keep_text=False).select("doc_id", "n_words", "log_prob", "mean_log_prob")
