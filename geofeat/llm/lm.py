@@ -49,8 +49,8 @@ EDGE = CLASSES  # the context class beyond either end
 ONES = np.ones((CLASSES, 1), np.float32)  # its product sums up rows faster than sum does
 OFFSETS = tuple(d for d in range(-SIDE, SIDE + 1) if d)
 #: Every text trains in one of the rounds; each makes one step, and the last ones are shorter.
-ROUNDS, RATE, LAST_RATE = 16, 0.15, 0.03
-MOMENTUM, SPREAD = 0.6, 0.95
+ROUNDS, RATE, LAST_RATE = 10, 0.18, 0.036
+MOMENTUM, SPREAD = 0.5, 0.95
 #: An embedding moves as far as others when its word was met this often, by half then.
 HALFWAY = 30
 SCORED_AT_ONCE, SUMMED_AT_ONCE = 1_024, 2_048
