@@ -24,8 +24,10 @@ the counts of all other words stay in Spark, which joins them by a 64-bit key (i
 collisions aside, exactly).
 
 Cases: null and empty texts have no words, a log-probability of 0 and a null mean; a
-word alone is predicted from the edges; an empty table gives no rows; extra columns
-pass through, and those with an output's name are replaced.
+word alone is predicted from the edges; an empty table gives no rows; repeated rows train
+and score each, alike; very long texts train and score whole, some thousand places at
+a time, beside an array of all their words; extra columns pass through, and those with
+an output's name are replaced.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geofeat.llm.common import passing, place, read, slices, written
+from geofeat.llm.common import passing, read, slices, written
 from geofeat.sources.shared import Scratch
 
 KNOWN, BUCKETS, DIM, SIDE = 96, 32, 16, 2
@@ -51,7 +53,7 @@ OFFSETS = tuple(d for d in range(-SIDE, SIDE + 1) if d)
 #: Every text trains in one of the rounds; each makes one step, and the last ones are shorter.
 ROUNDS, RATE, LAST_RATE = 10, 0.18, 0.036
 MOMENTUM, SPREAD = 0.5, 0.95
-#: An embedding moves as far as others when its word was met this often, by half then.
+#: An embedding moves half as far as others where a round met its word this often.
 HALFWAY = 30
 SCORED_AT_ONCE, SUMMED_AT_ONCE = 1_024, 2_048
 #: Rows of a matrix product at once: so few that the numerics library stays in the task's own thread, where it would else spin on the cores of others.
