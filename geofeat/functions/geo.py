@@ -8,12 +8,13 @@ no UDF, and null in gives null out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # WGS84, and the angle that stands for a metre in plain conversions.
 A, E2 = 6378137.0, 0.0066943799901413165
 DEGREES_PER_METRE = 1e-5 / 1.11
+GEOMETRY = "struct<kind:string,parts:array<array<struct<lon:double,lat:double>>>,outer:array<boolean>>"
 BASE32 = "0123456789bcdefghjkmnpqrstuvwxyz"
 
 
@@ -128,6 +129,26 @@ def to_wkt(geom: Column, digits: int = 7) -> Column:
     return F.concat(geom["kind"], F.lit(" "), body)
 
 
+def members(wkt: Column) -> Column:
+    """Texts of a collection's geometries, those of collections within it too; any other text alone."""
+    inner = F.regexp_extract_all(wkt, F.lit(r"[A-Za-z]+\s*\((?:[^A-Za-z]|(?<=\d)[eE])*\)"), F.lit(0))
+    return F.when(F.upper(F.ltrim(wkt)).startswith("GEOMETRYCOLLECTION"), inner).otherwise(F.array(wkt))
+
+
+def polygons(geom: Column) -> Column:
+    """Polygons of an area, each shell with the holes that follow it."""
+    n = F.size(geom["parts"])
+    shells = F.filter(F.sequence(F.lit(1), n), lambda i: F.get(geom["outer"], i - 1))
+    ends = F.concat(F.slice(shells, F.lit(2), F.size(shells)), F.array(n + 1))
+    cut = lambda i, j: F.struct(F.lit("POLYGON").alias("kind"), F.slice(geom["parts"], i, j - i).alias("parts"), F.slice(geom["outer"], i, j - i).alias("outer"))
+    return F.zip_with(shells, ends, cut)
+
+
+def of_kind(df: DataFrame, kind: str, geom: str = "geom") -> DataFrame:
+    """Rows whose geometry is of one kind, such as POLYGON; null geometries are of none."""
+    return df.where(F.col(f"{geom}.kind") == kind.upper())
+
+
 # --- boxes
 
 def bbox(geom: Column) -> Column:
@@ -144,6 +165,18 @@ def bbox_to_polygon(b: Column) -> Column:
     return box(b["min_lon"], b["min_lat"], b["max_lon"], b["max_lat"])
 
 
+def bbox_to_coord_list(b: Column) -> Column:
+    """Corners (lon, lat) of the box, from the south-west by way of the north-west, closed."""
+    corners = ((w, n) for w, n in (("min_lon", "min_lat"), ("min_lon", "max_lat"), ("max_lon", "max_lat"), ("max_lon", "min_lat"), ("min_lon", "min_lat")))
+    return F.array(*[F.struct(b[w].alias("lon"), b[n].alias("lat")) for w, n in corners])
+
+
+def bbox_of(df: DataFrame, geom: str = "geom") -> DataFrame:
+    """One row: the box around all geometries; nulls without any."""
+    b = bbox(F.col(geom))
+    return df.select(b.alias("_b")).agg(*[(F.min if n.startswith("min") else F.max)(f"_b.{n}").alias(n) for n in ("min_lon", "max_lon", "min_lat", "max_lat")])
+
+
 def rect(lon: Column, lat: Column, w: Column, h: Column) -> Column:
     """Rectangle around a coordinate; ``w`` spans latitude and ``h`` longitude."""
     return box(lon - h / 2, lat - w / 2, lon + h / 2, lat + w / 2)
@@ -241,6 +274,25 @@ def closest_point(geom: Column, lon: Column, lat: Column) -> Column:
     return F.array_min(F.flatten(F.transform(geom["parts"], one)))
 
 
+def closest_point_to(a: Column, b: Column) -> Column:
+    """(d2, lon, lat): the point of ``a`` that is nearest to the geometry ``b``, for two which do not cross."""
+    seen = F.transform(F.flatten(b["parts"]), lambda c: closest_point(a, c["lon"], c["lat"]))
+    own = F.transform(F.flatten(a["parts"]), lambda c: F.struct(closest_point(b, c["lon"], c["lat"])["d2"].alias("d2"), c["lon"].alias("lon"), c["lat"].alias("lat")))
+    return F.array_min(F.concat(F.transform(seen, lambda c: F.struct(c["d2"].alias("d2"), c["lon"].alias("lon"), c["lat"].alias("lat"))), own))
+
+
+def distances_to_geo(df: DataFrame, geom: Column, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """Adds ``dist_m`` from points to a geometry; a line is an error, as only points and areas are measured."""
+    known = F.when(geom["kind"].isin("POINT", "POLYGON", "MULTIPOLYGON"), geom).otherwise(F.raise_error(F.concat(F.lit("no distance to a "), geom["kind"])).cast(GEOMETRY))
+    at = F.get(F.get("_g.parts", F.lit(0)), F.lit(0))
+    return df.withColumn("_g", F.when(geom.isNotNull(), known)).withColumn("dist_m", F.when(F.col("_g.kind") == "POINT", distance_m(F.col(lon), F.col(lat), at["lon"], at["lat"])).otherwise(point_distance_m(F.col("_g"), F.col(lon), F.col(lat)))).drop("_g")
+
+
+def distances_to_point(df: DataFrame, lon: Column, lat: Column, geom: str = "geom") -> DataFrame:
+    """Adds ``dist_m`` from a point to geometries; a line is an error. Null geometries have no distance."""
+    return distances_to_geo(df.withColumns({"_lon": lon, "_lat": lat}), F.col(geom), "_lon", "_lat").drop("_lon", "_lat")
+
+
 def planar_distance_m(geom: Column, lon: Column, lat: Column, kx: Column, ky: Column) -> Column:
     """``point_distance_m`` with the point's scales given as columns (``scale_lon``, ``scale_lat``), which then are not worked out for every edge."""
     edge = lambda a, b: F.struct(((a["lon"] - lon) * kx).alias("x"), ((a["lat"] - lat) * ky).alias("y"), ((b["lon"] - lon) * kx).alias("x2"), ((b["lat"] - lat) * ky).alias("y2"))

@@ -53,7 +53,7 @@ def any_filter(df: DataFrame, filters: dict[str, str]) -> DataFrame:
 
 def height_columns(df: DataFrame) -> DataFrame:
     """``absolute_height`` where the layer has ``height`` and ``ground``; any other layer is returned as it is."""
-    return df.withColumn("absolute_height", F.col("ground") + F.col("height")) if {"height", "ground"} <= set(df.columns) else df
+    return df.withColumn("absolute_height", F.col("ground") + F.col("height")) if tb.has_column(df, "height") and tb.has_column(df, "ground") else df
 
 
 @dataclass(frozen=True)
@@ -232,6 +232,14 @@ def fill_defaults(inputs: DataFrame, frame: DataFrame, defaults: dict[str, float
     return inputs.select("geom_id").join(frame, "geom_id", "left").fillna(defaults)
 
 
+def assemble(inputs: DataFrame, frames: list[DataFrame]) -> DataFrame:
+    """Feature frames side by side, one row per input, null where a frame has none. Frames are grouped by geom_id already, so they only meet."""
+    out = inputs.select("geom_id")
+    for frame in frames:
+        out = out.join(frame, "geom_id", "left")
+    return out
+
+
 @dataclass
 class FeatureBuilder:
     """Features over named layers: ``transform`` gives one row per input (geom_id, with lon and lat or geom), columns in declared order."""
@@ -242,17 +250,17 @@ class FeatureBuilder:
     def transform(self, inputs: DataFrame) -> DataFrame:
         """Refuses inputs of which two are the same."""
         assert_distinct(inputs)
-        out, defaults = inputs.select("geom_id"), {}
+        frames, defaults = [], {}
         for name in dict.fromkeys(f.layer for f in self.features):
             own = [f for f in self.features if f.layer == name]
             if all(type(f) in (NumberOf, DistanceTo) and f.radius > 0 for f in own) and not {"geom"} & {*inputs.columns, *self.layers[name].columns}:
                 found = around_points(inputs, self.layers[name], own)
             else:
                 found = aggregate(pairs(inputs, self.layers[name], own), own)
-            out = out.join(found, "geom_id", "left")
+            frames.append(found)
         for f in self.features:
             defaults |= f.defaults()
-        return out.fillna(defaults).select("geom_id", *[n for f in self.features for n in f.names()])
+        return assemble(inputs, frames).fillna(defaults).select("geom_id", *[n for f in self.features for n in f.names()])
 
     def transform_stored(self, inputs: DataFrame, store: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
         """``transform`` of inputs with ``geom_wkt``, by way of a store; returns the frame and the store afterwards.

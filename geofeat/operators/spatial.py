@@ -274,3 +274,33 @@ def k_nearest(q: DataFrame, t: DataFrame, k: int, start_m: float = 250.0, max_ro
 def closest(pairs: DataFrame, by: str = "geom_id") -> DataFrame:
     """The closest object of each input; ties go to the smaller obj_id."""
     return pairs.groupBy(by).agg(F.min_by("obj_id", F.struct("dist_m", "obj_id")).alias("obj_id"), F.min("dist_m").alias("dist_m"))
+
+
+def closest_to(points: DataFrame, lon: float, lat: float) -> DataFrame:
+    """(obj_id, dist_m) of the point (obj_id, lon, lat) closest to one place; ties go to the smaller obj_id, nothing where there are no points."""
+    d = geo.distance_m(F.lit(float(lon)), F.lit(float(lat)), F.col("lon"), F.col("lat"))
+    best = points.where("lon IS NOT NULL AND lat IS NOT NULL").agg(F.min(F.struct(d.alias("dist_m"), F.col("obj_id"))).alias("_x"))
+    return best.where("_x IS NOT NULL").select("_x.obj_id", "_x.dist_m")
+
+
+def objects_in_radius(inputs: DataFrame, layer: DataFrame, radius: float, excluded: DataFrame | None = None) -> DataFrame:
+    """(geom_id, wkt): the distinct objects (obj_id, wkt, geom) within a radius of inputs of any kind (geom_id, geom).
+
+    Objects that touch one of the ``excluded`` areas (source_idx, geom) are left out.
+    """
+    if excluded is not None:
+        layer = layer.join(objects_from_polygons(excluded, layer).select("wkt"), "wkt", "left_anti")
+    near = dwithin_shapes(inputs, layer, radius).select("geom_id", "obj_id")
+    return near.join(layer.select("obj_id", "wkt"), "obj_id").select("geom_id", "wkt").distinct()
+
+
+def nearest_pairs(inputs: DataFrame, objects: DataFrame, radius: float) -> DataFrame:
+    """The one nearest object (obj_id, geom) of each input (geom_id, geom) of any kind within the radius, as the ends of a route to it.
+
+    Returns geom_id, obj_id, dist_m, source (the input's centroid) and destination (the input's point nearest to the
+    object), both (lon, lat). Ties go to the smaller obj_id; inputs with no object are left out.
+    """
+    best = closest(dwithin_shapes(inputs, objects, radius))
+    both = best.join(inputs.select("geom_id", F.col("geom").alias("_q")), "geom_id").join(objects.select("obj_id", F.col("geom").alias("_t")), "obj_id")
+    end = geo.closest_point_to(F.col("_q"), F.col("_t"))
+    return both.select("geom_id", "obj_id", "dist_m", geo.centroid(F.col("_q")).alias("source"), F.struct(end["lon"].alias("lon"), end["lat"].alias("lat")).alias("destination"))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geofeat.functions import geo
+from geofeat.functions.hashed import digest, unit
 from geofeat.sources.shared import written
 
 # --- scans, sinks, versions
@@ -57,6 +58,15 @@ def stage_inputs(df: DataFrame, order_by: list[str]) -> DataFrame:
     return dealt.withColumn("_own", own).join(F.broadcast(offsets), "_part").withColumn("geom_id", (F.col("_before") + F.col("_own")).cast("long")).drop("_part", "_own", "_before")
 
 
+def running_total(df: DataFrame, order: str, value: str) -> DataFrame:
+    """Adds ``_total``, the sum of a column of whole numbers up to each row in the order of another, which has no ties; by ranges, as ``stage_inputs``."""
+    dealt = written(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_part").agg(F.sum(value).alias("_n_part"))
+    offsets = sizes.select("_part", (F.sum("_n_part").over(W.orderBy("_part")) - F.col("_n_part")).alias("_before"))
+    own = F.sum(value).over(W.partitionBy("_part").orderBy(order))
+    return dealt.withColumn("_own", own).join(F.broadcast(offsets), "_part").withColumn("_total", F.col("_before") + F.col("_own")).drop("_part", "_own", "_before")
+
+
 def replicate_table(src: DataFrame, geom_col: str, drop: list[str], limit: int | None = None) -> DataFrame:
     df = src.drop(*drop).withColumnRenamed(geom_col, "way")
     return df.limit(limit) if limit else df
@@ -120,10 +130,19 @@ def unpivot_features(wide: DataFrame, names: list[str], keys: list[str]) -> Data
     return wide.unpivot(keys, names, "feature_name", "feature_value")
 
 
+def has_column(df: DataFrame, name: str) -> bool:
+    return name in df.columns
+
+
+def select_features(store: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Stored rows of the named features, or of all for None; of none for an empty list."""
+    return store if names is None else store.where(F.col("feature_name").isin(names))
+
+
 def load_features(inputs: DataFrame, store: DataFrame, names: list[str]) -> DataFrame:
     """Stored features of the inputs (geom_id, geom_wkt), null where missing."""
     hashed = inputs.withColumn("geom_wkt_hash", geo.geom_hash(F.col("geom_wkt")))
-    wanted = store.where(F.col("feature_name").isin(names)).join(hashed.select("geom_wkt_hash").distinct(), "geom_wkt_hash", "left_semi")
+    wanted = select_features(store, names).join(hashed.select("geom_wkt_hash").distinct(), "geom_wkt_hash", "left_semi")
     wide = wanted.groupBy("geom_wkt_hash").pivot("feature_name", names).agg(F.first("feature_value"))
     return hashed.join(wide, "geom_wkt_hash", "left").select("geom_id", *names)
 
@@ -146,6 +165,27 @@ def missing_features(inputs: DataFrame, store: DataFrame, names: list[str]) -> D
     return asked.join(full, "feature_name", "left_anti")
 
 
+#: What a stored score is known by; the hash is that of the rows which the model was trained on.
+SCORE_KEYS = ["geom_wkt_hash", "experiment", "model", "train_hash"]
+
+
+def save_scores(store: DataFrame, probas: DataFrame, models: list[str], experiment: str, train_hash: str, now: Column) -> DataFrame:
+    """The store (``SCORE_KEYS``, geom_wkt, score, modification_date) after probabilities (geom_wkt, one column a model) were put in.
+
+    A score of the same geometry, experiment, model and training rows is replaced.
+    """
+    keyed = probas.select(geo.geom_hash(F.col("geom_wkt")).alias("geom_wkt_hash"), "geom_wkt", *models)
+    rows = keyed.unpivot(["geom_wkt_hash", "geom_wkt"], models, "model", "score")
+    rows = rows.withColumns({"experiment": F.lit(experiment), "train_hash": F.lit(train_hash), "modification_date": now})
+    return upsert(store, rows, SCORE_KEYS, ["geom_wkt", "score", "modification_date"])
+
+
+def score_join(met: DataFrame, store: DataFrame, experiment: str, model: str, train_hash: str) -> DataFrame:
+    """Pairs (wkt, ...) with the stored ``scores`` of their objects by one experiment, model and set of training rows; pairs without are left out."""
+    known = store.where((F.col("experiment") == experiment) & (F.col("model") == model) & (F.col("train_hash") == train_hash))
+    return met.join(known.select(F.col("geom_wkt").alias("wkt"), F.col("score").alias("scores")), "wkt")
+
+
 #: Lines, or digests, under one digest of ``hash_geoms``.
 HASHED = 1_024
 
@@ -202,9 +242,19 @@ def latest_version(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
     return newest.select(*[F.col(f"_x.{c}") if c in rest else F.col(c) for c in df.columns])
 
 
+def expand_folds(objects: DataFrame, folds: DataFrame, key: str = "source_idx") -> DataFrame:
+    """Objects with the ``fold`` of the area (key, fold) that they come from; objects of no fold are left out."""
+    return objects.join(folds.select(key, "fold"), key)
+
+
+def union_samples(positive: DataFrame, negative: DataFrame, label: str = "label") -> DataFrame:
+    """Positives with label 1 above negatives with label 0; columns are matched by name, an old label is replaced."""
+    return positive.withColumn(label, F.lit(1.0)).unionByName(negative.withColumn(label, F.lit(0.0)))
+
+
 def random_rank(key: str, seed: int) -> list[Column]:
     """A repeatable random order that does not depend on partitions."""
-    return [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)]
+    return [digest(seed, key), F.col(key)]
 
 
 def negative_sampling(df: DataFrame, ratio: float, seed: int, key: str, label: str = "label") -> DataFrame:
@@ -227,22 +277,11 @@ def soft_label(dist_m: Column, radius: float) -> Column:
 
 
 def sample_in_range(spark: SparkSession, box: tuple[float, float, float, float], n: int, seed: int) -> DataFrame:
-    """n uniform points of min_lon, max_lon, min_lat, max_lat."""
+    """n uniform points (id from 0, lon, lat) of min_lon, max_lon, min_lat, max_lat."""
     a, b, c, d = box
     if not (a < b and c < d):
         raise ValueError("empty range")
-    unit = lambda s: F.pmod(F.xxhash64("id", F.lit(seed + s)), F.lit(1 << 52)) / float(1 << 52)
-    return spark.range(n).select(F.col("id"), (a + (b - a) * unit(0)).alias("lon"), (c + (d - c) * unit(1)).alias("lat"))
-
-
-def sample_in_polygons(polys: DataFrame, n: int, seed: int, key: str, tries: int = 50) -> DataFrame:
-    """n uniform points in each polygon (key, geom) by rejection, of ``tries * n`` at most."""
-    box = geo.bbox(F.col("geom"))
-    unit = lambda s: F.pmod(F.xxhash64(F.col(key), F.col("try"), F.lit(seed + s)), F.lit(1 << 52)) / float(1 << 52)
-    drawn = polys.withColumn("_b", box).withColumn("try", F.explode(F.sequence(F.lit(1), F.lit(tries * n))))
-    points = drawn.withColumn("lon", F.col("_b.min_lon") + (F.col("_b.max_lon") - F.col("_b.min_lon")) * unit(0)).withColumn("lat", F.col("_b.min_lat") + (F.col("_b.max_lat") - F.col("_b.min_lat")) * unit(1))
-    inside = points.where(geo.st_covers_point(F.col("geom"), F.col("lon"), F.col("lat")))
-    return inside.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy("try"))).where(F.col("_r") <= n).select(key, "lon", "lat")
+    return spark.range(n).select("id", (a + (b - a) * unit(seed, "id")).alias("lon"), (c + (d - c) * unit(seed + 1, "id")).alias("lat"))
 
 
 def grid_in_range(df: DataFrame, step: float) -> DataFrame:

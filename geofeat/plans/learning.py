@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from geofeat.functions import geo
+from geofeat.functions.hashed import digest_sql, unit_sql
 from geofeat.operators import clusters as cl
 from geofeat.operators import features as ft
 from geofeat.operators import models as ml
 from geofeat.operators import routing as rt
 from geofeat.operators import samples as sa
 from geofeat.operators import spatial as sp
+from geofeat.operators import summaries as su
 from geofeat.operators import tables as tb
-from geofeat.plans.registry import BOX_AREA, D, areas, buildings, pixels, query, r, store
+from geofeat.plans.registry import BOX_AREA, D, INTERSECTS, areas, buildings, pixels, query, r, store, wide
 from geofeat.sources.fixtures import lat, lon
 
 VERTICES = f", v AS (SELECT s_suppkey AS node, {lon('s_suppkey+3000')} AS lon, {lat('s_suppkey+3000')} AS lat FROM supplier)"
@@ -59,55 +61,73 @@ def _(t):
 
 # --- labels and samples
 
-@query("l1_objects_with_labels", "SELECT label, count(*) AS n FROM (SELECT b.wkt, arg_min(y, source_idx) AS label FROM buildings b, areas a WHERE b.min_lon <= a.max_lon AND a.min_lon <= b.max_lon AND b.min_lat <= a.max_lat AND a.min_lat <= b.max_lat GROUP BY b.wkt) x GROUP BY label", ("buildings", "areas"))
+L1 = f""", f AS (SELECT b.wkt, min(source_idx) AS source_idx, arg_min(y, source_idx) AS label FROM buildings b, areas a WHERE {INTERSECTS} GROUP BY b.wkt),
+n AS (SELECT count(*) AS n FROM f WHERE label > 0), p AS (SELECT *, row_number() OVER (ORDER BY {digest_sql(3, 'wkt')}, wkt) AS r FROM f WHERE label > 0), m AS (SELECT *, row_number() OVER (ORDER BY {digest_sql(4, 'wkt')}, wkt) AS r FROM f WHERE label <= 0)
+SELECT wkt, source_idx, label FROM p, n WHERE r <= ceil(0.6e0 * n) UNION ALL SELECT wkt, source_idx, CASE WHEN r <= round_even(0.25e0 * n, 0) THEN 1e0 ELSE label END FROM m, n"""
+
+
+@query("l1_objects_with_labels", L1, ("buildings", "areas"))
 def _(t):
-    found = sp.objects_from_polygons(areas(t), buildings(t)).join(t("areas").select("source_idx", F.col("y").alias("label")), "source_idx")
-    return found.groupBy("label").agg(F.count("*").alias("n"))
+    return sa.objects_with_labels(areas(t), buildings(t), 0.6, 0.25, seed=3)
 
 
-@query("sa1_sample_in_range", "SELECT count(*) AS n, true AS inside FROM customer")
+@query("l2_negatives_by_fold", f""", r AS (SELECT doc_id, doc_id % 3 AS fold, toxic AS label FROM labels), n AS (SELECT fold, floor(1.5e0 * count(*)) AS n FROM r WHERE label > 0 GROUP BY fold), m AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY {digest_sql(7, 'doc_id')}, doc_id) AS k FROM r WHERE label <= 0)
+SELECT doc_id, fold, label FROM r WHERE label > 0 UNION ALL SELECT doc_id, m.fold, label FROM m JOIN n ON m.fold = n.fold WHERE k <= n""".replace(", r AS", "WITH r AS", 1))
 def _(t):
-    box = t("o_points").agg(F.min("lon").alias("a"), F.max("lon").alias("b"), F.min("lat").alias("c"), F.max("lat").alias("d")).first()
-    out = tb.sample_in_range(t("customer").sparkSession, tuple(box), t("customer").count(), 3)
-    return out.agg(F.count("*").alias("n"), F.min(F.col("lon").between(box.a, box.b) & F.col("lat").between(box.c, box.d)).alias("inside"))
+    rows = t("labels").select("doc_id", (F.col("doc_id") % 3).alias("fold"), F.col("toxic").alias("label"))
+    return sa.negative_sampling_by_fold(rows, 1.5, 7, "doc_id")
 
 
-@query("sa5_sample_from_geoms", "SELECT kind, count(*) AS n FROM (SELECT 'POINT' AS kind FROM q_points UNION ALL SELECT 'POLYGON' FROM areas, (SELECT unnest(range(5))) g) x GROUP BY kind", ("q_points", "areas"))
+@query("sa1_sample_in_range", f"SELECT id, round(34.48e0 + (34.59e0 - 34.48e0) * {unit_sql(3, 'id')}, 7) AS lon, round(31.49e0 + (31.59e0 - 31.49e0) * {unit_sql(4, 'id')}, 7) AS lat FROM (SELECT unnest(range((SELECT count(*) FROM customer))) AS id) g")
 def _(t):
-    points = t("q_points").select(F.lit("POINT").alias("kind"), "lon", "lat")
-    drawn = tb.sample_in_polygons(areas(t).drop("y"), 5, 4, "source_idx").select(F.lit("POLYGON").alias("kind"), "lon", "lat")
-    return points.unionByName(drawn).groupBy("kind").agg(F.count("*").alias("n"))
+    customers = t("customer")
+    return tb.sample_in_range(customers.sparkSession, (34.48, 34.59, 31.49, 31.59), customers.count(), 3).select("id", r(F.col("lon"), 7).alias("lon"), r(F.col("lat"), 7).alias("lat"))
+
+
+SA5_KEY = "source_idx || ':0:0'"
 
 
-@query("sa6_polys_to_dataset", ", g AS (SELECT count(*) AS n FROM (SELECT source_idx, unnest(range(CAST(ceil((max_lon - min_lon) / 1e-3) AS BIGINT))) AS ix, min_lat, max_lat FROM areas) x, LATERAL (SELECT unnest(range(CAST(ceil((max_lat - min_lat) / 1e-3) AS BIGINT))) AS iy) z) SELECT 1 AS label, n FROM g UNION ALL SELECT 0, n FROM g", ("areas",))
+@query("sa5_sample_from_geoms", f"SELECT geom_id AS source_idx, round(lon, 6) AS lon, round(lat, 6) AS lat, 2e0 AS y FROM q_points UNION ALL SELECT source_idx, round(min_lon + (max_lon - min_lon) * {unit_sql(5, SA5_KEY, 'i')}, 6), round(min_lat + (max_lat - min_lat) * {unit_sql(6, SA5_KEY, 'i')}, 6), y FROM areas, (SELECT unnest(range(1, 6)) AS i) g", ("q_points", "areas"))
 def _(t):
-    positive = tb.grid_in_range(t("areas"), 1e-3).select("lon", "lat").withColumn("id", F.monotonically_increasing_id())
-    n = positive.count()
-    outside = sa.random_outside(positive.sparkSession, (34.482724, 34.583301, 31.492354, 31.585196), areas(t), n, 9)
-    both = positive.select("lon", "lat", F.lit(1).alias("label")).unionByName(outside.select("lon", "lat", F.lit(0).alias("label")))
-    return both.groupBy("label").agg(F.count("*").alias("n"))
+    points = t("q_points").select(F.col("geom_id").alias("source_idx"), F.concat(F.lit("POINT ("), "lon", F.lit(" "), "lat", F.lit(")")).alias("wkt"), F.lit(2.0).alias("y"))
+    shapes = areas(t).select("source_idx", geo.to_wkt(F.col("geom")).alias("wkt"), "y")
+    drawn = sa.sample_from_geoms(points.unionByName(shapes), 5, 4)
+    return drawn.select("source_idx", r(F.col("lon"), 6).alias("lon"), r(F.col("lat"), 6).alias("lat"), "y")
+
+
+SA6 = f""", g AS (SELECT min_lon + ix * 1e-3 AS lon, min_lat + iy * 1e-3 AS lat FROM (SELECT *, unnest(range(CAST(ceil((max_lon - min_lon) / 1e-3) AS BIGINT))) AS ix FROM areas) x, LATERAL (SELECT unnest(range(CAST(ceil((max_lat - min_lat) / 1e-3) AS BIGINT))) AS iy) z),
+d AS (SELECT id, 34.482724e0 + (34.583301e0 - 34.482724e0) * {unit_sql(9, 'id')} AS lon, 31.492354e0 + (31.585196e0 - 31.492354e0) * {unit_sql(10, 'id')} AS lat FROM (SELECT unnest(range(16 * (SELECT count(*) FROM g))) AS id) h),
+o AS (SELECT lon, lat FROM d WHERE NOT EXISTS (SELECT 1 FROM areas a WHERE lon BETWEEN a.min_lon AND a.max_lon AND lat BETWEEN a.min_lat AND a.max_lat) ORDER BY id LIMIT (SELECT count(*) FROM g))
+SELECT 1 AS label, round(lon, 8) AS lon, round(lat, 8) AS lat FROM g UNION ALL SELECT 0, round(lon, 8), round(lat, 8) FROM o"""
+
+
+@query("sa6_polys_to_dataset", SA6, ("areas",))
+def _(t):
+    out = sa.polys_to_dataset(areas(t).drop("y"), (34.482724, 34.583301, 31.492354, 31.585196), 1e-3 / geo.DEGREES_PER_METRE, seed=9)
+    return out.select("label", r(F.col("lon"), 8).alias("lon"), r(F.col("lat"), 8).alias("lat"))
 
 
 @query("a6_coverage_ratio", ", b AS (SELECT 34.482724e0 + ix * 2e-3 AS lon, 31.492354e0 + iy * 2e-3 AS lat FROM (SELECT unnest(range(51)) AS ix) i, (SELECT unnest(range(47)) AS iy) j) SELECT round(avg(CASE WHEN EXISTS (SELECT 1 FROM areas a WHERE lon BETWEEN a.min_lon AND a.max_lon AND lat BETWEEN a.min_lat AND a.max_lat) THEN 1e0 ELSE 0e0 END), 6) AS ratio FROM b", ("areas",))
 def _(t):
     whole = t("areas").agg(F.lit(34.482724).alias("min_lon"), F.lit(34.583301).alias("max_lon"), F.lit(31.492354).alias("min_lat"), F.lit(31.585196).alias("max_lat"))
-    grid = tb.grid_in_range(whole, 2e-3).withColumn("id", F.col("ix") * 1000 + F.col("iy")).select("id", "lon", "lat")
-    return sp.label_within(grid, areas(t), "id").agg(r(F.avg(F.col("inside").cast("double")), 6).alias("ratio"))
+    return su.coverage_ratio(whole, areas(t), 2e-3).select(r(F.col("ratio"), 6).alias("ratio"))
 
 
 @query("a10_dense_mask", ", c AS (SELECT l_suppkey AS k, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY 1), p AS (SELECT quantile_cont(n, 0.25e0) AS a, quantile_cont(q, 0.75e0) AS b FROM c) SELECT k, CASE WHEN n >= 5 AND n >= a THEN 1 ELSE 0 END AS n_dense, CASE WHEN q >= 5 AND q >= b THEN 1 ELSE 0 END AS q_dense FROM c, p".replace(", c AS", "WITH c AS", 1))
 def _(t):
     counts = t("lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
-    cut = counts.agg(F.percentile("n", F.lit(0.25)).alias("a"), F.percentile("q", F.lit(0.75)).alias("b"))
-    mask = lambda c, p: F.when((F.col(c) >= 5) & (F.col(c) >= F.col(p)), 1).otherwise(0)
-    return counts.crossJoin(F.broadcast(cut)).select("k", mask("n", "a").alias("n_dense"), mask("q", "b").alias("q_dense"))
+    return su.dense_mask(counts, {"n": (5, 0.25), "q": (5, 0.75)}, ["k"]).select("k", F.col("n").alias("n_dense"), F.col("q").alias("q_dense"))
 
 
 @query("j12_g5_closest_to_point", f", p AS (SELECT t.obj_id, {geo.distance_sql('34.53e0', '31.54e0', 't.lon', 't.lat')} AS d FROM o_points t) SELECT obj_id, round(d, 3) AS dist_m FROM p ORDER BY d, obj_id LIMIT 1", ("o_points",))
 def _(t):
-    d = geo.distance_m(F.lit(34.53), F.lit(31.54), F.col("lon"), F.col("lat"))
-    best = t("o_points").select("obj_id", d.alias("d")).agg(F.min(F.struct("d", "obj_id")).alias("x"))
-    return best.select("x.obj_id", r(F.col("x.d")).alias("dist_m"))
+    return sp.closest_to(t("o_points"), 34.53, 31.54).select("obj_id", r(F.col("dist_m")).alias("dist_m"))
+
+
+@query("g5_distances", f"SELECT obj_id, round({geo.box_distance_sql('34.53e0', '31.54e0', 't.min_lon', 't.min_lat', 't.max_lon', 't.max_lat')}, 3) AS dist_m FROM buildings t UNION ALL SELECT -t.geom_id - 1, round({geo.distance_sql('34.53e0', '31.54e0', 't.lon', 't.lat')}, 3) FROM q_points t", ("buildings", "q_points"))
+def _(t):
+    shapes = buildings(t).select("obj_id", "geom").unionByName(t("q_points").select((-F.col("geom_id") - 1).alias("obj_id"), geo.point(F.col("lon"), F.col("lat")).alias("geom")))
+    return geo.distances_to_point(shapes, F.lit(34.53), F.lit(31.54)).select("obj_id", r(F.col("dist_m")).alias("dist_m"))
 
 
 @query("c2_load_in_polygon", ", f AS (SELECT md5(wkt) AS geom_wkt_hash, min(obj_id) AS o, arg_min(height, obj_id) AS h, min(min_lon) AS x0, max(max_lon) AS x1, min(min_lat) AS y0, max(max_lat) AS y1 FROM buildings GROUP BY wkt) SELECT geom_wkt_hash, h AS height FROM f WHERE x0 >= 34.5e0 AND x1 <= 34.56e0 AND y0 >= 31.5e0 AND y1 <= 31.57e0", ("buildings",))
@@ -117,24 +137,25 @@ def _(t):
     return tb.pivot_features(inside, ["height"]).select("geom_wkt_hash", "height")
 
 
-@query("c5_save_scores", "SELECT md5(wkt) AS geom_wkt_hash, experiment, max(scores) AS scores FROM buildings b JOIN scores s ON b.obj_id = s.obj_id GROUP BY wkt, experiment", ("buildings", "scores"))
+@query("c5_save_scores", ", n AS (SELECT md5(wkt) AS geom_wkt_hash, 'exp0' AS experiment, 'm1' AS model, 'h1' AS train_hash, max(scores) / 2 AS score FROM buildings b JOIN scores s ON b.obj_id = s.obj_id GROUP BY wkt), o AS (SELECT md5(wkt) AS geom_wkt_hash, experiment, 'm1' AS model, 'h' || min(b.obj_id % 2) AS train_hash, max(scores) AS score FROM buildings b JOIN scores s ON b.obj_id = s.obj_id GROUP BY wkt, experiment) SELECT * FROM n UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.geom_wkt_hash = o.geom_wkt_hash AND n.experiment = o.experiment AND n.train_hash = o.train_hash)", ("buildings", "scores"))
 def _(t):
-    rows = t("buildings").join(t("scores"), "obj_id").groupBy(geo.geom_hash(F.col("wkt")).alias("geom_wkt_hash"), "experiment").agg(F.max("scores").alias("scores"))
-    old = rows.where("experiment = 'exp0'").withColumn("scores", F.lit(-1.0))
-    return tb.upsert(old, rows, ["geom_wkt_hash", "experiment"], ["scores"])
+    met = t("buildings").join(t("scores"), "obj_id").withColumnRenamed("wkt", "geom_wkt")
+    old = met.groupBy(geo.geom_hash(F.col("geom_wkt")).alias("geom_wkt_hash"), "geom_wkt", "experiment").agg(F.concat(F.lit("h"), F.min(F.col("obj_id") % 2)).alias("train_hash"), F.max("scores").alias("score"))
+    old = old.withColumns({"model": F.lit("m1"), "modification_date": F.lit("2020-01-01 00:00:00").cast("timestamp")})
+    new = met.groupBy("geom_wkt").agg((F.max("scores") / 2).alias("m1"))
+    return tb.save_scores(old, new, ["m1"], "exp0", "h1", F.lit("2021-01-01 00:00:00").cast("timestamp")).select(*tb.SCORE_KEYS, "score")
 
 
-@query("p5_p11_feature_filter", "SELECT p_partkey, p_size, p_retailprice FROM part")
+@query("p5_p11_feature_filter", "SELECT p_partkey, CAST(p_size AS DOUBLE) AS number_of_shop_100m, p_retailprice AS distance_to_shop_100m FROM part")
 def _(t):
-    wanted = ["p_size", "missing", "p_retailprice"]
-    frame = t("part")
-    return frame.select("p_partkey", *[c for c in frame.columns if c in wanted])
+    frame = t("part").select("p_partkey", F.col("p_size").cast("double").alias("number_of_shop_100m"), F.lit(1).alias("number_of_park_100m"), F.col("p_retailprice").alias("distance_to_shop_100m"))
+    return ft.feature_filter(frame, ft.bundle([(ft.SHOP, "points", "shop", [100, 250], ft.SUITED["point"], 1), (ft.PARK, "points", "park", [100], ft.SUITED["point"], 11)]), ["p_partkey"])
 
 
 @query("p10_of_kind", "SELECT obj_id FROM buildings UNION ALL SELECT geom_id FROM q_points WHERE false", ("buildings", "q_points"))
 def _(t):
     both = buildings(t).select("obj_id", "geom").unionByName(t("q_points").select(F.col("geom_id").alias("obj_id"), geo.point(F.col("lon"), F.col("lat")).alias("geom")))
-    return both.where("geom.kind = 'POLYGON'").select("obj_id")
+    return geo.of_kind(both, "Polygon").select("obj_id")
 
 
 @query("t4_importance_order", ", w AS (SELECT c_mktsegment AS feature, avg(c_acctbal) - 4500 AS weight FROM customer GROUP BY 1) SELECT feature, CAST(row_number() OVER (ORDER BY abs(weight) DESC, feature) AS BIGINT) AS rank FROM w".replace(", w AS", "WITH w AS", 1))
@@ -149,22 +170,33 @@ def _(t):
     return tb.distance_correlation(rows, "vec_id", "a", "b").select(r(F.col("correlation"), 4).alias("correlation"))
 
 
-@query("b2_feature_image", ", f AS (SELECT obj_id, min_lon AS lon, min_lat AS lat, height AS v, 'height' AS channel FROM buildings UNION ALL SELECT obj_id, min_lon, min_lat, ground, 'ground' FROM buildings), m AS (SELECT channel, min(lon) AS x, min(lat) AS y, min(v) AS a, max(v) AS b FROM f GROUP BY channel), c AS (SELECT f.channel, CAST(round_even((lon - x) / (500 * (1e-5 / 1.11e0)), 0) AS INTEGER) AS ix, CAST(round_even((lat - y) / (500 * (1e-5 / 1.11e0)), 0) AS INTEGER) AS iy, obj_id, (v - a) / (b - a) AS v FROM f JOIN m ON f.channel = m.channel) SELECT channel, ix, iy, round(arg_max(v, obj_id), 6) AS value FROM c GROUP BY channel, ix, iy", ("buildings",))
+B2 = """, f AS (SELECT wkt, min(obj_id) AS o, arg_min(height, obj_id) AS height, arg_min(ground, obj_id) AS ground, min(min_lon) AS x0, max(max_lon) AS x1, min(min_lat) AS y0, max(max_lat) AS y1 FROM buildings GROUP BY wkt),
+s AS (SELECT wkt, o, (x0 + x1) / 2 AS lon, (y0 + y1) / 2 AS lat, height AS v, 'height' AS channel FROM f WHERE x0 >= 34.5e0 AND x1 <= 34.56e0 AND y0 >= 31.5e0 AND y1 <= 31.57e0 UNION ALL SELECT wkt, o, (x0 + x1) / 2, (y0 + y1) / 2, ground, 'ground' FROM f WHERE o % 2 = 0 AND x0 >= 34.5e0 AND x1 <= 34.56e0 AND y0 >= 31.5e0 AND y1 <= 31.57e0),
+m AS (SELECT channel, min(v) AS a, max(v) AS b FROM s GROUP BY channel), g AS (SELECT min(lon) AS x, min(lat) AS y, max(lon) AS x1, max(lat) AS y1 FROM s),
+c AS (SELECT s.channel, CAST(round_even((lon - x) / (500 * (1e-5 / 1.11e0)), 0) AS INTEGER) AS ix, CAST(round_even((lat - y) / (500 * (1e-5 / 1.11e0)), 0) AS INTEGER) AS iy, o, coalesce((v - a) / nullif(b - a, 0), 0e0) AS v FROM s JOIN m ON s.channel = m.channel, g),
+k AS (SELECT ix, iy, arg_max(v, o) FILTER (channel = 'height') AS height, arg_max(v, o) FILTER (channel = 'ground') AS ground FROM c GROUP BY ix, iy),
+w AS (SELECT CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy FROM (SELECT *, unnest(range(CAST(round_even((x1 - x) / (500 * (1e-5 / 1.11e0)), 0) AS BIGINT) + 1)) AS ix FROM g) h, LATERAL (SELECT unnest(range(CAST(round_even((y1 - y) / (500 * (1e-5 / 1.11e0)), 0) AS BIGINT) + 1)) AS iy) z)
+SELECT w.ix, w.iy, round(coalesce(height, 0e0), 6) AS height, round(coalesce(ground, 0e0), 6) AS ground, CASE WHEN k.ix IS NULL THEN 0 ELSE 1 END AS mask FROM w LEFT JOIN k ON w.ix = k.ix AND w.iy = k.iy"""
+
+
+@query("b2_feature_image", B2, ("buildings",))
 def _(t):
-    b = t("buildings").select("obj_id", F.col("min_lon").alias("lon"), F.col("min_lat").alias("lat"), "height", "ground")
-    images = [tb.rasterize(b.withColumnRenamed(c, "value"), "value", 500.0, "obj_id").withColumn("channel", F.lit(c)) for c in ("height", "ground")]
-    return images[0].unionByName(images[1]).select("channel", "ix", "iy", r(F.col("value"), 6).alias("value"))
+    rows = store(t).join(wide(t).select("geom_wkt", "obj_id"), "geom_wkt")
+    area = geo.box(F.lit(34.5), F.lit(31.5), F.lit(34.56), F.lit(31.57))
+    image = su.feature_image(rows, ["height", "ground"], 500.0, "obj_id", area)
+    return image.select("ix", "iy", r(F.col("height"), 6).alias("height"), r(F.col("ground"), 6).alias("ground"), "mask")
 
 
 @query("b4_pixels_to_points", "SELECT vec_id, CAST(i // 8 AS INTEGER) AS row, CAST(i % 8 AS INTEGER) AS col, round(34.5e0 + (i % 8) * 0.01e0 / 7, 8) AS lon, round(31.5e0 + (i // 8) * 0.02e0 / 7, 8) AS lat FROM embeddings, (SELECT unnest(range(64)) AS i) g")
 def _(t):
-    return pixels(t).select("vec_id", "row", "col", r(34.5 + F.col("col") * F.lit(0.01) / 7, 8).alias("lon"), r(31.5 + F.col("row") * F.lit(0.02) / 7, 8).alias("lat"))
+    placed = su.pixels_to_points(pixels(t), (34.5, 34.51, 31.5, 31.52), 8, 8)
+    return placed.select("vec_id", "row", "col", r(F.col("lon"), 8).alias("lon"), r(F.col("lat"), 8).alias("lat"))
 
 
-@query("b5_label_by_band", "SELECT vec_id, CAST(i // 8 AS INTEGER) AS row, CAST(embedding[i + 1] AS DOUBLE) AS first, CAST(embedding[i + 8] AS DOUBLE) AS last FROM embeddings, (SELECT unnest(range(0, 64, 8)) AS i) g")
+@query("b5_label_by_band", "SELECT vec_id, CAST(i // 8 AS INTEGER) AS row, " + ", ".join(f"CAST(embedding[i + {k + 1}] AS DOUBLE) AS b{k}" for k in range(8)) + " FROM embeddings, (SELECT unnest(range(0, 64, 8)) AS i) g")
 def _(t):
-    stacked = pixels(t).groupBy("vec_id", "row").agg(F.sort_array(F.collect_list(F.struct("col", "value"))).alias("bands"))
-    return stacked.select("vec_id", "row", F.col("bands")[0]["value"].alias("first"), F.col("bands")[7]["value"].alias("last"))
+    stacked = su.label_by_band(pixels(t), ["vec_id", "row"], "col", "value")
+    return stacked.select("vec_id", "row", *[F.col("bands")[k].alias(f"b{k}") for k in range(8)])
 
 
 # --- models
@@ -206,11 +238,12 @@ def _(t):
     return ml.gaussian_score(rows, rows, ["height", "ground"]).select("obj_id", r(F.col("distance"), 5).alias("distance"))
 
 
-@query("k7_embeddings", "SELECT c_custkey, 128 AS dim, true AS bounded, 0e0 AS zero FROM customer")
+@query("k7_embeddings", f"SELECT c_custkey, round(sum(CAST({unit_sql(0, 'c_custkey', 'i')} AS FLOAT)::DOUBLE), 5) AS total, round(max(CASE WHEN i = 128 THEN CAST({unit_sql(0, 'c_custkey', 'i')} AS FLOAT)::DOUBLE END), 6) AS last, 0e0 AS zero FROM customer, (SELECT unnest(range(1, 129)) AS i) g GROUP BY c_custkey")
 def _(t):
     rows = t("customer").select("c_custkey")
     both = ml.random_embedding(rows, "c_custkey").join(ml.zero_embedding(rows, "c_custkey").withColumnRenamed("embedding", "z"), "c_custkey")
-    return both.select("c_custkey", F.size("embedding").alias("dim"), F.forall("embedding", lambda x: (x >= 0) & (x < 1)).alias("bounded"), F.col("z")[0].cast("double").alias("zero"))
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)
+    return both.select("c_custkey", r(total, 5).alias("total"), r(F.element_at("embedding", -1).cast("double"), 6).alias("last"), F.col("z")[0].cast("double").alias("zero"))
 
 
 # --- clusters

@@ -7,8 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geofeat.functions import geo
+from geofeat.functions.hashed import digest_sql, unit_sql
+from geofeat.operators import draws
 from geofeat.operators import features as ft
+from geofeat.operators import models as ml
 from geofeat.operators import spatial as sp
+from geofeat.operators import summaries as su
 from geofeat.operators import tables as tb
 from geofeat.sources.fixtures import raw, table, with_tables
 
@@ -154,8 +158,9 @@ def _(t):
 @query("f8_j11_building_scores", f""", p AS (SELECT q.geom_id, s.scores FROM q_points q, buildings t, scores s WHERE t.obj_id = s.obj_id AND experiment = 'exp1' AND model = 'm1' AND building IS NOT NULL AND {BOX_D} <= 250)
 SELECT q.geom_id, {', '.join(f"round(coalesce({s if s != 'stddev' else 'stddev_samp'}(scores), 0e0), 4) AS building_scores_{s}_250m" for s in ft.STATISTICS)} FROM q_points q LEFT JOIN p ON q.geom_id = p.geom_id GROUP BY q.geom_id""", ("q_points", "buildings", "scores"))
 def _(t):
-    scores = t("scores").where("experiment = 'exp1' AND model = 'm1'").select("obj_id", "scores")
-    out = ft.FeatureBuilder([ft.BuildingScores(ft.BUILDING, "polygons", "building", 250.0)], {"polygons": buildings(t).join(scores, "obj_id")}).transform(t("q_points"))
+    known = t("buildings").join(t("scores"), "obj_id").groupBy(F.col("wkt").alias("geom_wkt"), "experiment", "model").agg(F.first("scores").alias("score")).withColumn("train_hash", F.lit("h1"))
+    scored = tb.score_join(buildings(t), known, "exp1", "m1", "h1")
+    out = ft.FeatureBuilder([ft.BuildingScores(ft.BUILDING, "polygons", "building", 250.0)], {"polygons": scored}).transform(t("q_points"))
     return out.select("geom_id", *[r(F.col(c), 4).alias(c) for c in out.columns[1:]])
 
 
@@ -200,11 +205,10 @@ def _(t):
     return sp.objects_from_polygons(areas(t), buildings(t), intersects=False)
 
 
-@query("j5_objects_in_radius", f"SELECT q.geom_id, t.obj_id FROM q_points q, buildings t WHERE {BOX_D} <= 250 AND NOT EXISTS (SELECT 1 FROM areas a, buildings b WHERE b.obj_id = t.obj_id AND {INTERSECTS})", ("q_points", "buildings", "areas"))
+@query("j5_objects_in_radius", f"SELECT DISTINCT q.geom_id, t.wkt FROM q_points q, buildings t WHERE {BOX_D} <= 250 AND NOT EXISTS (SELECT 1 FROM areas a, buildings b WHERE b.obj_id = t.obj_id AND {INTERSECTS})", ("q_points", "buildings", "areas"))
 def _(t):
-    layer = buildings(t)
-    excluded = sp.objects_from_polygons(areas(t), layer).select("wkt")
-    return sp.dwithin_objects(t("q_points"), layer.join(excluded, "wkt", "left_anti"), 250.0).select("geom_id", "obj_id")
+    inputs = t("q_points").select("geom_id", geo.point(F.col("lon"), F.col("lat")).alias("geom"))
+    return sp.objects_in_radius(inputs, buildings(t), 250.0, areas(t))
 
 
 @query("j6_k_nearest", f", p AS (SELECT q.geom_id, t.obj_id, {D} AS dist FROM q_points q, o_points t), n AS (SELECT *, row_number() OVER (PARTITION BY geom_id ORDER BY dist, obj_id) AS rank FROM p) SELECT geom_id, obj_id, CAST(rank AS INTEGER) AS rank, round(dist, 3) AS dist_m FROM n WHERE rank <= 5", ("q_points", "o_points"))
@@ -212,6 +216,19 @@ def _(t):
     return sp.k_nearest(t("q_points"), t("o_points"), 5).select("geom_id", "obj_id", "rank", r(F.col("dist_m")).alias("dist_m"))
 
 
+J7 = f""", p AS (SELECT a.source_idx AS geom_id, q.geom_id AS obj_id, q.lon, q.lat, a.min_lon, a.max_lon, a.min_lat, a.max_lat, {geo.box_distance_sql('q.lon', 'q.lat', 'a.min_lon', 'a.min_lat', 'a.max_lon', 'a.max_lat')} AS dist FROM areas a, q_points q WHERE NOT EXISTS (SELECT 1 FROM areas z WHERE q.lon BETWEEN z.min_lon AND z.max_lon AND q.lat BETWEEN z.min_lat AND z.max_lat)),
+n AS (SELECT *, row_number() OVER (PARTITION BY geom_id ORDER BY dist, obj_id) AS r FROM p WHERE dist <= 1000)
+SELECT geom_id, obj_id, round((min_lon + max_lon) / 2 + 1e-9, 6) AS source_lon, round((min_lat + max_lat) / 2 + 1e-9, 6) AS source_lat, round(least(greatest(lon, min_lon), max_lon), 6) AS destination_lon, round(least(greatest(lat, min_lat), max_lat), 6) AS destination_lat FROM n WHERE r = 1"""
+
+
+@query("j7_nearest_pairs", J7, ("q_points", "areas"))
+def _(t):
+    # objects which lie in no area, as destinations inside are any point of the area's edge
+    outside = sp.points_outside(t("q_points").withColumnRenamed("geom_id", "obj_id"), areas(t), "obj_id")
+    near = sp.nearest_pairs(areas(t).withColumnRenamed("source_idx", "geom_id"), outside.select("obj_id", geo.point(F.col("lon"), F.col("lat")).alias("geom")), 1000.0)
+    return near.select("geom_id", "obj_id", *[nudged(F.col(f"source.{c}"), 6).alias(f"source_{c}") for c in ("lon", "lat")], *[r(F.col(f"destination.{c}"), 6).alias(f"destination_{c}") for c in ("lon", "lat")])
+
+
 @query("j7_w1_nearest_pairs", f", p AS (SELECT q.geom_id, t.obj_id, {D} AS dist FROM q_points q, o_points t WHERE amenity IS NOT NULL AND {D} <= 500), n AS (SELECT *, row_number() OVER (PARTITION BY geom_id ORDER BY dist, obj_id) AS r FROM p) SELECT geom_id, obj_id, round(dist, 3) AS dist_m FROM n WHERE r = 1", ("q_points", "o_points"))
 def _(t):
     return sp.closest(sp.dwithin_points(t("q_points"), t("o_points").where(ft.AMENITY), 500.0)).select("geom_id", "obj_id", r(F.col("dist_m")).alias("dist_m"))
@@ -229,11 +246,9 @@ def _(t):
 
 @query("a11_object_counts", ", c AS (SELECT source_idx, count(obj_id) AS n FROM areas a LEFT JOIN o_points o ON o.lon BETWEEN a.min_lon AND a.max_lon AND o.lat BETWEEN a.min_lat AND a.max_lat GROUP BY source_idx), q AS (SELECT quantile_cont(n, 0.5) AS p FROM c) SELECT source_idx, n, CASE WHEN n >= 1 AND n >= p THEN 1 ELSE 0 END AS dense FROM c, q", ("areas", "o_points"))
 def _(t):
-    p = t("o_points").select("obj_id", F.col("lon").alias("a_min_lon"), F.col("lat").alias("a_min_lat"), F.col("lon").alias("a_max_lon"), F.col("lat").alias("a_max_lat"))
-    met = sp.box_join(p, sp.boxed(areas(t), "b"), 500.0, ("obj_id", "source_idx"))
-    counts = areas(t).select("source_idx").join(met.groupBy("source_idx").agg(F.count("*").alias("n")), "source_idx", "left").fillna(0, ["n"])
-    half = counts.agg(F.percentile("n", F.lit(0.5)).alias("p"))
-    return counts.crossJoin(F.broadcast(half)).select("source_idx", "n", F.when((F.col("n") >= 1) & (F.col("n") >= F.col("p")), 1).otherwise(0).alias("dense"))
+    counts = su.object_counts(areas(t), t("o_points"), {"n": ft.ALL})
+    dense = su.dense_mask(counts, {"n": (1, 0.5)}, ["source_idx"]).withColumnRenamed("n", "dense")
+    return counts.join(dense, "source_idx").select("source_idx", "n", "dense")
 
 
 # --- geometry functions
@@ -308,7 +323,15 @@ def _(t):
 
 @query("a3_bbox_of", "SELECT round(min(lon), 7) AS min_lon, round(max(lon), 7) AS max_lon, round(min(lat), 7) AS min_lat, round(max(lat), 7) AS max_lat FROM o_points", ("o_points",))
 def _(t):
-    return t("o_points").agg(*[r(f(c), 7).alias(f"{n}_{c}") for c in ("lon", "lat") for n, f in (("min", F.min), ("max", F.max))])
+    box = geo.bbox_of(t("o_points").select(geo.point(F.col("lon"), F.col("lat")).alias("geom")))
+    return box.select(*[r(F.col(c), 7).alias(c) for c in box.columns])
+
+
+@query("g13_bbox_shapes", "SELECT obj_id, round((min_lon + max_lon) / 2 + 1e-9, 6) AS lon, round((min_lat + max_lat) / 2 + 1e-9, 6) AS lat, 5 AS n, max_lon AS third_lon, max_lat AS second_lat, wkt FROM buildings", ("buildings",))
+def _(t):
+    b = geo.bbox(F.col("geom"))
+    ring = geo.bbox_to_coord_list(b)
+    return buildings(t).select("obj_id", nudged(geo.bbox_center(b)["lon"], 6).alias("lon"), nudged(geo.bbox_center(b)["lat"], 6).alias("lat"), F.size(ring).alias("n"), ring[2]["lon"].alias("third_lon"), ring[1]["lat"].alias("second_lat"), geo.to_wkt(geo.bbox_to_polygon(b)).alias("wkt"))
 
 
 A4 = "SELECT CAST(floor(i / 1024) AS BIGINT) AS i, md5(string_agg(line, '' ORDER BY i)) AS line FROM {} GROUP BY 1"
@@ -444,24 +467,23 @@ def _(t):
 @query("u1_union_samples", "SELECT doc_id, 1e0 AS label FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, 0e0 FROM labels WHERE toxic = 0")
 def _(t):
     rows = t("labels")
-    return rows.where("toxic = 1").select("doc_id", F.lit(1.0).alias("label")).unionByName(rows.where("toxic = 0").select("doc_id", F.lit(0.0).alias("label")))
+    return tb.union_samples(rows.where("toxic = 1").select("doc_id"), rows.where("toxic = 0").select("doc_id"))
 
 
 @query("j15_expand_folds", "SELECT o_orderkey, f.fold FROM orders JOIN (SELECT c_custkey, CAST(ntile(4) OVER (ORDER BY c_custkey) - 1 AS INTEGER) AS fold FROM customer) f ON o_custkey = c_custkey")
 def _(t):
     folds = tb.kfold(t("customer").select("c_custkey"), 4, ["c_custkey"])
-    return t("orders").join(folds, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "fold")
+    return tb.expand_folds(t("orders").withColumnRenamed("o_custkey", "c_custkey"), folds, "c_custkey").select("o_orderkey", "fold")
 
 
-@query("l2_negative_sampling", "SELECT toxic AS label, CASE WHEN toxic = 1 THEN count(*) ELSE least(count(*), 2 * (SELECT count(*) FROM labels WHERE toxic = 1)) END AS n FROM labels GROUP BY toxic")
+@query("l2_negative_sampling", f"WITH n AS (SELECT 2 * count(*) AS n FROM labels WHERE toxic = 1), m AS (SELECT doc_id, row_number() OVER (ORDER BY {digest_sql(5, 'doc_id')}, doc_id) AS k FROM labels WHERE toxic = 0) SELECT doc_id, 1 AS label FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, 0 FROM m, n WHERE k <= n")
 def _(t):
-    rows = t("labels").select("doc_id", F.col("toxic").alias("label"))
-    return tb.negative_sampling(rows, 2.0, 5, "doc_id").groupBy("label").agg(F.count("*").alias("n"))
+    return tb.negative_sampling(t("labels").select("doc_id", F.col("toxic").alias("label")), 2.0, 5, "doc_id")
 
 
-@query("l3_train_test_split", "SELECT is_test, CAST(CASE WHEN is_test THEN ceil(n * 0.25e0) ELSE n - ceil(n * 0.25e0) END AS BIGINT) AS n FROM (SELECT count(*) AS n FROM labels) x, (SELECT unnest([true, false]) AS is_test) y")
+@query("l3_train_test_split", f"SELECT doc_id, row_number() OVER (ORDER BY {digest_sql(3, 'doc_id')}, doc_id) <= ceil(count(*) OVER () * 0.25e0) AS is_test FROM labels")
 def _(t):
-    return tb.train_test_split(t("labels"), 0.25, 3, "doc_id").groupBy("is_test").agg(F.count("*").alias("n"))
+    return tb.train_test_split(t("labels"), 0.25, 3, "doc_id").select("doc_id", "is_test")
 
 
 @query("l4_soft_labels", f"SELECT q.geom_id, round(coalesce(greatest(0e0, 1 - min({BOX_D}) / 300), 0e0), 4) AS label FROM q_points q, buildings t WHERE t.building IS NOT NULL GROUP BY q.geom_id", ("q_points", "buildings"))
@@ -470,10 +492,9 @@ def _(t):
     return t("q_points").join(near, "geom_id", "left").select("geom_id", r(tb.soft_label(F.col("d"), 300.0), 4).alias("label"))
 
 
-@query("sa2_sample_in_polygons", "SELECT source_idx, 5 AS n, true AS inside FROM areas", ("areas",))
+@query("sa2_sample_in_polygons", f"SELECT source_idx, i, round(min_lon + (max_lon - min_lon) * {unit_sql(12, 'source_idx', 'i')}, 6) AS lon, round(min_lat + (max_lat - min_lat) * {unit_sql(13, 'source_idx', 'i')}, 6) AS lat FROM areas, (SELECT CAST(unnest(range(1, 8)) AS INTEGER) AS i) g", ("areas",))
 def _(t):
-    drawn = tb.sample_in_polygons(areas(t).drop("y"), 5, 11, "source_idx").join(areas(t).drop("y"), "source_idx")
-    return drawn.groupBy("source_idx").agg(F.count("*").cast("int").alias("n"), F.min(geo.st_covers_point(F.col("geom"), F.col("lon"), F.col("lat"))).alias("inside"))
+    return draws.sample_in_polygons(areas(t), 7, 11, "source_idx").select("source_idx", "i", r(F.col("lon"), 6).alias("lon"), r(F.col("lat"), 6).alias("lat"))
 
 
 GRID = "SELECT source_idx, CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy, round(min_lon + ix * 5e-4, 7) AS lon, round(min_lat + iy * 5e-4, 7) AS lat FROM (SELECT *, unnest(range(CAST(ceil((max_lon - min_lon) / 5e-4) AS BIGINT))) AS ix FROM areas) x, LATERAL (SELECT unnest(range(CAST(ceil((max_lat - min_lat) / 5e-4) AS BIGINT))) AS iy) z"
@@ -517,12 +538,16 @@ def _(t):
 @query("a7_mean_score_by_model", ", m AS (SELECT obj_id % 5 AS fold, experiment AS model, scores FROM scores), f AS (SELECT model, fold, max(scores) AS auc FROM m GROUP BY model, fold) SELECT model, round(avg(auc), 6) AS auc FROM f GROUP BY model", ("scores",))
 def _(t):
     folds = t("scores").groupBy(F.col("experiment").alias("model"), (F.col("obj_id") % 5).alias("fold")).agg(F.max("scores").alias("auc"))
-    return folds.groupBy("model").agg(r(F.avg("auc"), 6).alias("auc"))
+    return su.mean_score_by_model(folds).select("model", r(F.col("auc"), 6).alias("auc"))
 
 
-@query("k8_combine_folds", "SELECT obj_id, max(CASE WHEN experiment = 'exp0' THEN scores END) AS exp0, max(CASE WHEN experiment = 'exp1' THEN scores END) AS exp1 FROM scores GROUP BY obj_id", ("scores",))
+@query("k8_combine_folds", "SELECT obj_id % 3 AS fold, obj_id, CAST(obj_id % 2 AS DOUBLE) AS label, scores / 2 AS a, 1 - scores AS b FROM scores", ("scores",))
 def _(t):
-    return t("scores").groupBy("obj_id").pivot("experiment", ["exp0", "exp1"]).agg(F.max("scores"))
+    # what fit_folds returns: every row, for every fold held out and model
+    rows = t("scores").select("obj_id", (F.col("obj_id") % 3).alias("fold"), (F.col("obj_id") % 2).cast("double").alias("label"), "scores")
+    tested = rows.withColumn("test_fold", F.explode(F.array(*[F.lit(k).cast("long") for k in range(3)])))
+    scored = tested.select("*", F.explode(F.create_map(F.lit("a"), F.col("scores") / 2, F.lit("b"), 1 - F.col("scores"))).alias("model", "proba"))
+    return ml.combine_fold_results(scored, "obj_id", ["a", "b"])[0]
 
 
 @query("x5_rmse_by_head", ", v AS (SELECT experiment AS head, scores, (obj_id % 10) / 10e0 AS y FROM scores) SELECT head, round(sqrt(avg(power(scores - y, 2))), 6) AS rmse FROM v GROUP BY head", ("scores",))
@@ -537,10 +562,20 @@ def _(t):
     return rows.groupBy("head").agg(r(F.sum(tb.scaled_loss(F.col("scores"), F.col("y"))), 4).alias("loss"))
 
 
-@query("x8_extreme_examples", ", v AS (SELECT experiment AS head, obj_id, scores - (obj_id % 7) / 7e0 AS d FROM scores) SELECT head, (SELECT obj_id FROM v b WHERE b.head = a.head ORDER BY d DESC, obj_id LIMIT 1) AS over, (SELECT obj_id FROM v b WHERE b.head = a.head ORDER BY d, obj_id LIMIT 1) AS under FROM (SELECT DISTINCT head FROM v) a", ("scores",))
+@query("x7_multihead_loss", ", v AS (SELECT experiment AS head, avg(abs(ln((scores + 1) / ((obj_id % 10) / 10e0 + 1)))) AS loss FROM scores GROUP BY experiment) SELECT round(sum(CASE WHEN head = 'exp0' THEN loss * exp(-0.5e0) + 0.5e0 ELSE 2 * loss * exp(0.25e0) - 0.25e0 END), 6) AS loss FROM v", ("scores",))
 def _(t):
-    rows = t("scores").select(F.col("experiment").alias("head"), "obj_id", (F.col("scores") - (F.col("obj_id") % 7) / 7.0).alias("d"))
-    return rows.groupBy("head").agg(F.min_by("obj_id", F.struct((-F.col("d")).alias("a"), F.col("obj_id").alias("b"))).alias("over"), F.min_by("obj_id", F.struct("d", "obj_id")).alias("under"))
+    losses = t("scores").groupBy(F.col("experiment").alias("head")).agg(F.avg(tb.scaled_loss(F.col("scores"), (F.col("obj_id") % 10) / 10.0)).alias("loss"))
+    out = tb.multihead_loss(losses, {"exp0": 1.0, "exp1": 2.0}, {"exp0": 0.5, "exp1": -0.25})
+    return out.select(r(F.col(out.columns[0]), 6).alias("loss"))
+
+
+EXTREME = "(SELECT obj_id FROM v b WHERE b.head = a.head ORDER BY {}, obj_id LIMIT 1)"
+
+
+@query("x8_extreme_examples", ", v AS (SELECT experiment AS head, obj_id, scores - (obj_id % 7) / 7e0 AS d, scores + (obj_id % 7) / 7e0 AS z FROM scores) SELECT head, " + ", ".join(f"{EXTREME.format(o)} AS {n}" for n, o in (("over", "d DESC"), ("under", "d"), ("high", "z DESC"), ("low", "z"))) + " FROM (SELECT DISTINCT head FROM v) a", ("scores",))
+def _(t):
+    rows = t("scores").select(F.col("experiment").alias("head"), "obj_id", "scores", ((F.col("obj_id") % 7) / 7.0).alias("y"))
+    return tb.extreme_examples(rows, "head", "obj_id", "scores", "y")
 
 
 @query("x9_embedding_sample", "SELECT vec_id, label FROM embeddings ORDER BY vec_id LIMIT 1000")
@@ -596,7 +631,7 @@ def _(t):
 
 @query("m5_sa7_image_entropy", f"WITH {PIXELS}, s AS (SELECT vec_id, min(value) AS a, max(value) AS b FROM p GROUP BY vec_id), h AS (SELECT p.vec_id, least(floor((value - a) * 256 / (b - a)), 255) AS bin, count(*) AS n FROM p JOIN s ON p.vec_id = s.vec_id GROUP BY 1, 2) SELECT vec_id, round(-sum(n / 64e0 * log2(n / 64e0)), 6) AS entropy FROM h GROUP BY vec_id HAVING -sum(n / 64e0 * log2(n / 64e0)) >= 5.2")
 def _(t):
-    return tb.image_entropy(pixels(t), "vec_id", "value").where("entropy >= 5.2").select("vec_id", r(F.col("entropy"), 6).alias("entropy"))
+    return su.tile_samples(pixels(t), "vec_id", "value", 5.2).select("vec_id", r(F.col("entropy"), 6).alias("entropy"))
 
 
 @query("d1_time_bucket", "SELECT date_trunc('hour', ts) AS bucket, count(*) AS n FROM events GROUP BY 1")
@@ -616,10 +651,16 @@ def _(t):
     return t("orders").select("o_orderkey", text.alias("text"), tb.parse_ts(F.when(F.col("o_orderkey") % 2 == 0, text).otherwise("no time")).alias("ts"))
 
 
-@query("a9_heatmap_frames", "SELECT date_trunc('day', ts) AS frame, count(*) AS n, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon FROM events_geo GROUP BY 1", ("events_geo",))
+@query("a9_heatmap_frames", "SELECT date_trunc('hour', ts) AS frame, CAST(row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY lat, lon) - 1 AS INTEGER) AS pos, round(lat, 7) AS lat, round(lon, 7) AS lon FROM events_geo", ("events_geo",))
+def _(t):
+    frames = su.heatmap_frames(t("events_geo"), "ts", "hour").select("frame", F.posexplode("points").alias("pos", "p"))
+    return frames.select("frame", "pos", r(F.col("p.lat"), 7).alias("lat"), r(F.col("p.lon"), 7).alias("lon"))
+
+
+@query("a9_heatmap_cells", "SELECT date_trunc('day', ts) AS frame, round(floor(lat / 0.01e0) * 0.01e0, 6) AS lat, round(floor(lon / 0.01e0) * 0.01e0, 6) AS lon, count(*) AS n FROM events_geo GROUP BY 1, 2, 3", ("events_geo",))
 def _(t):
-    frames = t("events_geo").groupBy(tb.time_bucket(F.col("ts"), "day").alias("frame"))
-    return frames.agg(F.count("*").alias("n"), r(F.avg("lat"), 6).alias("lat"), r(F.avg("lon"), 6).alias("lon"))
+    cells = su.heatmap_frames(t("events_geo"), "ts", "day", 0.01).select("frame", F.explode("points").alias("p"))
+    return cells.select("frame", r(F.col("p.lat"), 6).alias("lat"), r(F.col("p.lon"), 6).alias("lon"), "p.n")
 
 
 from geofeat.plans import joins, learning  # noqa: E402,F401  register their queries
