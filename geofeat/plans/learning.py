@@ -283,8 +283,8 @@ def _(t):
 @query("q2_e2_grow_by_features")
 def _(t):
     layer = buildings(t)
-    fs = [ft.NumberOf(ft.AMENITY, "points", "amenity", 100.0), ft.DistanceTo(ft.ALL, "points", "object", 250.0), ft.NumberOf(ft.BUILDING, "polygons", "building", 50.0)]
-    builder = ft.FeatureBuilder(fs, {"points": t("o_points"), "polygons": layer})
+    fs = [ft.NumberOf(ft.AMENITY, "points", "amenity", 100.0), ft.DistanceTo(ft.ALL, "points", "object", 250.0), ft.NumberOf(ft.ALL, "points", "object", 250.0)]
+    builder = ft.FeatureBuilder(fs, {"points": t("o_points")})
     known = builder.transform(areas(t).select(F.col("source_idx").alias("geom_id"), "geom"))
     score = cl.FeatureScore(builder, cl.unlike(known, [n for f in fs for n in f.names()]))
     grown = cl.grow_clusters(layer, layer, score, radius=60.0)
