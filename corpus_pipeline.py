@@ -9,8 +9,8 @@ Cases, in every stage: an empty table gives none; null and empty texts are clean
 toxicity model scores them as no words), stay, and get no token ids; repeated rows and
 rows that share an id are judged alike where their texts are alike, stay together in
 ``near_duplicates`` (what leaves is every row of an id whose group has a smaller id),
-and a row without an id is never dropped for its copies or for a benchmark passage of
-its own; further columns pass through all stages but the last, whatever their names;
+and a row without an id is never dropped for its copies; benchmark passages are judged
+row by row, by the row's own text, with an id or without; further columns pass through all stages but the last, whatever their names;
 very long texts are taken whole.
 
 SQL cannot express the toxicity model or the tokenizer, so ``ORACLE_SQL`` is None
@@ -45,8 +45,9 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents which hold no window of a benchmark item."""
     found = decontaminate.hits(docs, read(spark, sf_dir, "benchmark"))
-    hit = found.where(F.size("places") > 0).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    hit = found.where(F.size("places") > 0).select(F.col("doc_id").alias("h_id"), F.col("text_key").alias("h_key")).distinct()
+    same = docs["doc_id"].eqNullSafe(hit["h_id"]) & (decontaminate.key_of(docs["text"]) == hit["h_key"])
+    return docs.join(hit, same, "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

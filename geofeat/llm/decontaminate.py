@@ -41,6 +41,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(small, BETWEEN), "")
 
 
+def key_of(text: Column) -> Column:
+    """The hash by which rows with equal ids are told apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
+
+
 def _nothing(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
@@ -79,7 +84,7 @@ def _sent(df: DataFrame) -> DataFrame:
 
 
 def hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """Per document row: doc_id, n_words, the hit words' places as an array, and the ids of the items that hit."""
+    """Per document row: doc_id, text_key (a hash of its text), n_words, the hit words' places as an array, and the ids of the items that hit."""
     own = items.select(F.col(item_id).cast("string").alias("item"), words_of(F.col(text)).alias("words")).where(F.size("words") > 0)
     lengths = sorted(r[0] for r in own.select(F.least(F.size("words"), F.lit(SPAN))).distinct().collect())
     short = [m for m in lengths if m < SPAN]
@@ -91,7 +96,7 @@ def hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str
     own_windows = own.select("item", F.least(F.size("words"), F.lit(SPAN)).alias("m"), "words")
     own_windows = own_windows.select("item", F.explode(windows_of("words", lengths)).alias("x"), "m").where("x.len = m").select("item", "x.window").distinct() if lengths else own_windows.select("item", F.lit("").alias("window"))
 
-    text_key = F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull()).alias("text_key")
+    text_key = key_of(F.col(text)).alias("text_key")
     keyed = docs.select(F.col(doc_id).alias("doc_id"), text_key, words_of(F.col(text)).alias("words"))
     if short:
         keyed = keyed.withColumn("extra", F.array_distinct(F.transform("words", lambda w: F.xxhash64(w))))
@@ -112,7 +117,7 @@ def hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str
     matched = matched.select(F.col("doc_id").alias("m_id"), F.col("text_key").alias("m_key"), F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["len"] - 1)))).alias("places"), F.array_sort("items").alias("items"))
     joined = first.join(matched, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("text_key") == F.col("m_key")), "left")
     repeated = joined.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
-    return repeated.select("doc_id", "n_words", F.coalesce("places", _nothing("int")).alias("places"), F.coalesce("items", _nothing("string")).alias("items"))
+    return repeated.select("doc_id", "text_key", "n_words", F.coalesce("places", _nothing("int")).alias("places"), F.coalesce("items", _nothing("string")).alias("items"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
