@@ -108,7 +108,7 @@ def dwithin_objects(q: DataFrame, t: DataFrame, radius: float, key: tuple[str, s
     once = (F.col("gy") == first) & (F.col("gx") == column)
     to = lambda lon: geo.planar_distance_m(F.col("geom"), F.col(lon), F.col("q_lat"), F.col("_kx"), F.col("_ky"))
     other = F.when(F.col("_alt").isNotNull() & beside(F.col("_alt")), to("_alt"))
-    met = left.join(right, ["gy", "gx"]).where(near & once)
+    met = left.hint("merge").join(right, ["gy", "gx"]).where(near & once)
     # a filter on a generated column stays above it, so that the distance is worked out once
     found = met.select("*", F.explode(F.array(to("_lon"))).alias("_own")).where(F.col("_own") <= radius)
     # an object on both sides of the line: the point as it is answers for both copies
@@ -202,7 +202,7 @@ def box_join(a: DataFrame, b: DataFrame, cell: float, key: tuple[str, str]) -> D
     right = _with_cells(b, F.col("b_min_lon"), F.col("b_min_lat"), F.col("b_max_lon"), F.col("b_max_lat"), cell, 0)
     touch = (F.col("a_min_lon") <= F.col("b_max_lon")) & (F.col("b_min_lon") <= F.col("a_max_lon")) & (F.col("a_min_lat") <= F.col("b_max_lat")) & (F.col("b_min_lat") <= F.col("a_max_lat"))
     owner = (F.col("gy") == _row(F.greatest("a_min_lat", "b_min_lat"), cell)) & (F.col("gx") == _column(F.greatest("a_min_lon", "b_min_lon"), F.col("gy"), cell))
-    return left.join(right, ["gy", "gx"]).where(touch & owner).drop("gy", "gx")
+    return left.hint("merge").join(right, ["gy", "gx"]).where(touch & owner).drop("gy", "gx")
 
 
 def boxed(df: DataFrame, prefix: str, geom: str = "geom") -> DataFrame:
@@ -294,13 +294,25 @@ def objects_in_radius(inputs: DataFrame, layer: DataFrame, radius: float, exclud
     return near.join(layer.select("obj_id", "wkt"), "obj_id").select("geom_id", "wkt").distinct()
 
 
+#: How much the planes of two places within a search may differ, as a share of a distance.
+NEARLY = 1e-3
+
+
 def nearest_pairs(inputs: DataFrame, objects: DataFrame, radius: float) -> DataFrame:
     """The one nearest object (obj_id, geom) of each input (geom_id, geom) of any kind within the radius, as the ends of a route to it.
 
     Returns geom_id, obj_id, dist_m, source (the input's centroid) and destination (the input's point nearest to the
     object), both (lon, lat). Ties go to the smaller obj_id; inputs with no object are left out.
     """
-    best = closest(dwithin_shapes(inputs, objects, radius))
-    both = best.join(inputs.select("geom_id", F.col("geom").alias("_q")), "geom_id").join(objects.select("obj_id", F.col("geom").alias("_t")), "obj_id")
+    # the plane of a piece differs from piece to piece, so what is about as near is measured anew, a point in its own plane
+    near = dwithin_shapes(inputs, objects, radius * (1 + 2 * NEARLY))
+    least = near.groupBy("geom_id").agg(F.min("dist_m").alias("_least"))
+    near = near.join(least, "geom_id").where(F.col("dist_m") <= F.col("_least") * (1 + NEARLY) + 1e-3).drop("_least")
+    both = near.join(inputs.select("geom_id", F.col("geom").alias("_q")), "geom_id").join(objects.select("obj_id", F.col("geom").alias("_t")), "obj_id")
+    at = F.col("_t.parts")[0][0]
+    turn = F.when(at["lon"] - geo.bbox(F.col("_q"))["min_lon"] > 180, -360.0).when(at["lon"] - geo.bbox(F.col("_q"))["min_lon"] < -180, 360.0).otherwise(0.0)
+    own = geo.point_distance_m(F.col("_q"), at["lon"] + turn, at["lat"])
+    both = both.withColumn("dist_m", F.when(F.col("_t.kind") == "POINT", own).otherwise(F.col("dist_m"))).where(F.col("dist_m") <= radius)
+    both = both.groupBy("geom_id").agg(F.min_by(F.struct("obj_id", "dist_m", "_q", "_t"), F.struct("dist_m", "obj_id")).alias("_x")).select("geom_id", "_x.*")
     end = geo.closest_point_to(F.col("_q"), F.col("_t"))
     return both.select("geom_id", "obj_id", "dist_m", geo.centroid(F.col("_q")).alias("source"), F.struct(end["lon"].alias("lon"), end["lat"].alias("lat")).alias("destination"))
