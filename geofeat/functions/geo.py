@@ -61,28 +61,37 @@ def geodesic_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column, rounds: i
     u1, u2 = F.atan((1 - f) * F.tan(F.radians(lat1))), F.atan((1 - f) * F.tan(F.radians(lat2)))
     far = F.radians(lon2 - lon1)
 
-    def parts(lam: Column) -> tuple[Column, ...]:
-        sin_s = F.sqrt(F.pow(F.cos(u2) * F.sin(lam), 2) + F.pow(F.cos(u1) * F.sin(u2) - F.sin(u1) * F.cos(u2) * F.cos(lam), 2))
-        cos_s = F.sin(u1) * F.sin(u2) + F.cos(u1) * F.cos(u2) * F.cos(lam)
-        sin_a = F.when(sin_s == 0, 0.0).otherwise(F.cos(u1) * F.cos(u2) * F.sin(lam) / F.when(sin_s != 0, sin_s))
-        cos2 = 1 - sin_a * sin_a
-        cos_m = F.when(cos2 == 0, 0.0).otherwise(cos_s - 2 * F.sin(u1) * F.sin(u2) / F.when(cos2 != 0, cos2))
-        return F.atan2(sin_s, cos_s), sin_s, cos_s, sin_a, cos2, cos_m
-
-    def step(lam: Column, _: Column) -> Column:
-        s, sin_s, cos_s, sin_a, cos2, cos_m = parts(lam)
-        c = f / 16 * cos2 * (4 + f * (4 - 3 * cos2))
-        return far + (1 - c) * f * sin_a * (s + c * sin_s * (cos_m + c * cos_s * (2 * cos_m * cos_m - 1)))
-
-    def finish(lam: Column) -> Column:
-        s, sin_s, cos_s, _, cos2, cos_m = parts(lam)
-        u = cos2 * (A * A - b * b) / (b * b)
-        a1 = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
-        b1 = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
-        d = b1 * sin_s * (cos_m + b1 / 4 * (cos_s * (2 * cos_m * cos_m - 1) - b1 / 6 * cos_m * (4 * sin_s * sin_s - 3) * (4 * cos_m * cos_m - 3)))
-        return b * a1 * (s - d)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), far, step, finish)
+    fixed = F.struct(far.alias("far"), *[g(u).alias(f"{n}{i}") for i, u in ((1, u1), (2, u2)) for n, g in (("s", F.sin), ("c", F.cos))])
+
+    def parts(k: Column, lam: Column, f_: callable) -> Column:
+        """f_ of the terms of one round; each step binds what the next ones use more than once."""
+        sines = let(F.struct(F.sin(lam).alias("s"), F.cos(lam).alias("c")), lambda t: F.struct(
+            F.sqrt(F.pow(k["c2"] * t["s"], 2) + F.pow(k["c1"] * k["s2"] - k["s1"] * k["c2"] * t["c"], 2)).alias("sin_s"),
+            (k["s1"] * k["s2"] + k["c1"] * k["c2"] * t["c"]).alias("cos_s"), t["s"].alias("sin_l")))
+        angle = lambda t: F.struct(t["sin_s"], t["cos_s"], F.when(t["sin_s"] == 0, 0.0).otherwise(k["c1"] * k["c2"] * t["sin_l"] / F.when(t["sin_s"] != 0, t["sin_s"])).alias("sin_a"))
+        square = lambda t: F.struct(t["sin_s"], t["cos_s"], t["sin_a"], (1 - t["sin_a"] * t["sin_a"]).alias("cos2"))
+        middle = lambda t: F.struct(t["sin_s"], t["cos_s"], t["sin_a"], t["cos2"], F.atan2(t["sin_s"], t["cos_s"]).alias("s"), F.when(t["cos2"] == 0, 0.0).otherwise(t["cos_s"] - 2 * k["s1"] * k["s2"] / F.when(t["cos2"] != 0, t["cos2"])).alias("cos_m"))
+        return let(let(let(let(sines, angle), square), middle), lambda t: f_(t["s"], t["sin_s"], t["cos_s"], t["sin_a"], t["cos2"], t["cos_m"]))
+
+    def step(k: Column, lam: Column) -> Column:
+        def moved(s, sin_s, cos_s, sin_a, cos2, cos_m):
+            return let(f / 16 * cos2 * (4 + f * (4 - 3 * cos2)), lambda c: k["far"] + (1 - c) * f * sin_a * (s + c * sin_s * (cos_m + c * cos_s * (2 * cos_m * cos_m - 1))))
+
+        return parts(k, lam, moved)
+
+    def finish(k: Column, lam: Column) -> Column:
+        def metres(s, sin_s, cos_s, _, cos2, cos_m):
+            def scaled(u):
+                a1 = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+                b1 = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+                d = lambda v: v * sin_s * (cos_m + v / 4 * (cos_s * (2 * cos_m * cos_m - 1) - v / 6 * cos_m * (4 * sin_s * sin_s - 3) * (4 * cos_m * cos_m - 3)))
+                return b * a1 * (s - let(b1, d))
+
+            return let(cos2 * (A * A - b * b) / (b * b), scaled)
+
+        return parts(k, lam, metres)
+
+    return let(fixed, lambda k: F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), k["far"], lambda lam, _: step(k, lam), lambda lam: finish(k, lam)))
 
 
 def meters2degrees(m: Column) -> Column:
@@ -93,6 +102,16 @@ def degrees2meters(d: Column) -> Column:
     return d / DEGREES_PER_METRE
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def bound(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds (or replaces) a column that is worked out once a row, however often later steps and filters use it."""
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 # --- construction and text
 
 def point(lon: Column, lat: Column) -> Column:
@@ -113,7 +132,7 @@ def box(a: Column, b: Column, c: Column, d: Column) -> Column:
 def from_wkt(wkt: Column) -> Column:
     kind = F.upper(F.regexp_extract(wkt, r"^\s*([A-Za-z]+)", 1))
     ring = r"(\(*)\(\s*([^()]+)\)"
-    coordinate = lambda c: F.struct(F.split(F.trim(c), r"\s+")[0].cast("double").alias("lon"), F.split(F.trim(c), r"\s+")[1].cast("double").alias("lat"))
+    coordinate = lambda c: let(F.split(F.trim(c), r"\s+"), lambda x: F.struct(x[0].cast("double").alias("lon"), x[1].cast("double").alias("lat")))
     parts = F.transform(F.regexp_extract_all(wkt, F.lit(ring), F.lit(2)), lambda r: F.transform(F.split(r, ","), coordinate))
     outer = F.transform(F.regexp_extract_all(wkt, F.lit(ring), F.lit(1)), lambda p: (p != "") | ~kind.endswith("POLYGON"))
     return F.when(wkt.isNotNull(), F.struct(kind.alias("kind"), parts.alias("parts"), outer.alias("outer")))
@@ -157,6 +176,23 @@ def bbox(geom: Column) -> Column:
     return F.struct(F.array_min(lons).alias("min_lon"), F.array_max(lons).alias("max_lon"), F.array_min(lats).alias("min_lat"), F.array_max(lats).alias("max_lat"))
 
 
+def is_box(geom: Column, b: Column) -> Column:
+    """Whether a geometry is an upright rectangle with an inside; ``b`` is its ``bbox``. Its edges then need no test of their own."""
+    ring = F.get(geom["parts"], F.lit(0))
+    at = lambda i, k: F.get(ring, F.lit(i))[k]
+    corners = F.forall(ring, lambda c: c["lon"].isin(b["min_lon"], b["max_lon"]) & c["lat"].isin(b["min_lat"], b["max_lat"]))
+    across = [at(i, k) != at(i + 2, k) for i in (0, 1) for k in ("lon", "lat")]
+    closed = (at(0, "lon") == at(4, "lon")) & (at(0, "lat") == at(4, "lat")) & ((at(0, "lon") == at(1, "lon")) != (at(0, "lat") == at(1, "lat")))
+    shaped = (geom["kind"] == "POLYGON") & (F.size(geom["parts"]) == 1) & (F.size(ring) == 5)
+    return F.coalesce(F.when(shaped, closed & across[0] & across[1] & across[2] & across[3] & corners), F.lit(False))
+
+
+def box_gap_m(b: Column, lon: Column, lat: Column, kx: Column, ky: Column) -> Column:
+    """``planar_distance_m`` of an upright rectangle (its ``bbox``)."""
+    x, y = F.greatest(b["min_lon"] - lon, F.lit(0.0), lon - b["max_lon"]) * kx, F.greatest(b["min_lat"] - lat, F.lit(0.0), lat - b["max_lat"]) * ky
+    return F.sqrt(x * x + y * y)
+
+
 def bbox_center(b: Column) -> Column:
     return F.struct(((b["min_lon"] + b["max_lon"]) / 2).alias("lon"), ((b["min_lat"] + b["max_lat"]) / 2).alias("lat"))
 
