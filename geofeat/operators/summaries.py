@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from geofeat.functions import geo
 from geofeat.operators import spatial as sp
 from geofeat.operators import tables as tb
+from geofeat.sources.shared import written
 
 
 def quantile_of(df: DataFrame, col: str, p: float) -> DataFrame:
@@ -43,13 +45,36 @@ def dense_mask(counts: DataFrame, filters: dict[str, tuple[float | None, float |
     return wide.select(*keys, *[mask(c).alias(c) for c in filters])
 
 
-def object_counts(polys: DataFrame, points: DataFrame, filters: dict[str, str], cell: float = 500.0) -> DataFrame:
-    """(source_idx, one count a filter) of the points (obj_id, lon, lat, tags) which each area (source_idx, geom) covers; 0 where there are none."""
-    corners = {f"a_{e}_{c}": F.col(c) for e in ("min", "max") for c in ("lon", "lat")}
-    flagged = points.select("obj_id", *[F.expr(f).alias(n) for n, f in filters.items()], *[v.alias(n) for n, v in corners.items()])
-    met = sp.box_join(flagged, sp.boxed(polys.select("source_idx", "geom"), "b"), cell, ("obj_id", "source_idx"))
-    inside = met.where(geo.st_covers_point(F.col("geom"), F.col("a_min_lon"), F.col("a_min_lat")))
-    counts = inside.groupBy("source_idx").agg(*[F.count(F.when(F.col(n), 1)).alias(n) for n in filters])
+#: Cells along the longer side of an area in which points are counted, at least.
+CELLS_ACROSS = 16
+
+
+def object_counts(polys: DataFrame, points: DataFrame, filters: dict[str, str], cell: float = 1.0) -> DataFrame:
+    """(source_idx, one count a filter) of the points (obj_id, lon, lat, tags) which each area (source_idx, geom) covers; 0 where there are none.
+
+    Cells of 2^-level degrees, the level by the size of the area, which lie wholly in it answer with
+    their counts; only the points of the cells on its rim meet the area. Cells are ``cell`` metres high at least.
+    """
+    shapes = sp.boxed(polys.select("source_idx", "geom"), "b")
+    size = F.greatest(F.col("b_max_lon") - F.col("b_min_lon"), F.col("b_max_lat") - F.col("b_min_lat"))
+    level = F.when(size > 0, F.least(F.lit(max(0, math.floor(math.log2(110_500 / cell)))), F.greatest(F.lit(0), F.ceil(F.log2(CELLS_ACROSS / F.when(size > 0, size)))))).otherwise(0).cast("int")
+    shapes = geo.bound(shapes, "level", level)
+    levels = sorted(r[0] for r in shapes.select("level").distinct().collect())
+    scale, key = F.pow(F.lit(2.0), F.col("level")), ["level", "cx", "cy"]
+    place = lambda c: F.floor(F.col(c) * scale).cast("long")
+    flagged = points.select("lon", "lat", *[F.expr(f).alias(n) for n, f in filters.items()]).withColumn("level", F.explode(F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>")))
+    placed = flagged.withColumns({"cx": place("lon"), "cy": place("lat")})
+    sums = placed.groupBy(*key).agg(*[F.count(F.when(F.col(n), 1)).alias(n) for n in filters])
+    cells = shapes.withColumn("cx", F.explode(F.sequence(place("b_min_lon"), place("b_max_lon")))).withColumn("cy", F.explode(F.sequence(place("b_min_lat"), place("b_max_lat"))))
+    west, south, east, north = F.col("cx") / scale, F.col("cy") / scale, (F.col("cx") + 1) / scale, (F.col("cy") + 1) / scale
+    held = (west >= F.col("b_min_lon")) & (east <= F.col("b_max_lon")) & (south >= F.col("b_min_lat")) & (north <= F.col("b_max_lat"))
+    cells = geo.bound(cells, "_full", F.when(F.col("b_rect") | ~held, held).otherwise(geo.st_within(geo.box(west, south, east, north), F.col("geom"))))
+    full = cells.where("_full").select("source_idx", *key).hint("merge").join(sums, key).select("source_idx", *filters)
+    # the points of a cell meet the areas whose rim crosses it
+    met = cells.where("NOT _full").select("source_idx", "geom", "b_rect", "b_min_lon", "b_max_lon", "b_min_lat", "b_max_lat", *key).hint("merge").join(placed, key)
+    met = met.where(F.col("lon").between(F.col("b_min_lon"), F.col("b_max_lon")) & F.col("lat").between(F.col("b_min_lat"), F.col("b_max_lat")))
+    met = met.where(F.col("b_rect") | geo.st_covers_point(F.col("geom"), F.col("lon"), F.col("lat"))).groupBy("source_idx").agg(*[F.count(F.when(F.col(n), 1)).alias(n) for n in filters])
+    counts = full.unionByName(met).groupBy("source_idx").agg(*[F.sum(n).alias(n) for n in filters])
     return polys.select("source_idx").join(counts, "source_idx", "left").fillna(0, list(filters))
 
 
@@ -91,9 +116,11 @@ def feature_image(stored: DataFrame, names: list[str], step_m: float, order: str
     each is scaled to [0, 1] by its own range, and the last by ``order`` stays in a cell. ``mask`` is 1 where a cell
     has a value of any channel; channels without value are 0. The grid is whole, from the least to the largest cell.
     """
-    placed = tb.select_features(stored, names).where("feature_value IS NOT NULL AND NOT isnan(feature_value)").withColumn("_g", geo.from_wkt(F.col("geom_wkt")))
+    placed = tb.select_features(stored, names).where("feature_value IS NOT NULL AND NOT isnan(feature_value)")
+    placed = geo.bound(placed, "_g", geo.from_wkt(F.col("geom_wkt")))
     placed = placed if area is None else placed.where(geo.st_within(F.col("_g"), area))
-    at = placed.withColumn("_c", geo.centroid(F.col("_g"))).select("feature_name", "feature_value", F.col(order).alias("_o"), "_c.lon", "_c.lat")
+    at = geo.bound(placed, "_c", geo.centroid(F.col("_g"))).select("feature_name", "feature_value", F.col(order).alias("_o"), "_c.lon", "_c.lat")
+    at = written(at)  # its range, its corner, its cells and its grid read it
     corner = at.agg(F.min("lon").alias("_x"), F.min("lat").alias("_y"))
     ranges = at.groupBy("feature_name").agg(F.min("feature_value").alias("_a"), F.max("feature_value").alias("_b"))
     scaled = F.coalesce((F.col("feature_value") - F.col("_a")) / F.nullif(F.col("_b") - F.col("_a"), F.lit(0.0)), F.lit(0.0))
