@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from geofeat.functions import geo
 from geofeat.operators import samples as sa
 from geofeat.operators import spatial as sp
+from geofeat.operators import summaries as su
 from geofeat.plans import learning
 
 
@@ -26,3 +27,34 @@ def test_sql_of_negatives_goes_on_until_there_are_enough(spark):
     got = got.select("label", F.round("lon", 8).alias("lon"), F.round("lat", 8).alias("lat")).collect()
     given = f"WITH areas AS (SELECT 0 AS source_idx, {a}e0 AS min_lon, {b}e0 AS min_lat, {c}e0 AS max_lon, {d}e0 AS max_lat)"
     assert sorted(map(tuple, got)) == sorted(duckdb.sql(given + learning.SA6).fetchall())
+
+
+def test_points_in_meets_every_area_of_a_crowded_cell(spark):
+    wide = [(34.5, 31.5, 34.501, 31.501)] * 40  # more than a point is tested against at first
+    boxes = spark.createDataFrame([*wide, (34.5021, 31.5021, 34.5022, 31.5022)], "a double, b double, c double, d double")
+    areas = boxes.select(geo.box(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("geom"))
+    points = spark.createDataFrame([(0, 34.5005, 31.5005), (1, 34.50215, 31.50215), (2, 34.5015, 31.5015), (3, 34.501, 31.5)], "k long, lon double, lat double")
+    assert sorted(r.k for r in sp.points_in(points, areas, "k").collect()) == [0, 1, 3]
+
+
+def test_only_upright_rectangles_go_by_their_boxes(spark):
+    texts = {"POLYGON ((0 0, 2 0, 2 1, 0 1, 0 0))": True, "POLYGON ((0 0, 1 1, 2 0, 1 -1, 0 0))": False, "POLYGON ((0 0, 2 0, 2 1, 2 0, 0 0))": False, "POLYGON ((0 0, 2 1, 2 0, 0 1, 0 0))": False, "LINESTRING (0 0, 2 0, 2 1, 0 1, 0 0)": False}
+    rows = sp.boxed(spark.createDataFrame([(t,) for t in texts], "wkt string").withColumn("geom", geo.from_wkt(F.col("wkt"))), "a").collect()
+    assert {r.wkt: r.a_rect for r in rows} == texts
+
+
+def test_a_nearest_search_starts_where_few_points_are(spark):
+    grid = spark.createDataFrame([(i, 34.5 + i % 50 * 2e-5, 31.5 + i // 50 * 2e-5) for i in range(2500)], "obj_id long, lon double, lat double")
+    q = grid.limit(100).withColumnRenamed("obj_id", "geom_id")
+    assert sp.first_radius(q, grid, 10.0, 250.0) < 25
+    near = sp.k_nearest(q, grid, 1, limit_m=100.0).collect()
+    assert len(near) == 100 and all(r.geom_id == r.obj_id and r.dist_m == 0 for r in near)
+
+
+def test_counts_of_an_area_that_is_no_rectangle(spark):
+    shape = "POLYGON ((34.5 31.5, 34.504 31.5, 34.504 31.503, 34.502 31.501, 34.5 31.503, 34.5 31.5))"
+    areas = spark.createDataFrame([(1, shape)], "source_idx long, wkt string").select("source_idx", geo.from_wkt(F.col("wkt")).alias("geom"))
+    points = spark.createDataFrame([(i, 34.4995 + i % 40 * 1.3e-4, 31.4995 + i // 40 * 1.1e-4) for i in range(1600)], "obj_id long, lon double, lat double")
+    plain = points.crossJoin(areas).where(geo.st_covers_point(F.col("geom"), F.col("lon"), F.col("lat"))).count()
+    assert [r.n for r in su.object_counts(areas, points, {"n": "1=1"}).collect()] == [plain]
+    assert plain > 100
