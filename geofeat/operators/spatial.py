@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geofeat.functions import geo
+from geofeat.operators import tables as tb
 from geofeat.sources.shared import written
 
 #: Metres of a degree of latitude at least, so that a cell row is never lower than the radius.
@@ -225,16 +226,48 @@ def holding(a: Column, b: Column) -> Column:
     return F.when(F.col("a_rect") & F.col("b_rect"), held).otherwise(geo.st_within(a, b))
 
 
+#: Candidate polygons of an object on average in the first of several blocks.
+FIRST_POLYGONS = 16.0
+
+
+def candidates(a: DataFrame, b: DataFrame, cell: float) -> float:
+    """How many rows of ``b`` share a cell with a row of ``a`` on average, by counts of cells; both are ``boxed``."""
+    cells = lambda df, p, n: _with_cells(df.select(*[f"{p}_{k}" for k in ("min_lon", "min_lat", "max_lon", "max_lat")]), F.col(f"{p}_min_lon"), F.col(f"{p}_min_lat"), F.col(f"{p}_max_lon"), F.col(f"{p}_max_lat"), cell, 0).groupBy("gy", "gx").agg(F.count("*").cast("double").alias(n))
+    met = cells(a, "a", "n").hint("merge").join(cells(b, "b", "m"), ["gy", "gx"], "left").agg(F.sum(F.col("n") * F.col("m")).alias("pairs"), F.sum("n").alias("n")).first()
+    return (met.pairs or 0.0) / (met.n or 1.0)
+
+
 def objects_from_polygons(polys: DataFrame, layer: DataFrame, intersects: bool = True, cell: float = 500.0) -> DataFrame:
     """Distinct objects (wkt) of many polygons, with the lowest source_idx of a polygon that touches (or holds) them.
 
-    polys: source_idx, geom; layer: obj_id, wkt, geom.
+    polys: source_idx, geom; layer: obj_id, wkt, geom. Where an object has many candidates,
+    they come in blocks by rising source_idx, each twice as large as the one before. An object that
+    a block meets is done, as later blocks have no lower source_idx; the others go on until all
+    polygons had their turn.
     """
-    a = boxed(layer.withColumnRenamed("geom", "a_geom"), "a", "a_geom")
-    b = boxed(polys.withColumnRenamed("geom", "b_geom"), "b", "b_geom")
-    met = box_join(a, b, cell, ("obj_id", "source_idx"))
+    # read several times, so texts are read and boxes worked out once
+    a = written(boxed(layer.select("obj_id", "wkt", F.col("geom").alias("a_geom")), "a", "a_geom"))
+    b = boxed(polys.select("source_idx", F.col("geom").alias("b_geom")), "b", "b_geom")
     test = touching(F.col("a_geom"), F.col("b_geom")) if intersects else holding(F.col("a_geom"), F.col("b_geom"))
-    return met.where(test).groupBy("wkt").agg(F.min("source_idx").alias("source_idx"))
+    met = lambda rows, some: box_join(rows, some, cell, ("obj_id", "source_idx")).where(test).groupBy("wkt").agg(F.min("source_idx").alias("source_idx"))
+    mean = candidates(a, b, cell)
+    if mean <= 2 * FIRST_POLYGONS:
+        return met(a, b)
+    b = written(tb.ranked(b, [F.col("source_idx").isNull(), F.col("source_idx")], []))
+    n, done, found, rest = b.count(), 0, None, a
+    size = max(1, int(n * FIRST_POLYGONS / mean))
+    while True:
+        some = b.where(F.col("rank").between(done + 1, done + size)).drop("rank")
+        near = written(met(rest, some))
+        found = near if found is None else found.unionByName(near)
+        done, size = done + size, 2 * size
+        if done >= n:
+            break
+        rest = written(rest.join(near.select("wkt"), "wkt", "left_anti"))
+        if not rest.limit(1).count():
+            break
+    # a null text is never done, so it may come up in several blocks
+    return found.groupBy("wkt").agg(F.min("source_idx").alias("source_idx"))
 
 
 #: Areas of a cell that a point is tested against before all others: where many overlap, few points are left then.

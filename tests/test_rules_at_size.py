@@ -58,3 +58,26 @@ def test_counts_of_an_area_that_is_no_rectangle(spark):
     plain = points.crossJoin(areas).where(geo.st_covers_point(F.col("geom"), F.col("lon"), F.col("lat"))).count()
     assert [r.n for r in su.object_counts(areas, points, {"n": "1=1"}).collect()] == [plain]
     assert plain > 100
+
+
+def test_objects_of_crowded_polygons_take_the_lowest_in_few_pairs(spark, monkeypatch):
+    rows = [(300 - i, 34.5 + i % 20 * 1e-4, 31.5 + i // 20 * 1e-4, 34.503 + i % 20 * 1e-4, 31.503 + i // 20 * 1e-4) for i in range(300)]
+    box = lambda *c: geo.box(*map(F.col, c)).alias("geom")
+    polys = spark.createDataFrame([*rows, (2000, 34.53, 31.53, 34.531, 31.531)], "source_idx long, a double, b double, c double, d double").select("source_idx", box("a", "b", "c", "d"))
+    points = [(i, 34.4995 + i % 10 * 6e-4, 31.4995 + i // 10 * 6e-4) for i in range(100)] + [(100, 34.5305, 31.5305), (101, 34.6, 31.6)]
+    layer = spark.createDataFrame([(i, x, y, x + 1e-4, y + 1e-4) for i, x, y in points], "obj_id long, a double, b double, c double, d double")
+    layer = layer.select("obj_id", box("a", "b", "c", "d")).withColumn("wkt", geo.to_wkt(F.col("geom")))
+    joined = []
+    plain = sp.box_join
+    monkeypatch.setattr(sp, "box_join", lambda a, b, *rest: joined.append((a.count(), b.count())) or plain(a, b, *rest))
+    boxes = {r.source_idx: r.geom.parts[0] for r in polys.collect()}
+    for intersects in (True, False):
+        joined.clear()
+        expected = []
+        for r in layer.collect():
+            (x0, y0), (x1, y1) = r.geom.parts[0][0], r.geom.parts[0][2]
+            fits = (lambda p: x0 <= p[2].lon and p[0].lon <= x1 and y0 <= p[2].lat and p[0].lat <= y1) if intersects else (lambda p: p[0].lon <= x0 and x1 <= p[2].lon and p[0].lat <= y0 and y1 <= p[2].lat)
+            met = [i for i, p in boxes.items() if fits(p)]
+            expected += [(r.wkt, min(met))] if met else []
+        assert sorted(map(tuple, sp.objects_from_polygons(polys, layer, intersects).collect())) == sorted(expected)
+        assert sum(n * m for n, m in joined) < 0.6 * 102 * 301 and sum(m for _, m in joined) == 301
