@@ -4,6 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from geofeat.functions import geo
+from geofeat.operators import models as ml
 from geofeat.operators import samples as sa
 from geofeat.operators import spatial as sp
 from geofeat.operators import summaries as su
@@ -81,3 +82,10 @@ def test_objects_of_crowded_polygons_take_the_lowest_in_few_pairs(spark, monkeyp
             expected += [(r.wkt, min(met))] if met else []
         assert sorted(map(tuple, sp.objects_from_polygons(polys, layer, intersects).collect())) == sorted(expected)
         assert sum(n * m for n, m in joined) < 0.6 * 102 * 301 and sum(m for _, m in joined) == 301
+
+
+def test_embeddings_of_one_file_are_worked_out_by_all_tasks(spark):
+    rows = spark.range(400).coalesce(1).withColumnRenamed("id", "k")
+    made = ml.random_embedding(rows, "k", 4)
+    assert made.rdd.getNumPartitions() == 4
+    assert sorted(r.k for r in made.collect()) == list(range(400))
