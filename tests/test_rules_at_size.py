@@ -9,6 +9,7 @@ from geofeat.operators import samples as sa
 from geofeat.operators import spatial as sp
 from geofeat.operators import summaries as su
 from geofeat.plans import learning
+from geofeat.sources.fixtures import table
 
 
 def test_nearest_pairs_ties_go_to_the_smaller_id(spark):
@@ -89,3 +90,9 @@ def test_embeddings_of_one_file_are_worked_out_by_all_tasks(spark):
     made = ml.random_embedding(rows, "k", 4)
     assert made.rdd.getNumPartitions() == 4
     assert sorted(r.k for r in made.collect()) == list(range(400))
+
+
+def test_models_are_fitted_on_a_written_table(spark):
+    rows = learning.dataset(lambda name: table(spark, "/root/testdata/sf0.001", name))
+    assert rows.count() == 150
+    assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
