@@ -31,6 +31,8 @@ from geofeat.llm.common import passing, place, read, slices
 
 #: Pre-tokens up to this many characters are remembered, at most so many of them.
 CACHED_CHARS, CACHED_TOKENS = 48, 250_000
+#: The same where nothing else needs the memory of the workers, so that it may outlive a task.
+KEPT_TOKENS = 400_000
 #: A bitmap word spans 2 ** BITS ranks.
 BITS = 8
 MASK = (1 << BITS) - 1
@@ -42,7 +44,7 @@ class Pieces(dict):
 
     def __init__(self, own: Codec):
         super().__init__()
-        self.own, self.old = own, {}
+        self.own, self.old, self.most = own, {}, CACHED_TOKENS
 
     def __missing__(self, text: str) -> bytes:
         found = self.old.get(text)
@@ -50,7 +52,7 @@ class Pieces(dict):
             packed = self.own.packed
             found = b"".join([packed[i] for i in self.own.merge(text.encode("utf-8", "surrogatepass"))])
         if len(text) <= CACHED_CHARS:
-            if len(self) >= CACHED_TOKENS:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[text] = found
@@ -162,6 +164,10 @@ class Codec:
         self.pieces.clear()
         self.pieces.old = {}
 
+    def remember(self, most: int) -> None:
+        """How many pre-tokens a generation may hold from now on."""
+        self.pieces.most = most
+
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.pattern.findall(text))), np.int32)
 
@@ -189,8 +195,12 @@ def load_ranks(path: str) -> bytes:
         return f.read()
 
 
-def encode(df: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
-    """Adds the token ids of ``text_col`` as ``array<int>``; with ``decoded_col`` also the bytes that the ids decode to."""
+def encode(df: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None, keep: bool = False) -> DataFrame:
+    """Adds the token ids of ``text_col`` as ``array<int>``; with ``decoded_col`` also the bytes that the ids decode to.
+
+    Pre-tokens are forgotten when a task ends, as stages after this one may need the memory. With ``keep`` a
+    worker's next task finds those of the tasks before, two generations of ``KEPT_TOKENS`` at most.
+    """
     shared = df.sparkSession.sparkContext.broadcast(ranks)
     at, kept = place(df, text_col), passing(df, [c for c in (ids_col, decoded_col) if c])
     new = [T.StructField(ids_col, T.ArrayType(T.IntegerType(), False)), T.StructField(decoded_col or "", T.BinaryType())]
@@ -198,6 +208,7 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", id
 
     def run(batches):
         own = codec(shared.value, pattern)
+        own.remember(KEPT_TOKENS if keep else CACHED_TOKENS)
         for batch in batches:
             for part in slices(batch):
                 found = [None if t is None else own.encode(t) for t in part.column(at).to_pylist()]
@@ -205,7 +216,8 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text_col: str = "text", id
                 if decoded_col:
                     columns.append(pa.array([None if ids is None else own.decode(ids.tolist()) for ids in found], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-        own.forget()
+        if not keep:
+            own.forget()
 
     return df.mapInArrow(run, schema)
 
@@ -246,7 +258,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    coded = encode(docs, ranks, public_tokenizers.PATTERN, decoded_col="decoded").drop("text")
+    coded = encode(docs, ranks, public_tokenizers.PATTERN, decoded_col="decoded", keep=True).drop("text")
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

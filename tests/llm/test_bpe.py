@@ -1,6 +1,7 @@
 import hashlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -50,6 +51,27 @@ def test_frame_cases(spark):
     assert bpe.encode(df.where("false"), DATA, public_tokenizers.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("keep,left", [(True, 2), (False, 0)])
+def test_pretokens_outlive_a_task_only_where_asked(spark, monkeypatch, keep, left):
+    df, tasks = spark.createDataFrame([], "doc_id long, text string"), []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: tasks.append(run))
+    bpe.encode(df, DATA, public_tokenizers.PATTERN, keep=keep)
+    rows = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [" thhathha erbletion"]})
+    assert [b.num_rows for b in tasks[0](iter([rows]))] == [1]
+    own = bpe.codec(DATA, public_tokenizers.PATTERN)
+    assert len(own.pieces) == left
+    own.forget()
+
+
+def test_memory_of_pretokens_is_bounded():
+    own = bpe.Codec(DATA, public_tokenizers.PATTERN)
+    own.remember(3)
+    for k in range(20):
+        text = f" word{k}x{k}"
+        assert own.encode(text).tolist() == LIB.encode_ordinary(text)
+        assert len(own.pieces) <= 3 and len(own.pieces.old) <= 3
+
+
 def test_unknown_id(spark):
     with pytest.raises(ValueError):
         OWN.decode([60_000])
