@@ -4,10 +4,12 @@ import duckdb
 from pyspark.sql import functions as F
 
 from geofeat.functions import geo
+from geofeat.operators import features as ft
 from geofeat.operators import models as ml
 from geofeat.operators import samples as sa
 from geofeat.operators import spatial as sp
 from geofeat.operators import summaries as su
+from geofeat.operators import tables as tb
 from geofeat.plans import learning
 from geofeat.sources.fixtures import table
 
@@ -96,3 +98,42 @@ def test_models_are_fitted_on_a_written_table(spark):
     rows = learning.dataset(lambda name: table(spark, "/root/testdata/sf0.001", name))
     assert rows.count() == 150
     assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_small_rectangles_go_by_their_boxes(spark, monkeypatch):
+    """The same pairs as of shapes of any kind: small and large rectangles, a triangle, a line, and both sides of 180 degrees."""
+    import random
+
+    rng = random.Random(5)
+    places = [(34.5 + rng.uniform(0, 0.01), 31.5 + rng.uniform(0, 0.01)) for _ in range(150)] + [(rng.choice([-1, 1]) * (180 - rng.uniform(0, 0.004)), 60 + rng.uniform(0, 0.004)) for _ in range(80)]
+    rect = lambda x, y, w, h: f"POLYGON (({x} {y}, {x + w} {y}, {x + w} {y + h}, {x} {y + h}, {x} {y}))"
+    texts = [rect(min(x, 179.9998), y, rng.uniform(1e-5, 2e-4), rng.uniform(1e-5, 4e-4)) for x, y in places]
+    texts += [rect(34.502, 31.502, 6e-3, 1e-3), "POLYGON ((34.503 31.503, 34.504 31.503, 34.503 31.504, 34.503 31.503))", "LINESTRING (34.5 31.505, 34.51 31.506)"]
+    t = spark.createDataFrame(list(enumerate(texts)), "obj_id long, wkt string").select("obj_id", geo.from_wkt(F.col("wkt")).alias("geom"))
+    q = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(places)], "geom_id long, lon double, lat double")
+    boxed = geo.bound(t, "_box", geo.bbox(F.col("geom")))
+    plain = sp._dwithin_any(q, geo.bound(boxed, "_rect", geo.is_box(F.col("geom"), F.col("_box"))), 250.0)
+    asked, by_boxes = [], sp._dwithin_boxes
+    monkeypatch.setattr(sp, "_dwithin_boxes", lambda q, b, *rest: asked.append(b.count()) or by_boxes(q, b, *rest))
+    rows = lambda df: sorted((r.geom_id, r.obj_id, round(r.dist_m, 6)) for r in df.select("geom_id", "obj_id", "dist_m").collect())
+    got = rows(sp.dwithin_objects(q, t, 250.0))
+    assert asked == [len(places)] and len(got) > 1000 and got == rows(plain)
+
+
+def test_pairs_of_shapes_are_summed_without_a_sort_of_them(spark):
+    box = geo.box(F.col("lon"), F.col("lat"), F.col("lon") + 1e-4, F.col("lat") + 1e-4).alias("geom")
+    q = spark.range(60).select(F.col("id").alias("geom_id"), (34.5 + F.col("id") * 1e-4).alias("lon"), F.lit(31.5).alias("lat"))
+    layer = q.select(F.col("geom_id").alias("obj_id"), box, F.lit("x").alias("building"))
+    wanted = [cls(ft.BUILDING, "polygons", "building", r) for r in (100.0, 250.0) for cls in (ft.NumberOf, ft.AreaOf, ft.AreaOfNearest)]
+    out = ft.FeatureBuilder(wanted, {"polygons": layer}).transform(q)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    assert {r[0] > 0 for r in out.select("area_of_nearest_building_100m").collect()} == {True}
+
+
+def test_scores_are_joined_by_shuffles(spark):
+    shapes = spark.createDataFrame([("a",), ("b",)], "wkt string")
+    store = spark.createDataFrame([("a", "e", "m", "h", 0.5), ("b", "e", "m", "other", 0.5)], "geom_wkt string, experiment string, model string, train_hash string, score double")
+    met = tb.score_join(shapes, store, "e", "m", "h")
+    assert [tuple(r) for r in met.collect()] == [("a", 0.5)]
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
