@@ -96,6 +96,23 @@ def test_distance_correlation_of_all_rows(spark, tmp_path):
     assert abs(tb.distance_correlation(rows, "vec_id", "a", "b", 150).first()[0] - expected) < 1e-9
 
 
+def test_distance_correlation_of_copies_far_from_zero(spark):
+    """Blocks in one order, copies of a row in two blocks, and vectors whose lengths dwarf their distances."""
+    x = np.random.default_rng(4).random((90, 5)) + 1e5
+    x = np.concatenate([x, x])
+    far = lambda y: np.sqrt(((y[:, None] - y[None]) ** 2).sum(-1)).ravel()
+    rows = spark.createDataFrame([(i, r.tolist(), r[:2].tolist()) for i, r in enumerate(x)], "k long, a array<double>, b array<double>")
+    assert abs(tb.distance_correlation(rows, "k", "a", "b", 40).first()[0] - np.corrcoef(far(x), far(x[:, :2]))[0, 1]) < 1e-9
+
+
+def test_distance_correlation_meets_two_blocks_once(spark, monkeypatch):
+    """The sixteen pairs of four blocks are ten groups."""
+    x = np.random.default_rng(5).random((4000, 3))
+    rows = spark.createDataFrame([(i, r.tolist(), r[:2].tolist()) for i, r in enumerate(x)], "k long, a array<double>, b array<double>")
+    plan = tb.distance_correlation(rows, "k", "a", "b", 1_000)._jdf.queryExecution().toString()
+    assert "hashpartitioning(row" in plan and ", 10)" in plan
+
+
 def test_hash_of_geometries_gathers_no_array(spark, monkeypatch):
     monkeypatch.delattr(tb.F, "collect_set")
     texts = [f"POINT ({i} 2)" for i in range(300)] + [f"LINESTRING ({i} 2, 3 4)" for i in range(300)]
