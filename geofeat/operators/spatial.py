@@ -353,6 +353,26 @@ def points_outside(points: DataFrame, polys: DataFrame, key: str) -> DataFrame:
 FARTHEST_M = 5e7
 
 
+#: Width of a cell of a nearest search in radii: an input is copied to 2.25 cells on average, where cells of one radius take nine.
+WIDE_CELLS = 4.0
+#: Rows of a side that a task of a nearest search may take on average, so that its memory does not grow with the input.
+NEAREST_ROWS = 500_000
+
+
+def _near_in_wide_cells(q: DataFrame, t: DataFrame, radius: float, tasks: int) -> DataFrame:
+    """``dwithin_points`` of few pairs: an input meets more points in its few cells, but far fewer copies of inputs are moved."""
+    cell, aside, up = WIDE_CELLS * radius, F.col("_aside"), _up(radius)
+    points = _both_ways(q.withColumnsRenamed({"lon": "q_lon", "lat": "q_lat"}).withColumn("_aside", _aside(F.col("q_lat"), radius)))
+    left = _with_cells(points, F.col("_lon") - aside, F.col("q_lat") - up, F.col("_lon") + aside, F.col("q_lat") + up, cell, 0).drop("_alt", "_copy")
+    right = t.withColumnsRenamed({"lon": "t_lon", "lat": "t_lat"}).withColumn("gy", _row(F.col("t_lat"), cell)).withColumn("gx", _column(F.col("t_lon"), F.col("gy"), cell))
+    if tasks > int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        left, right = left.repartition(tasks, "gy", "gx"), right.repartition(tasks, "gy", "gx")
+    apart = F.col("t_lon") - F.col("_lon")  # the shorter way round counts, so a pair is seen from one of two copies
+    near = (F.abs(F.col("t_lat") - F.col("q_lat")) <= up) & (F.abs(apart) <= aside) & (apart > -180) & (apart <= 180)
+    met = left.hint("merge").join(right, ["gy", "gx"]).where(near)
+    return met.withColumn("dist_m", geo.distance_m(F.col("_lon"), F.col("q_lat"), F.col("t_lon"), F.col("t_lat"))).where(F.col("dist_m") <= radius).drop("gy", "gx", "_aside", "_lon")
+
+
 def first_radius(q: DataFrame, t: DataFrame, wanted: float, radius: float) -> float:
     """A radius, of at most the given one, within which an input has about so many of the points ``t``, by counts of cells."""
     cells = lambda df, n: df.select(_row(F.col("lat"), radius).alias("gy"), "lon").select("gy", _column(F.col("lon"), F.col("gy"), radius).alias("gx")).groupBy("gy", "gx").agg(F.count("*").cast("double").alias(n))
@@ -362,7 +382,7 @@ def first_radius(q: DataFrame, t: DataFrame, wanted: float, radius: float) -> fl
 
 
 def k_nearest(q: DataFrame, t: DataFrame, k: int, start_m: float = 250.0, max_rounds: int = 12, limit_m: float = FARTHEST_M) -> DataFrame:
-    """The k nearest points of ``t`` for each of ``q`` within ``limit_m``, ranked by metres, then obj_id.
+    """The k nearest points of ``t`` for each of ``q`` within ``limit_m``, ranked by metres, then obj_id: geom_id, obj_id, dist_m, rank.
 
     The search starts where an input has about 2k points (at ``start_m`` at most). The radius doubles
     for the inputs that found fewer than k; a found set is
@@ -370,11 +390,13 @@ def k_nearest(q: DataFrame, t: DataFrame, k: int, start_m: float = 250.0, max_ro
     rounds it grows by sixteen a round. It ends at a radius that has every point; inputs
     that still have fewer than k then keep what they have.
     """
+    q, t = q.select("geom_id", "lon", "lat"), t.select("obj_id", "lon", "lat")
     found, rest, radius, turn = None, q, first_radius(q, t, 2.0 * k, min(start_m, limit_m)), 0
+    tasks = -(-max(3 * q.count(), t.count()) // NEAREST_ROWS)
     order = W.partitionBy("geom_id").orderBy("dist_m", "obj_id")
     while True:
-        pairs = dwithin_points(rest, t, radius).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        pairs = written(pairs)
+        near = _near_in_wide_cells(rest, t, radius, tasks).select("geom_id", "obj_id", "dist_m")
+        pairs = written(near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
         if radius >= limit_m:
             return pairs if found is None else found.unionByName(pairs)
         done = pairs.groupBy("geom_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)

@@ -137,3 +137,25 @@ def test_scores_are_joined_by_shuffles(spark):
     met = tb.score_join(shapes, store, "e", "m", "h")
     assert [tuple(r) for r in met.collect()] == [("a", 0.5)]
     assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_nearest_search_copies_inputs_to_few_cells(spark, monkeypatch):
+    """The same pairs as of all within the radius, on both sides of 180 degrees too, by many tasks, and no more columns than asked."""
+    import random
+
+    rng = random.Random(7)
+    places = [(34.5 + rng.uniform(0, 0.02), 31.5 + rng.uniform(0, 0.02)) for _ in range(400)] + [(rng.choice([-1, 1]) * (180 - rng.uniform(0, 0.004)), 60 + rng.uniform(0, 0.004)) for _ in range(200)]
+    t = spark.createDataFrame([(i, x, y, "a") for i, (x, y) in enumerate(places)], "obj_id long, lon double, lat double, amenity string")
+    q = spark.createDataFrame([(i, x + 1e-5, y) for i, (x, y) in enumerate(places) if abs(x) < 179.9999], "geom_id long, lon double, lat double")
+    rows = lambda df: sorted((r.geom_id, r.obj_id, round(r.dist_m, 6)) for r in df.select("geom_id", "obj_id", "dist_m").collect())
+    wide = rows(sp._near_in_wide_cells(q, t, 150.0, 9))
+    assert len(wide) > 2 * len(places) and wide == rows(sp.dwithin_points(q, t, 150.0))
+    copies = []
+    plain = sp._with_cells
+    monkeypatch.setattr(sp, "_with_cells", lambda df, *rest: copies.append(plain(df, *rest).count() / df.count()) or plain(df, *rest))
+    near = sp.k_nearest(q, t, 2)
+    assert near.columns == ["geom_id", "obj_id", "dist_m", "rank"] and max(copies) < 5
+    best = {}
+    for g, o, d in rows(sp.dwithin_points(q, t, 2e4)):
+        best.setdefault(g, []).append((d, o))
+    assert sorted((r.geom_id, r["rank"], r.obj_id) for r in near.collect()) == sorted((g, i + 1, o) for g, found in best.items() for i, (_, o) in enumerate(sorted(found)[:2]))
