@@ -56,6 +56,28 @@ def test_sources_look_no_farther_than_they_must(spark):
     assert {r.metres for r in rt.shortest_routes(pairs, ways).collect()} == {20.0}
 
 
+def test_a_first_look_spares_far_ones(spark, monkeypatch):
+    """A dense graph of short ways: no end looks at most of the nodes, and landmarks go by few ways of each node."""
+    import random
+
+    rng = random.Random(2)
+    ways = [(i, j, 10.0 + rng.random() * 1000, 50.0) for i in range(120) for j in range(i)]
+    asked, plain = [], rt._reached
+    monkeypatch.setattr(rt, "_reached", lambda q, e: asked.append((q.where("far IS NOT NULL").count(), e.count(), plain(q, e))) or asked[-1][2])
+    pairs = spark.createDataFrame([(i, (7 * i + 3) % 120) for i in range(120)], "source long, target long")
+    got = {r.source: r.metres for r in rt.shortest_routes(pairs, spark.createDataFrame(ways, WAYS)).collect()}
+    assert asked[0][1] == 120 * rt.SHORT_WAYS
+    assert asked[1][0] == 120 and asked[1][2].count() < 120 * 60
+    far = {(i, j): (0.0 if i == j else float("inf")) for i in range(120) for j in range(120)}
+    for a, b, m, _ in ways:
+        far[a, b] = far[b, a] = m
+    for k in range(120):
+        for i in range(120):
+            for j in range(120):
+                far[i, j] = min(far[i, j], far[i, k] + far[k, j])
+    assert got == {i: pytest.approx(far[i, (7 * i + 3) % 120]) for i in range(120)}
+
+
 def test_negative_length_is_an_error(spark):
     with pytest.raises(ValueError):
         rt.reach(spark.createDataFrame([(0,)], "source long"), spark.createDataFrame([(0, 1, -1.0, 50.0)], WAYS))
