@@ -1,4 +1,5 @@
 import re
+import zlib
 
 from geofeat.llm import urls
 
@@ -52,3 +53,20 @@ def test_suffixes_are_counted_over_all_labelled_urls(spark):
     assert model.rates[".com"] == (400.0, 400.0) and model.rates[".net"] == (100.0, 200.0) and model.n == 601
     got = urls.sample(df, 40)
     assert len(set(got)) == 40 and got == urls.sample(df.repartition(5), 40)
+
+
+def hash_of(text):
+    return zlib.crc32(text.encode())
+
+
+def test_counts_of_every_suffix_reach_the_score(spark, monkeypatch):
+    """A model that holds few counts itself scores as one that holds all: the others are joined, in training and in scoring."""
+    hosts = [f"{a}{b}{c}.com" for a in "ab" for b in "fg" for c in "klm"]
+    rules = [("block" if hash_of(h) % 2 else "allow", f"{h}/x") for h in hosts]
+    rows = [(i, f"http://{h}/{step}{i % 7}") for i, (h, step) in enumerate((h, step) for h in hosts for step in "xxxyyxxx")]
+    rows += [(9_000, None), (9_001, ""), (9_002, "http://unseen.xyz/q")]
+    df = spark.createDataFrame(rows + rows[:5], "page_id long, url string")
+    whole = sorted((tuple(r) for r in urls.judge(df, rules).collect()), key=str)
+    assert {r[-2] for r in whole if "/y" in (r[1] or "")} == {"allow", "block"}
+    monkeypatch.setattr(urls, "SUFFIXES", 3)
+    assert sorted((tuple(r) for r in urls.judge(df, rules).collect()), key=str) == whole
